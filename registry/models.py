@@ -20,7 +20,7 @@ from tessella.operators.evaluate import (
 from tessella.operators.features import CLASSIFICATION, REGRESSION, FeatureSpec, fit_features, training_frame
 from tessella.operators.merge import Link, merge_two
 from tessella.operators.row_id import add_row_id
-from tessella.operators.split import split_frame, with_folds
+from tessella.operators.split import HOLDOUT, TRAIN, part, split_frame, with_folds, with_split
 from tessella.plans.report import leaderboard, report, store_report
 from tessella.plans.score import score, score_axis, score_tables, score_to_csv
 from tessella.plans.train import (
@@ -29,6 +29,7 @@ from tessella.plans.train import (
     Settings,
     cross_validation_metrics,
     fit_ols,
+    held,
     label_index,
     labelled,
     load_model,
@@ -84,10 +85,12 @@ class Setting:
         index = label_index(prepared.frame, target) if problem == CLASSIFICATION else None
         self.classes = list(index.labels) if index else []
         self.all = labelled(prepared.frame, target, problem, index)
-        self.train, self.holdout = split_frame(self.all, key, SEED)
+        self.marked = with_split(self.all, key, SEED)
+        self.train, self.holdout = part(self.marked, TRAIN), part(self.marked, HOLDOUT)
 
     def fit(self, family):
-        return train_family(self.train, self.features, family, self.problem, self.classes, SETTINGS)
+        with held(self.train.select(LABEL, *self.features)) as frame:
+            return train_family(frame, self.features, family, self.problem, self.classes, SETTINGS)
 
 
 def price(spark, folder):
@@ -168,7 +171,7 @@ def compared(spark, folder):
 def family_metrics(setting, family):
     def query(spark, folder):
         s = setting(spark, folder)
-        return leaderboard([s.fit(family)], s.train, s.holdout)
+        return leaderboard([s.fit(family)], s.marked)
 
     return query
 
@@ -179,7 +182,7 @@ def board(setting, target):
     def query(spark, folder):
         s = setting(spark, folder)
         models = train(s.train.drop(LABEL), target, s.features, s.problem, settings=SETTINGS)
-        return leaderboard(models, s.train, s.holdout)
+        return leaderboard(models, s.marked)
 
     return query
 
@@ -208,14 +211,14 @@ def importance(spark, folder):
 def full_report(setting, family):
     def query(spark, folder):
         s = setting(spark, folder)
-        return report(s.fit(family), s.train, s.holdout, s.key).curves
+        return report(s.fit(family), s.marked, s.key).curves
 
     return query
 
 
 def stored_report(spark, folder):
     s = quality(spark, folder)
-    path = store_report(report(s.fit("GLM"), s.train, s.holdout, s.key), new_path(spark, "report"))
+    path = store_report(report(s.fit("GLM"), s.marked, s.key), new_path(spark, "report"))
     return spark.read.parquet(f"{path}/metrics")
 
 

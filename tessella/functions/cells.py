@@ -21,6 +21,14 @@ DATE_PARTS = {
 }
 
 
+# Fixed value: the text a cast to double accepts. Checked first, because a failed cast builds and
+# discards an exception per cell, which is slow on columns of ordinary text.
+NUMBER_TEXT = (
+    r"(?i)^[\x00-\x20]*[+-]?(nan|inf|infinity|(\d+\.?\d*|\.\d+)(e[+-]?\d+)?[fd]?"
+    r"|0x[0-9a-f]*\.?[0-9a-f]*p[+-]?\d+[fd]?)[\x00-\x20]*$"
+)
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
@@ -70,13 +78,15 @@ def zero_if_missing(value: Column) -> Column:
     return F.coalesce(F.nanvl(number, F.lit(0.0)), F.lit(0.0))
 
 
-def nan_flag(name: str, data_type: T.DataType) -> Column | None:
-    """True where the cell is NaN; text counts when it reads as NaN. None if the type has no NaN."""
-    if is_floating(data_type):
-        return F.isnan(column(name))
+def reading(name: str, data_type: T.DataType) -> Column:
+    """Number a cell of a number or text column stands for; null where text does not read as one."""
     if kind(data_type) == TEXT:
-        return F.isnan(to_double(name))
-    return None
+        return F.when(column(name).rlike(NUMBER_TEXT), to_double(name))
+    return column(name).cast("double")
+
+
+def can_be_nan(data_type: T.DataType) -> bool:
+    return is_floating(data_type) or kind(data_type) == TEXT
 
 
 def timestamps_to_string(df: DataFrame) -> DataFrame:

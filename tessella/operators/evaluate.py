@@ -61,26 +61,43 @@ def log_loss(label: Column, probability: Column) -> Column:
 def metrics_classification(
     df: DataFrame, label: str, prediction: str, probability: str | None = None, keys: Sequence[str] = ()
 ) -> DataFrame:
-    """metric, value for labels 0/1: accuracy, precision, recall, f1 and, with a probability, logloss and auc."""
-    y, p = column(label).cast("int"), column(prediction).cast("int")
+    """metric, value for labels 0/1: accuracy, precision, recall, f1 and, with a probability, logloss and auc.
 
-    def count(condition: Column) -> Column:
-        return F.count_if(condition).cast("double")
-
-    hit, positive, called = count((y == 1) & (p == 1)), count(y == 1), count(p == 1)
+    One pass: rows are counted per label, prediction and rounded score, all figures come from those
+    counts. Rows without one of the columns are left out.
+    """
+    cells = [column(label).cast("int").alias("y"), column(prediction).cast("int").alias("p")]
+    by = [*keys, "y", "p"]
+    if probability is not None:
+        q = column(probability)
+        cells += [F.round(q, SCORE_DIGITS).alias("score"), log_loss(column(label).cast("int"), q).alias("loss")]
+        by.append("score")
+    rows = df.select(*[column(k) for k in keys], *cells).na.drop(subset=by[len(keys) :])
+    totals = [F.count(F.lit(1)).alias("n")] + ([F.sum("loss").alias("loss")] if probability is not None else [])
+    counted = rows.groupBy(*[column(k) for k in by]).agg(*totals)
+
+    def rows_where(condition: Column) -> Column:
+        return F.sum(F.when(condition, F.col("n")).otherwise(0)).cast("double")
+
+    y, p, n = F.col("y"), F.col("p"), F.col("n")
+    hit, positive, called, everything = rows_where((y == 1) & (p == 1)), rows_where(y == 1), rows_where(p == 1), F.sum(n)
     figures = {
-        "accuracy": count(y == p) / F.count(F.lit(1)),
+        "accuracy": rows_where(y == p) / everything,
         "precision": F.try_divide(hit, called),
         "recall": F.try_divide(hit, positive),
         "f1": F.try_divide(2 * hit, called + positive),
     }
     if probability is not None:
-        figures["logloss"] = F.avg(log_loss(y, column(probability)))
-    result = _long(df.groupBy(*[column(k) for k in keys]).agg(*[v.alias(k) for k, v in figures.items()]), keys)
-    if probability is not None:
-        area = auc(df, label, probability, keys=keys)
-        result = result.unionByName(_long(area, keys))
-    return result
+        # Positives scored above each cell, those scored level count half.
+        upto = Window.partitionBy(*[column(k) for k in keys]).orderBy(F.desc("score"))
+        level = Window.partitionBy(*[column(k) for k in keys], F.col("score"))
+        positives = F.when(y == 1, n).otherwise(0)
+        counted = counted.withColumn("above", F.sum(positives).over(upto) - F.sum(positives).over(level) / 2.0)
+        figures["logloss"] = F.sum("loss") / everything
+        pairs = F.sum(F.when(y == 0, n * F.col("above")).otherwise(0.0))
+        figures["auc"] = F.try_divide(pairs, positive * (everything - positive))
+    wide = counted.groupBy(*[column(k) for k in keys]).agg(*[v.alias(k) for k, v in figures.items()])
+    return _long(wide, keys)
 
 
 def metrics_multiclass(df: DataFrame, label: str, prediction: str, keys: Sequence[str] = ()) -> DataFrame:

@@ -1,116 +1,125 @@
 """Column profiles: types, counts, moments, extremes and missing values in one job.
 
-Every column's figures are one struct inside a single global aggregate, so the rows are read once and
-only one partial row per task is shuffled. The result has one row per column.
+All figures of a frame come from one global aggregate, so the rows are read once and only one partial
+row per task is shuffled. The result has one row per column.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.cells import column, nan_flag, timestamps_to_string, to_double
-from ..functions.kinds import BOOLEAN, NUMERIC, TEXT, is_floating, kind, require_flat
+from ..functions.cells import can_be_nan, column, reading
+from ..functions.kinds import NUMERIC, TEXT, is_floating, kind, require_flat
 
 # Columns per aggregate: wider frames take several passes, each reading only its own columns,
 # so that the generated code stays small enough to be compiled.
 COLUMNS_PER_PASS = 100
 
+# A column's figures: aggregates by name, and the struct that is made of them.
+Figures = tuple[dict[str, Column], Callable[[dict[str, Column]], list[Column]]]
+
 
 def _null(data_type: str) -> Column:
     return F.lit(None).cast(data_type)
 
 
-def _figures(field: T.StructField, position: int, shown: T.DataType) -> Column:
-    """``shown`` is the type before a time or a flag became text; such text has no numeric reading."""
-    value, numeric = column(field.name), kind(field.dataType) == NUMERIC
-    nan = nan_flag(field.name, shown)
-    nan_count = F.count_if(nan) if nan is not None else F.lit(0).cast("long")
-    null_count = F.count_if(value.isNull())
-    if kind(shown) in (NUMERIC, TEXT):
-        number = to_double(field.name)
-        mean, stddev = F.avg(number), F.stddev_samp(number)
-    else:
-        mean, stddev = _null("double"), _null("double")
-    exact = not is_floating(field.dataType)
-    return F.struct(
-        F.lit(position).alias("position"),
-        F.lit(field.name).alias("column"),
-        F.lit(shown.simpleString()).alias("type"),
-        F.count(value).alias("count"),
-        null_count.alias("null_count"),
-        nan_count.alias("nan_count"),
-        (null_count + nan_count).alias("missing_count"),
-        mean.alias("mean"),
-        stddev.alias("stddev"),
-        (F.min(value).cast("double") if numeric else _null("double")).alias("min_num"),
-        (F.max(value).cast("double") if numeric else _null("double")).alias("max_num"),
-        (F.min(value).cast("string") if exact else _null("string")).alias("min_str"),
-        (F.max(value).cast("string") if exact else _null("string")).alias("max_str"),
-    )
-
-
-def _one_row_per_column(df: DataFrame, structs: Sequence[Column]) -> DataFrame:
-    passes = [structs[i : i + COLUMNS_PER_PASS] for i in range(0, len(structs), COLUMNS_PER_PASS)]
-    parts = [df.agg(F.array(*p).alias("cells")).select(F.inline("cells")) for p in passes]
+def _one_row_per_column(df: DataFrame, figures: Callable[[int, T.StructField, Column, Column], Figures]) -> DataFrame:
+    """``figures`` gets position, field, the cell and the number it reads as."""
+    parts = []
+    fields = list(enumerate(df.schema))
+    for start in range(0, len(fields), COLUMNS_PER_PASS):
+        chosen = fields[start : start + COLUMNS_PER_PASS]
+        # Numbers are read once per cell, in the projection below the aggregate.
+        cells = [column(f.name).alias(f"c{i}") for i, f in chosen]
+        readings = [reading(f.name, f.dataType).alias(f"n{i}") for i, f in chosen if kind(f.dataType) == TEXT]
+        aggregates, shapes = [F.count(F.lit(1)).alias("rows")], []
+        for i, f in chosen:
+            number = F.col(f"n{i}") if kind(f.dataType) == TEXT else F.col(f"c{i}").cast("double")
+            wanted, shape = figures(i, f, F.col(f"c{i}"), number)
+            aggregates += [a.alias(f"{name}{i}") for name, a in wanted.items()]
+            found = {"rows": F.col("rows"), **{name: F.col(f"{name}{i}") for name in wanted}}
+            shapes.append(F.struct(*shape(found)))
+        parts.append(df.select(*cells, *readings).agg(*aggregates).select(F.inline(F.array(*shapes))))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionAll(part)
     return result
 
 
-def _as_profiled(df: DataFrame) -> DataFrame:
-    """Times and booleans are profiled as text, like the stored form."""
-    flags = [f.name for f in df.schema if kind(f.dataType) == BOOLEAN]
-    df = timestamps_to_string(df)
-    return df.withColumns({c: column(c).cast("string") for c in flags}) if flags else df
+def _missing(field: T.StructField, cell: Column, number: Column) -> dict[str, Column]:
+    nan = {"nan": F.count_if(F.isnan(number))} if can_be_nan(field.dataType) else {}
+    return {"count": F.count(cell), **nan}
+
+
+def _missing_columns(found: dict[str, Column]) -> list[Column]:
+    nan = found.get("nan", F.lit(0).cast("long"))
+    nulls = found["rows"] - found["count"]
+    return [nulls.alias("null_count"), nan.alias("nan_count"), (nulls + nan).alias("missing_count")]
 
 
 def profile(df: DataFrame) -> DataFrame:
-    """One row per column. ``type`` is the type before times and booleans are read as text.
+    """One row per column: position, column, type, count, null_count, nan_count, missing_count, mean,
+    stddev, min_num, max_num, min_str, max_str.
 
-    ``count`` is the number of non-null cells, NaN included; NaN counts as the largest number.
-    ``mean`` and ``stddev`` of a text column are over the cells that read as numbers.
+    ``count`` is the number of non-null cells, NaN included; NaN counts as the largest number and text
+    counts as NaN when it reads so. ``mean`` and ``stddev`` of a text column are over the cells that
+    read as numbers. Times and booleans show their extremes as text.
     """
     require_flat(df.schema)
-    text = _as_profiled(df)
-    structs = [_figures(f, i, df.schema[i].dataType) for i, f in enumerate(text.schema)]
-    return _one_row_per_column(text, structs)
+
+    def figures(position: int, field: T.StructField, cell: Column, number: Column) -> Figures:
+        family = kind(field.dataType)
+        wanted = {**_missing(field, cell, number), "min": F.min(cell), "max": F.max(cell)}
+        if family in (NUMERIC, TEXT):
+            wanted |= {"mean": F.avg(number), "stddev": F.stddev_samp(number)}
+        exact = not is_floating(field.dataType)
+
+        def shape(found: dict[str, Column]) -> list[Column]:
+            low, high = found["min"], found["max"]
+            return [
+                F.lit(position).alias("position"),
+                F.lit(field.name).alias("column"),
+                F.lit(field.dataType.simpleString()).alias("type"),
+                found["count"].alias("count"),
+                *_missing_columns(found),
+                found.get("mean", _null("double")).alias("mean"),
+                found.get("stddev", _null("double")).alias("stddev"),
+                (low.cast("double") if family == NUMERIC else _null("double")).alias("min_num"),
+                (high.cast("double") if family == NUMERIC else _null("double")).alias("max_num"),
+                (low.cast("string") if exact else _null("string")).alias("min_str"),
+                (high.cast("string") if exact else _null("string")).alias("max_str"),
+            ]
+
+        return wanted, shape
+
+    return _one_row_per_column(df, figures)
 
 
 def missing_values(df: DataFrame) -> DataFrame:
-    """column, nan_count, null_count, missing_count."""
-    structs = []
-    for f in df.schema:
-        nan = nan_flag(f.name, f.dataType)
-        nan_count = F.count_if(nan) if nan is not None else F.lit(0).cast("long")
-        null_count = F.count_if(column(f.name).isNull())
-        structs.append(
-            F.struct(
-                F.lit(f.name).alias("column"),
-                nan_count.alias("nan_count"),
-                null_count.alias("null_count"),
-                (nan_count + null_count).alias("missing_count"),
-            )
-        )
-    return _one_row_per_column(df, structs)
+    """column, null_count, nan_count, missing_count."""
+
+    def figures(position: int, field: T.StructField, cell: Column, number: Column) -> Figures:
+        return _missing(field, cell, number), lambda found: [F.lit(field.name).alias("column"), *_missing_columns(found)]
+
+    return _one_row_per_column(df, figures)
 
 
 def column_types(df: DataFrame) -> DataFrame:
     """position, column, type and the number of non-null cells."""
-    structs = [
-        F.struct(
-            F.lit(i).alias("position"),
-            F.lit(f.name).alias("column"),
-            F.lit(f.dataType.simpleString()).alias("type"),
-            F.count(column(f.name)).alias("count"),
-        )
-        for i, f in enumerate(df.schema)
-    ]
-    return _one_row_per_column(df, structs)
+
+    def figures(position: int, field: T.StructField, cell: Column, number: Column) -> Figures:
+        return {"count": F.count(cell)}, lambda found: [
+            F.lit(position).alias("position"),
+            F.lit(field.name).alias("column"),
+            F.lit(field.dataType.simpleString()).alias("type"),
+            found["count"].alias("count"),
+        ]
+
+    return _one_row_per_column(df, figures)
 
 
 def dataset_summary(df: DataFrame, parents: Sequence[str] = (), links: Sequence[str] = ()) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.cells import column
 
 TRAIN_PERCENT = 95
+SPLIT, TRAIN, HOLDOUT = "split", "train", "holdout"
 
 
 def key_slot(key: str, seed: int, slots: int) -> Column:
@@ -16,10 +17,20 @@ def key_slot(key: str, seed: int, slots: int) -> Column:
     return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") % slots).cast("int")
 
 
-def split_frame(df: DataFrame, key: str, seed: int = 1, train_percent: int = TRAIN_PERCENT) -> tuple[DataFrame, DataFrame]:
-    """Training and holdout part; together they are the frame. A null key belongs to the training part."""
+def with_split(df: DataFrame, key: str, seed: int = 1, train_percent: int = TRAIN_PERCENT) -> DataFrame:
+    """Add ``split``: train or holdout. A null key belongs to the training part."""
     slot = F.coalesce(key_slot(key, seed, 100), F.lit(0))
-    return df.where(slot < train_percent), df.where(slot >= train_percent)
+    return df.withColumn(SPLIT, F.when(slot < train_percent, TRAIN).otherwise(HOLDOUT))
+
+
+def part(df: DataFrame, name: str) -> DataFrame:
+    return df.where(F.col(SPLIT) == name).drop(SPLIT)
+
+
+def split_frame(df: DataFrame, key: str, seed: int = 1, train_percent: int = TRAIN_PERCENT) -> tuple[DataFrame, DataFrame]:
+    """Training and holdout part; together they are the frame."""
+    marked = with_split(df, key, seed, train_percent)
+    return part(marked, TRAIN), part(marked, HOLDOUT)
 
 
 def with_folds(df: DataFrame, key: str, folds: int, seed: int = 1, name: str = "fold") -> DataFrame:

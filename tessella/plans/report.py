@@ -23,6 +23,7 @@ from ..operators.evaluate import (
     roc_curve,
 )
 from ..operators.features import REGRESSION
+from ..operators.split import HOLDOUT, SPLIT, TRAIN, part
 from .train import LABEL, PREDICTION, Trained, positive_probability
 
 CURVE_COLUMNS = ("curve", "series", "position", "label", "x", "y")
@@ -61,29 +62,22 @@ def _importance(trained: Trained, df: DataFrame) -> DataFrame:
     return _curve(table, "Variable Importance", F.lit("scaled"), F.lit(None), F.col("variable"), _no_number(), F.col("scaled"))
 
 
-def split_metrics(trained: Trained, scored: DataFrame) -> DataFrame:
-    """metric, value of a scored frame, as fits the model's problem."""
+def metrics_of(trained: Trained, frame: DataFrame) -> DataFrame:
+    """model, split, metric, value; both splits are scored in the same pass."""
+    scored = trained.score(frame)
     if trained.problem == REGRESSION:
-        return metrics_regression(scored, LABEL, PREDICTION)
-    if len(trained.classes) > 2:
-        return metrics_multiclass(scored, LABEL, PREDICTION)
-    return metrics_classification(positive_probability(scored), LABEL, PREDICTION, "p1")
-
-
-def metrics_of(trained: Trained, train: DataFrame, holdout: DataFrame) -> DataFrame:
-    parts = [
-        split_metrics(trained, trained.score(frame)).select(
-            F.lit(trained.name).alias("model"), F.lit(split).alias("split"), "metric", "value"
-        )
-        for split, frame in (("train", train), ("holdout", holdout))
-    ]
-    return reduce(DataFrame.unionByName, parts)
+        found = metrics_regression(scored, LABEL, PREDICTION, [SPLIT])
+    elif len(trained.classes) > 2:
+        found = metrics_multiclass(scored, LABEL, PREDICTION, [SPLIT])
+    else:
+        found = metrics_classification(positive_probability(scored), LABEL, PREDICTION, "p1", [SPLIT])
+    return found.select(F.lit(trained.name).alias("model"), SPLIT, "metric", "value")
 
 
-def report(trained: Trained, train: DataFrame, holdout: DataFrame, key: str) -> Report:
-    """``train`` and ``holdout`` carry features, ``label`` and the key that orders rows."""
-    spark = train.sparkSession
-    scored_train, scored = trained.score(train), trained.score(holdout)
+def report(trained: Trained, frame: DataFrame, key: str) -> Report:
+    """``frame`` carries features, ``label``, ``split`` and the key that orders rows."""
+    spark = frame.sparkSession
+    scored_train, scored = trained.score(part(frame, TRAIN)), trained.score(part(frame, HOLDOUT))
     trees = trained.family in TREE_FAMILIES
     binary = len(trained.classes) <= 2
     curves: list[DataFrame] = []
@@ -92,7 +86,7 @@ def report(trained: Trained, train: DataFrame, holdout: DataFrame, key: str) ->
         curves += _series(facts, "Actual vs Predictions", "x", "x", "y_actual", "y_prediction")
         if trees:
             curves.append(_loss(loss_curve_trees(trained.model, scored_train, scored, LABEL), "Loss vs Iterations"))
-            curves.append(_importance(trained, train))
+            curves.append(_importance(trained, frame))
         else:
             curves.append(_loss(objective_curve(spark, trained.model, drop_first=True), "Loss vs Iterations"))
     else:
@@ -116,13 +110,13 @@ def report(trained: Trained, train: DataFrame, holdout: DataFrame, key: str) ->
         if not trees:
             curves.append(_loss(objective_curve(spark, trained.model), "Deviance vs Iter"))
         if trees and hasattr(last_stage(trained.model), "featureImportances"):
-            curves.append(_importance(trained, train))
+            curves.append(_importance(trained, frame))
     lines = reduce(DataFrame.unionByName, curves).select(F.lit(trained.name).alias("model"), "*")
-    return Report(metrics_of(trained, train, holdout), lines)
+    return Report(metrics_of(trained, frame), lines)
 
 
-def leaderboard(models: list[Trained], train: DataFrame, holdout: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, [metrics_of(m, train, holdout) for m in models])
+def leaderboard(models: list[Trained], frame: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, [metrics_of(m, frame) for m in models])
 
 
 def store_report(found: Report, path: str) -> str:

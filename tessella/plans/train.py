@@ -110,8 +110,11 @@ def labelled(df: DataFrame, target: str, problem: str, index: StringIndexerModel
 
 @contextmanager
 def held(df: DataFrame) -> Iterator[DataFrame]:
-    """Keep a frame that several fits read; it spills to disk and is rebuilt if an executor is lost."""
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    """Keep a frame that fits read many times; it spills to disk and is rebuilt if an executor is lost.
+
+    The one shuffle in front evens out partition sizes: every pass would wait for the largest one.
+    """
+    kept = df.hint("rebalance").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield kept
     finally:
@@ -174,12 +177,12 @@ def cross_validated(
     df: DataFrame, key: str, names: Sequence[str], family: str, problem: str, folds: int = 5, classes: Sequence[str] = (), settings: Settings = Settings()
 ) -> DataFrame:
     """Every row scored by a model that has not seen it, with its ``fold``. Folds hang on the key."""
-    with held(with_folds(df, key, folds, settings.seed)) as frame:
+    marked = with_folds(df, key, folds, settings.seed)
+    with held(marked.select(LABEL, "fold", *[column(c) for c in names])) as frame:
         models = [
             train_family(frame.where(F.col("fold") != i), names, family, problem, classes, settings) for i in range(folds)
         ]
-    source = with_folds(df, key, folds, settings.seed)
-    return reduce(DataFrame.unionByName, [m.score(source.where(F.col("fold") == i)) for i, m in enumerate(models)])
+    return reduce(DataFrame.unionByName, [m.score(marked.where(F.col("fold") == i)) for i, m in enumerate(models)])
 
 
 def cross_validation_metrics(
