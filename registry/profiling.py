@@ -36,6 +36,7 @@ QUERIES = {
     "profile_merged": lambda s, d: _rounded(profile(chain(s, d))),
     "missing_values": lambda s, d: missing_values(events_with_gaps(s, d)),
     "histogram_numeric": lambda s, d: histogram_numeric(table(s, d, "lineitem")),
+    "histogram_numeric_gaps": lambda s, d: histogram_numeric(events_with_gaps(s, d), ["user_id", "value"]),
     "histogram_categorical": lambda s, d: histogram_categorical(
         merge_two(table(s, d, "lineitem"), table(s, d, "part"), [("l_partkey", "p_partkey")]),
         ["l_returnflag", "l_linestatus", "p_brand", "p_name"],
@@ -157,6 +158,9 @@ ORACLES = {
         }.items()
     ),
     "histogram_numeric": histogram_sql("lineitem", NUMBERS),
+    "histogram_numeric_gaps": histogram_sql(
+        f"(select user_id, case when not isnan(value) then value end as value from ({EVENTS_WITH_GAPS}))", ["user_id", "value"]
+    ),
     "histogram_categorical": categories_sql(
         "(select * from lineitem join part on l_partkey = p_partkey)", ["l_returnflag", "l_linestatus", "p_brand", "p_name"]
     ),

@@ -42,9 +42,8 @@ def histogram_numeric(df: DataFrame, names: Sequence[str] | None = None, bins: i
         if low == high:
             return F.when(value > high, bins - 1).when(value.isNotNull(), 0).cast("int")
         share = F.floor((value - F.lit(low)) / F.lit(high - low) * F.lit(bins))
-        return F.when(value >= high, bins - 1).when(value <= low, 0).otherwise(
-            F.least(share.cast("int"), F.lit(bins - 1))
-        )
+        inside = F.least(share.cast("int"), F.lit(bins - 1))
+        return F.when(value >= high, bins - 1).when(value <= low, 0).when(value.isNotNull(), inside)
 
     edges = []
     for i, (low, high) in limits.items():

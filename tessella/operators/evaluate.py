@@ -6,6 +6,7 @@ Everything is reduced before it is ordered: windows here run over at most 10^dig
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,12 +38,14 @@ def _log1p(value: Column) -> Column:
 
 
 def metrics_regression(df: DataFrame, label: str, prediction: str, keys: Sequence[str] = ()) -> DataFrame:
-    """metric, value (per group of ``keys``); rows without label or prediction are left out."""
+    """metric, value (per group of ``keys``); rows without label or prediction are left out.
+
+    Averages skip nulls by themselves. A filter would be pushed below the model and score each row twice.
+    """
     y, p = column(label).cast("double"), column(prediction).cast("double")
     error = y - p
-    pairs = df.where(y.isNotNull() & p.isNotNull())
     mse = F.avg(error * error)
-    wide = pairs.groupBy(*[column(k) for k in keys]).agg(
+    wide = df.groupBy(*[column(k) for k in keys]).agg(
         mse.alias(MSE),
         F.sqrt(mse).alias(RMSE),
         F.avg(F.abs(error)).alias(MAE),
@@ -72,9 +75,11 @@ def metrics_classification(
         q = column(probability)
         cells += [F.round(q, SCORE_DIGITS).alias("score"), log_loss(column(label).cast("int"), q).alias("loss")]
         by.append("score")
-    rows = df.select(*[column(k) for k in keys], *cells).na.drop(subset=by[len(keys) :])
+    rows = df.select(*[column(k) for k in keys], *cells)
     totals = [F.count(F.lit(1)).alias("n")] + ([F.sum("loss").alias("loss")] if probability is not None else [])
     counted = rows.groupBy(*[column(k) for k in by]).agg(*totals)
+    complete = reduce(Column.__and__, [F.col(c).isNotNull() for c in by[len(keys) :]])
+    counted = counted.withColumns({t: F.when(complete, F.col(t)) for t in ("n", "loss") if t in counted.columns})
 
     def rows_where(condition: Column) -> Column:
         return F.sum(F.when(condition, F.col("n")).otherwise(0)).cast("double")

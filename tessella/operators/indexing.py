@@ -6,7 +6,7 @@ from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWriter, MLReader, MLWritable, MLWriter
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +43,7 @@ class TableIndexer(Estimator, _TableIndexerParams, DefaultParamsReadable, MLWrit
         return DefaultParamsWriter(self)
 
 
-class TableIndexerModel(Model, _TableIndexerParams, MLWritable):
+class TableIndexerModel(Model, _TableIndexerParams, MLWritable, MLReadable):
     """Looks values up in the index table; null and unseen values get the next free index."""
 
     def __init__(self, path: str):

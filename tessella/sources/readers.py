@@ -64,7 +64,10 @@ def flatten(df: DataFrame) -> DataFrame:
 
 def json_rows(df: DataFrame, name: str, json_type: str | None = None) -> DataFrame:
     """Replace a text column of JSON documents by their fields; a document that is an array gives a row per element."""
-    json_type = json_type or infer_json_type(df, name)
+    if json_type is None:
+        json_type = infer_json_type(df, name)
+        if not json_type.startswith(("STRUCT<", "ARRAY<")):
+            raise TessellaError(f"{name} holds {json_type}, not objects or arrays of objects")
     parsed = df.withColumn(name, F.from_json(column(name), json_type))
     if isinstance(parsed.schema[name].dataType, T.ArrayType):
         parsed = parsed.withColumn(name, F.explode_outer(column(name)))
