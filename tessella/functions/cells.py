@@ -78,11 +78,11 @@ def zero_if_missing(value: Column) -> Column:
     return F.coalesce(F.nanvl(number, F.lit(0.0)), F.lit(0.0))
 
 
-def reading(name: str, data_type: T.DataType) -> Column:
+def reading_sql(name: str, data_type: T.DataType) -> str:
     """Number a cell of a number or text column stands for; null where text does not read as one."""
     if kind(data_type) == TEXT:
-        return F.when(column(name).rlike(NUMBER_TEXT), to_double(name))
-    return column(name).cast("double")
+        return f"CASE WHEN {quoted(name)} RLIKE r'{NUMBER_TEXT}' THEN try_cast({quoted(name)} AS double) END"
+    return f"cast({quoted(name)} AS double)"
 
 
 def can_be_nan(data_type: T.DataType) -> bool:

@@ -8,57 +8,65 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.cells import can_be_nan, column, reading
+from ..functions.cells import can_be_nan, quoted, reading_sql
 from ..functions.kinds import NUMERIC, TEXT, is_floating, kind, require_flat
 
 # Columns per aggregate: wider frames take several passes, each reading only its own columns,
 # so that the generated code stays small enough to be compiled.
-COLUMNS_PER_PASS = 100
+COLUMNS_PER_PASS = 50
 
-# A column's figures: aggregates by name, and the struct that is made of them.
-Figures = tuple[dict[str, Column], Callable[[dict[str, Column]], list[Column]]]
+# What is asked of a column, as SQL text: aggregates by name, and the result columns made of them.
+# Text keeps the number of calls to the session small, which counts for frames with many columns.
+Figures = tuple[dict[str, str], dict[str, str]]
 
 
-def _null(data_type: str) -> Column:
-    return F.lit(None).cast(data_type)
+def _one_row_per_column(df: DataFrame, figures: Callable[[int, T.StructField, str, str], Figures]) -> DataFrame:
+    """``figures`` gets position, field, the cell and the number it reads as.
 
-
-def _one_row_per_column(df: DataFrame, figures: Callable[[int, T.StructField, Column, Column], Figures]) -> DataFrame:
-    """``figures`` gets position, field, the cell and the number it reads as."""
+    In the result columns ``{name}`` stands for the column's aggregate of that name.
+    """
     parts = []
     fields = list(enumerate(df.schema))
     for start in range(0, len(fields), COLUMNS_PER_PASS):
-        chosen = fields[start : start + COLUMNS_PER_PASS]
         # Numbers are read once per cell, in the projection below the aggregate.
-        cells = [column(f.name).alias(f"c{i}") for i, f in chosen]
-        readings = [reading(f.name, f.dataType).alias(f"n{i}") for i, f in chosen if kind(f.dataType) == TEXT]
-        aggregates, shapes = [F.count(F.lit(1)).alias("rows")], []
-        for i, f in chosen:
-            number = F.col(f"n{i}") if kind(f.dataType) == TEXT else F.col(f"c{i}").cast("double")
-            wanted, shape = figures(i, f, F.col(f"c{i}"), number)
-            aggregates += [a.alias(f"{name}{i}") for name, a in wanted.items()]
-            found = {"rows": F.col("rows"), **{name: F.col(f"{name}{i}") for name in wanted}}
-            shapes.append(F.struct(*shape(found)))
-        parts.append(df.select(*cells, *readings).agg(*aggregates).select(F.inline(F.array(*shapes))))
+        cells, aggregates, structs = [], ["count(1) AS rows"], []
+        for i, f in fields[start : start + COLUMNS_PER_PASS]:
+            cell, number = f"c{i}", f"cast(c{i} AS double)"
+            cells.append(f"{quoted(f.name)} AS {cell}")
+            if kind(f.dataType) == TEXT:
+                number = f"n{i}"
+                cells.append(f"{reading_sql(f.name, f.dataType)} AS {number}")
+            wanted, shown = figures(i, f, cell, number)
+            aggregates += [f"{sql} AS {name}{i}" for name, sql in wanted.items()]
+            names = {"rows": "rows", **{name: f"{name}{i}" for name in wanted}}
+            structs.append(", ".join(f"'{label}', {sql.format(**names)}" for label, sql in shown.items()))
+        rows = ", ".join(f"named_struct({s})" for s in structs)
+        parts.append(df.selectExpr(*cells).selectExpr(*aggregates).selectExpr(f"inline(array({rows}))"))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionAll(part)
     return result
 
 
-def _missing(field: T.StructField, cell: Column, number: Column) -> dict[str, Column]:
-    nan = {"nan": F.count_if(F.isnan(number))} if can_be_nan(field.dataType) else {}
-    return {"count": F.count(cell), **nan}
+def _text(value: str) -> str:
+    """SQL literal that survives ``format``."""
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'".replace("{", "{{").replace("}", "}}")
 
 
-def _missing_columns(found: dict[str, Column]) -> list[Column]:
-    nan = found.get("nan", F.lit(0).cast("long"))
-    nulls = found["rows"] - found["count"]
-    return [nulls.alias("null_count"), nan.alias("nan_count"), (nulls + nan).alias("missing_count")]
+def _missing(field: T.StructField, cell: str, number: str) -> Figures:
+    nan = can_be_nan(field.dataType)
+    wanted = {"count": f"count({cell})", **({"nan": f"count_if(isnan({number}))"} if nan else {})}
+    nan_count = "{nan}" if nan else "0L"
+    return wanted, {
+        "null_count": "{rows} - {count}",
+        "nan_count": nan_count,
+        "missing_count": f"{{rows}} - {{count}} + {nan_count}",
+    }
 
 
 def profile(df: DataFrame) -> DataFrame:
@@ -70,31 +78,28 @@ def profile(df: DataFrame) -> DataFrame:
     read as numbers. Times and booleans show their extremes as text.
     """
     require_flat(df.schema)
+    no_number, no_text = "cast(null AS double)", "cast(null AS string)"
 
-    def figures(position: int, field: T.StructField, cell: Column, number: Column) -> Figures:
+    def figures(position: int, field: T.StructField, cell: str, number: str) -> Figures:
+        wanted, missing = _missing(field, cell, number)
+        wanted |= {"low": f"min({cell})", "high": f"max({cell})"}
         family = kind(field.dataType)
-        wanted = {**_missing(field, cell, number), "min": F.min(cell), "max": F.max(cell)}
-        if family in (NUMERIC, TEXT):
-            wanted |= {"mean": F.avg(number), "stddev": F.stddev_samp(number)}
-        exact = not is_floating(field.dataType)
-
-        def shape(found: dict[str, Column]) -> list[Column]:
-            low, high = found["min"], found["max"]
-            return [
-                F.lit(position).alias("position"),
-                F.lit(field.name).alias("column"),
-                F.lit(field.dataType.simpleString()).alias("type"),
-                found["count"].alias("count"),
-                *_missing_columns(found),
-                found.get("mean", _null("double")).alias("mean"),
-                found.get("stddev", _null("double")).alias("stddev"),
-                (low.cast("double") if family == NUMERIC else _null("double")).alias("min_num"),
-                (high.cast("double") if family == NUMERIC else _null("double")).alias("max_num"),
-                (low.cast("string") if exact else _null("string")).alias("min_str"),
-                (high.cast("string") if exact else _null("string")).alias("max_str"),
-            ]
-
-        return wanted, shape
+        moments, numeric, exact = family in (NUMERIC, TEXT), family == NUMERIC, not is_floating(field.dataType)
+        if moments:
+            wanted |= {"mean": f"avg({number})", "stddev": f"stddev_samp({number})"}
+        return wanted, {
+            "position": str(position),
+            "column": _text(field.name),
+            "type": _text(field.dataType.simpleString()),
+            "count": "{count}",
+            **missing,
+            "mean": "{mean}" if moments else no_number,
+            "stddev": "{stddev}" if moments else no_number,
+            "min_num": "cast({low} AS double)" if numeric else no_number,
+            "max_num": "cast({high} AS double)" if numeric else no_number,
+            "min_str": "cast({low} AS string)" if exact else no_text,
+            "max_str": "cast({high} AS string)" if exact else no_text,
+        }
 
     return _one_row_per_column(df, figures)
 
@@ -102,8 +107,9 @@ def profile(df: DataFrame) -> DataFrame:
 def missing_values(df: DataFrame) -> DataFrame:
     """column, null_count, nan_count, missing_count."""
 
-    def figures(position: int, field: T.StructField, cell: Column, number: Column) -> Figures:
-        return _missing(field, cell, number), lambda found: [F.lit(field.name).alias("column"), *_missing_columns(found)]
+    def figures(position: int, field: T.StructField, cell: str, number: str) -> Figures:
+        wanted, missing = _missing(field, cell, number)
+        return wanted, {"column": _text(field.name), **missing}
 
     return _one_row_per_column(df, figures)
 
@@ -111,13 +117,14 @@ def missing_values(df: DataFrame) -> DataFrame:
 def column_types(df: DataFrame) -> DataFrame:
     """position, column, type and the number of non-null cells."""
 
-    def figures(position: int, field: T.StructField, cell: Column, number: Column) -> Figures:
-        return {"count": F.count(cell)}, lambda found: [
-            F.lit(position).alias("position"),
-            F.lit(field.name).alias("column"),
-            F.lit(field.dataType.simpleString()).alias("type"),
-            found["count"].alias("count"),
-        ]
+    def figures(position: int, field: T.StructField, cell: str, number: str) -> Figures:
+        shown = {
+            "position": str(position),
+            "column": _text(field.name),
+            "type": _text(field.dataType.simpleString()),
+            "count": "{count}",
+        }
+        return {"count": f"count({cell})"}, shown
 
     return _one_row_per_column(df, figures)
 

@@ -64,12 +64,14 @@ def boundary_keys(schema: T.StructType, order_by: Sequence[str]) -> list[Column]
     return keys
 
 
-def sorted_table(df: DataFrame, order_by: Sequence[str], partitions: int | None = None) -> DataFrame:
+def sorted_table(
+    df: DataFrame, order_by: Sequence[str], partitions: int | None = None, path: str | None = None
+) -> DataFrame:
     """Written, globally sorted copy with the partition number and the position inside it (from 0)."""
     keys = boundary_keys(df.schema, order_by)
     marked = df.withColumn(ORIGIN, F.spark_partition_id())
     ranged = marked.repartitionByRange(partitions, *keys) if partitions else marked.repartitionByRange(*keys)
-    path = new_path(df.sparkSession, "sorted")
+    path = path or new_path(df.sparkSession, "sorted")
     (
         ranged.sortWithinPartitions(*[column(c) for c in order_by])
         .drop(ORIGIN)
@@ -93,10 +95,15 @@ def with_offsets(table: DataFrame, weight: Column, offset: str) -> DataFrame:
 
 
 def add_row_id(
-    df: DataFrame, order_by: Sequence[str] | None = None, name: str = "id", partitions: int | None = None
+    df: DataFrame,
+    order_by: Sequence[str] | None = None,
+    name: str = "id",
+    partitions: int | None = None,
+    path: str | None = None,
 ) -> DataFrame:
+    """The result reads the sorted copy at ``path`` (a new folder in the shared one if not given)."""
     order = list(order_by) if order_by else orderable(df.schema)
-    table = with_offsets(sorted_table(df, order, partitions), F.count(F.lit(1)), "__offset")
+    table = with_offsets(sorted_table(df, order, partitions, path), F.count(F.lit(1)), "__offset")
     row_id = (F.col("__offset") + F.col(POSITION) + 1).alias(name)
     return table.select(*[column(c) for c in df.columns], row_id)
 

@@ -32,6 +32,9 @@ from ..operators.evaluate import metrics_classification, metrics_multiclass, met
 from ..operators.features import CLASSIFICATION, REGRESSION
 from ..operators.split import with_folds
 
+# Most classes a target may have.
+MAX_CLASSES = 10_000
+
 FEATURES, LABEL, PREDICTION, PROBABILITY = "features", "label", "prediction", "probability"
 
 # Model families in slot order.
@@ -98,7 +101,13 @@ def assemble(names: Sequence[str]) -> list:
 
 
 def label_index(df: DataFrame, target: str) -> StringIndexerModel:
-    """Classes by descending frequency; a class unknown to the model is an error when training."""
+    """Classes by descending frequency; a class unknown to the model is an error when training.
+
+    The class names are held by the driver, so a target with too many of them is refused.
+    """
+    classes = df.agg(F.approx_count_distinct(column(target))).first()[0]
+    if classes > MAX_CLASSES:
+        raise TessellaError(f"{target} has about {classes} values, too many for classes")
     return StringIndexer(inputCol=target, outputCol=LABEL, stringOrderType="frequencyDesc", handleInvalid="error").fit(df)
 
 

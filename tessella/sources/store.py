@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.cells import column, timestamps_to_string
 from ..functions.names import rename_spaces
 from ..operators.row_id import add_fast_id, add_row_id
+from ..scratch import new_path, remove
 from .readers import read_csv
 
 ROW_ID = "id"
@@ -31,7 +32,12 @@ def store_dataset(df: DataFrame, path: str, order_by: Sequence[str] | None = Non
     One shuffle in all: the ids are read off the sorted files, and copying those files to their final
     place keeps rows with neighbouring ids together, so a page touches few row groups.
     """
-    return write_parquet(timestamps_to_string(add_row_id(rename_spaces(df), order_by, ROW_ID)), path, mode)
+    spark, sorted_copy = df.sparkSession, new_path(df.sparkSession, "sorted")
+    try:
+        numbered = add_row_id(rename_spaces(df), order_by, ROW_ID, path=sorted_copy)
+        return write_parquet(timestamps_to_string(numbered), path, mode)
+    finally:
+        remove(spark, sorted_copy)
 
 
 def store_dataset_fast_id(df: DataFrame, path: str, mode: str = "errorifexists") -> str:

@@ -244,3 +244,8 @@ def test_actual_vs_predicted(spark):
 def test_label_is_indexed_by_frequency(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",)], "c string")
     assert [r[LABEL] for r in labelled(df, "c", CLASSIFICATION, label_index(df, "c")).collect()] == [0.0, 1.0, 0.0]
+
+
+def test_too_many_classes_are_refused(spark):
+    with pytest.raises(TessellaError):
+        label_index(spark.range(20000), "id")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.errors import NameCollision
-from tessella.functions.cells import date_parts, parse_timestamp, reading, timestamps_to_string, zero_if_missing
+from tessella.functions.cells import date_parts, parse_timestamp, reading_sql, timestamps_to_string, zero_if_missing
 from tessella.functions.names import dataset_names, key_name, rename_spaces
 from tessella.operators.projections import cast_to_double, drop_empty_columns, drop_missing_target
 
@@ -61,7 +61,7 @@ def test_cast_to_double_never_raises(spark):
 def test_reading_accepts_what_a_cast_accepts(spark):
     texts = ["1", " -2.5e3 ", "+.5", "5.", "NaN", "inf", "-Infinity", "1d", "0x1p3", "1997-10-31", "N", "", "1e", "--1", "1 2", "naN\n", "."]
     df = spark.createDataFrame([(t,) for t in texts], "v string")
-    rows = df.select("v", reading("v", df.schema["v"].dataType).alias("a"), F.col("v").try_cast("double").alias("b")).collect()
+    rows = df.select("v", F.expr(reading_sql("v", df.schema["v"].dataType)).alias("a"), F.col("v").try_cast("double").alias("b")).collect()
     for r in rows:
         same = (r.a is None and r.b is None) or r.a == r.b or (math.isnan(r.a) and math.isnan(r.b))
         assert same, r

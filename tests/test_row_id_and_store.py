@@ -123,3 +123,14 @@ def test_json_rows_keep_nulls(spark):
 def test_fast_ids_are_unique(spark, tmp_path):
     df = spark.read.parquet(store_dataset_fast_id(spark.range(1000).toDF("k").repartition(4), str(tmp_path / "fast")))
     assert df.select("id").distinct().count() == 1000
+
+
+def test_store_leaves_no_intermediate_copy(spark, tmp_path):
+    from pathlib import Path
+
+    from tessella.scratch import shared_folder
+
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.glob("sorted-*"))
+    stored(spark, tmp_path)
+    assert set(folder.glob("sorted-*")) == before
