@@ -36,6 +36,7 @@ from tessella.plans.train import (
     save_model,
     train,
     train_family,
+    train_stacked,
 )
 from tessella.scratch import new_path
 from tessella.sources.readers import read_csv
@@ -176,6 +177,14 @@ def family_metrics(setting, family):
     return query
 
 
+def stacked(setting):
+    def query(spark, folder):
+        s = setting(spark, folder)
+        return leaderboard([train_stacked(s.train, s.key, s.features, s.problem, classes=s.classes, settings=SETTINGS)], s.marked)
+
+    return query
+
+
 def board(setting, target):
     """The whole rotation on the training part."""
 
@@ -218,7 +227,7 @@ def full_report(setting, family):
 
 def stored_report(spark, folder):
     s = quality(spark, folder)
-    path = store_report(report(s.fit("GLM"), s.marked, s.key), new_path(spark, "report"))
+    path = store_report(report(s.fit("GLM"), s.marked, s.key, 3, SETTINGS), new_path(spark, "report"))
     return spark.read.parquet(f"{path}/metrics")
 
 
@@ -261,6 +270,8 @@ QUERIES = {
     "train_glm_classes": family_metrics(quality, "GLM"),
     "train_gbm_classes": family_metrics(flag, "GBM"),
     "train_deep_learning_classes": family_metrics(flag, "DeepLearning"),
+    "train_stacked": stacked(price),
+    "train_stacked_classes": stacked(quality),
     "leaderboard": board(price, PRICE),
     "leaderboard_classes": board(quality, "quality"),
     "cross_validation": folds,

@@ -24,7 +24,7 @@ from ..operators.evaluate import (
 )
 from ..operators.features import REGRESSION
 from ..operators.split import HOLDOUT, SPLIT, TRAIN, part
-from .train import LABEL, PREDICTION, Trained, positive_probability
+from .train import LABEL, PREDICTION, STACKED, Settings, Trained, cross_validation_metrics, positive_probability
 
 CURVE_COLUMNS = ("curve", "series", "position", "label", "x", "y")
 TREE_FAMILIES = ("DRF", "XGBoost", "GBM")
@@ -74,8 +74,11 @@ def metrics_of(trained: Trained, frame: DataFrame) -> DataFrame:
     return found.select(F.lit(trained.name).alias("model"), SPLIT, "metric", "value")
 
 
-def report(trained: Trained, frame: DataFrame, key: str) -> Report:
-    """``frame`` carries features, ``label``, ``split`` and the key that orders rows."""
+def report(trained: Trained, frame: DataFrame, key: str, folds: int = 0, settings: Settings = Settings()) -> Report:
+    """``frame`` carries features, ``label``, ``split`` and the key that orders rows.
+
+    With ``folds``, the means of the cross-validated metrics are added as a split of their own.
+    """
     spark = frame.sparkSession
     scored_train, scored = trained.score(part(frame, TRAIN)), trained.score(part(frame, HOLDOUT))
     trees = trained.family in TREE_FAMILIES
@@ -87,7 +90,7 @@ def report(trained: Trained, frame: DataFrame, key: str) -> Report:
         if trees:
             curves.append(_loss(loss_curve_trees(trained.model, scored_train, scored, LABEL), "Loss vs Iterations"))
             curves.append(_importance(trained, frame))
-        else:
+        elif trained.family != STACKED:
             curves.append(_loss(objective_curve(spark, trained.model, drop_first=True), "Loss vs Iterations"))
     else:
         matrix = confusion_matrix(scored, LABEL, PREDICTION)
@@ -107,12 +110,20 @@ def report(trained: Trained, frame: DataFrame, key: str) -> Report:
             curves.append(_curve(roc, "roc", F.lit("tpr"), F.lit(None), _no_text(), F.col("fpr"), F.col("tpr")))
         if trees and binary:
             curves.append(_loss(loss_curve_trees(trained.model, scored_train, scored, LABEL), "Loss vs trees"))
-        if not trees:
+        if not trees and trained.family != STACKED:
             curves.append(_loss(objective_curve(spark, trained.model), "Deviance vs Iter"))
         if trees and hasattr(last_stage(trained.model), "featureImportances"):
             curves.append(_importance(trained, frame))
     lines = reduce(DataFrame.unionByName, curves).select(F.lit(trained.name).alias("model"), "*")
-    return Report(metrics_of(trained, frame), lines)
+    metrics = metrics_of(trained, frame)
+    if folds:
+        training = part(frame, TRAIN)
+        found = cross_validation_metrics(
+            training, key, trained.features, trained.family, trained.problem, folds, trained.classes, settings
+        )
+        means = found.select(F.lit(trained.name).alias("model"), F.lit("cross_validation").alias(SPLIT), "metric", F.col("mean").alias("value"))
+        metrics = metrics.unionByName(means)
+    return Report(metrics, lines)
 
 
 def leaderboard(models: list[Trained], frame: DataFrame) -> DataFrame:

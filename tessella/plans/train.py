@@ -39,6 +39,7 @@ FEATURES, LABEL, PREDICTION, PROBABILITY = "features", "label", "prediction", "p
 
 # Model families in slot order.
 FAMILIES = ("DRF", "GLM", "XGBoost", "GBM", "DeepLearning")
+STACKED = "StackedEnsemble"
 
 
 @dataclass(frozen=True)
@@ -178,6 +179,52 @@ def fit_ols(df: DataFrame, target: str, names: Sequence[str]) -> Trained:
     return Trained("OLS", "GLM", REGRESSION, model, list(names), [])
 
 
+def _base(family: str, problem: str, features: int, classes: int, settings: Settings, position: int):
+    """Estimator with output columns of its own, and the one the second level reads."""
+    fit = estimator(family, problem, features, classes, settings)
+    fit.setPredictionCol(f"base{position}")
+    if problem == REGRESSION:
+        return fit, f"base{position}"
+    fit.setProbabilityCol(f"base{position}_p").setRawPredictionCol(f"base{position}_raw")
+    return fit, f"base{position}_p"
+
+
+def train_stacked(
+    df: DataFrame,
+    key: str,
+    names: Sequence[str],
+    problem: str,
+    families: Sequence[str] = ("DRF", "GLM"),
+    folds: int = 3,
+    classes: Sequence[str] = (),
+    settings: Settings = Settings(),
+) -> Trained:
+    """Linear model over the predictions of other families.
+
+    The second level learns from rows scored by models that have not seen them. All families of a fold
+    are applied one after the other, so a row carries its predictions along and nothing is joined.
+    Families without probabilities (boosting of more than two classes) cannot be stacked.
+    """
+    count = max(len(classes), 2)
+    marked = with_folds(df, key, folds, settings.seed).select(LABEL, "fold", *[column(c) for c in names])
+    prepare = Pipeline(stages=assemble(names)).fit(marked)
+    bases = [_base(f, problem, len(names), count, settings, i) for i, f in enumerate(families)]
+    outputs = [output for _, output in bases]
+    unseen = []
+    with held(prepare.transform(marked).select(LABEL, "fold", FEATURES)) as frame:
+        first = [fit.fit(frame) for fit, _ in bases]
+        for i in range(folds):
+            scored = frame.where(F.col("fold") == i)
+            for fit, _ in bases:
+                scored = fit.fit(frame.where(F.col("fold") != i)).transform(scored)
+            unseen.append(scored.select(LABEL, *outputs))
+        gather = VectorAssembler(inputCols=outputs, outputCol="base_features")
+        second = estimator("GLM", problem, len(outputs), count, settings).setFeaturesCol("base_features")
+        level = Pipeline(stages=[gather, second]).fit(reduce(DataFrame.unionByName, unseen))
+    model = PipelineModel([*prepare.stages, *first, *level.stages])
+    return Trained(STACKED, STACKED, problem, model, list(names), list(classes))
+
+
 def positive_probability(df: DataFrame, name: str = "p1") -> DataFrame:
     return df.withColumn(name, vector_to_array(PROBABILITY)[1])
 
@@ -187,10 +234,14 @@ def cross_validated(
 ) -> DataFrame:
     """Every row scored by a model that has not seen it, with its ``fold``. Folds hang on the key."""
     marked = with_folds(df, key, folds, settings.seed)
-    with held(marked.select(LABEL, "fold", *[column(c) for c in names])) as frame:
-        models = [
-            train_family(frame.where(F.col("fold") != i), names, family, problem, classes, settings) for i in range(folds)
-        ]
+
+    def fit(frame: DataFrame) -> Trained:
+        if family == STACKED:
+            return train_stacked(frame, key, names, problem, classes=classes, settings=settings)
+        return train_family(frame, names, family, problem, classes, settings)
+
+    with held(marked.select(LABEL, "fold", *[column(c) for c in dict.fromkeys([key, *names])])) as frame:
+        models = [fit(frame.where(F.col("fold") != i)) for i in range(folds)]
     return reduce(DataFrame.unionByName, [m.score(marked.where(F.col("fold") == i)) for i, m in enumerate(models)])
 
 

@@ -31,6 +31,7 @@ from tessella.plans.train import (
     rotation,
     save_model,
     train,
+    train_stacked,
 )
 
 SMALL = Settings(trees=4, depth=3, rounds=3, hidden=4, iterations=20)
@@ -249,3 +250,36 @@ def test_label_is_indexed_by_frequency(spark):
 def test_too_many_classes_are_refused(spark):
     with pytest.raises(TessellaError):
         label_index(spark.range(20000), "id")
+
+
+def test_stacked_models(data, tmp_path):
+    for target, problem, families in (("y", REGRESSION, ("DRF", "GLM", "GBM")), ("c", CLASSIFICATION, ("DRF", "GLM")), ("m", CLASSIFICATION, ("DRF", "GLM"))):
+        index = label_index(data, target) if problem == CLASSIFICATION else None
+        classes = list(index.labels) if index else []
+        frame = with_split(labelled(data, target, problem, index), "k", 1)
+        m = train_stacked(frame.where("split = 'train'"), "k", ["a", "b"], problem, families, 3, classes, SMALL)
+        found = report(m, frame, "k")
+        curves = {r.curve for r in found.curves.select("curve").distinct().collect()}
+        wanted = {"y": {"Actual vs Predictions"}, "c": {"confusion_matrix", "lift_gain", "roc"}, "m": {"confusion_matrix"}}
+        assert curves == wanted[target]
+        values = {(r.split, r.metric): r.value for r in found.metrics.collect()}
+        if target == "y":
+            assert values["holdout", "Root Mean Square Error"] < 0.2
+            loaded = load_model(save_model(m, str(tmp_path / "stacked")))
+            assert loaded.transform(data).select("k", "prediction").exceptAll(m.score(data).select("k", "prediction")).isEmpty()
+        else:
+            assert values["holdout", "accuracy"] > 0.7
+
+
+def test_report_with_cross_validation(data):
+    index = label_index(data, "c")
+    frame = with_split(labelled(data, "c", CLASSIFICATION, index), "k", 1)
+    m = train(data, "c", ["a", "b"], CLASSIFICATION, max_models=2, settings=SMALL)[1]
+    splits = {r.split for r in report(m, frame, "k", 2, Settings(iterations=20)).metrics.select("split").distinct().collect()}
+    assert splits == {"train", "holdout", "cross_validation"}
+
+
+def test_stacked_cross_validation(data):
+    frame = labelled(data, "y", REGRESSION)
+    got = cross_validation_metrics(frame, "k", ["a", "b"], "StackedEnsemble", REGRESSION, 2, settings=SMALL).collect()
+    assert {r.metric: r.mean for r in got}["Root Mean Square Error"] < 0.2
