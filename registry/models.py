@@ -109,14 +109,13 @@ def flag(spark, folder):
 def scored_documents(spark, folder):
     """Fixed scores, independent of any model."""
     documents = table(spark, folder, "documents").select("doc_id", "n_chars")
-    longest = documents.agg(F.max("n_chars").alias("longest"))
-    labels = table(spark, folder, "labels")
-    scored = merge_two(documents, labels, [("doc_id", "doc_id")]).join(F.broadcast(longest))
+    longest = documents.agg(F.max("n_chars")).first()[0]
+    scored = merge_two(documents, table(spark, folder, "labels"), [("doc_id", "doc_id")])
     return scored.select(
         "doc_id",
         "quality",
         (F.col("n_chars") > 1500).cast("int").alias("called"),
-        F.round(F.col("n_chars") / F.col("longest"), 3).alias("score"),
+        F.round(F.col("n_chars") / F.lit(longest), 3).alias("score"),
     )
 
 

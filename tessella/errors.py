@@ -23,3 +23,7 @@ class NoRows(TessellaError):
 
 class UnsupportedColumn(TessellaError):
     """A column has a type the operator does not handle."""
+
+
+class AlreadyStored(TessellaError):
+    """The target of a store exists."""

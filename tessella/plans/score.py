@@ -15,7 +15,7 @@ from ..sources.store import ROW_ID, write_csv
 from .train import PREDICTION, PROBABILITY
 
 
-def score(model: Model, df: DataFrame, classes: Sequence[str] = (), extra: Sequence[str] = ("features", "rawPrediction")) -> DataFrame:
+def score(model: Model, df: DataFrame, classes: Sequence[str] = (), extra: Sequence[str] = ("features", "scaled", "rawPrediction")) -> DataFrame:
     """Input columns plus ``prediction``; with classes, also ``predicted_class`` and one probability each."""
     scored = model.transform(df)
     if classes:

@@ -20,7 +20,7 @@ from pyspark.ml.classification import (
     OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import Imputer, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -35,7 +35,7 @@ from ..operators.split import with_folds
 # Most classes a target may have.
 MAX_CLASSES = 10_000
 
-FEATURES, LABEL, PREDICTION, PROBABILITY = "features", "label", "prediction", "probability"
+FEATURES, SCALED, LABEL, PREDICTION, PROBABILITY = "features", "scaled", "label", "prediction", "probability"
 
 # Model families in slot order.
 FAMILIES = ("DRF", "GLM", "XGBoost", "GBM", "DeepLearning")
@@ -69,7 +69,7 @@ def estimator(family: str, problem: str, features: int, classes: int = 2, settin
         if family == "DRF":
             return RandomForestRegressor(numTrees=settings.trees, maxDepth=settings.depth, seed=settings.seed, **common)
         if family == "GLM":
-            return LinearRegression(solver="l-bfgs", maxIter=settings.iterations, tol=1e-9, **common)
+            return LinearRegression(solver="l-bfgs", maxIter=settings.iterations, tol=1e-6, **common)
         if family == "XGBoost":
             return GBTRegressor(
                 maxIter=settings.rounds, maxDepth=settings.depth, stepSize=0.3, subsamplingRate=0.8, seed=settings.seed, **common
@@ -83,7 +83,11 @@ def estimator(family: str, problem: str, features: int, classes: int = 2, settin
             return LogisticRegression(maxIter=settings.iterations, **common)
         if family == "DeepLearning":
             return MultilayerPerceptronClassifier(
-                layers=[features, settings.hidden, classes], maxIter=settings.iterations, seed=settings.seed, **common
+                layers=[features, settings.hidden, classes],
+                maxIter=settings.iterations,
+                seed=settings.seed,
+                featuresCol=SCALED,
+                labelCol=LABEL,
             )
         if family in ("XGBoost", "GBM"):
             gentle = {"stepSize": 0.3, "subsamplingRate": 0.8} if family == "XGBoost" else {}
@@ -149,7 +153,9 @@ def train_family(
 ) -> Trained:
     """``df`` carries the feature columns and ``label``."""
     fit = estimator(family, problem, len(names), max(len(classes), 2), settings)
-    model = Pipeline(stages=[*assemble(names), fit]).fit(df)
+    # A network does not converge on features of very different size; the other families do not mind.
+    scale = [StandardScaler(inputCol=FEATURES, outputCol=SCALED, withMean=True)] if family == "DeepLearning" else []
+    model = Pipeline(stages=[*assemble(names), *scale, fit]).fit(df)
     return Trained(name or family, family, problem, model, list(names), list(classes))
 
 

@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import AlreadyStored
 from ..functions.cells import column, timestamps_to_string
 from ..functions.names import rename_spaces
 from ..operators.row_id import add_fast_id, add_row_id
-from ..scratch import new_path, remove
+from ..scratch import exists, new_path, remove
 from .readers import read_csv
 
 ROW_ID = "id"
@@ -33,6 +34,8 @@ def store_dataset(df: DataFrame, path: str, order_by: Sequence[str] | None = Non
     place keeps rows with neighbouring ids together, so a page touches few row groups.
     """
     spark, sorted_copy = df.sparkSession, new_path(df.sparkSession, "sorted")
+    if mode == "errorifexists" and exists(spark, path):  # found out before the sort, not after it
+        raise AlreadyStored(path)
     try:
         numbered = add_row_id(rename_spaces(df), order_by, ROW_ID, path=sorted_copy)
         return write_parquet(timestamps_to_string(numbered), path, mode)

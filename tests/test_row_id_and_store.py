@@ -3,8 +3,8 @@ import random
 import pytest
 from conftest import plan_text
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
+from tessella.errors import AlreadyStored
 from tessella.operators.row_id import BOUNDARY_CHARS, add_row_id
 from tessella.sources.store import page_rows, read_page, rows_as_json, store_dataset, store_dataset_fast_id
 
@@ -94,7 +94,7 @@ def test_store_renames_casts_and_numbers(spark, tmp_path):
 
 def test_store_refuses_to_overwrite(spark, tmp_path):
     path = stored(spark, tmp_path)
-    with pytest.raises(AnalysisException):
+    with pytest.raises(AlreadyStored):
         store_dataset(spark.range(3), path)
 
 
