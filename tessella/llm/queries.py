@@ -5,8 +5,13 @@ from __future__ import annotations
 from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .decontaminate import contamination
+from .language import identify_languages
 from .mixing import mix_sources
+from .quality import COUNTS, host_quality
+from .shipping import ship_package
 from .url_rules import judge_urls, rule_table
 
 #: Host, path and verdict of the URL rules.
@@ -20,9 +25,24 @@ URL_RULES = [
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return identify_languages(table(spark, folder, "documents"))
+
+
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256)).drop("items")
+
+
+def op9_host_quality(spark: SparkSession, folder: str) -> DataFrame:
+    own = [c for c in COUNTS if c != "n_lines"]
+    return host_quality(table(spark, folder, "documents")).select("doc_id", *own, "base_failed", "kept")
+
+
 def op7_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(table(spark, folder, "documents")).drop("source")
 
@@ -32,6 +52,9 @@ def op10_url_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_decontamination": op2_decontamination,
+    "op9_host_quality": op9_host_quality,
     "op7_source_mix": op7_source_mix,
     "op10_url_rules": op10_url_rules,
 }
