@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import contamination
 from .language import identify_languages
+from .lattice import score_texts
 from .mixing import mix_sources
 from .quality import COUNTS, host_quality
 from .shipping import ship_package
@@ -38,6 +39,10 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256)).drop("items")
 
 
+def op3_lattice_score(spark: SparkSession, folder: str) -> DataFrame:
+    return score_texts(table(spark, folder, "documents"))
+
+
 def op9_host_quality(spark: SparkSession, folder: str) -> DataFrame:
     own = [c for c in COUNTS if c != "n_lines"]
     return host_quality(table(spark, folder, "documents")).select("doc_id", *own, "base_failed", "kept")
@@ -54,6 +59,7 @@ def op10_url_rules(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
+    "op3_lattice_score": op3_lattice_score,
     "op9_host_quality": op9_host_quality,
     "op7_source_mix": op7_source_mix,
     "op10_url_rules": op10_url_rules,

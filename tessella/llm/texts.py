@@ -126,6 +126,15 @@ class Slab:
     def sums(self) -> np.ndarray:
         return running(_BYTE[self.data])
 
+    def parts(self, limit: int = SLAB) -> Iterator[tuple[int, Slab]]:
+        """Slabs of a few documents each, and the place of each one's first byte in this one."""
+        first = 0
+        while first < self.n:
+            last = max(first + 1, int(np.searchsorted(self.bounds, self.bounds[first] + limit, "right")) - 1)
+            a, b = self.bounds[first], self.bounds[last]
+            yield int(a), Slab(first, last, self.data[a:b], self.bounds[first : last + 1] - a)
+            first = last
+
     def totals(self, marks: np.ndarray) -> np.ndarray:
         """Number of marked bytes of each document."""
         upto = np.zeros(len(marks) + 1, np.int64)
