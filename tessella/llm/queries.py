@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contamination
+from .html_text import extract_text
 from .language import identify_languages
 from .lattice import score_texts
 from .mixing import mix_sources
@@ -43,6 +44,10 @@ def op3_lattice_score(spark: SparkSession, folder: str) -> DataFrame:
     return score_texts(table(spark, folder, "documents"))
 
 
+def op8_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_text(table(spark, folder, "pages"))
+
+
 def op9_host_quality(spark: SparkSession, folder: str) -> DataFrame:
     own = [c for c in COUNTS if c != "n_lines"]
     return host_quality(table(spark, folder, "documents")).select("doc_id", *own, "base_failed", "kept")
@@ -60,6 +65,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
     "op3_lattice_score": op3_lattice_score,
+    "op8_html_text": op8_html_text,
     "op9_host_quality": op9_host_quality,
     "op7_source_mix": op7_source_mix,
     "op10_url_rules": op10_url_rules,
