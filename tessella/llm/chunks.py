@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ def unpack(blob: bytes, kind) -> np.ndarray:
     return np.frombuffer(pa.decompress(blob[8:], decompressed_size=size, codec="zstd"), kind)
 
 
-def _packer(limit: int):
+def _packer(limit: int, sort_by: tuple[str, ...]):
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
         waiting: list[pa.RecordBatch] = []
@@ -46,6 +47,9 @@ def _packer(limit: int):
 
         def chunk() -> pa.RecordBatch:
             table = pa.Table.from_batches(waiting).combine_chunks()
+            if sort_by:
+                table = table.take(pc.sort_indices(table, sort_keys=[(c, "ascending") for c in sort_by]))
+                table = table.combine_chunks()
             whole = table.column("text").chunk(0)
             slab = next(slabs(whole, limit=1 << 62))
             columns = [pa.array([number], pa.int64())]
@@ -75,12 +79,15 @@ def _packer(limit: int):
 MOST = 1 << 15
 
 
-def chunk_table(docs: DataFrame, label: str, limit: int = CHUNK) -> DataFrame:
-    """chunk, arrays of the columns of ``docs`` but text, bounds and data of the texts (null: empty); written once."""
+def chunk_table(docs: DataFrame, label: str, limit: int = CHUNK, sort_by: tuple[str, ...] = ()) -> DataFrame:
+    """chunk, arrays of the columns of ``docs`` but text, bounds and data of the texts (null: empty); written once.
+
+    ``sort_by``: columns by which the documents of a chunk are put in order.
+    """
     keep = [c for c in docs.columns if c != "text"]
     rows = docs.select(*keep, F.col("text").cast("string").alias("text"))
     arrays = [f"`{f.name}` array<{f.dataType.simpleString()}>" for f in rows.select(*keep).schema]
-    return materialise(rows.mapInArrow(_packer(limit), ", ".join(["chunk long", *arrays, "bounds binary", "data binary"])), label)
+    return materialise(rows.mapInArrow(_packer(limit, sort_by), ", ".join(["chunk long", *arrays, "bounds binary", "data binary"])), label)
 
 
 def opened(batch: pa.RecordBatch | pa.Table, row: int, lower_case: bool = False) -> Slab:

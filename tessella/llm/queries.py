@@ -13,6 +13,7 @@ from .language import identify_languages
 from .lattice import score_texts
 from .mixing import mix_sources
 from .quality import COUNTS, host_quality
+from .repeats import repeated_strings
 from .shipping import ship_package
 from .url_rules import judge_urls, rule_table
 
@@ -53,6 +54,10 @@ def op9_host_quality(spark: SparkSession, folder: str) -> DataFrame:
     return host_quality(table(spark, folder, "documents")).select("doc_id", *own, "base_failed", "kept")
 
 
+def op6_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_strings(table(spark, folder, "documents")).drop("spans")
+
+
 def op7_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(table(spark, folder, "documents")).drop("source")
 
@@ -65,6 +70,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
     "op3_lattice_score": op3_lattice_score,
+    "op6_repeated_strings": op6_repeated_strings,
     "op8_html_text": op8_html_text,
     "op9_host_quality": op9_host_quality,
     "op7_source_mix": op7_source_mix,
