@@ -11,6 +11,7 @@ from .decontaminate import contamination
 from .html_text import extract_text
 from .language import identify_languages
 from .lattice import score_texts
+from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .quality import COUNTS, host_quality
 from .repeats import repeated_strings
@@ -54,6 +55,11 @@ def op9_host_quality(spark: SparkSession, folder: str) -> DataFrame:
     return host_quality(table(spark, folder, "documents")).select("doc_id", *own, "base_failed", "kept")
 
 
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = dedup_lines(table(spark, folder, "documents"))
+    return found.withColumn("kept_sha256", F.sha2("text", 256)).drop("text")
+
+
 def op6_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_strings(table(spark, folder, "documents")).drop("spans")
 
@@ -70,6 +76,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
     "op3_lattice_score": op3_lattice_score,
+    "op5_line_dedup": op5_line_dedup,
     "op6_repeated_strings": op6_repeated_strings,
     "op8_html_text": op8_html_text,
     "op9_host_quality": op9_host_quality,
