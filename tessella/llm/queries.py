@@ -13,6 +13,7 @@ from .language import identify_languages
 from .lattice import score_texts
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
+from .ngram_join import similar_documents
 from .quality import COUNTS, host_quality
 from .repeats import repeated_strings
 from .shipping import ship_package
@@ -55,6 +56,11 @@ def op9_host_quality(spark: SparkSession, folder: str) -> DataFrame:
     return host_quality(table(spark, folder, "documents")).select("doc_id", *own, "base_failed", "kept")
 
 
+def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    found = similar_documents(table(spark, folder, "documents"), size=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = dedup_lines(table(spark, folder, "documents"))
     return found.withColumn("kept_sha256", F.sha2("text", 256)).drop("text")
@@ -76,6 +82,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
     "op3_lattice_score": op3_lattice_score,
+    "op4_ngram_join": op4_ngram_join,
     "op5_line_dedup": op5_line_dedup,
     "op6_repeated_strings": op6_repeated_strings,
     "op8_html_text": op8_html_text,
