@@ -173,7 +173,7 @@ def find_windows(docs: DataFrame, items: list[tuple[str, str]], size: int = WIND
 def contamination(
     docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES, share: int = 20
 ) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items, contaminated for every row of ``docs``.
+    """doc_id, text_key (hash of the text), n_words, n_hit, n_items, items, contaminated for every row of ``docs``.
 
     A word of a document is hit if it lies in an occurrence of a window of ``size`` words of an item; an item of fewer
     words, but not none, is one window. items: ids, as text and sorted, of items with occurring windows; rows of one id
@@ -186,11 +186,12 @@ def contamination(
     total = items.agg(F.sum(F.octet_length("text") + 32)).first()[0] or 0
     blocks = max(1, -(-int(total) // block_bytes))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    own = docs.select("doc_id", "text")
+    own = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    own = own.withColumn("text_key", F.xxhash64("text"))
     parts = []
     for k in range(blocks):
         rows = items.where(block == k).collect()  # block_bytes on the average
-        parts.append(find_windows(own if blocks == 1 else own.withColumn("text_key", F.xxhash64("text")), [tuple(r) for r in rows], size))
+        parts.append(find_windows(own, [tuple(r) for r in rows], size))
     found = parts[0]
     if blocks > 1:
         for part in parts[1:]:
@@ -204,6 +205,15 @@ def contamination(
         found = found.withColumn("hits", F.array_distinct("hits"))
     n_hit = F.size("hits").cast("long")
     return found.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items",
+        "doc_id", "text_key", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items",
         ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated; all columns as they are."""
+    bad = contamination(docs, benchmark, **settings).where("contaminated")
+    bad = bad.select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_key")).distinct()
+    whole = docs.select(F.struct(*docs.columns).alias("row"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("bad_id")) & (F.xxhash64(F.col("row.text").cast("string")) == F.col("bad_key"))
+    return whole.join(bad, same, "left_anti").select("row.*")

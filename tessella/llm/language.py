@@ -177,10 +177,10 @@ def _has_letter(slab: Slab) -> np.ndarray:
     return found
 
 
-def _predictor(net: ByteNet | None):
+def _predictor(net: ByteNet | None, names: list[str]):
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rest = batch.drop_columns(["text"])
+            rest = batch.select(names)
             for slab in slabs(batch.column("text")):
                 best, score = np.zeros(slab.n, int), np.zeros(slab.n)
                 letters = _has_letter(slab) & (net is not None)
@@ -190,10 +190,10 @@ def _predictor(net: ByteNet | None):
                     means = np.add.reduceat(share, np.cumsum(n_windows) - n_windows) / np.maximum(np.diff(slab.bounds), 1)[:, None]
                     best = means.argmax(axis=1)
                     score = np.clip(means[np.arange(slab.n), best], 0, 1)
-                names = [net.labels[b] if ok else NONE for b, ok in zip(best, letters)]
+                found = [net.labels[b] if ok else NONE for b, ok in zip(best, letters)]
                 own = rest.slice(slab.first, slab.n)
                 yield pa.RecordBatch.from_arrays(
-                    [*own.columns, pa.array(names, pa.string()), pa.array(np.where(letters, score, 0.0))],
+                    [*own.columns, pa.array(found, pa.string()), pa.array(np.where(letters, score, 0.0))],
                     [*own.schema.names, "lang_pred", "score"],
                 )
 
@@ -205,7 +205,7 @@ def predict(docs: DataFrame, net: ByteNet | None) -> DataFrame:
     names = [c for c in docs.columns if c != "text"]
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema]
     return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(
-        _predictor(net), ", ".join([*fields, "lang_pred string", "score double"])
+        _predictor(net, names), ", ".join([*fields, "lang_pred string", "score double"])
     )
 
 
@@ -213,6 +213,11 @@ def remainder(doc_id: Column, by: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % by
 
 
+def learned_net(docs: DataFrame, per_label: int = 256) -> ByteNet | None:
+    """The net of the documents that are not held out."""
+    return fit(docs.where(remainder(F.col("doc_id"), 4) != 2).select("doc_id", "lang", "text"), per_label=per_label)
+
+
 def identify_languages(docs: DataFrame, per_label: int = 256) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of ``docs``.
 
@@ -221,7 +226,12 @@ def identify_languages(docs: DataFrame, per_label: int = 256) -> DataFrame:
     learned; score: the mean probability of that label, 0 for ``und``. Repeated rows get equal results; other columns
     are not looked at; an empty table gives no rows.
     """
-    rest = remainder(F.col("doc_id"), 4)
-    net = fit(docs.where(rest != 2).select("doc_id", "lang", "text"), per_label=per_label)
-    asked = docs.select("doc_id", F.coalesce(rest == 2, F.lit(False)).alias("held_out"), "text")
-    return predict(asked, net)
+    held_out = F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    return predict(docs.select("doc_id", held_out.alias("held_out"), "text"), learned_net(docs, per_label))
+
+
+def accepted(docs: DataFrame, min_score: float = 0.4, per_label: int = 256) -> DataFrame:
+    """The rows of ``docs`` whose language is named with a score of at least ``min_score``; all columns as they are."""
+    whole = F.struct(*docs.columns).alias("row")
+    judged = predict(docs.select(whole, F.col("text").alias("text")), learned_net(docs, per_label))
+    return judged.where((F.col("lang_pred") != NONE) & (F.col("score") >= min_score)).select("row.*")

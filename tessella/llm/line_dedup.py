@@ -20,6 +20,7 @@ from ..scratch import materialise
 from .texts import NOT_BLANK, Slab, covered, mix, running, slabs, span_hash
 
 RUN_WORDS = 25
+WORD = r"[^\\x20\\x09-\\x0D]"
 WINDOW = "doc_id {id}, text_key long, window long, fingerprint long, selected int, first int, last int, line_from int, line_to int"
 
 
@@ -102,23 +103,33 @@ def later_runs(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     )
 
 
-def _cleaned(names: list[str]):
-    def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, counts = [], []
-            for text, runs in zip(batch.column("text"), batch.column("runs").to_pylist()):
-                lines = (text.as_py() or "").split("\n")
-                gone = np.zeros(len(lines), bool)
-                if runs:
-                    gone = covered(np.array([r["line_from"] for r in runs]), np.array([r["line_to"] + 1 for r in runs]), len(lines))
-                counts.append((len(lines), int(gone.sum()), int((gone & ~np.append(False, gone[:-1])).sum())))
-                texts.append("\n".join(s for s, g in zip(lines, gone) if not g) if gone.any() else text.as_py())
-            found = [pa.array([c[k] for c in counts], pa.int64()) for k in range(3)]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in names), pa.array(texts, pa.string()), *found], [*names, "text", "n_lines", "n_removed", "n_runs"]
-            )
-
-    return cleaned
+def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts, counts = [], []
+        for text, runs in zip(batch.column("text"), batch.column("runs").to_pylist()):
+            lines = (text.as_py() or "").split("\n")
+            gone = np.zeros(len(lines), bool)
+            if runs:
+                gone = covered(np.array([r["line_from"] for r in runs]), np.array([r["line_to"] + 1 for r in runs]), len(lines))
+            counts.append((len(lines), int(gone.sum()), int((gone & ~np.append(False, gone[:-1])).sum())))
+            texts.append("\n".join(s for s, g in zip(lines, gone) if not g) if gone.any() else text.as_py())
+        found = [pa.array([c[k] for c in counts], pa.int64()) for k in range(3)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("rest"), pa.array(texts, pa.string()), *found], ["rest", "text", "n_lines", "n_removed", "n_runs"]
+        )
+
+
+def _deduped(docs: DataFrame, run_words: int) -> DataFrame:
+    """rest (a struct of the columns but text), text, n_lines, n_removed, n_runs."""
+    others = [c for c in docs.columns if c != "text"]
+    keyed = docs.select(F.struct(*others).alias("rest"), F.col("text").cast("string").alias("text"))
+    keyed = keyed.withColumn("text_key", F.xxhash64("text"))
+    runs = later_runs(keyed.select("rest.doc_id", "text_key", "text"), run_words)
+    runs = runs.select(F.col("doc_id").alias("run_id"), F.col("text_key").alias("run_key"), "runs")
+    same = F.col("rest.doc_id").eqNullSafe(F.col("run_id")) & (F.col("text_key") == F.col("run_key"))
+    joined = keyed.join(runs, same, "left").select("rest", "text", "runs")
+    kind = joined.schema["rest"].dataType.simpleString()
+    return joined.mapInArrow(_cleaned, f"rest {kind}, text string, n_lines long, n_removed long, n_runs long")
 
 
 def dedup_lines(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
@@ -130,10 +141,10 @@ def dedup_lines(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     texts of one id in the order of their hashes; repeated rows are one text and get the same result. Null texts stay
     null and have one empty line. Other columns are not looked at; an empty table gives no rows.
     """
-    keyed = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    keyed = keyed.withColumn("text_key", F.xxhash64("text"))
-    runs = later_runs(keyed, run_words)
-    same = [keyed["doc_id"].eqNullSafe(runs["doc_id"]), keyed["text_key"] == runs["text_key"]]
-    joined = keyed.join(runs, same, "left").select(keyed["doc_id"], keyed["text"], runs["runs"])
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(_cleaned(["doc_id"]), f"doc_id {kind}, text string, n_lines long, n_removed long, n_runs long")
+    return _deduped(docs.select("doc_id", "text"), run_words).select("rest.doc_id", "text", "n_lines", "n_removed", "n_runs")
+
+
+def without_repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
+    """``docs`` with the texts of ``dedup_lines``. Texts that lose their last word go; the other columns stay."""
+    found = _deduped(docs, run_words).where(f"n_removed = 0 or text rlike '{WORD}'")
+    return found.select(*(F.col("text") if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns))

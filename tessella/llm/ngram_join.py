@@ -276,3 +276,20 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> Data
         "doc_id", "text_key", "n_shingles", F.col("place.doc_id").alias("component_id"),
         (F.col("row") == F.col("place.row")).alias("is_first"),
     )
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The first row of each component of ``similar_documents``; all columns as they are."""
+    found = similar_documents(docs, size, percent).groupBy("doc_id", "text_key").agg(
+        F.sum(F.col("is_first").cast("long")).alias("kept"), F.count(F.lit(1)).alias("copies")
+    )
+    found = materialise(found.where("kept > 0").withColumnsRenamed({"doc_id": "kept_id", "text_key": "kept_key"}), "kept")
+    whole = docs.select(F.struct(*docs.columns).alias("row"))
+    whole = whole.withColumn("key", F.xxhash64(F.col("row.text").cast("string")))
+    same = F.col("row.doc_id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key"))
+    single = whole.join(found.where("kept = copies"), same, "left_semi")
+    repeated = found.where("kept < copies")
+    if not repeated.isEmpty():  # repeated rows: of equal ids and texts one row stays
+        again = whole.join(repeated, same, "left_semi").withColumn("doc_id", F.col("row.doc_id"))
+        single = single.unionAll(again.dropDuplicates(["doc_id", "key"]).select("row", "key"))
+    return single.select("row.*")

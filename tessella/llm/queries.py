@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from importlib import import_module
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from .decontaminate import contamination
 from .html_text import extract_text
 from .language import identify_languages
@@ -40,7 +40,7 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
-    return found.withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256)).drop("items")
+    return found.withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256)).drop("items", "text_key")
 
 
 def op3_lattice_score(spark: SparkSession, folder: str) -> DataFrame:
@@ -89,6 +89,7 @@ QUERIES = {
     "op9_host_quality": op9_host_quality,
     "op7_source_mix": op7_source_mix,
     "op10_url_rules": op10_url_rules,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
@@ -107,7 +108,3 @@ ORACLES = {
         from parts left join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p))
       select page_id, host, path, rule, coalesce(v, 'allow') as verdict from fits where n = 1""",
 }
-
-
-def pipeline(spark: SparkSession, folder: str) -> DataFrame:
-    return import_module("corpus_pipeline").run(spark, folder)
