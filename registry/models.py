@@ -119,6 +119,19 @@ def scored_documents(spark, folder):
     )
 
 
+def exact_scores(spark, folder, scale=1.0, shift=0.0):
+    """Scores as they come out of a division, scaled and shifted."""
+    documents = table(spark, folder, "documents").select("doc_id", "n_chars")
+    scored = merge_two(documents, table(spark, folder, "labels"), [("doc_id", "doc_id")])
+    score_cell = F.col("n_chars") / F.lit(200_000.0) * F.lit(scale) + F.lit(shift)
+    return scored.select("doc_id", "quality", (F.col("n_chars") > 1500).cast("int").alias("called"), score_cell.alias("score"))
+
+
+def rounded_gains(df):
+    names = ("cumulative_data_fraction", "cumulative_lift", "cumulative_capture_rate")
+    return df.select("group", *[F.round(c, 6).alias(c) for c in names])
+
+
 def guessed_prices(spark, folder):
     return table(spark, folder, "lineitem").select(LINE_KEY, PRICE, (F.col(QUANTITY) * 1500).alias("guess"))
 
@@ -292,14 +305,21 @@ QUERIES = {
     "actual_vs_predicted": compared,
     "missing_to_zero": filled_actuals,
     "confusion_matrix": lambda s, d: confusion_matrix(scored_documents(s, d), "quality", "called"),
-    "gains_lift": lambda s, d: gains_lift(scored_documents(s, d), "quality", "score").select(
-        "group",
-        *[F.round(c, 6).alias(c) for c in ("cumulative_data_fraction", "cumulative_lift", "cumulative_capture_rate")],
-    ),
+    "gains_lift": lambda s, d: rounded_gains(gains_lift(scored_documents(s, d), "quality", "score")),
     "roc_curve": lambda s, d: roc_curve(scored_documents(s, d), "quality", "score").select(
         "threshold", F.round("fpr", 6).alias("fpr"), F.round("tpr", 6).alias("tpr")
     ),
     "auc": lambda s, d: auc(scored_documents(s, d), "quality", "score").select(F.round("auc", 6).alias("auc")),
+    "auc_exact": lambda s, d: auc(exact_scores(s, d), "quality", "score").select(F.round("auc", 9).alias("auc")),
+    "auc_small_scores": lambda s, d: auc(exact_scores(s, d, 1e-4), "quality", "score").select(F.round("auc", 9).alias("auc")),
+    "auc_wide_scores": lambda s, d: auc(exact_scores(s, d, 100.0, -7.0), "quality", "score").select(F.round("auc", 9).alias("auc")),
+    "roc_curve_exact": lambda s, d: roc_curve(exact_scores(s, d, 1e-4), "quality", "score").select(
+        F.round(F.col("threshold") * 1e6, 6).alias("threshold"), F.round("fpr", 6).alias("fpr"), F.round("tpr", 6).alias("tpr")
+    ),
+    "gains_lift_exact": lambda s, d: rounded_gains(gains_lift(exact_scores(s, d, 1e-4), "quality", "score")),
+    "metrics_classification_exact": lambda s, d: rounded_value(
+        metrics_classification(exact_scores(s, d), "quality", "called", "score")
+    ),
     "variable_importance": importance,
     "loss_curve_gbt": tree_curve(price, "GBM"),
     "loss_curve_rf": tree_curve(price, "DRF"),
@@ -356,10 +376,36 @@ def classification_sql(source: str, keys: str = "") -> str:
                             for m in ('accuracy', 'precision', 'recall', 'f1', 'logloss', 'auc'))})"""
 
 
-CUMULATIVE = f"""
-  select score, n, p, sum(n) over (order by score desc) as cn, sum(p) over (order by score desc) as cp,
-         sum(n) over () as tn, sum(p) over () as tp
-  from (select score, count(*) as n, sum(quality) as p from ({SCORED}) group by score)"""
+
+
+def exact_sql(scale: str = "1.0::double", shift: str = "0.0::double") -> str:
+    return f"""
+      select doc_id, quality, (n_chars > 1500)::int as called, n_chars / 200000.0::double * {scale} + {shift} as score
+      from documents join labels using (doc_id)"""
+
+
+def cumulative_sql(source: str) -> str:
+    return f"""
+      select score, n, p, sum(n) over (order by score desc) as cn, sum(p) over (order by score desc) as cp,
+             sum(n) over () as tn, sum(p) over () as tp
+      from (select score, count(*) as n, sum(quality) as p from ({source}) group by score)"""
+
+
+def auc_sql(source: str, digits: int) -> str:
+    return f"""
+        select round(sum((cp - p / 2.0) * (n - p)) / (any_value(tp)::double * (any_value(tn) - any_value(tp))), {digits}) as auc
+        from ({cumulative_sql(source)})"""
+
+
+def gains_sql(source: str) -> str:
+    return f"""
+        select grp as "group", round(rows / tn, 6) as cumulative_data_fraction,
+               round(hits / tp / (rows / tn), 6) as cumulative_lift, round(hits / tp, 6) as cumulative_capture_rate
+        from (select (floor((cn - n) * 16 / tn::double) + 1)::int as grp, max(cn)::double as rows, max(cp)::double as hits,
+                     any_value(tn) as tn, any_value(tp) as tp from ({cumulative_sql(source)}) group by 1)"""
+
+
+SMALL, WIDE = "1e-4::double", "100.0::double"
 
 ORACLES = {
     "split_train": f"select * from orders where {slot_sql('o_orderkey', SEED, 100)} < 95",
@@ -408,15 +454,18 @@ ORACLES = {
     "missing_to_zero": """
         select event_id, case when event_id % 7 = 0 or event_id % 5 = 0 then 0.0::double else value end as value from events""",
     "confusion_matrix": f"select quality as label, called as prediction, count(*) as count from ({SCORED}) group by 1, 2",
-    "gains_lift": f"""
-        select grp as "group", round(rows / tn, 6) as cumulative_data_fraction,
-               round(hits / tp / (rows / tn), 6) as cumulative_lift, round(hits / tp, 6) as cumulative_capture_rate
-        from (select (floor((cn - n) * 16 / tn::double) + 1)::int as grp, max(cn)::double as rows, max(cp)::double as hits,
-                     any_value(tn) as tn, any_value(tp) as tp from ({CUMULATIVE}) group by 1)""",
+    "gains_lift": gains_sql(SCORED),
+    "gains_lift_exact": gains_sql(exact_sql(SMALL)),
     "roc_curve": f"""
         select score as threshold, round((cn - cp)::double / (tn - tp), 6) as fpr, round(cp::double / tp, 6) as tpr
-        from ({CUMULATIVE})""",
-    "auc": f"""
-        select round(sum((cp - p / 2.0) * (n - p)) / (any_value(tp)::double * (any_value(tn) - any_value(tp))), 6) as auc
-        from ({CUMULATIVE})""",
+        from ({cumulative_sql(SCORED)})""",
+    "roc_curve_exact": f"""
+        select round(score * 1e6::double, 6) as threshold, round((cn - cp)::double / (tn - tp), 6) as fpr,
+               round(cp::double / tp, 6) as tpr
+        from ({cumulative_sql(exact_sql(SMALL))})""",
+    "auc": auc_sql(SCORED, 6),
+    "auc_exact": auc_sql(exact_sql(), 9),
+    "auc_small_scores": auc_sql(exact_sql(SMALL), 9),
+    "auc_wide_scores": auc_sql(exact_sql(WIDE, "-7.0::double"), 9),
+    "metrics_classification_exact": f"select metric, round(value, 6) as value from ({classification_sql(exact_sql())})",
 }

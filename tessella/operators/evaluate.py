@@ -1,6 +1,8 @@
 """Evaluation of scored rows. Only label and score or prediction columns are needed.
 
-Everything is reduced before it is ordered: windows here run over at most 10^digits + 1 score bins.
+Rows are counted per exact score before anything is ordered. Running totals over the scores come from a table that is
+range partitioned and sorted by score: each partition adds up its own part, and only one number per partition is needed
+of the others. Null conditions stand behind the counting, so that a model below is applied once.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.cells import column, zero_if_missing
+from ..scratch import materialise
+from .row_id import PART, POSITION, sorted_table, with_offsets
 
 # Metric names as reported to users. The fourth is the root mean squared logarithmic error.
 MSE = "Mean Square Error"
@@ -22,7 +26,6 @@ RMSLE = "Root Mean Square Algorithm Error"
 DEVIANCE = "Mean Residual Deviance"
 
 ACTUAL_ROWS = 300
-SCORE_DIGITS = 3
 GROUPS = 16
 PROBABILITY_FLOOR = 1e-15
 
@@ -66,14 +69,14 @@ def metrics_classification(
 ) -> DataFrame:
     """metric, value for labels 0/1: accuracy, precision, recall, f1 and, with a probability, logloss and auc.
 
-    One pass: rows are counted per label, prediction and rounded score, all figures come from those
-    counts. Rows without one of the columns are left out.
+    One pass over the rows: they are counted per label, prediction and score, and all figures come from those
+    counts. Rows without one of the columns are left out; a score that is NaN counts as missing.
     """
     cells = [column(label).cast("int").alias("y"), column(prediction).cast("int").alias("p")]
     by = [*keys, "y", "p"]
     if probability is not None:
         q = column(probability)
-        cells += [F.round(q, SCORE_DIGITS).alias("score"), log_loss(column(label).cast("int"), q).alias("loss")]
+        cells += [_score(q).alias("score"), log_loss(column(label).cast("int"), q).alias("loss")]
         by.append("score")
     rows = df.select(*[column(k) for k in keys], *cells)
     totals = [F.count(F.lit(1)).alias("n")] + ([F.sum("loss").alias("loss")] if probability is not None else [])
@@ -93,16 +96,21 @@ def metrics_classification(
         "f1": F.try_divide(2 * hit, called + positive),
     }
     if probability is not None:
-        # Positives scored above each cell, those scored level count half.
-        upto = Window.partitionBy(*[column(k) for k in keys]).orderBy(F.desc("score"))
-        level = Window.partitionBy(*[column(k) for k in keys], F.col("score"))
-        positives = F.when(y == 1, n).otherwise(0)
-        counted = counted.withColumn("above", F.sum(positives).over(upto) - F.sum(positives).over(level) / 2.0)
+        counted = materialise(counted, "scores")
         figures["logloss"] = F.sum("loss") / everything
-        pairs = F.sum(F.when(y == 0, n * F.col("above")).otherwise(0.0))
-        figures["auc"] = F.try_divide(pairs, positive * (everything - positive))
     wide = counted.groupBy(*[column(k) for k in keys]).agg(*[v.alias(k) for k, v in figures.items()])
-    return _long(wide, keys)
+    found = _long(wide, keys)
+    if probability is not None:
+        bins = counted.groupBy(*[column(k) for k in keys], "score").agg(
+            F.sum("n").alias("n"), F.sum(F.when(y == 1, n).otherwise(0)).alias("p")
+        )
+        found = found.unionByName(_long(_area(_with_totals(bins, keys), keys), keys))
+    return found
+
+
+def _score(score: Column) -> Column:
+    value = score.cast("double")
+    return F.when(~F.isnan(value), value)
 
 
 def metrics_multiclass(df: DataFrame, label: str, prediction: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -129,50 +137,69 @@ def confusion_matrix(df: DataFrame, label: str, prediction: str, keys: Sequence[
     )
 
 
-def score_bins(df: DataFrame, label: str, score: str, keys: Sequence[str] = (), digits: int = SCORE_DIGITS) -> DataFrame:
-    """Rows and positives per rounded score, with running totals from the highest score down."""
-    bins = (
-        df.where(column(score).isNotNull() & column(label).isNotNull())
-        .groupBy(*[column(k) for k in keys], F.round(column(score), digits).alias("score"))
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(column(label).cast("long")).alias("p"))
-    )
-    by_key = Window.partitionBy(*[column(k) for k in keys])
-    down = by_key.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return bins.withColumns(
-        {
-            "cum_n": F.sum("n").over(down),
-            "cum_p": F.sum("p").over(down),
-            "total_n": F.sum("n").over(by_key),
-            "total_p": F.sum("p").over(by_key),
-        }
+def _with_totals(bins: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Adds running totals from the highest score down, and totals, to n and p per key and score; stored by score."""
+    ordered = bins.where("n > 0").withColumn("__down", -F.col("score"))
+    table = with_offsets(sorted_table(ordered, [*keys, "__down"]), __n=F.sum("n"), __p=F.sum("p"))
+    upto = Window.partitionBy(PART).orderBy(POSITION).rowsBetween(Window.unboundedPreceding, 0)
+    running = table.withColumns({"__n": F.col("__n") + F.sum("n").over(upto), "__p": F.col("__p") + F.sum("p").over(upto)})
+    names = [column(k) for k in keys]
+    totals = table.groupBy(*names).agg(F.sum("n").alias("total_n"), F.sum("p").alias("total_p"))
+    if keys:  # a key's totals begin where those of the keys before it end
+        earlier = Window.orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)  # over one row per key
+        totals = totals.withColumns({f"__before_{c}": F.coalesce(F.sum(f"total_{c}").over(earlier), F.lit(0)) for c in ("n", "p")})
+    else:
+        totals = totals.withColumns({"__before_n": F.lit(0), "__before_p": F.lit(0)})
+    same = [F.col(f"r.`{k}`").eqNullSafe(F.col(f"t.`{k}`")) for k in keys] or [F.lit(True)]
+    joined = running.alias("r").join(F.broadcast(totals).alias("t"), reduce(Column.__and__, same))
+    return joined.select(
+        *[F.col(f"r.`{k}`").alias(k) for k in keys], "score", "n", "p", (F.col("__n") - F.col("__before_n")).alias("cum_n"),
+        (F.col("__p") - F.col("__before_p")).alias("cum_p"), "total_n", "total_p",
+    )
+
+
+def score_bins(df: DataFrame, label: str, score: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Rows and positives per score, with running totals from the highest score down.
+
+    Scores are taken as they are; rows without label or score are left out, and NaN is no score. Ties count together.
+    ``keys`` name few groups, such as folds. The counts are stored, so calling this reads ``df`` once.
+    """
+    value = _score(column(score))
+    known = F.when(value.isNotNull(), column(label))
+    bins = df.groupBy(*[column(k) for k in keys], value.alias("score")).agg(
+        F.count(known).alias("n"), F.sum(known.cast("long")).alias("p")
     )
+    return _with_totals(materialise(bins, "scores"), keys)
 
 
-def auc(df: DataFrame, label: str, score: str, keys: Sequence[str] = (), digits: int = SCORE_DIGITS) -> DataFrame:
-    """Area under the ROC curve; equal scores count half."""
-    bins = score_bins(df, label, score, keys, digits)
+def _area(bins: DataFrame, keys: Sequence[str]) -> DataFrame:
     # Positives above or level (level ones half) with each negative of the bin.
     pairs = F.sum((F.col("cum_p") - F.col("p") / 2.0) * (F.col("n") - F.col("p")))
     total_p, total_n = F.first("total_p").cast("double"), F.first("total_n").cast("double")
-    return bins.groupBy(*keys).agg(F.try_divide(pairs, total_p * (total_n - total_p)).alias("auc"))
+    return bins.groupBy(*[column(k) for k in keys]).agg(F.try_divide(pairs, total_p * (total_n - total_p)).alias("auc"))
+
+
+def auc(df: DataFrame, label: str, score: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Area under the ROC curve; equal scores count half."""
+    return _area(score_bins(df, label, score, keys), keys)
 
 
-def roc_curve(df: DataFrame, label: str, score: str, digits: int = SCORE_DIGITS) -> DataFrame:
+def roc_curve(df: DataFrame, label: str, score: str) -> DataFrame:
     """threshold, fpr, tpr: rates when everything scored at least ``threshold`` is called positive."""
-    return score_bins(df, label, score, (), digits).select(
+    return score_bins(df, label, score).select(
         F.col("score").alias("threshold"),
         F.try_divide((F.col("cum_n") - F.col("cum_p")).cast("double"), F.col("total_n") - F.col("total_p")).alias("fpr"),
         F.try_divide(F.col("cum_p").cast("double"), F.col("total_p")).alias("tpr"),
     )
 
 
-def gains_lift(df: DataFrame, label: str, score: str, groups: int = GROUPS, digits: int = SCORE_DIGITS) -> DataFrame:
+def gains_lift(df: DataFrame, label: str, score: str, groups: int = GROUPS) -> DataFrame:
     """group, cumulative_data_fraction, cumulative_lift, cumulative_capture_rate.
 
     A score bin belongs to the group its first row falls into, so equal scores are never parted and a
     group may be missing when a bin covers it.
     """
-    bins = score_bins(df, label, score, (), digits)
+    bins = score_bins(df, label, score)
     group = F.floor((F.col("cum_n") - F.col("n")) * groups / F.col("total_n")).cast("int") + 1
     ends = bins.groupBy(group.alias("group")).agg(
         F.max("cum_n").cast("double").alias("rows"),

@@ -83,15 +83,16 @@ def sorted_table(
     return df.sparkSession.read.schema(schema).parquet(path).select("*", F.col("_metadata.row_index").alias(POSITION))
 
 
-def with_offsets(table: DataFrame, weight: Column, offset: str) -> DataFrame:
-    """Add the weight of all earlier partitions. The driver sees one number per partition."""
+def with_offsets(table: DataFrame, **weights: Column) -> DataFrame:
+    """Add the weights of all earlier partitions, by name. The driver sees one number per partition and weight."""
     spark = table.sparkSession
-    sums = sorted((r[0], r[1]) for r in table.groupBy(PART).agg(weight.cast("long")).collect())
-    before = accumulate((total for _, total in sums), initial=0)
+    sums = [w.cast("long").alias(name) for name, w in weights.items()]
+    rows = sorted(tuple(r) for r in table.groupBy(PART).agg(*sums).collect())
+    before = [list(accumulate((r[k] for r in rows), initial=0)) for k in range(1, len(weights) + 1)]
     offsets = spark.createDataFrame(
-        [(part, total) for (part, _), total in zip(sums, before)], f"{PART} int, {offset} long"
+        [(r[0], *(b[i] for b in before)) for i, r in enumerate(rows)], ", ".join([f"{PART} int", *(f"{n} long" for n in weights)])
     )
-    return table.join(F.broadcast(offsets) if len(sums) <= BROADCAST_PARTS else offsets, PART)
+    return table.join(F.broadcast(offsets) if len(rows) <= BROADCAST_PARTS else offsets, PART)
 
 
 def add_row_id(
@@ -103,7 +104,7 @@ def add_row_id(
 ) -> DataFrame:
     """The result reads the sorted copy at ``path`` (a new folder in the shared one if not given)."""
     order = list(order_by) if order_by else orderable(df.schema)
-    table = with_offsets(sorted_table(df, order, partitions, path), F.count(F.lit(1)), "__offset")
+    table = with_offsets(sorted_table(df, order, partitions, path), __offset=F.count(F.lit(1)))
     row_id = (F.col("__offset") + F.col(POSITION) + 1).alias(name)
     return table.select(*[column(c) for c in df.columns], row_id)
 

@@ -37,7 +37,7 @@ def category_table(df: DataFrame, name: str) -> DataFrame:
 
 def rank_table(df: DataFrame, value: Column) -> DataFrame:
     """value, n, number: the mean rank (from 1) of all rows holding the value."""
-    table = with_offsets(sorted_table(value_counts(df, value), ["value"]), F.sum("n"), "__offset")
+    table = with_offsets(sorted_table(value_counts(df, value), ["value"]), __offset=F.sum("n"))
     in_part = Window.partitionBy(PART).orderBy(POSITION).rowsBetween(Window.unboundedPreceding, 0)
     upto = F.col("__offset") + F.sum("n").over(in_part)
     return table.select("value", "n", (upto - (F.col("n") - 1) / F.lit(2.0)).alias("number"))

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import run_plan_text
 from tessella.errors import TessellaError
 from tessella.operators.evaluate import (
     actual_vs_predicted,
@@ -283,3 +284,43 @@ def test_stacked_cross_validation(data):
     frame = labelled(data, "y", REGRESSION)
     got = cross_validation_metrics(frame, "k", ["a", "b"], "StackedEnsemble", REGRESSION, 2, settings=SMALL).collect()
     assert {r.metric: r.mean for r in got}["Root Mean Square Error"] < 0.2
+
+
+def rare(spark):
+    """A positive per thousand, scored above all negatives, everything below one in two thousand."""
+    rows = [(i, int(i % 1000 == 0), 4e-4 if i % 1000 == 0 else 2e-4 * i / 10_000) for i in range(10_000)]
+    return spark.createDataFrame(rows, "k int, y int, q double").repartition(5)
+
+
+def test_small_scores_rank_exactly(spark):
+    df = rare(spark)
+    assert auc(df, "y", "q").first().auc == 1.0
+    found = {r.metric: r.value for r in metrics_classification(df.withColumn("p", F.lit(0)), "y", "p", "q").collect()}
+    assert found["auc"] == 1.0
+    assert roc_curve(df, "y", "q").count() == 9991
+    assert gains_lift(df, "y", "q").where("`group` = 1").first().cumulative_capture_rate == 1.0
+
+
+def test_scores_outside_0_to_1_and_missing_ones(spark):
+    rows = [(1, 5.0, "a"), (0, -3.0, "a"), (1, -3.0, "a"), (0, -9.5, "a"), (1, None, "a"), (0, float("nan"), "a"), (None, 2.0, "a"), (1, 1.0, None), (0, 2.0, None)]
+    df = spark.createDataFrame(rows, "y int, q double, g string")
+    by = {r.g: r.auc for r in auc(df, "y", "q", ["g"]).collect()}
+    assert by == {"a": 0.875, None: 0.0}
+
+
+def test_scoring_happens_once(spark, data):
+    """No filter on the score reaches below the model, and no window holds all scores."""
+    model = fit_ols(data, "y", ["a", "b"])
+    scored = model.score(data).withColumn("hit", (F.col("y") > 0).cast("int"))
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def seen(x):
+        calls.add(1)
+        return x
+
+    roc = roc_curve(scored.withColumn("q", seen("prediction")), "hit", "q")
+    assert roc.count() > 500 and calls.value == 600
+    lines = [x.strip() for x in run_plan_text(roc).splitlines()]
+    alone = [lines[i + 1] for i, x in enumerate(lines[:-1]) if "SinglePartition" in x]
+    assert all("partial_sum" in x for x in alone)
