@@ -6,9 +6,11 @@ frequent ones are skipped. The short lists are as many as it takes that similar
 them; what meets there is probed, shingle by shingle in sorted arrays, for the rest of T. Shingles of one document need
 no list. Documents with equal shingles are one entry of a list.
 
-A list is not paired with itself. Each list has a pivot that all later members are compared with; members that are by
-then linked with each other, over any documents, need no comparison. A list is done when those behind its pivot are all
-linked, or few. So a group of n copies costs n comparisons, and no link between different sets is lost.
+A list is not paired with itself. Its members stand in the order of their hashes, and in each round the first of them
+are pivots that all later members are compared with, but for those that are by then linked with the pivot over any
+documents. A list is done when all members behind its pivots are linked with each other. So a group of n copies costs
+about n comparisons; rounds have one pivot a list, then ``MORE`` times as many each time, and no link between different
+sets is lost.
 """
 
 from __future__ import annotations
@@ -27,11 +29,11 @@ from .texts import NOT_BLANK, Slab, Words, mix, running, span_hash, window_hash
 
 #: Short lists in which similar documents meet at least.
 SHARED = 2
-#: Members behind a pivot that are compared with each other at once.
-FEW = 12
+#: Pivots of a list in a round, as a multiple of those in the round before.
+MORE = 8
 CHUNK = 8 << 20
 QUESTION = "bucket int, chunk long, keys binary, counts binary"
-SETS = "n_shingles long, set_id binary, row long, short array<long>, shingles binary"
+SETS = "n_shingles long, n_alone long, set_id binary, row long, short array<long>, shingles binary"
 
 
 class Shingles:
@@ -150,6 +152,7 @@ def _divider(size: int, percent: int, buckets: int):
                 "doc_id": chunk.column("doc_id").combine_chunks().flatten(),
                 "text_key": chunk.column("text_key").combine_chunks().flatten(),
                 "n_shingles": n.astype(np.int64),
+                "n_alone": np.bincount(s.doc[rarity == 0], minlength=len(n)),
                 "set_id": pa.array(s.set_ids(), pa.binary()),
                 "row": row,
                 "short": pa.array(short, pa.list_(pa.int64())),
@@ -188,8 +191,14 @@ def _prober(percent: int):
     return probed
 
 
-def _long_enough(n: str, m: str, percent: int) -> Column:
-    return F.expr(f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})")
+def _can_link(percent: int) -> Column:
+    """Whether sets of n and p_n shingles that meet in a list can be similar, by their sizes and the list's places.
+
+    n_alone and p_alone of the shingles are in one document only, and stand first in the order of rarity; at is the
+    list's place behind them. What is shared stands before it in both sets, or behind it in both.
+    """
+    before, behind = "least(at, p_at)", "least(n - n_alone - at, p_n - p_alone - p_at)"
+    return F.expr(f"100 * ({before} + {behind}) >= {percent} * (n + p_n - {before} - {behind})")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -202,37 +211,34 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.select("a", "b", "x_shingles", "y_shingles").mapInArrow(_prober(percent), "a binary, b binary")
 
 
-def similar_sets(stored: DataFrame, percent: int, few: int = FEW) -> DataFrame:
+def similar_sets(stored: DataFrame, percent: int, more: int = MORE) -> DataFrame:
     """node, label: components of the similar sets of ``shingle_sets``; sets without a partner are left out."""
     asking = stored.where("short is not null")
     entries = asking.groupBy("set_id").agg(F.min("row").alias("row"))
     members = asking.join(entries.select("row"), "row", "left_semi")
-    lists = members.select(F.explode("short").alias("token"), "set_id", F.col("n_shingles").alias("n"), F.col("set_id").alias("label"))
+    place = F.xxhash64("set_id") / F.lit(2.0**64) + 0.5
+    lists = members.select(
+        F.posexplode("short").alias("at", "token"), "set_id", place.alias("place"), F.col("n_shingles").alias("n"), "n_alone", F.col("set_id").alias("label")
+    )
     lists = materialise(lists, "lists")
     several = lists.groupBy("token").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low <> high")
     lists = materialise(lists.join(several.select("token"), "token", "left_semi"), "lists")
     kept = members.join(lists.select("set_id").distinct(), "set_id", "left_semi")
     sets = materialise(kept.select("set_id", F.col("n_shingles").alias("n"), "short", "shingles"), "probed-sets")
-    return _rounds(lists, sets, percent, few)
 
-
-def _rounds(lists: DataFrame, sets: DataFrame, percent: int, few: int) -> DataFrame:
-    """Round by round: pairs with pivots, their links, and the lists that go on without their pivots."""
     labels = compared = None
+    pivots = 1
     while True:
-        pivots = lists.groupBy("token").agg(F.min(F.struct("set_id", "n", "label")).alias("pivot"), F.count(F.lit(1)).alias("size"))
-        placed = lists.join(pivots, "token")
-        behind = placed.where("set_id > pivot.set_id")
-        pairs = behind.where((F.col("label") != F.col("pivot.label")) & _long_enough("n", "pivot.n", percent))
-        pairs = pairs.select(F.col("pivot.set_id").alias("a"), F.col("set_id").alias("b"))
-        if labels is not None:
-            near = placed.where(F.col("size") <= few).select("token", "set_id", "n", "label")
-            far = near.select("token", *(F.col(c).alias(f"far_{c}") for c in ("set_id", "n", "label")))
-            cross = near.join(far, "token").where("set_id < far_set_id and label <> far_label")
-            cross = cross.where(_long_enough("n", "far_n", percent))
-            pairs = pairs.unionAll(cross.select(F.col("set_id").alias("a"), F.col("far_set_id").alias("b")))
-            behind = behind.where(F.col("size") > few)
-        pairs = pairs.distinct()
+        # places are even between the first one left and 1, so this part of them holds ``pivots`` members on the average
+        cut = F.min("place") + (1 - F.min("place")) * (pivots - 0.5) / F.count(F.lit(1))
+        placed = lists.join(lists.groupBy("token").agg(cut.alias("cut")), "token")
+        chosen = placed.where("place <= cut").select(
+            F.col("token").alias("p_token"), F.col("set_id").alias("a"), F.col("place").alias("p_place"), F.col("n").alias("p_n"),
+            F.col("n_alone").alias("p_alone"), F.col("at").alias("p_at"), F.col("label").alias("p_label"),
+        )
+        meets = (F.col("token") == F.col("p_token")) & (F.col("label") != F.col("p_label"))
+        later = F.struct("place", "set_id") > F.struct("p_place", F.col("a"))
+        pairs = lists.join(chosen, meets & later & _can_link(percent)).select("a", F.col("set_id").alias("b")).distinct()
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
@@ -242,12 +248,13 @@ def _rounds(lists: DataFrame, sets: DataFrame, percent: int, few: int) -> DataFr
             links = links.unionAll(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
         labels = components(links)
         named = labels.select(F.col("node").alias("set_id"), F.col("label").alias("of"))
-        rest = behind.select("token", "set_id", "n").join(named, "set_id", "left")
-        rest = materialise(rest.select("token", "set_id", "n", F.coalesce("of", "set_id").alias("label")), "lists")
+        rest = placed.where("place > cut").select("token", "at", "set_id", "place", "n", "n_alone").join(named, "set_id", "left")
+        rest = materialise(rest.select("token", "at", "set_id", "place", "n", "n_alone", F.coalesce("of", "set_id").alias("label")), "lists")
         mixed = rest.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
         lists = materialise(rest.join(mixed.select("token"), "token", "left_semi"), "lists")
         if lists.isEmpty():
             return labels
+        pivots *= more
 
 
 def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
