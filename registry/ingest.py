@@ -66,6 +66,34 @@ def sink_csv(spark, folder):
     return read_csv_as(spark, write_csv(supplier, new_path(spark, "csv")), supplier)
 
 
+def odd_texts(spark, folder):
+    """Whole documents; some without text, with empty text, with blanks, quotes, backslashes and line breaks."""
+    text, kind = F.col("text"), F.col("doc_id") % 7
+    odd = (
+        F.when(kind == 0, F.lit(None))
+        .when(kind == 1, "")
+        .when(kind == 2, F.concat(F.lit("  "), text, F.lit("\t ")))
+        .when(kind == 3, F.concat(F.lit('"a",\\"b"\\n,\r\n'), text, F.lit('\\')))
+        .otherwise(text)
+    )
+    return table(spark, folder, "documents").withColumn("text", odd)
+
+
+def through_csv(spark, df):
+    return read_csv_as(spark, write_csv(df, new_path(spark, "csv")), df)
+
+
+def ingest_json_documents(spark, folder):
+    """Customers as one indented array per file."""
+    customer = table(spark, folder, "customer")
+    arrays = customer.groupBy((F.col("c_custkey") % 8).alias("part")).agg(
+        F.concat(F.lit("[\n  "), F.array_join(F.collect_list(F.to_json(F.struct(*customer.columns))), ",\n  "), F.lit("\n]"))
+    )
+    path = new_path(spark, "json")
+    arrays.write.partitionBy("part").text(path)
+    return ingest(spark, f"{path}/part=*", "json", 1, document=True)
+
+
 def ingest_csv(spark, folder):
     customer = table(spark, folder, "customer")
     path = write_csv(customer, new_path(spark, "csv"))
@@ -125,14 +153,18 @@ QUERIES = {
     "scan_parquet": lambda s, d: table(s, d, "lineitem"),
     "sink_parquet": sink_parquet,
     "sink_csv": sink_csv,
+    "sink_csv_texts": lambda s, d: through_csv(s, odd_texts(s, d)),
+    "sink_csv_pages": lambda s, d: through_csv(s, table(s, d, "pages")),
+    "sink_csv_conversations": lambda s, d: through_csv(s, table(s, d, "conversations")),
     "ingest_csv": ingest_csv,
+    "ingest_json_documents": ingest_json_documents,
     "sanitize_columns": lambda s, d: sanitize_columns(table(s, d, "orders"), 1),
     "rename_spaces": spaced,
     "timestamps_to_string": lambda s, d: timestamps_to_string(table(s, d, "events")),
     "select_columns": lambda s, d: select_columns(table(s, d, "lineitem"), ["l_orderkey", "l_quantity"]),
     "drop_column": lambda s, d: drop_columns(table(s, d, "customer"), "c_name"),
     "cast_to_double": lambda s, d: cast_to_double(
-        table(s, d, "part").select("p_partkey", F.substring("p_brand", 7, 100).alias("brand"), F.col("p_name").alias("name")),
+        table(s, d, "part").select("p_partkey", F.expr("substring(p_brand, 7)").alias("brand"), F.col("p_name").alias("name")),
         "brand", "name",
     ),
     "drop_missing_target": target_with_gaps,
@@ -162,6 +194,17 @@ ORACLES = {
     "scan_parquet": "select * from lineitem",
     "sink_parquet": "select * from part",
     "sink_csv": "select * from supplier",
+    "sink_csv_texts": """
+        select doc_id, case doc_id % 7 when 0 then null when 1 then '' when 2 then '  ' || text || chr(9) || ' '
+                 when 3 then '"a",' || chr(92) || '"b"' || chr(92) || 'n,' || chr(13) || chr(10) || text || chr(92)
+                 else text end as text, lang, source, n_chars
+        from documents""",
+    "sink_csv_pages": "select * from pages",
+    "sink_csv_conversations": "select * from conversations",
+    "ingest_json_documents": """
+        select c_custkey as cacustkey_1, c_name as caname_1, c_nationkey::bigint as canationkey_1, c_acctbal as caacctbal_1,
+               c_mktsegment as camktsegment_1
+        from customer""",
     "ingest_csv": """
         select c_custkey as cacustkey_1, c_name as caname_1, c_nationkey as canationkey_1, c_acctbal as caacctbal_1,
                c_mktsegment as camktsegment_1

@@ -13,16 +13,40 @@ from ..functions.cells import column, quoted
 from ..functions.names import require_unique, sanitize_columns
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """CSV with a header. Give a schema for large inputs: inferring one reads the file an extra time."""
-    reader = spark.read.option("header", True)
+# Quotes in a value are doubled, backslashes are plain characters, and an empty text differs from a missing one.
+CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"'}
+# The reader calls nothing between two commas by this name, and the same name null; quoted nothing is then an empty text.
+NOTHING = "\ue000nothing\ue000"
+
+
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multiline: bool = True
+) -> DataFrame:
+    """CSV with a header. Give a schema for large inputs: inferring one reads the file an extra time.
+
+    Values may hold line breaks, so a file is read by one task. ``multiline=False`` splits large files across tasks, and
+    is right only if no value has a line break.
+    """
+    reader = spark.read.options(**CSV_OPTIONS, nullValue=NOTHING, emptyValue="").option("multiLine", multiline)
     return reader.schema(schema).csv(path) if schema is not None else reader.option("inferSchema", True).csv(path)
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None, document: bool = False) -> DataFrame:
-    """JSON lines (split across tasks), or with ``document`` files that each hold one object or array."""
+    """JSON lines (split across tasks), or with ``document`` files that each hold one object or array.
+
+    Text that is not JSON raises: when the schema is inferred, or when the rows are read.
+    """
     reader = spark.read.option("multiLine", document)
-    return (reader.schema(schema) if schema is not None else reader).json(path)
+    if schema is not None:
+        return reader.schema(schema).option("mode", "FAILFAST").json(path)
+    found = reader.json(path)
+    if CORRUPT in found.columns:
+        kind = "one JSON document per file" if document else "JSON lines"
+        raise TessellaError(f"{path} does not hold {kind}")
+    return found
+
+
+CORRUPT = "_corrupt_record"
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -83,13 +107,22 @@ def read_json_document(spark: SparkSession, document: str, json_type: str | None
 
 
 def ingest(
-    spark: SparkSession, path: str, kind: str = "csv", suffix: int | str = 1, schema: T.StructType | str | None = None
+    spark: SparkSession,
+    path: str,
+    kind: str = "csv",
+    suffix: int | str = 1,
+    schema: T.StructType | str | None = None,
+    document: bool = False,
+    multiline: bool = True,
 ) -> DataFrame:
-    """Scan an upload and give its columns clean names that are unique across datasets."""
+    """Scan an upload and give its columns clean names that are unique across datasets.
+
+    ``document``: JSON files hold one object or array each, over any number of lines. ``multiline``: see ``read_csv``.
+    """
     if kind == "csv":
-        df = read_csv(spark, path, schema)
+        df = read_csv(spark, path, schema, multiline)
     elif kind == "json":
-        df = flatten(read_json(spark, path, schema))
+        df = flatten(read_json(spark, path, schema, document))
     elif kind == "parquet":
         df = read_parquet(spark, path)
     else:

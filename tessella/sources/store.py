@@ -12,7 +12,7 @@ from ..functions.cells import column, timestamps_to_string
 from ..functions.names import rename_spaces
 from ..operators.row_id import add_fast_id, add_row_id
 from ..scratch import exists, new_path, remove
-from .readers import read_csv
+from .readers import CSV_OPTIONS, read_csv
 
 ROW_ID = "id"
 
@@ -23,7 +23,9 @@ def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
-    df.write.mode(mode).option("header", True).csv(path)
+    """Values come back as they are: blanks at the ends, quotes, line breaks, and empty text apart from missing text."""
+    blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode(mode).options(**CSV_OPTIONS, **blanks, nullValue="", emptyValue='""').csv(path)
     return path
 
 

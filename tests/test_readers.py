@@ -1,8 +1,8 @@
 import pytest
 
 from tessella.errors import NameCollision, TessellaError
-from tessella.sources.readers import flatten, infer_json_type, ingest, json_rows, read_json, read_json_document
-from tessella.sources.store import write_csv
+from tessella.sources.readers import flatten, infer_json_type, ingest, json_rows, read_csv, read_json, read_json_document
+from tessella.sources.store import read_csv_as, write_csv
 
 
 def test_csv_with_and_without_schema(spark, tmp_path):
@@ -42,3 +42,24 @@ def test_json_that_is_no_object_raises(spark):
 def test_flattening_collisions_raise(spark):
     with pytest.raises(NameCollision):
         flatten(spark.sql("select struct(1 as b) as a, 2 as a_b"))
+
+
+def test_csv_keeps_every_text(spark, tmp_path):
+    texts = [None, "", " a ", "\t", 'say "x"', "a,b", "l1\nl2", "l1\r\nl2", "back\\slash\\", '\\"', "é z", '""', "#c", " \n "]
+    df = spark.createDataFrame([(i, t, float(i) if i % 2 else None) for i, t in enumerate(texts)], "k int, t string, x double")
+    back = read_csv_as(spark, write_csv(df, str(tmp_path / "csv")), df)
+    assert sorted(back.collect()) == sorted(df.collect())
+    lines = read_csv(spark, write_csv(df.where("k in (2, 4, 5, 8)"), str(tmp_path / "lines")), df.schema, multiline=False)
+    assert sorted(lines.collect()) == sorted(df.where("k in (2, 4, 5, 8)").collect())
+
+
+def test_json_documents(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[\n  {"a b": 1,\n   "c": {"d": "x"}},\n  {"a b": 2, "c": {"d": null}}\n]')
+    (tmp_path / "b.json").write_text('{\n "a b": 3,\n "c": {"d": "y"}\n}')
+    rows = ingest(spark, str(tmp_path / "*.json"), "json", 1, document=True)
+    assert sorted(tuple(r) for r in rows.collect()) == [(1, "x"), (2, None), (3, "y")]
+    with pytest.raises(TessellaError):
+        ingest(spark, str(tmp_path / "a.json"), "json")
+    (tmp_path / "c.json").write_text("no json at all")
+    with pytest.raises(TessellaError):
+        read_json(spark, str(tmp_path / "c.json"), document=True)
