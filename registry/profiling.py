@@ -120,9 +120,10 @@ def categories_sql(source: str, columns: list[str]) -> str:
         for c in columns
     )
     return f"""
-      select "column", value, count, position::int as position
-      from (select *, row_number() over (partition by "column" order by count desc, value) as position from ({counts}))
-      where position <= 20"""
+      with placed as (select *, row_number() over (partition by "column" order by count desc, value) as place from ({counts}))
+      select "column", value, count, place::int as position, 1::bigint as values from placed where place <= 20
+      union all
+      select "column", null, sum(count)::bigint, 21, count(*) from placed where place > 20 group by "column\""""
 
 
 def pearson_sql(source: str, names: list[str]) -> str:

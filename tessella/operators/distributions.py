@@ -66,14 +66,15 @@ def histogram_numeric(df: DataFrame, names: Sequence[str] | None = None, bins: i
 
 
 def histogram_categorical(df: DataFrame, names: Sequence[str] | None = None, top: int = TOP) -> DataFrame:
-    """column, value, count, position for the ``top`` most frequent values, ties in alphabetical order.
+    """column, value, count, position, values for the ``top`` most frequent values, ties in alphabetical order.
 
-    Counts are merged per task before the shuffle. The top values are picked within slices of each
-    column first, so no task sees all distinct values of a column.
+    ``values`` is 1. What is left of a column is one more row at position ``top + 1``, without a value: its ``count`` are
+    the rows and its ``values`` the distinct values not shown. Nulls are not counted. Counts are merged per task before
+    the shuffle. The top values are picked within slices of each column first, so no task sees all its distinct values.
     """
     names = list(names) if names is not None else columns_of(df.schema, TEXT, BOOLEAN)
     if not names:
-        return df.sparkSession.createDataFrame([], "`column` string, value string, count long, position int")
+        return df.sparkSession.createDataFrame([], "`column` string, value string, count long, position int, values long")
     texts = df.select(*[column(c).cast("string").alias(c) for c in names])
     counted = (
         texts.unpivot([], [column(c) for c in names], "column", "value")
@@ -82,13 +83,27 @@ def histogram_categorical(df: DataFrame, names: Sequence[str] | None = None, top
         .agg(F.count(F.lit(1)).alias("count"))
         .withColumn("slice", F.pmod(F.xxhash64("value"), F.lit(256)))
     )
-    best = (F.desc("count"), F.asc("value"))
-    first = Window.partitionBy("column", "slice").orderBy(*best)
-    final = Window.partitionBy("column").orderBy(*best)
-    return (
-        counted.withColumn("position", F.row_number().over(first))
-        .where(F.col("position") <= top)
-        .withColumn("position", F.row_number().over(final))
-        .where(F.col("position") <= top)
-        .select("column", "value", "count", "position")
+    in_slice = Window.partitionBy("column", "slice")
+    kept = counted.withColumns(
+        {
+            "place": F.row_number().over(in_slice.orderBy(F.desc("count"), F.asc("value"))),
+            "rows": F.sum("count").over(in_slice),
+            "values": F.count(F.lit(1)).over(in_slice),
+        }
+    ).where(F.col("place") <= top)
+    once = F.col("place") == 1
+    by_column = kept.groupBy("column").agg(
+        F.slice(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("less"), "value"))), 1, top).alias("best"),
+        F.sum(F.when(once, F.col("rows"))).alias("rows"),
+        F.sum(F.when(once, F.col("values"))).alias("values"),
     )
+    shown = F.transform(
+        "best", lambda b, i: F.struct(b["value"].alias("value"), (-b["less"]).alias("count"), (i + 1).alias("position"), F.lit(1).cast("long").alias("values"))
+    )
+    left_rows = F.col("rows") + F.aggregate("best", F.lit(0).cast("long"), lambda total, b: total + b["less"])
+    left_values = F.col("values") - F.size("best")
+    rest = F.struct(
+        F.lit(None).cast("string").alias("value"), left_rows.alias("count"), F.lit(top + 1).alias("position"), left_values.alias("values")
+    )
+    lines = F.when(left_values > 0, F.concat(shown, F.array(rest))).otherwise(shown)
+    return by_column.select("column", F.inline(lines))

@@ -63,6 +63,8 @@ def _common_type(left: T.DataType, right: T.DataType, what: str) -> T.DataType |
         return None
     a, b = kind(left), kind(right)
     if a == b == NUMERIC:
+        if isinstance(left, T.IntegralType) != isinstance(right, T.IntegralType) and (is_floating(left) or is_floating(right)):
+            return T.LongType()
         if is_floating(left) or is_floating(right):
             return T.DoubleType()
         if isinstance(left, T.DecimalType) or isinstance(right, T.DecimalType):
@@ -75,6 +77,17 @@ def _common_type(left: T.DataType, right: T.DataType, what: str) -> T.DataType |
     raise KeyTypeMismatch(f"{what}: {left.simpleString()} and {right.simpleString()}; pass text_keys=True to compare as text")
 
 
+def _as_key(name: str, own: T.DataType, common: T.DataType | None) -> Column:
+    """The key in the common type, null where it has no such value. A float equals a whole number only if it is that number."""
+    key = F.col(name)
+    if common is None:
+        return key
+    if is_floating(own) and isinstance(common, T.LongType):
+        value = key.cast("double")
+        return F.when((value >= -(2.0**63)) & (value < 2.0**63) & (value == F.rint(value)), key.try_cast(common))
+    return key.try_cast(common)
+
+
 class _Part:
     """Tables joined so far: a frame with internal column names, and what they are called."""
 
@@ -133,8 +146,7 @@ def _join(left: _Part, right: _Part, links: Sequence[tuple[tuple[str, str], tupl
             if not text_keys:
                 raise
             common = T.StringType()
-        left_keys[key] = F.col(lefts[0]).try_cast(common) if common else F.col(lefts[0])
-        right_keys[key] = F.col(rights[0]).try_cast(common) if common else F.col(rights[0])
+        left_keys[key], right_keys[key] = _as_key(lefts[0], a, common), _as_key(rights[0], b, common)
         name = key_name(left.labels[group[0][0]], right.labels[group[0][1]])
         seen = set(group[0])
         for x, y in group[1:]:

@@ -131,7 +131,8 @@ def leaderboard(models: list[Trained], frame: DataFrame) -> DataFrame:
 
 
 def store_report(found: Report, path: str) -> str:
-    """Two tables below ``path``; reports of several models can be appended."""
-    found.metrics.write.mode("append").parquet(f"{path}/metrics")
-    found.curves.write.mode("append").parquet(f"{path}/curves")
+    """Two tables below ``path`` with a part per model. Reports of several models stand side by side; storing one again replaces it."""
+    for table, name in ((found.metrics, "metrics"), (found.curves, "curves")):
+        writer = table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("model").parquet(f"{path}/{name}")
     return path

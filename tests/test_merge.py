@@ -157,3 +157,11 @@ def test_a_hot_key_is_split_by_adaptive_execution(spark):
         for k in settings:
             spark.conf.unset(k)
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_whole_numbers_and_floats_match_exactly(spark):
+    big = 9007199254740993  # no double has this value
+    left = spark.createDataFrame([(big,), (big - 1,), (3,), (4,), (None,)], "a long")
+    right = spark.createDataFrame([(float(big - 1),), (3.0,), (4.5,), (float("nan"),), (float("inf"),), (1e300,), (None,)], "b double")
+    for one, other, pair in ((left, right, ("a", "b")), (right, left, ("b", "a"))):
+        assert sorted(r[0] for r in merge_two(one, other, [pair]).collect()) == [3, big - 1]

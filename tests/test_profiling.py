@@ -81,12 +81,15 @@ def test_bins_add_up_and_edges_close(spark):
 def test_most_frequent_values(spark):
     df = spark.createDataFrame([("b",)] * 3 + [("a",)] * 3 + [("c",)] + [(None,)], "s string")
     got = [(r.value, r["count"], r.position) for r in histogram_categorical(df, top=2).orderBy("position").collect()]
-    assert got == [("a", 3, 1), ("b", 3, 2)]
+    assert got == [("a", 3, 1), ("b", 3, 2), (None, 1, 3)]
 
 
 def test_most_frequent_values_beyond_any_partial_limit(spark):
     df = spark.range(5000).select(F.concat(F.lit("v"), F.col("id") % 2500).alias("s"))
-    assert histogram_categorical(df, top=2000).count() == 2000
+    found = histogram_categorical(df, top=2000)
+    assert found.where("value is not null").count() == 2000
+    rest = found.where("value is null").first()
+    assert (rest["count"], rest["values"], rest.position) == (1000, 500, 2001)
 
 
 @pytest.mark.parametrize("broadcast_bytes", [0, 1 << 20])
