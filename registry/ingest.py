@@ -131,6 +131,14 @@ def row_id_texts(spark, folder):
     return add_row_id(documents).select("doc_id", "id")
 
 
+def row_id_common_start(spark, folder):
+    """Texts that all begin with the same 200 characters, so that only later ones tell them apart."""
+    start = F.lit("copyright " * 20)
+    texts = table(spark, folder, "documents").select(F.concat(start, "text").alias("text"), "doc_id")
+    pages = table(spark, folder, "pages").select(F.concat(start, "html").alias("text"), F.col("page_id").alias("doc_id"))
+    return add_row_id(texts.unionAll(pages)).select("doc_id", "id", F.length("text").alias("n"))
+
+
 def parse_timestamps(spark, folder):
     orders = orders_with_text_dates(spark, folder)
     return orders.select("o_orderkey", parse_timestamp(orders, "o_orderdate", "dd/MM/yyyy").cast("timestamp_ntz").alias("t"))
@@ -173,6 +181,7 @@ QUERIES = {
     "row_id_by_name": lambda s, d: add_row_id(table(s, d, "part").select("p_name", "p_partkey")),
     "row_id_null_keys": row_id_null_keys,
     "row_id_texts": row_id_texts,
+    "row_id_common_start": row_id_common_start,
     "store_dataset": stored_lineitem,
     "store_dataset_fast_id": store_fast_id,
     "page_rows": lambda s, d: read_page(s, stored_orders(s, d), 101, 50),
@@ -227,6 +236,9 @@ ORACLES = {
         select k, event_id, row_number() over (order by k nulls first, event_id) as id
         from (select case when event_id % 5 <> 0 then user_id end as k, event_id from events)""",
     "row_id_texts": "select doc_id, row_number() over (order by lang, text, doc_id) as id from documents",
+    "row_id_common_start": """
+        select doc_id, row_number() over (order by text, doc_id) as id, (length(text) + 200)::int as n
+        from (select text, doc_id from documents union all select html, page_id from pages)""",
     "store_dataset": f"""
         select {', '.join(LINEITEM[:-1])}, l_shipdate::varchar as l_shipdate,
                row_number() over (order by {nulls_first(LINEITEM)}) as id

@@ -13,21 +13,27 @@ input partition they come from, which a retried task reproduces.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import accumulate
+from itertools import accumulate, count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.cells import column
-from ..functions.kinds import OTHER, TEXT, kind
-from ..scratch import new_path
+from ..functions.kinds import TEXT, kind
+from ..scratch import new_path, remove
 
 PART, ORIGIN, POSITION = "__part", "__origin", "__position"
 
 # Range boundaries are sampled by the driver, so the text in them is bounded. Sorting uses whole texts.
 BOUNDARY_CHARS = 128
 
+# A partition with more than this many times the mean is split again.
+UNEVEN = 2.0
+
+# Bytes of input in a partition, if the caller names no number of partitions.
+PARTITION_BYTES = 256 << 20
+
 # One row per partition: broadcast up to this many partitions, joined normally beyond.
 BROADCAST_PARTS = 500_000
 
@@ -37,11 +43,20 @@ def orderable(schema: T.StructType) -> list[str]:
     return [f.name for f in schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
 
 
-def boundary_keys(schema: T.StructType, order_by: Sequence[str]) -> list[Column]:
+def partition_count(df: DataFrame) -> int:
+    """From the bytes of the sources, and not below the session's number of shuffle partitions."""
+    spark = df.sparkSession
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum(s for s in sizes if s < 1 << 60)  # beyond: the source does not know
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-known // PARTITION_BYTES))
+
+
+def boundary_keys(schema: T.StructType, order_by: Sequence[str], skips: dict[str, Column] | None = None) -> list[Column]:
     """Bounded keys that never contradict the full sort order.
 
-    A cut text is followed by "is longer", and later columns only count while every text so far
-    was whole; rows that cannot be told apart within the bound stay in one partition.
+    A cut text is followed by "is longer", and later columns only count while every text so far was whole; rows that
+    cannot be told apart within the bound stay in one partition. ``skips``: characters that the rows have in common.
     """
     keys: list[Column] = []
     whole: Column | None = None
@@ -50,37 +65,73 @@ def boundary_keys(schema: T.StructType, order_by: Sequence[str]) -> list[Column]
         keys.append(key if whole is None else F.when(whole, key))
 
     for name in order_by:
-        family = kind(schema[name].dataType)
-        if family == OTHER:
-            return keys or [column(name)]
-        if family != TEXT:
-            add(column(name))
+        cell = column(name)
+        if kind(schema[name].dataType) != TEXT:
+            add(cell)
             continue
-        longer = F.coalesce(F.length(column(name)) > BOUNDARY_CHARS, F.lit(False))
-        add(F.substring(column(name), 1, BOUNDARY_CHARS))
+        skip = (skips or {}).get(name, F.lit(0))
+        longer = F.coalesce(F.length(cell) - skip > BOUNDARY_CHARS, F.lit(False))
+        add(F.substring(cell, skip + 1, F.lit(BOUNDARY_CHARS)))
         add(longer)
         whole = ~longer if whole is None else whole & ~longer
     add(F.col(ORIGIN))
     return keys
 
 
+def _common_start(a: Column, b: Column) -> Column:
+    """Number of equal first characters of two texts, found by halving."""
+    steps = F.array(*[F.lit(1 << k) for k in range(30, -1, -1)])
+
+    def longer(length: Column, step: Column) -> Column:
+        n = length + step
+        same = (F.length(a) >= n) & (F.length(b) >= n) & (F.substring(a, F.lit(1), n) == F.substring(b, F.lit(1), n))
+        return F.when(same, n).otherwise(length)
+
+    return F.coalesce(F.aggregate(steps, F.lit(0), longer), F.lit(0))
+
+
 def sorted_table(
     df: DataFrame, order_by: Sequence[str], partitions: int | None = None, path: str | None = None
 ) -> DataFrame:
-    """Written, globally sorted copy with the partition number and the position inside it (from 0)."""
-    keys = boundary_keys(df.schema, order_by)
-    marked = df.withColumn(ORIGIN, F.spark_partition_id())
-    ranged = marked.repartitionByRange(partitions, *keys) if partitions else marked.repartitionByRange(*keys)
-    path = path or new_path(df.sparkSession, "sorted")
-    (
-        ranged.sortWithinPartitions(*[column(c) for c in order_by])
-        .drop(ORIGIN)
-        .withColumn(PART, F.spark_partition_id())
-        .write.option("maxRecordsPerFile", 0)  # one file per partition, whatever the session says
-        .parquet(path)
-    )
-    schema = T.StructType([*df.schema.fields, T.StructField(PART, T.IntegerType())])
-    return df.sparkSession.read.schema(schema).parquet(path).select("*", F.col("_metadata.row_index").alias(POSITION))
+    """Written, globally sorted copy with the partition number and the position inside it (from 0), below ``path``.
+
+    Partitions that come out too large, because their texts begin alike, are split again behind what their texts have in
+    common, then by the later columns, then by origin, until they are even or all the same.
+    """
+    spark = df.sparkSession
+    path = path or new_path(spark, "sorted")
+    partitions = partitions or partition_count(df)
+    texts = [name for name in order_by if kind(df.schema[name].dataType) == TEXT]
+    schema = T.StructType([*df.schema.fields, T.StructField(ORIGIN, T.IntegerType()), T.StructField(PART, T.IntegerType())])
+    rows, keys = df.withColumn(ORIGIN, F.spark_partition_id()), boundary_keys(df.schema, order_by)
+    largest_before = None
+    for attempt in count():
+        own = f"{path}/{attempt}"
+        (
+            rows.repartitionByRange(partitions, *keys)
+            .sortWithinPartitions(*[column(c) for c in order_by])
+            .select(*[column(c) for c in df.columns], ORIGIN)
+            .withColumn(PART, F.spark_partition_id())
+            .write.option("maxRecordsPerFile", 0)  # one file per partition, whatever the session says
+            .parquet(own)
+        )
+        if attempt:
+            remove(spark, f"{path}/{attempt - 1}")
+        table = spark.read.schema(schema).parquet(own)
+        sizes = {r[0]: r[1] for r in table.groupBy(PART).count().collect()}
+        largest, fair = max(sizes.values(), default=0), sum(sizes.values()) / partitions
+        if not texts or largest <= UNEVEN * fair or largest_before is not None and largest >= largest_before:
+            return table.select(*[column(c) for c in df.columns], PART, F.col("_metadata.row_index").alias(POSITION))
+        largest_before = largest
+        large = [part for part, n in sizes.items() if n > UNEVEN * fair]
+        starts = [
+            _common_start(F.min(column(t)), F.max(column(t))).alias(f"__skip{i}") for i, t in enumerate(texts)
+        ]
+        found = table.where(F.col(PART).isin(large)).groupBy(PART).agg(*starts).collect()  # numbers per large partition
+        names = ", ".join([f"{PART} int", *(f"__skip{i} int" for i in range(len(texts)))])
+        rows = table.join(F.broadcast(spark.createDataFrame([tuple(r) for r in found], names)), PART, "left")
+        skips = {t: F.coalesce(f"__skip{i}", F.lit(0)) for i, t in enumerate(texts)}
+        keys = [F.col(PART), *boundary_keys(df.schema, order_by, skips)]
 
 
 def with_offsets(table: DataFrame, **weights: Column) -> DataFrame:

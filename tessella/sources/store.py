@@ -29,8 +29,14 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
     return path
 
 
-def store_dataset(df: DataFrame, path: str, order_by: Sequence[str] | None = None, mode: str = "errorifexists") -> str:
-    """Write with ids 1..n in sort order and times as text.
+def store_dataset(
+    df: DataFrame,
+    path: str,
+    order_by: Sequence[str] | None = None,
+    mode: str = "errorifexists",
+    partitions: int | None = None,
+) -> str:
+    """Write with ids 1..n in sort order and times as text, in ``partitions`` files (by default one for 256 MB of input).
 
     One shuffle in all: the ids are read off the sorted files, and copying those files to their final
     place keeps rows with neighbouring ids together, so a page touches few row groups.
@@ -39,7 +45,7 @@ def store_dataset(df: DataFrame, path: str, order_by: Sequence[str] | None = Non
     if mode == "errorifexists" and exists(spark, path):  # found out before the sort, not after it
         raise AlreadyStored(path)
     try:
-        numbered = add_row_id(rename_spaces(df), order_by, ROW_ID, path=sorted_copy)
+        numbered = add_row_id(rename_spaces(df), order_by, ROW_ID, partitions, sorted_copy)
         return write_parquet(timestamps_to_string(numbered), path, mode)
     finally:
         remove(spark, sorted_copy)

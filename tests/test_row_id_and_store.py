@@ -134,3 +134,24 @@ def test_store_leaves_no_intermediate_copy(spark, tmp_path):
     before = set(folder.glob("sorted-*"))
     stored(spark, tmp_path)
     assert set(folder.glob("sorted-*")) == before
+
+
+@pytest.mark.parametrize(
+    "cells",
+    [
+        ["concat(repeat('x', 200), id) t"],
+        ["repeat('x', 200) t", "id n"],
+        ["repeat('x', 5000) t", "cast(null as string) s", "concat(repeat('y', 300), id) u"],
+        ["repeat('x', 200) t"],
+        ["array(1, 2) a", "id n"],
+        ["cast(repeat('z', 300) as binary) b", "id n"],
+    ],
+)
+def test_long_common_beginnings_are_spread(spark, cells):
+    df = spark.range(20000).repartition(8).selectExpr(*cells)
+    numbered = add_row_id(df, partitions=8)
+    sizes = [r["count"] for r in numbered.groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 20000 and len(sizes) >= 4 and max(sizes) < 8000
+    assert numbered.select("id").distinct().count() == 20000
+    ordered = numbered.orderBy(*df.columns, "id").select("id").limit(50).collect()
+    assert [r.id for r in ordered] == list(range(1, 51))
