@@ -29,11 +29,15 @@ from .texts import NOT_BLANK, Slab, Words, mix, running, span_hash, window_hash
 
 #: Short lists in which similar documents meet at least.
 SHARED = 2
+#: Longs of the bits that tell for parts of all hashes whether a set has an odd number of shingles there.
+PARITY = 4
+#: Ids of sets that are sent to all tasks at most: 32 MB.
+BROADCAST_IDS = 4_000_000
 #: Pivots of a list in a round, as a multiple of those in the round before.
 MORE = 8
 CHUNK = 8 << 20
 QUESTION = "bucket int, chunk long, keys binary, counts binary"
-SETS = "n_shingles long, n_alone long, set_id binary, row long, short array<long>, shingles binary"
+SETS = "n_shingles long, n_alone long, set_id binary, row long, short array<long>, parity array<long>, shingles binary"
 
 
 class Shingles:
@@ -63,6 +67,13 @@ class Shingles:
         order = order[np.argsort((bucket << 32) | keys[order], kind="stable")]
         return order, cuts, keys
 
+    def parity(self) -> np.ndarray:
+        """PARITY longs for each document. Two sets differ in at least as many shingles as in bits."""
+        bits = 64 * PARITY
+        part = (self.hash >> np.uint64(32)).astype(np.int64) % bits
+        odd = np.bincount(self.doc * bits + part, minlength=(len(self.first) - 1) * bits) & 1
+        return np.packbits(odd.astype(np.uint8).reshape(-1, bits), axis=1).view(np.int64).reshape(-1, PARITY)
+
     def set_ids(self) -> list[bytes]:
         """128 bits that are equal for equal sets."""
         size = np.diff(self.first).astype(np.uint64)
@@ -141,6 +152,7 @@ def _divider(size: int, percent: int, buckets: int):
         shared = (place < n_short[s.doc]) & (rarity[by_rarity] > 0)
         meets = np.bincount(s.doc[shared], minlength=len(n))
         asks = (n > 0) & (meets >= np.minimum(needed, SHARED))
+        parity = s.parity()
         short, shingles = [], []
         for k in range(len(n)):
             own = slice(s.first[k], s.first[k + 1])
@@ -156,6 +168,7 @@ def _divider(size: int, percent: int, buckets: int):
                 "set_id": pa.array(s.set_ids(), pa.binary()),
                 "row": row,
                 "short": pa.array(short, pa.list_(pa.int64())),
+                "parity": pa.FixedSizeListArray.from_arrays(pa.array(parity.reshape(-1)), PARITY).cast(pa.list_(pa.int64())),
                 "shingles": pa.array(shingles, pa.binary()),
             }
         )
@@ -180,7 +193,7 @@ def _prober(percent: int):
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = []
-            for x, y in zip(batch.column("x_shingles"), batch.column("y_shingles")):
+            for x, y in zip(batch.column("a_shingles"), batch.column("b_shingles")):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 few, many = (x, y) if len(x) < len(y) else (y, x)
                 place = np.searchsorted(many, few)
@@ -192,53 +205,65 @@ def _prober(percent: int):
 
 
 def _can_link(percent: int) -> Column:
-    """Whether sets of n and p_n shingles that meet in a list can be similar, by their sizes and the list's places.
+    """Whether sets of n and p_n shingles that meet in a list can be similar.
 
     n_alone and p_alone of the shingles are in one document only, and stand first in the order of rarity; at is the
-    list's place behind them. What is shared stands before it in both sets, or behind it in both.
+    list's place behind them. What is shared stands before it in both sets, or behind it in both. And the shingles that
+    only one of the sets has are at least as many as the bits in which their parities differ.
     """
     before, behind = "least(at, p_at)", "least(n - n_alone - at, p_n - p_alone - p_at)"
-    return F.expr(f"100 * ({before} + {behind}) >= {percent} * (n + p_n - {before} - {behind})")
+    differ = " + ".join(f"bit_count(parity[{k}] ^ p_parity[{k}])" for k in range(PARITY))
+    return F.expr(
+        f"100 * ({before} + {behind}) >= {percent} * (n + p_n - {before} - {behind})"
+        f" and {100 + percent} * ({differ}) <= {100 - percent} * (n + p_n)"
+    )
+
+
+def _only(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """The rows of ``df`` with one of the stored, distinct ``ids``; these are sent to the tasks if they are few enough."""
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, "left_semi")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of set ids that are similar. ``sets``: set_id, n, short, shingles."""
-    x = sets.select(F.col("set_id").alias("a"), F.col("short").alias("x_short"), F.col("shingles").alias("x_shingles"))
-    y = sets.select(F.col("set_id").alias("b"), F.col("n").alias("y_n"), F.col("short").alias("y_short"), F.col("shingles").alias("y_shingles"))
-    x = x.withColumn("x_n", F.octet_length("x_shingles") / 8)
-    least = F.least(F.lit(SHARED), *(F.ceil(F.col(n) * percent / 100) for n in ("x_n", "y_n")))
-    met = pairs.join(x, "a").join(y, "b").where(F.size(F.array_intersect("x_short", "y_short")) >= least)
-    return met.select("a", "b", "x_shingles", "y_shingles").mapInArrow(_prober(percent), "a binary, b binary")
+    """The stored pairs (a, b) of nodes that are similar. ``sets``: node, n, short, shingles."""
+    asked = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
+    own = _only(sets, asked, "node")
+    x, y = (own.select(F.col("node").alias(c), *(F.col(f).alias(f"{c}_{f}") for f in ("n", "short", "shingles"))) for c in ("a", "b"))
+    least = F.least(F.lit(SHARED), *(F.ceil(F.col(n) * percent / 100) for n in ("a_n", "b_n")))
+    met = pairs.join(x, "a").join(y, "b").where(F.size(F.array_intersect("a_short", "b_short")) >= least)
+    return met.select("a", "b", "a_shingles", "b_shingles").mapInArrow(_prober(percent), "a long, b long")
 
 
 def similar_sets(stored: DataFrame, percent: int, more: int = MORE) -> DataFrame:
-    """node, label: components of the similar sets of ``shingle_sets``; sets without a partner are left out."""
+    """set_id, label: components of the similar sets of ``shingle_sets``; sets without a partner are left out."""
     asking = stored.where("short is not null")
-    entries = asking.groupBy("set_id").agg(F.min("row").alias("row"))
-    members = asking.join(entries.select("row"), "row", "left_semi")
-    place = F.xxhash64("set_id") / F.lit(2.0**64) + 0.5
-    lists = members.select(
-        F.posexplode("short").alias("at", "token"), "set_id", place.alias("place"), F.col("n_shingles").alias("n"), "n_alone", F.col("set_id").alias("label")
-    )
+    # one row stands for all documents of a set, and its number for the set
+    nodes = materialise(asking.groupBy("set_id").agg(F.min("row").alias("row")), "nodes")
+    place = F.xxhash64("row") / F.lit(2.0**64) + 0.5
+    lists = _only(asking, nodes.select("row"), "row").select(
+        F.posexplode("short").alias("at", "token"), F.col("row").alias("node"), place.alias("place"),
+        F.col("n_shingles").alias("n"), "n_alone", "parity",
+    )
     lists = materialise(lists, "lists")
-    several = lists.groupBy("token").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low <> high")
-    lists = materialise(lists.join(several.select("token"), "token", "left_semi"), "lists")
-    kept = members.join(lists.select("set_id").distinct(), "set_id", "left_semi")
-    sets = materialise(kept.select("set_id", F.col("n_shingles").alias("n"), "short", "shingles"), "probed-sets")
+    several = lists.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+    lists = materialise(lists.join(several.select("token"), "token", "left_semi").withColumn("label", F.col("node")), "lists")
+    met = materialise(lists.select(F.col("node").alias("row")).distinct(), "met")
+    sets = _only(asking, met, "row").select(F.col("row").alias("node"), F.col("n_shingles").alias("n"), "short", "shingles")
+    sets = materialise(sets, "probed-sets")
 
     labels = compared = None
     pivots = 1
+    own = ("at", "place", "n", "n_alone", "parity", "label")
     while True:
         # places are even between the first one left and 1, so this part of them holds ``pivots`` members on the average
         cut = F.min("place") + (1 - F.min("place")) * (pivots - 0.5) / F.count(F.lit(1))
         placed = lists.join(lists.groupBy("token").agg(cut.alias("cut")), "token")
         chosen = placed.where("place <= cut").select(
-            F.col("token").alias("p_token"), F.col("set_id").alias("a"), F.col("place").alias("p_place"), F.col("n").alias("p_n"),
-            F.col("n_alone").alias("p_alone"), F.col("at").alias("p_at"), F.col("label").alias("p_label"),
+            F.col("token").alias("p_token"), F.col("node").alias("a"),
+            *(F.col(c).alias({"n_alone": "p_alone"}.get(c, f"p_{c}")) for c in own),
         )
-        meets = (F.col("token") == F.col("p_token")) & (F.col("label") != F.col("p_label"))
-        later = F.struct("place", "set_id") > F.struct("p_place", F.col("a"))
-        pairs = lists.join(chosen, meets & later & _can_link(percent)).select("a", F.col("set_id").alias("b")).distinct()
+        meets = F.expr("token = p_token and label <> p_label and (place > p_place or place = p_place and node > a)")
+        pairs = lists.join(chosen, meets & _can_link(percent)).select("a", F.col("node").alias("b")).distinct()
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
@@ -247,13 +272,13 @@ def similar_sets(stored: DataFrame, percent: int, more: int = MORE) -> DataFrame
         if labels is not None:
             links = links.unionAll(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
         labels = components(links)
-        named = labels.select(F.col("node").alias("set_id"), F.col("label").alias("of"))
-        rest = placed.where("place > cut").select("token", "at", "set_id", "place", "n", "n_alone").join(named, "set_id", "left")
-        rest = materialise(rest.select("token", "at", "set_id", "place", "n", "n_alone", F.coalesce("of", "set_id").alias("label")), "lists")
+        named = labels.select("node", F.col("label").alias("of"))
+        rest = placed.where("place > cut").drop("cut").join(named, "node", "left")
+        rest = materialise(rest.withColumn("label", F.coalesce("of", "node")).drop("of"), "lists")
         mixed = rest.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
         lists = materialise(rest.join(mixed.select("token"), "token", "left_semi"), "lists")
         if lists.isEmpty():
-            return labels
+            return labels.join(nodes, F.col("node") == F.col("row")).select("set_id", "label")
         pivots *= more
 
 
@@ -271,10 +296,10 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> Data
     if not 0 < percent <= 100 or size < 1:
         raise ValueError("percent must lie in 1 to 100, size must be positive")
     stored = shingle_sets(docs, size, percent)
-    labels = similar_sets(stored, percent).withColumnRenamed("node", "set_id")
+    labels = similar_sets(stored, percent)
     alone = F.col("n_shingles") == 0
     own = stored.select("doc_id", "text_key", "n_shingles", "set_id", "row").join(labels, "set_id", "left")
-    key = F.when(alone, F.concat(F.lit("row"), F.col("row").cast("string")).cast("binary")).otherwise(F.coalesce("label", "set_id"))
+    key = F.when(alone, F.concat(F.lit("row"), "row")).otherwise(F.coalesce(F.col("label").cast("string"), F.base64("set_id")))
     own = materialise(own.select("doc_id", "text_key", "n_shingles", "row", key.alias("component")), "components")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "row")
     firsts = own.groupBy("component").agg(F.min(place).alias("place"))
