@@ -177,11 +177,11 @@ def _has_letter(slab: Slab) -> np.ndarray:
     return found
 
 
-def _predictor(net: ByteNet | None, names: list[str]):
+def _predictor(net: ByteNet | None, names: list[str], text_in: str | None = None):
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rest = batch.select(names)
-            for slab in slabs(batch.column("text")):
+            for slab in slabs(batch.column(text_in).field("text") if text_in else batch.column("text")):
                 best, score = np.zeros(slab.n, int), np.zeros(slab.n)
                 letters = _has_letter(slab) & (net is not None)
                 if net is not None:
@@ -232,6 +232,7 @@ def identify_languages(docs: DataFrame, per_label: int = 256) -> DataFrame:
 
 def accepted(docs: DataFrame, min_score: float = 0.4, per_label: int = 256) -> DataFrame:
     """The rows of ``docs`` whose language is named with a score of at least ``min_score``; all columns as they are."""
-    whole = F.struct(*docs.columns).alias("row")
-    judged = predict(docs.select(whole, F.col("text").alias("text")), learned_net(docs, per_label))
+    whole = docs.withColumn("text", F.col("text").cast("string")).select(F.struct(*docs.columns).alias("row"))
+    schema = f"row {whole.schema['row'].dataType.simpleString()}, lang_pred string, score double"
+    judged = whole.mapInArrow(_predictor(learned_net(docs, per_label), ["row"], "row"), schema)
     return judged.where((F.col("lang_pred") != NONE) & (F.col("score") >= min_score)).select("row.*")

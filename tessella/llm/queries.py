@@ -16,7 +16,7 @@ from .mixing import mix_sources
 from .ngram_join import similar_documents
 from .quality import COUNTS, host_quality
 from .repeats import repeated_strings
-from .shipping import ship_package
+from .session import prepare
 from .url_rules import judge_urls, rule_table
 
 #: Host, path and verdict of the URL rules.
@@ -30,7 +30,7 @@ URL_RULES = [
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

@@ -20,7 +20,7 @@ from tessella.llm.ngram_join import one_of_each, similar_documents
 from tessella.llm.quality import host_quality
 from tessella.llm.queries import QUERIES, URL_RULES
 from tessella.llm.repeats import repeated_strings
-from tessella.llm.shipping import ship_package
+from tessella.llm.session import prepare
 from tessella.llm.url_rules import judge_urls, rule_table
 
 SMALL, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -54,7 +54,7 @@ ITEMS = [(1, PASSAGE), (1, PASSAGE.upper()), (2, "one, two"), (3, ""), (4, None)
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    ship_package(spark)
+    prepare(spark)
     rows = [(*r, len(r[1] or "")) for r in ODD]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     return docs.withColumns({c: F.lit("clash") for c in CLASHING}).repartition(3)
@@ -73,7 +73,7 @@ def as_set(rows):
 
 
 def documents(spark, folder):
-    ship_package(spark)
+    prepare(spark)
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     return docs, [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
 
@@ -368,7 +368,7 @@ def test_layout():
 
 
 def test_html_of_odd_rows(spark):
-    ship_package(spark)
+    prepare(spark)
     rows = [(1, None), (2, ""), (3, "plain  text"), (3, "plain  text"), (None, "<p>x"), (4, "<a " + 'x="' * 50_000), (5, "<b>" * 20_000 + "y")]
     pages = spark.createDataFrame(rows, "page_id long, html string").withColumns({"text": F.lit("clash"), "url": F.lit("clash")})
     want = [(1, ""), (2, ""), (3, "plain text"), (3, "plain text"), (None, "x"), (4, ""), (5, "y")]
@@ -401,7 +401,7 @@ def test_quality(spark, odd, nothing):
 
 
 def test_failing_hosts_lose_their_documents(spark):
-    ship_package(spark)
+    prepare(spark)
     good = [(k, prose(80), f"host{k % 6}") for k in range(120)]
     bad = [(1000 + k, "short" if k % 5 else prose(80), "bad") for k in range(60)] + [(2000, prose(80), "small"), (2001, "short", "small")]
     rows = {r["doc_id"]: r for r in host_quality(spark.createDataFrame(good + bad, "doc_id long, text string, source string")).collect()}
