@@ -34,13 +34,21 @@ def date_split(spark, folder):
 
 
 def to_double(spark, folder):
-    part = table(spark, folder, "part").select("p_partkey", "p_size", F.substring("p_brand", 7, 100).alias("brand"))
+    part = table(spark, folder, "part").select("p_partkey", "p_size", F.expr("substring(p_brand, 7)").alias("brand"))
     return applied(part, numbers_to_double(["p_size", "brand"]))
 
 
-def string_index(spark, folder, max_labels=100_000):
+def string_index(spark, folder, label_bytes=1 << 20):
     events = events_with_gaps(spark, folder).select("event_id", "event_type")
-    return applied(events, index_categories(events, ["event_type"], max_labels))
+    return applied(events, index_categories(events, ["event_type"], label_bytes))
+
+
+def nominal_counts(spark, folder):
+    """Number of categories in the metadata of a column, whichever way it is indexed."""
+    found = [string_index(spark, folder, limit).schema["event_typeIndex"].metadata["ml_attr"] for limit in (0, 1 << 20)]
+    total = events_with_gaps(spark, folder).agg(F.count_distinct("event_type").alias("distinct_values"))
+    same = F.lit(found[0] == found[1] and found[0]["type"] == "nominal")
+    return total.select("distinct_values", F.lit(found[0]["num_vals"]).cast("long").alias("categories"), same.alias("same"))
 
 
 def text_index(spark, folder):
@@ -83,6 +91,7 @@ QUERIES = {
     "feat_date_split": date_split,
     "feat_to_double": to_double,
     "feat_string_index": string_index,
+    "feat_nominal_counts": nominal_counts,
     "feat_string_index_table": lambda s, d: string_index(s, d, 0),
     "feat_text_index_table": text_index,
     "feat_impute": impute,
@@ -129,6 +138,9 @@ ORACLES = {
     "feat_to_double": """
         select p_partkey, p_size::double as p_size, try_cast(substr(p_brand, 7) as double) as brand from part""",
     "feat_string_index": f"select event_id, event_typeIndex from ({indexed(EVENTS_WITH_GAPS, 'event_type')})",
+    "feat_nominal_counts": f"""
+        select count(distinct event_type) as distinct_values, count(distinct event_type) + 1 as categories, true as same
+        from ({EVENTS_WITH_GAPS})""",
     "feat_string_index_table": f"select event_id, event_typeIndex from ({indexed(EVENTS_WITH_GAPS, 'event_type')})",
     "feat_text_index_table": f"select doc_id, textIndex from ({indexed('select doc_id, text from documents', 'text')})",
     "feat_impute": """

@@ -2,7 +2,7 @@
 
 The steps keep a fixed order: split the time column, cast numbers, index categories, fill gaps with
 means. Each step is one multi-column stage. Plain steps are SQLTransformer stages, so a saved
-pipeline needs no Python classes to load, except for categories with too many values (TableIndexer).
+pipeline needs no Python classes to load, except for categories (CategoryCount, TableIndexer).
 """
 
 from __future__ import annotations
@@ -17,13 +17,15 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import DATE_PARTS, column, quoted, to_second_sql
 from ..functions.kinds import BOOLEAN, NUMERIC, TEXT, effective_types, kind, require_flat
-from .indexing import TableIndexer
+from .indexing import CategoryCount, TableIndexer
 from .projections import cast_to_double, drop_empty_columns, drop_missing_target, select_columns, without_target
 
 CLASSIFICATION, REGRESSION = "classification", "regression"
 
-# Most distinct values a label array on the driver may hold; the count is estimated before fitting.
-MAX_LABELS = 100_000
+# Bytes that a column's labels may take on the driver and in the model; beyond, they live in a table.
+LABEL_BYTES = 8 << 20
+# Allowance for the error of the estimated number of labels.
+MARGIN = 1.3
 
 
 @dataclass(frozen=True)
@@ -36,7 +38,7 @@ class FeatureSpec:
     corrected_types: Mapping[str, str] | None = None
     impute_dates: bool = False
     nominal: bool = False  # keep category metadata: categories are then not passed through the imputer
-    max_labels: int = MAX_LABELS
+    label_bytes: int = LABEL_BYTES
 
     def inputs(self) -> list[str]:
         return without_target(self.columns, self.target) if self.target else list(self.columns)
@@ -111,20 +113,23 @@ def numbers_to_double(names: Sequence[str]) -> list[SQLTransformer]:
     return [_replace({c: f"try_cast({quoted(c)} AS double)" for c in names})] if names else []
 
 
-def _label_counts(df: DataFrame, names: Sequence[str]) -> list[int]:
-    row = df.agg(*[F.approx_count_distinct(column(c)).alias(f"c{i}") for i, c in enumerate(names)]).first()
-    return list(row)
+def _label_bytes(df: DataFrame, names: Sequence[str]) -> list[float]:
+    """Bytes of all labels at most: their number times the longest one."""
+    figures = [f for c in names for f in (F.approx_count_distinct(column(c)), F.max(F.octet_length(column(c).cast("string"))))]
+    row = df.agg(*figures).first()
+    return [MARGIN * row[2 * i] * (row[2 * i + 1] or 0) for i in range(len(names))]
 
 
-def index_categories(df: DataFrame, names: Sequence[str], max_labels: int = MAX_LABELS) -> list:
+def index_categories(df: DataFrame, names: Sequence[str], label_bytes: int = LABEL_BYTES) -> list:
     """Index by descending frequency, ties alphabetical; null and unseen values share the last index.
 
-    The estimate decides where the labels live: an array in the model, or a table for long lists.
+    The bytes of the labels decide where they live: in an array of the model, or in a table. Index and metadata (the
+    number of categories) are the same for both.
     """
     if not names:
         return []
-    counts = dict(zip(names, _label_counts(df, names)))
-    short = [c for c in names if counts[c] <= max_labels]
+    sizes = dict(zip(names, _label_bytes(df, names)))
+    short = [c for c in names if sizes[c] <= label_bytes]
     stages: list = []
     if short:
         stages.append(
@@ -135,6 +140,7 @@ def index_categories(df: DataFrame, names: Sequence[str], max_labels: int = MAX_
                 stringOrderType="frequencyDesc",
             )
         )
+        stages += [CategoryCount(inputCol=index_name(c)) for c in short]
     stages += [TableIndexer(inputCol=c, outputCol=index_name(c)) for c in names if c not in short]
     return [*stages, _replace({}, names)]
 
@@ -158,7 +164,7 @@ def build_pipeline(df: DataFrame, spec: FeatureSpec) -> Pipeline:
             *[s for c in roles.times for s in split_date(df, c, spec.time[1])],
             *numbers_to_double(roles.numbers),
             *([_replace(recast)] if recast else []),
-            *index_categories(df, roles.categories, spec.max_labels),
+            *index_categories(df, roles.categories, spec.label_bytes),
             *impute_means(filled),
         ]
     )
@@ -200,7 +206,7 @@ def training_frame(
     extra = [column(c) for c in keep if c not in chosen.columns]
     inputs = [c for c in spec.inputs() if c in chosen.columns]
     spec = FeatureSpec(
-        tuple(inputs), spec.target, spec.time, spec.corrected_types, spec.impute_dates, spec.nominal, spec.max_labels
+        tuple(inputs), spec.target, spec.time, spec.corrected_types, spec.impute_dates, spec.nominal, spec.label_bytes
     )
     model = fit_features(chosen, spec)
     frame = model.transform(df.select(*[column(c) for c in chosen.columns], *extra))

@@ -12,7 +12,39 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import column
 from ..scratch import new_path
-from .value_table import BROADCAST_BYTES, category_table, look_up
+from .value_table import BROADCAST_BYTES, Facts, category_table, look_up, table_facts
+
+
+def _counted(dataset: DataFrame, name: str, count: int) -> DataFrame:
+    """Metadata that a column is a category of ``count`` values; the labels are not repeated there."""
+    attribute = {"ml_attr": {"name": name, "type": "nominal", "num_vals": count}}
+    return dataset.withMetadata(name, attribute)
+
+
+class CategoryCount(Estimator, HasInputCol, DefaultParamsReadable, MLWritable):
+    """Replaces the labels in a category's metadata, which can be long, by their number. Reads no rows."""
+
+    @keyword_only
+    def __init__(self, *, inputCol: str | None = None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _fit(self, dataset: DataFrame) -> CategoryCountModel:
+        labels = dataset.schema[self.getInputCol()].metadata["ml_attr"]["vals"]
+        return self._copyValues(CategoryCountModel()._set(count=len(labels)))
+
+    def write(self) -> MLWriter:
+        return DefaultParamsWriter(self)
+
+
+class CategoryCountModel(Model, HasInputCol, DefaultParamsReadable, MLWritable):
+    count = Param(Params._dummy(), "count", "number of categories", typeConverter=TypeConverters.toInt)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return _counted(dataset, self.getInputCol(), self.getOrDefault(self.count))
+
+    def write(self) -> MLWriter:
+        return DefaultParamsWriter(self)
 
 
 class _TableIndexerParams(HasInputCol, HasOutputCol):
@@ -37,6 +69,7 @@ class TableIndexer(Estimator, _TableIndexerParams, DefaultParamsReadable, MLWrit
         path = new_path(dataset.sparkSession, "index")
         category_table(dataset, self.getInputCol()).write.parquet(path)
         model = TableIndexerModel(path)
+        model._set(facts=[float(x) for x in table_facts(model.table())])
         return self._copyValues(model)
 
     def write(self) -> MLWriter:
@@ -44,26 +77,24 @@ class TableIndexer(Estimator, _TableIndexerParams, DefaultParamsReadable, MLWrit
 
 
 class TableIndexerModel(Model, _TableIndexerParams, MLWritable, MLReadable):
-    """Looks values up in the index table; null and unseen values get the next free index."""
+    """Looks values up in the index table; null and unseen values get the next free index. Applying it starts no job."""
 
-    def __init__(self, path: str):
+    facts = Param(Params._dummy(), "facts", "figures of the index table", typeConverter=TypeConverters.toListFloat)
+
+    def __init__(self, path: str = ""):
         super().__init__()
         self.path = path
-        self._labels: int | None = None
 
     def table(self) -> DataFrame:
         return SparkSession.active().read.parquet(self.path)
 
-    def labels(self) -> int:
-        if self._labels is None:
-            self._labels = self.table().count()
-        return self._labels
-
     def _transform(self, dataset: DataFrame) -> DataFrame:
         source, output, table = self.getInputCol(), self.getOutputCol(), self.table()
+        facts = Facts(*(int(x) for x in self.getOrDefault(self.facts)))
         key = column(source).cast("string")
-        found = look_up(dataset, key, table, output, self.getOrDefault(self.broadcastBytes))
-        return found.withColumn(output, F.coalesce(column(output), F.lit(float(self.labels()))))
+        found = look_up(dataset, key, table, output, self.getOrDefault(self.broadcastBytes), facts)
+        filled = found.withColumn(output, F.coalesce(column(output), F.lit(float(facts.values))))
+        return _counted(filled, output, facts.values + 1)
 
     def write(self) -> MLWriter:
         return _TableIndexerModelWriter(self)

@@ -8,6 +8,8 @@ over many join partitions because they need no further match. What is left has n
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,8 +19,9 @@ from ..scratch import materialise
 from .row_id import PART, POSITION, add_row_id, sorted_table, with_offsets
 
 HOT = 1000
-SPREAD = 256
 BROADCAST_BYTES = 32 * 1024 * 1024
+#: Frequent values are broadcast up to these bytes even if the table as a whole is not.
+FREQUENT_BYTES = 8 * 1024 * 1024
 
 
 def value_counts(df: DataFrame, value: Column) -> DataFrame:
@@ -43,33 +46,55 @@ def rank_table(df: DataFrame, value: Column) -> DataFrame:
     return table.select("value", "n", (upto - (F.col("n") - 1) / F.lit(2.0)).alias("number"))
 
 
-def table_facts(table: DataFrame) -> tuple[int, int, int]:
-    """Rows counted, distinct values and bytes of a value table."""
-    size = F.sum(F.octet_length(F.col("value").cast("string")) + F.lit(32))
-    row = table.agg(F.sum("n"), F.count(F.lit(1)), size).first()
-    return int(row[0] or 0), int(row[1]), int(row[2] or 0)
+class Facts(NamedTuple):
+    """Rows counted, distinct values and bytes of a value table, and the bytes of its frequent values."""
+
+    rows: int
+    values: int
+    size: int
+    frequent_size: int
+
+
+def table_facts(table: DataFrame) -> Facts:
+    size = F.octet_length(F.col("value").cast("string")) + F.lit(32)
+    rows, values, total = (int(x or 0) for x in table.agg(F.sum("n"), F.count(F.lit(1)), F.sum(size)).first())
+    frequent = table.where(F.col("n") * HOT > rows).agg(F.sum(size)).first()[0]
+    return Facts(rows, values, total, int(frequent or 0))
 
 
 def look_up(
-    df: DataFrame, key: Column, table: DataFrame, output: str, broadcast_bytes: int = BROADCAST_BYTES
+    df: DataFrame,
+    key: Column,
+    table: DataFrame,
+    output: str,
+    broadcast_bytes: int = BROADCAST_BYTES,
+    facts: Facts | None = None,
 ) -> DataFrame:
-    """Add ``output``: the number of the key's value, null for no or an unknown value. ``table`` must be stored."""
-    counted, _, size = table_facts(table)
+    """Add ``output``: the number of the key's value, null for no or an unknown value. ``table`` must be stored.
+
+    Without ``facts`` the table is read for them. Frequent values that are too long to be broadcast are joined like the
+    others; adaptive execution then splits their partitions.
+    """
+    facts = facts or table_facts(table)
     keyed = df.withColumn("__value", key)
-    if size <= broadcast_bytes:
+    if facts.size <= broadcast_bytes:
         known = F.broadcast(table.select(F.col("value").alias("__value"), F.col("number").alias(output)))
         return keyed.join(known, "__value", "left").drop("__value")
-    frequent = F.col("n") * HOT > counted
+    if facts.frequent_size > max(broadcast_bytes, FREQUENT_BYTES):
+        known = table.select(F.col("value").alias("__value"), F.col("number").alias(output))
+        return keyed.join(known, "__value", "left").drop("__value")
+    frequent = F.col("n") * HOT > facts.rows
     hot = table.where(frequent).select(F.col("value").alias("__value"), F.col("number").alias("__hot"))
     cold = table.where(~frequent).select(
         F.col("value").alias("__value"), F.lit(0).alias("__spread"), F.col("number").alias("__cold")
     )
     settled = F.col("__hot").isNotNull() | F.col("__value").isNull()
-    spread = F.when(settled, 1 + F.spark_partition_id() % SPREAD).otherwise(0)
+    # settled rows need no match: each goes to a partition of its own choice, as many as the session has
+    spread = F.when(settled, 1 + F.monotonically_increasing_id()).otherwise(0)
     return (
         keyed.join(F.broadcast(hot), "__value", "left")
         .withColumn("__spread", spread)
-        .join(cold, ["__value", "__spread"], "left")
+        .join(cold.withColumn("__spread", F.col("__spread").cast("long")), ["__value", "__spread"], "left")
         .withColumn(output, F.coalesce("__hot", "__cold"))
         .drop("__value", "__spread", "__hot", "__cold")
     )

@@ -32,8 +32,8 @@ from ..operators.evaluate import metrics_classification, metrics_multiclass, met
 from ..operators.features import CLASSIFICATION, REGRESSION
 from ..operators.split import with_folds
 
-# Most classes a target may have.
-MAX_CLASSES = 10_000
+# Bytes that the class names of a target may take: models and the driver hold them.
+CLASS_BYTES = 16 << 20
 
 FEATURES, SCALED, LABEL, PREDICTION, PROBABILITY = "features", "scaled", "label", "prediction", "probability"
 
@@ -108,11 +108,13 @@ def assemble(names: Sequence[str]) -> list:
 def label_index(df: DataFrame, target: str) -> StringIndexerModel:
     """Classes by descending frequency; a class unknown to the model is an error when training.
 
-    The class names are held by the driver, so a target with too many of them is refused.
+    The class names are held by the driver, so a target whose names are too long together is refused. They are counted,
+    not estimated.
     """
-    classes = df.agg(F.approx_count_distinct(column(target))).first()[0]
-    if classes > MAX_CLASSES:
-        raise TessellaError(f"{target} has about {classes} values, too many for classes")
+    names = df.select(column(target).cast("string").alias("name")).distinct()
+    classes, size = names.agg(F.count("name"), F.sum(F.octet_length("name"))).first()
+    if (size or 0) > CLASS_BYTES:
+        raise TessellaError(f"{target} has {classes} values of {size} bytes, too many for classes")
     return StringIndexer(inputCol=target, outputCol=LABEL, stringOrderType="frequencyDesc", handleInvalid="error").fit(df)
 
 

@@ -131,4 +131,6 @@ def test_nominal_keeps_category_metadata(frame):
     kept = fit_features(frame, spec).transform(frame).schema["cIndex"].metadata
     plain = fit_features(frame, FeatureSpec(columns=("c", "n"))).transform(frame).schema["cIndex"].metadata
     assert kept["ml_attr"]["type"] == "nominal" and not plain
+    table = fit_features(frame, FeatureSpec(columns=("c", "n"), nominal=True, label_bytes=0)).transform(frame)
+    assert table.schema["cIndex"].metadata == kept and "vals" not in kept["ml_attr"]
     assert not math.isnan(fit_features(frame, spec).transform(frame).first().n)
