@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tessella.functions.cells import zero_if_missing
@@ -263,6 +265,131 @@ def metrics_by_fold(spark, folder):
     return found.withColumns({"mean": F.round("mean", 6), "sd": F.round("sd", 6)})
 
 
+# Checks: what must hold for a fitted model, whatever its random choices
+
+
+def one_feature_glm(spark, folder):
+    """The iterative linear model on one feature, to be compared with the closed form."""
+    lineitem = table(spark, folder, "lineitem")
+    frame = labelled(lineitem, PRICE, REGRESSION).select(LABEL, QUANTITY)
+    fitted = last_stage(train_family(frame, [QUANTITY], "GLM", REGRESSION, settings=SETTINGS).model)
+    row = [(float(fitted.intercept), float(fitted.coefficients[0]))]
+    return spark.createDataFrame(row, "intercept double, slope double").select(
+        F.round("intercept", 2).alias("intercept"), F.round("slope", 4).alias("slope")
+    )
+
+
+def beats_constant(models, s, metric, base):
+    """model, metrics (their number), rows, better: than the best constant, on the rows the models have seen."""
+    board = leaderboard(models, s.marked)
+    constant = s.marked.groupBy("split").agg(base.alias("base"), F.count(F.lit(1)).alias("rows"))
+    own = board.groupBy("model", "split").agg(
+        F.count("metric").alias("metrics"), F.max(F.when(F.col("metric") == metric, F.col("value"))).alias("value")
+    )
+    seen = own.join(constant, "split").where(F.col("split") == TRAIN)
+    return seen.select("model", "metrics", "rows", (F.col("value") < F.col("base")).alias("better"))
+
+
+def entropy(label):
+    """Log loss of the constant that fits a split best."""
+    p = F.avg(label)
+    return -(p * F.log(p) + (1 - p) * F.log(1 - p))
+
+
+def regression_checks(spark, folder):
+    s = price(spark, folder)
+    models = [s.fit(f) for f in ("DRF", "GLM", "XGBoost", "GBM")]
+    return beats_constant(models, s, "Root Mean Square Error", F.stddev_pop(LABEL))
+
+
+def class_checks(spark, folder):
+    s = quality(spark, folder)
+    models = [s.fit(f) for f in ("GLM", "GBM")]
+    return beats_constant(models, s, "logloss", entropy(F.col(LABEL)))
+
+
+def three_class_checks(spark, folder):
+    s = flag(spark, folder)
+    models = [s.fit(f) for f in ("DRF", "GBM", "DeepLearning")]
+    return beats_constant(models, s, "mean_per_class_error", F.lit(2 / 3))
+
+
+def board_checks(query):
+    """model, split, metrics: who is on a leaderboard, and with how many figures."""
+
+    def counted(spark, folder):
+        return query(spark, folder).groupBy("model", "split").agg(F.count("metric").alias("metrics"))
+
+    return counted
+
+
+def curve_checks(spark, folder):
+    """model, series, points, falls: the last training loss is below the first, last: it is the model's own metric."""
+    found = []
+    for setting, family, metric in ((price, "GBM", "Root Mean Square Error"), (price, "DRF", "Root Mean Square Error"), (quality, "GBM", "logloss")):
+        s = setting(spark, folder)
+        trained = s.fit(family)
+        curve = loss_curve_trees(trained.model, trained.score(s.train), trained.score(s.holdout), LABEL)
+        ends = curve.groupBy("series").agg(
+            F.count(F.lit(1)).alias("points"), F.min_by("value", "position").alias("first"), F.max_by("value", "position").alias("end")
+        )
+        series = F.when(F.col("split") == TRAIN, "training").otherwise("validation")
+        own = leaderboard([trained], s.marked).where(F.col("metric") == metric).select(series.alias("series"), F.col("value").alias("metric"))
+        name = F.lit(f"{family} {s.problem}")
+        found.append(
+            ends.join(own, "series").select(
+                name.alias("model"), "series", "points", ((F.col("end") <= F.col("first")) | (F.col("series") != "training")).alias("falls"),
+                (F.abs(F.col("end") - F.col("metric")) <= 1e-6 * F.abs("metric")).alias("last"),
+            )
+        )
+    return reduce(lambda a, b: a.unionAll(b), found)
+
+
+def history_checks(spark, folder):
+    """model, falls: the optimiser's objective never rises much and ends below its beginning."""
+    rows = []
+    for setting, family in ((price, "GLM"), (quality, "GLM"), (flag, "DeepLearning")):
+        s = setting(spark, folder)
+        values = [r["value"] for r in objective_curve(spark, s.fit(family).model).orderBy("position").collect()]  # iterations
+        rows.append((f"{family} {s.problem} {len(s.classes)}", len(values) > 1 and values[-1] <= values[0]))
+    return spark.createDataFrame(rows, "model string, falls boolean")
+
+
+def importance_checks(spark, folder):
+    """variables, total of the relative importances, largest scaled one."""
+    found = importance(spark, folder)
+    return found.agg(
+        F.count("variable").alias("variables"), F.round(F.sum("relative"), 9).alias("total"), F.max("scaled").alias("largest"),
+        F.bool_and(F.col("relative") >= 0).alias("positive"),
+    )
+
+
+def fold_checks(spark, folder):
+    """metric, sane: the mean over the folds lies between 0 and 1, or is not negative for the log loss; it may be undefined."""
+    found = folds(spark, folder)
+    sane = (F.col("mean") >= 0) & ((F.col("mean") <= 1) | (F.col("metric") == "logloss"))
+    return found.select("metric", F.coalesce(sane, F.lit(True)).alias("sane"))
+
+
+def report_checks(spark, folder):
+    """curve, series, rows of a report; the confusion matrix as its total."""
+    s = quality(spark, folder)
+    found = report(s.fit("GBM"), s.marked, s.key)
+    plain = found.curves.where("curve in ('Loss vs trees', 'Variable Importance')")
+    counted = plain.groupBy("curve", "series").agg(F.count(F.lit(1)).alias("rows"))
+    matrix = found.curves.where("curve = 'confusion_matrix'").agg(F.sum("y").cast("long").alias("rows"))
+    return counted.unionAll(matrix.select(F.lit("confusion_matrix"), F.lit("all"), "rows"))
+
+
+def store_checks(spark, folder):
+    """split, metrics of a report that was stored twice."""
+    s = quality(spark, folder)
+    path, found = new_path(spark, "report"), report(s.fit("GLM"), s.marked, s.key)
+    for _ in range(2):
+        store_report(found, path)
+    return spark.read.parquet(f"{path}/metrics").groupBy("model", "split").agg(F.count(F.lit(1)).alias("metrics"))
+
+
 def filled_actuals(spark, folder):
     return events_with_gaps(spark, folder).select("event_id", zero_if_missing(F.col("value")).alias("value"))
 
@@ -331,6 +458,18 @@ QUERIES = {
     "model_report": full_report(price, "DRF"),
     "model_report_classes": full_report(quality, "GBM"),
     "model_metrics_store": stored_report,
+    "train_glm_one_feature": one_feature_glm,
+    "regression_checks": regression_checks,
+    "class_checks": class_checks,
+    "three_class_checks": three_class_checks,
+    "stacked_checks": board_checks(stacked(price)),
+    "leaderboard_checks": board_checks(board(quality, "quality")),
+    "curve_checks": curve_checks,
+    "history_checks": history_checks,
+    "importance_checks": importance_checks,
+    "fold_checks": fold_checks,
+    "report_checks": report_checks,
+    "store_checks": store_checks,
 }
 
 
@@ -405,6 +544,12 @@ def gains_sql(source: str) -> str:
                      any_value(tn) as tn, any_value(tp) as tp from ({cumulative_sql(source)}) group by 1)"""
 
 
+def rows_sql(source: str, key: str) -> str:
+    """Rows of each split."""
+    split = f"case when {slot_sql(key, SEED, 100)} < 95 then 'train' else 'holdout' end"
+    return f"select {split} as split, count(*) as rows from {source} group by 1"
+
+
 SMALL, WIDE = "1e-4::double", "100.0::double"
 
 ORACLES = {
@@ -468,4 +613,39 @@ ORACLES = {
     "auc_small_scores": auc_sql(exact_sql(SMALL), 9),
     "auc_wide_scores": auc_sql(exact_sql(WIDE, "-7.0::double"), 9),
     "metrics_classification_exact": f"select metric, round(value, 6) as value from ({classification_sql(exact_sql())})",
+    "model_reload": f"select count(*) as row_count, 0::bigint as different from lineitem where {slot_sql('l_orderkey', SEED, 100)} >= 95",
+    "train_glm_one_feature": f"select round(a, 2) as intercept, round(b, 4) as slope from ({LINE})",
+    "regression_checks": f"""
+        select model, 5::bigint as metrics, rows, true as better
+        from (values ('DRF'), ('GLM'), ('XGBoost'), ('GBM')) m(model), ({rows_sql('lineitem', 'l_orderkey')}) where split = 'train'""",
+    "class_checks": f"""
+        select model, 6::bigint as metrics, rows, true as better
+        from (values ('GLM'), ('GBM')) m(model), ({rows_sql('documents join labels using (doc_id)', 'doc_id')})
+        where split = 'train'""",
+    "three_class_checks": f"""
+        select model, 2::bigint as metrics, rows, true as better
+        from (values ('DRF'), ('GBM'), ('DeepLearning')) m(model), ({rows_sql('lineitem', 'l_orderkey')}) where split = 'train'""",
+    "stacked_checks": """
+        select 'StackedEnsemble' as model, split, 5::bigint as metrics from (values ('train'), ('holdout')) s(split)""",
+    "leaderboard_checks": """
+        select model, split, 6::bigint as metrics
+        from (values ('DRF_1'), ('GLM_2'), ('XGBoost_3'), ('GBM_4'), ('DeepLearning_5')) m(model),
+             (values ('train'), ('holdout')) s(split)""",
+    "curve_checks": f"""
+        select model, series, points::bigint as points, true as falls, true as last
+        from (values ('GBM regression', {SETTINGS.rounds}), ('DRF regression', {SETTINGS.trees}),
+                     ('GBM classification', {SETTINGS.rounds})) m(model, points),
+             (values ('training'), ('validation')) s(series)""",
+    "history_checks": """
+        select model, true as falls
+        from (values ('GLM regression 0'), ('GLM classification 2'), ('DeepLearning classification 3')) m(model)""",
+    "importance_checks": "select 12::bigint as variables, 1.0::double as total, 1.0::double as largest, true as positive",
+    "fold_checks": """
+        select metric, true as sane from (values ('accuracy'), ('precision'), ('recall'), ('f1'), ('logloss'), ('auc')) m(metric)""",
+    "report_checks": f"""
+        select 'Loss vs trees' as curve, series, {SETTINGS.rounds}::bigint as rows from (values ('training'), ('validation')) s(series)
+        union all select 'Variable Importance', 'scaled', 4
+        union all select 'confusion_matrix', 'all', count(*) from documents join labels using (doc_id)
+                  where {slot_sql('doc_id', SEED, 100)} >= 95""",
+    "store_checks": "select 'GLM' as model, split, 6::bigint as metrics from (values ('train'), ('holdout')) s(split)",
 }
