@@ -377,8 +377,8 @@ def report_checks(spark, folder):
     found = report(s.fit("GBM"), s.marked, s.key)
     plain = found.curves.where("curve in ('Loss vs trees', 'Variable Importance')")
     counted = plain.groupBy("curve", "series").agg(F.count(F.lit(1)).alias("rows"))
-    matrix = found.curves.where("curve = 'confusion_matrix'").agg(F.sum("y").cast("long").alias("rows"))
-    return counted.unionAll(matrix.select(F.lit("confusion_matrix"), F.lit("all"), "rows"))
+    matrix = found.curves.where("curve = 'confusion_matrix'").groupBy("label").agg(F.sum("y").cast("long").alias("rows"))
+    return counted.unionAll(matrix.select(F.lit("confusion_matrix"), "label", "rows"))
 
 
 def store_checks(spark, folder):
@@ -586,9 +586,15 @@ ORACLES = {
         group by metric""",
     "metrics_multiclass": """
         with g as (select l_returnflag as y, case when l_quantity > 25 then 'N' else 'R' end as p from lineitem),
-        c as (select y, count(*)::double as n, count(case when y = p then 1 end)::double as hit from g group by y)
-        select 'accuracy' as metric, round(sum(hit) / sum(n), 6) as value from c
-        union all select 'mean_per_class_error', round(avg(1 - hit / n), 6) from c""",
+        c as (select y, count(*)::double as n, count(case when y = p then 1 end)::double as hit,
+                     (select count(*) from g h where h.p = g.y)::double as called from g group by y),
+        m as (select sum(hit) / sum(n) as accuracy, avg(1 - hit / n) as mean_per_class_error, avg(coalesce(hit / nullif(called, 0), 0)) as precision,
+                     avg(hit / n) as recall, avg(2 * hit / (n + called)) as f1 from c)
+        select 'accuracy' as metric, round(accuracy, 6) as value from m
+        union all select 'mean_per_class_error', round(mean_per_class_error, 6) from m
+        union all select 'precision', round(precision, 6) from m
+        union all select 'recall', round(recall, 6) from m
+        union all select 'f1', round(f1, 6) from m""",
     "actual_vs_predicted": f"""
         with f as (select regr_intercept(l_extendedprice, l_quantity) as a, regr_slope(l_extendedprice, l_quantity) as b
                    from lineitem where {slot_sql('l_orderkey', SEED, 100)} < 95)
@@ -623,8 +629,8 @@ ORACLES = {
         from (values ('GLM'), ('GBM')) m(model), ({rows_sql('documents join labels using (doc_id)', 'doc_id')})
         where split = 'train'""",
     "three_class_checks": f"""
-        select model, 2::bigint as metrics, rows, true as better
-        from (values ('DRF'), ('GBM'), ('DeepLearning')) m(model), ({rows_sql('lineitem', 'l_orderkey')}) where split = 'train'""",
+        select model, metrics::bigint as metrics, rows, true as better
+        from (values ('DRF', 6), ('GBM', 5), ('DeepLearning', 6)) m(model, metrics), ({rows_sql('lineitem', 'l_orderkey')}) where split = 'train'""",
     "stacked_checks": """
         select 'StackedEnsemble' as model, split, 5::bigint as metrics from (values ('train'), ('holdout')) s(split)""",
     "leaderboard_checks": """
@@ -645,7 +651,7 @@ ORACLES = {
     "report_checks": f"""
         select 'Loss vs trees' as curve, series, {SETTINGS.rounds}::bigint as rows from (values ('training'), ('validation')) s(series)
         union all select 'Variable Importance', 'scaled', 4
-        union all select 'confusion_matrix', 'all', count(*) from documents join labels using (doc_id)
-                  where {slot_sql('doc_id', SEED, 100)} >= 95""",
+        union all select 'confusion_matrix', quality::varchar, count(*) from documents join labels using (doc_id)
+                  where {slot_sql('doc_id', SEED, 100)} >= 95 group by quality""",
     "store_checks": "select 'GLM' as model, split, 6::bigint as metrics from (values ('train'), ('holdout')) s(split)",
 }

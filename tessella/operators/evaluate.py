@@ -113,17 +113,47 @@ def _score(score: Column) -> Column:
     return F.when(~F.isnan(value), value)
 
 
-def metrics_multiclass(df: DataFrame, label: str, prediction: str, keys: Sequence[str] = ()) -> DataFrame:
-    """metric, value: accuracy and mean per-class error."""
-    counts = confusion_matrix(df, label, prediction, keys)
-    by_class = counts.groupBy(*keys, "label").agg(
-        F.sum("count").alias("n"), F.sum(F.when(F.col("label") == F.col("prediction"), F.col("count")).otherwise(0)).alias("hit")
+def metrics_multiclass(
+    df: DataFrame, label: str, prediction: str, keys: Sequence[str] = (), probability: str | None = None
+) -> DataFrame:
+    """metric, value: accuracy, mean per-class error, precision, recall and f1 as means over the classes, and logloss.
+
+    ``probability`` is the one given to the row's own class. A class that is never predicted has precision 0, one that
+    is only predicted does not count. Rows without label or prediction are left out.
+    """
+    names = [column(k) for k in keys]
+    cells = [column(label).alias("label"), column(prediction).alias("prediction")]
+    if probability is not None:
+        clipped = F.greatest(column(probability), F.lit(PROBABILITY_FLOOR))
+        cells.append((-F.log(clipped)).alias("loss"))
+    sums = [F.count(F.lit(1)).alias("n")] + ([F.sum("loss").alias("loss")] if probability is not None else [])
+    counts = df.select(*names, *cells).groupBy(*names, "label", "prediction").agg(*sums)
+    known = F.col("label").isNotNull() & F.col("prediction").isNotNull()
+    n, hit = F.when(known, F.col("n")).otherwise(0), known & (F.col("label") == F.col("prediction"))
+    loss = F.when(known, F.col("loss")) if probability is not None else F.lit(None).cast("double")
+    zero = F.lit(0).cast("long")
+    both = F.array(
+        F.struct(F.col("label").cast("string").alias("class"), n.alias("n"), F.when(hit, n).otherwise(0).alias("hit"), zero.alias("called"), loss.alias("loss")),
+        F.struct(F.col("prediction").cast("string").alias("class"), zero.alias("n"), zero.alias("hit"), n.alias("called"), F.lit(None).cast("double").alias("loss")),
     )
-    wide = by_class.groupBy(*keys).agg(
-        (F.sum("hit").cast("double") / F.sum("n")).alias("accuracy"),
-        F.avg(1 - F.col("hit").cast("double") / F.col("n")).alias("mean_per_class_error"),
+    by_class = (
+        counts.select(*names, F.inline(both))
+        .groupBy(*names, "class")
+        .agg(*[F.sum(c).alias(c) for c in ("n", "hit", "called", "loss")])
+        .where("class is not null and n > 0")
     )
-    return _long(wide, keys)
+    recall = F.col("hit") / F.col("n")
+    precision = F.coalesce(F.try_divide(F.col("hit").cast("double"), F.col("called")), F.lit(0.0))
+    figures = {
+        "accuracy": F.sum("hit").cast("double") / F.sum("n"),
+        "mean_per_class_error": F.avg(1 - recall),
+        "precision": F.avg(precision),
+        "recall": F.avg(recall),
+        "f1": F.avg(2 * F.col("hit") / (F.col("n") + F.col("called"))),
+    }
+    if probability is not None:
+        figures["logloss"] = F.sum("loss") / F.sum("n")
+    return _long(by_class.groupBy(*names).agg(*[v.alias(m) for m, v in figures.items()]), keys)
 
 
 def summarise_folds(metrics: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Reports of trained models as two long tables.
 
-metrics: model, split, metric, value
+metrics: model, positive, split, metric, value; of two classes, figures are about the positive one
 curves:  model, curve, series, position, label, x, y
 """
 
@@ -17,14 +17,12 @@ from ..operators.evaluate import (
     actual_vs_predicted,
     confusion_matrix,
     gains_lift,
-    metrics_classification,
-    metrics_multiclass,
     metrics_regression,
     roc_curve,
 )
 from ..operators.features import REGRESSION
 from ..operators.split import HOLDOUT, SPLIT, TRAIN, part
-from .train import LABEL, PREDICTION, STACKED, Settings, Trained, cross_validation_metrics, positive_probability
+from .train import LABEL, PREDICTION, STACKED, Settings, Trained, as_binary, class_metrics, cross_validation_metrics
 
 CURVE_COLUMNS = ("curve", "series", "position", "label", "x", "y")
 TREE_FAMILIES = ("DRF", "XGBoost", "GBM")
@@ -67,11 +65,19 @@ def metrics_of(trained: Trained, frame: DataFrame) -> DataFrame:
     scored = trained.score(frame)
     if trained.problem == REGRESSION:
         found = metrics_regression(scored, LABEL, PREDICTION, [SPLIT])
-    elif len(trained.classes) > 2:
-        found = metrics_multiclass(scored, LABEL, PREDICTION, [SPLIT])
     else:
-        found = metrics_classification(positive_probability(scored), LABEL, PREDICTION, "p1", [SPLIT])
-    return found.select(F.lit(trained.name).alias("model"), SPLIT, "metric", "value")
+        found = class_metrics(scored, trained.classes, trained.positive, [SPLIT])
+    return found.select(*_named(trained), SPLIT, "metric", "value")
+
+
+def _named(trained: Trained) -> list:
+    return [F.lit(trained.name).alias("model"), F.lit(trained.positive).cast("string").alias("positive")]
+
+
+def _class_name(trained: Trained, index: str):
+    """Name of the class with this index; a class without one keeps its number."""
+    names = F.array(*[F.lit(c) for c in trained.classes])
+    return F.coalesce(F.get(names, F.col(index).cast("int")), F.col(index).cast("string"))
 
 
 def report(trained: Trained, frame: DataFrame, key: str, folds: int = 0, settings: Settings = Settings()) -> Report:
@@ -96,17 +102,17 @@ def report(trained: Trained, frame: DataFrame, key: str, folds: int = 0, setting
         matrix = confusion_matrix(scored, LABEL, PREDICTION)
         curves.append(
             _curve(
-                matrix, "confusion_matrix", F.col("prediction").cast("string"), F.lit(None), F.col("label").cast("string"), _no_number(), F.col("count")
+                matrix, "confusion_matrix", _class_name(trained, "prediction"), F.lit(None), _class_name(trained, "label"), _no_number(), F.col("count")
             )
         )
         if binary:
-            with_p = positive_probability(scored)
+            with_p = as_binary(scored, trained.classes, trained.positive)
             curves += _series(
-                gains_lift(with_p, LABEL, "p1"),
+                gains_lift(with_p, "actual", "p1"),
                 "lift_gain", "group", "group",
                 "cumulative_lift", "cumulative_data_fraction", "cumulative_capture_rate",
             )
-            roc = roc_curve(with_p, LABEL, "p1")
+            roc = roc_curve(with_p, "actual", "p1")
             curves.append(_curve(roc, "roc", F.lit("tpr"), F.lit(None), _no_text(), F.col("fpr"), F.col("tpr")))
         if trees and binary:
             curves.append(_loss(loss_curve_trees(trained.model, scored_train, scored, LABEL), "Loss vs trees"))
@@ -119,9 +125,9 @@ def report(trained: Trained, frame: DataFrame, key: str, folds: int = 0, setting
     if folds:
         training = part(frame, TRAIN)
         found = cross_validation_metrics(
-            training, key, trained.features, trained.family, trained.problem, folds, trained.classes, settings
+            training, key, trained.features, trained.family, trained.problem, folds, trained.classes, settings, trained.positive
         )
-        means = found.select(F.lit(trained.name).alias("model"), F.lit("cross_validation").alias(SPLIT), "metric", F.col("mean").alias("value"))
+        means = found.select(*_named(trained), F.lit("cross_validation").alias(SPLIT), "metric", F.col("mean").alias("value"))
         metrics = metrics.unionByName(means)
     return Report(metrics, lines)
 

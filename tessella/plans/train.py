@@ -145,20 +145,38 @@ class Trained:
     model: PipelineModel
     features: list[str]
     classes: list[str]
+    positive: str | None = None
 
     def score(self, df: DataFrame) -> DataFrame:
         return self.model.transform(df)
 
 
+def positive_class(classes: Sequence[str], wanted: str | None = None) -> str | None:
+    """Of two classes the one that precision, recall, AUC and gains are about: the last in alphabetical order, if none is named.
+
+    It does not depend on which class is rarer.
+    """
+    if wanted is not None and wanted not in classes:
+        raise TessellaError(f"{wanted} is none of the classes {list(classes)}")
+    return wanted if wanted is not None else max(classes) if len(classes) == 2 else None
+
+
 def train_family(
-    df: DataFrame, names: Sequence[str], family: str, problem: str, classes: Sequence[str] = (), settings: Settings = Settings(), name: str | None = None
+    df: DataFrame,
+    names: Sequence[str],
+    family: str,
+    problem: str,
+    classes: Sequence[str] = (),
+    settings: Settings = Settings(),
+    name: str | None = None,
+    positive: str | None = None,
 ) -> Trained:
-    """``df`` carries the feature columns and ``label``."""
+    """``df`` carries the feature columns and ``label``; ``positive`` names one of two classes."""
     fit = estimator(family, problem, len(names), max(len(classes), 2), settings)
     # A network does not converge on features of very different size; the other families do not mind.
     scale = [StandardScaler(inputCol=FEATURES, outputCol=SCALED, withMean=True)] if family == "DeepLearning" else []
     model = Pipeline(stages=[*assemble(names), *scale, fit]).fit(df)
-    return Trained(name or family, family, problem, model, list(names), list(classes))
+    return Trained(name or family, family, problem, model, list(names), list(classes), positive_class(classes, positive))
 
 
 def train(
@@ -230,11 +248,29 @@ def train_stacked(
         second = estimator("GLM", problem, len(outputs), count, settings).setFeaturesCol("base_features")
         level = Pipeline(stages=[gather, second]).fit(reduce(DataFrame.unionByName, unseen))
     model = PipelineModel([*prepare.stages, *first, *level.stages])
-    return Trained(STACKED, STACKED, problem, model, list(names), list(classes))
+    return Trained(STACKED, STACKED, problem, model, list(names), list(classes), positive_class(classes))
 
 
-def positive_probability(df: DataFrame, name: str = "p1") -> DataFrame:
-    return df.withColumn(name, vector_to_array(PROBABILITY)[1])
+def as_binary(df: DataFrame, classes: Sequence[str], positive: str | None) -> DataFrame:
+    """Adds actual and called (1 for the positive class, else 0) and p1, the probability of the positive class."""
+    place = list(classes).index(positive) if positive in classes else 1
+    return df.withColumns(
+        {
+            "actual": (F.col(LABEL) == place).cast("int"),
+            "called": (F.col(PREDICTION) == place).cast("int"),
+            "p1": vector_to_array(PROBABILITY)[place],
+        }
+    )
+
+
+def class_metrics(scored: DataFrame, classes: Sequence[str], positive: str | None, keys: Sequence[str]) -> DataFrame:
+    """metric, value of scored rows, for two classes or more."""
+    if len(classes) <= 2:
+        return metrics_classification(as_binary(scored, classes, positive), "actual", "called", "p1", keys)
+    own = PROBABILITY if PROBABILITY in scored.columns else None
+    if own:
+        scored = scored.withColumn(own, F.element_at(vector_to_array(own), F.col(LABEL).cast("int") + 1))
+    return metrics_multiclass(scored, LABEL, PREDICTION, keys, own)
 
 
 def cross_validated(
@@ -254,15 +290,21 @@ def cross_validated(
 
 
 def cross_validation_metrics(
-    df: DataFrame, key: str, names: Sequence[str], family: str, problem: str, folds: int = 5, classes: Sequence[str] = (), settings: Settings = Settings()
+    df: DataFrame,
+    key: str,
+    names: Sequence[str],
+    family: str,
+    problem: str,
+    folds: int = 5,
+    classes: Sequence[str] = (),
+    settings: Settings = Settings(),
+    positive: str | None = None,
 ) -> DataFrame:
     """metric, mean, sd over the folds."""
     scored = cross_validated(df, key, names, family, problem, folds, classes, settings)
     if problem == REGRESSION:
         return summarise_folds(metrics_regression(scored, LABEL, PREDICTION, ["fold"]))
-    if len(classes) > 2:
-        return summarise_folds(metrics_multiclass(scored, LABEL, PREDICTION, ["fold"]))
-    return summarise_folds(metrics_classification(positive_probability(scored), LABEL, PREDICTION, "p1", ["fold"]))
+    return summarise_folds(class_metrics(scored, classes, positive_class(classes, positive), ["fold"]))
 
 
 def save_model(trained: Trained, path: str) -> str:

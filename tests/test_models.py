@@ -32,6 +32,7 @@ from tessella.plans.train import (
     rotation,
     save_model,
     train,
+    train_family,
     train_stacked,
 )
 
@@ -129,7 +130,10 @@ def test_three_classes(data):
     for m in train(data, "m", ["a", "b"], CLASSIFICATION, settings=SMALL):
         curves = {r.curve for r in report(m, frame, "k").curves.select("curve").distinct().collect()}
         assert "confusion_matrix" in curves and not curves & {"roc", "lift_gain"}
-        assert {r.metric for r in metrics_of(m, frame).collect()} == {"accuracy", "mean_per_class_error"}
+        named = {"accuracy", "mean_per_class_error", "precision", "recall", "f1"}
+        assert {r.metric for r in metrics_of(m, frame).collect()} - {"logloss"} == named
+        matrix = report(m, frame, "k").curves.where("curve = 'confusion_matrix'").select("label").distinct().collect()
+        assert {r.label for r in matrix} == set("xyz")
     scored = score(m.model, frame, m.classes)
     assert {r.predicted_class for r in scored.select("predicted_class").distinct().collect()} <= set("xyz")
     assert {"p_x", "p_y", "p_z"} <= set(scored.columns) and "features" not in scored.columns
@@ -233,7 +237,9 @@ def test_confusion_and_multiclass(spark):
     df = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("b", "b")], "y string, p string")
     assert {(r.label, r.prediction): r["count"] for r in confusion_matrix(df, "y", "p").collect()} == {("a", "a"): 1, ("a", "b"): 1, ("b", "b"): 2}
     got = {r.metric: r.value for r in metrics_multiclass(df, "y", "p").collect()}
-    assert got == {"accuracy": 0.75, "mean_per_class_error": 0.25}
+    assert got == pytest.approx({"accuracy": 0.75, "mean_per_class_error": 0.25, "precision": 5 / 6, "recall": 0.75, "f1": (2 / 3 + 4 / 5) / 2})
+    with_p = df.withColumn("q", F.when(F.col("p") == F.col("y"), 0.5).otherwise(0.25))
+    assert {r.metric: r.value for r in metrics_multiclass(with_p, "y", "p", (), "q").collect()}["logloss"] == pytest.approx((3 * math.log(2) + math.log(4)) / 4)
 
 
 def test_actual_vs_predicted(spark):
@@ -326,3 +332,17 @@ def test_scoring_happens_once(spark, data):
     lines = [x.strip() for x in run_plan_text(roc).splitlines()]
     alone = [lines[i + 1] for i, x in enumerate(lines[:-1]) if "SinglePartition" in x]
     assert all("partial_sum" in x for x in alone)
+
+
+def test_positive_class_is_named_and_does_not_follow_the_counts(data):
+    index = label_index(data, "c")
+    frame = with_split(labelled(data, "c", CLASSIFICATION, index), "k", 1)
+    figures = {}
+    for positive in (None, "yes", "no"):
+        m = train_family(frame, ["a", "b"], "GLM", CLASSIFICATION, list(index.labels), SMALL, positive=positive)
+        found = {r.metric: r for r in metrics_of(m, frame).where("split = 'train'").collect()}
+        assert {r.positive for r in found.values()} == {positive or "yes"}
+        figures[positive] = (found["recall"].value, found["auc"].value)
+    assert figures[None] == figures["yes"] and figures["yes"][1] == pytest.approx(figures["no"][1])
+    with pytest.raises(TessellaError):
+        train_family(frame, ["a", "b"], "GLM", CLASSIFICATION, list(index.labels), SMALL, positive="maybe")
