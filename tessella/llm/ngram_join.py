@@ -35,7 +35,7 @@ PARITY = 4
 BROADCAST_IDS = 4_000_000
 #: Pivots of a list in a round, as a multiple of those in the round before.
 MORE = 8
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 QUESTION = "bucket int, chunk long, keys binary, counts binary"
 SETS = "n_shingles long, n_alone long, set_id binary, row long, short array<long>, parity array<long>, shingles binary"
 
