@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.cells import column
 from ..operators.curves import last_stage, loss_curve_trees, objective_curve, variable_importance
 from ..operators.evaluate import (
     actual_vs_predicted,
@@ -22,7 +23,8 @@ from ..operators.evaluate import (
 )
 from ..operators.features import REGRESSION
 from ..operators.split import HOLDOUT, SPLIT, TRAIN, part
-from .train import LABEL, PREDICTION, STACKED, Settings, Trained, as_binary, class_metrics, cross_validation_metrics
+from ..scratch import materialise
+from .train import LABEL, PREDICTION, STACKED, Settings, Trained, as_binary, class_metrics, cross_validation_metrics, held
 
 CURVE_COLUMNS = ("curve", "series", "position", "label", "x", "y")
 TREE_FAMILIES = ("DRF", "XGBoost", "GBM")
@@ -133,7 +135,10 @@ def report(trained: Trained, frame: DataFrame, key: str, folds: int = 0, setting
 
 
 def leaderboard(models: list[Trained], frame: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, [metrics_of(m, frame) for m in models])
+    """The metrics of all models; ``frame`` is read once, held while the models are applied, and the figures are stored."""
+    names = dict.fromkeys([LABEL, SPLIT, *(c for m in models for c in m.features)])
+    with held(frame.select(*[column(c) for c in names])) as kept:
+        return materialise(reduce(DataFrame.unionByName, [metrics_of(m, kept) for m in models]), "leaderboard")
 
 
 def store_report(found: Report, path: str) -> str:

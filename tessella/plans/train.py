@@ -31,6 +31,7 @@ from ..functions.cells import column
 from ..operators.evaluate import metrics_classification, metrics_multiclass, metrics_regression, summarise_folds
 from ..operators.features import CLASSIFICATION, REGRESSION
 from ..operators.split import with_folds
+from ..scratch import materialise
 
 # Bytes that the class names of a target may take: models and the driver hold them.
 CLASS_BYTES = 16 << 20
@@ -170,12 +171,19 @@ def train_family(
     settings: Settings = Settings(),
     name: str | None = None,
     positive: str | None = None,
+    prepared: PipelineModel | None = None,
 ) -> Trained:
-    """``df`` carries the feature columns and ``label``; ``positive`` names one of two classes."""
+    """``df`` carries the feature columns and ``label``; ``positive`` names one of two classes.
+
+    With ``prepared``, the fitted stages of ``assemble``, ``df`` carries the vector they make instead.
+    """
     fit = estimator(family, problem, len(names), max(len(classes), 2), settings)
     # A network does not converge on features of very different size; the other families do not mind.
     scale = [StandardScaler(inputCol=FEATURES, outputCol=SCALED, withMean=True)] if family == "DeepLearning" else []
-    model = Pipeline(stages=[*assemble(names), *scale, fit]).fit(df)
+    if prepared is None:
+        model = Pipeline(stages=[*assemble(names), *scale, fit]).fit(df)
+    else:
+        model = PipelineModel([*prepared.stages, *Pipeline(stages=[*scale, fit]).fit(df).stages])
     return Trained(name or family, family, problem, model, list(names), list(classes), positive_class(classes, positive))
 
 
@@ -187,15 +195,17 @@ def train(
     max_models: int | None = None,
     settings: Settings = Settings(),
 ) -> list[Trained]:
-    """Train the rotation on one held copy of the frame."""
+    """Train the rotation on one held copy of the frame: labels and assembled vectors, whose means are fitted once."""
     index = label_index(df, target) if problem == CLASSIFICATION else None
     classes = list(index.labels) if index else []
     chosen = rotation(problem, max_models or len(slots(problem)))
-    trained = []
-    with held(labelled(df, target, problem, index).select(LABEL, *[column(c) for c in names])) as frame:
-        for i, family in enumerate(chosen):
-            trained.append(train_family(frame, names, family, problem, classes, settings, f"{family}_{i + 1}"))
-    return trained
+    frame = labelled(df, target, problem, index).select(LABEL, *[column(c) for c in names])
+    prepared = Pipeline(stages=assemble(names)).fit(frame)
+    with held(prepared.transform(frame).select(LABEL, FEATURES)) as ready:
+        return [
+            train_family(ready, names, family, problem, classes, settings, f"{family}_{i + 1}", prepared=prepared)
+            for i, family in enumerate(chosen)
+        ]
 
 
 def fit_ols(df: DataFrame, target: str, names: Sequence[str]) -> Trained:
@@ -276,7 +286,10 @@ def class_metrics(scored: DataFrame, classes: Sequence[str], positive: str | Non
 def cross_validated(
     df: DataFrame, key: str, names: Sequence[str], family: str, problem: str, folds: int = 5, classes: Sequence[str] = (), settings: Settings = Settings()
 ) -> DataFrame:
-    """Every row scored by a model that has not seen it, with its ``fold``. Folds hang on the key."""
+    """label, fold, prediction (and probability) of every row, by a model that has not seen it. Folds hang on the key.
+
+    Models are fitted and applied to one held copy of the frame, and the scores are stored.
+    """
     marked = with_folds(df, key, folds, settings.seed)
 
     def fit(frame: DataFrame) -> Trained:
@@ -285,8 +298,9 @@ def cross_validated(
         return train_family(frame, names, family, problem, classes, settings)
 
     with held(marked.select(LABEL, "fold", *[column(c) for c in dict.fromkeys([key, *names])])) as frame:
-        models = [fit(frame.where(F.col("fold") != i)) for i in range(folds)]
-    return reduce(DataFrame.unionByName, [m.score(marked.where(F.col("fold") == i)) for i, m in enumerate(models)])
+        parts = [fit(frame.where(F.col("fold") != i)).score(frame.where(F.col("fold") == i)) for i in range(folds)]
+        wanted = [c for c in (LABEL, "fold", PREDICTION, PROBABILITY) if all(c in p.columns for p in parts)]
+        return materialise(reduce(DataFrame.unionByName, [p.select(*wanted) for p in parts]), "folds")
 
 
 def cross_validation_metrics(
