@@ -1,4 +1,4 @@
-"""The operators over the given tables, with production parameters, and their SQL."""
+"""The operators over the given tables, with production parameters."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from .lattice import score_texts
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .ngram_join import similar_documents
+from .oracles import ORACLES
 from .quality import COUNTS, host_quality
 from .repeats import repeated_strings
 from .session import prepare
@@ -92,19 +93,4 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES = {
-    "op10_url_rules": r"""
-      with parts as (
-        select page_id,
-               translate(case when url like '%://%' then regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1) else '' end,
-                         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
-               case when url like '%://%' then regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) else '' end as path
-        from pages),
-      rules(h, p, v) as (values ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
-        ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
-      fits as (
-        select page_id, host, path, h || p as rule, v,
-               row_number() over (partition by page_id order by length(h || p) desc) as n
-        from parts left join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p))
-      select page_id, host, path, rule, coalesce(v, 'allow') as verdict from fits where n = 1""",
-}
+__all__ = ["ORACLES", "QUERIES", "URL_RULES", "table"]
