@@ -234,7 +234,7 @@ def importance(spark, folder):
 def full_report(setting, family):
     def query(spark, folder):
         s = setting(spark, folder)
-        return report(s.fit(family), s.marked, s.key).curves
+        return report(s.fit(family), s.marked, s.key, 0).curves
 
     return query
 
@@ -374,7 +374,7 @@ def fold_checks(spark, folder):
 def report_checks(spark, folder):
     """curve, series, rows of a report; the confusion matrix as its total."""
     s = quality(spark, folder)
-    found = report(s.fit("GBM"), s.marked, s.key)
+    found = report(s.fit("GBM"), s.marked, s.key, 0)
     plain = found.curves.where("curve in ('Loss vs trees', 'Variable Importance')")
     counted = plain.groupBy("curve", "series").agg(F.count(F.lit(1)).alias("rows"))
     matrix = found.curves.where("curve = 'confusion_matrix'").groupBy("label").agg(F.sum("y").cast("long").alias("rows"))
@@ -384,7 +384,7 @@ def report_checks(spark, folder):
 def store_checks(spark, folder):
     """split, metrics of a report that was stored twice."""
     s = quality(spark, folder)
-    path, found = new_path(spark, "report"), report(s.fit("GLM"), s.marked, s.key)
+    path, found = new_path(spark, "report"), report(s.fit("GLM"), s.marked, s.key, settings=SETTINGS)
     for _ in range(2):
         store_report(found, path)
     return spark.read.parquet(f"{path}/metrics").groupBy("model", "split").agg(F.count(F.lit(1)).alias("metrics"))
@@ -653,5 +653,6 @@ ORACLES = {
         union all select 'Variable Importance', 'scaled', 4
         union all select 'confusion_matrix', quality::varchar, count(*) from documents join labels using (doc_id)
                   where {slot_sql('doc_id', SEED, 100)} >= 95 group by quality""",
-    "store_checks": "select 'GLM' as model, split, 6::bigint as metrics from (values ('train'), ('holdout')) s(split)",
+    "store_checks": """
+        select 'GLM' as model, split, 6::bigint as metrics from (values ('train'), ('holdout'), ('cross_validation')) s(split)""",
 }

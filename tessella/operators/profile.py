@@ -14,9 +14,10 @@ from pyspark.sql import types as T
 
 from ..functions.cells import can_be_nan, quoted, reading_sql
 from ..functions.kinds import NUMERIC, TEXT, is_floating, kind, require_flat
+from ..scratch import materialise
 
-# Columns per aggregate: wider frames take several passes, each reading only its own columns,
-# so that the generated code stays small enough to be compiled.
+# Columns per aggregate: wider frames take several passes, each reading only its own columns. Frames that
+# are merged from several sources are written once first.
 COLUMNS_PER_PASS = 50
 
 # What is asked of a column, as SQL text: aggregates by name, and the result columns made of them.
@@ -31,6 +32,8 @@ def _one_row_per_column(df: DataFrame, figures: Callable[[int, T.StructField, st
     """
     parts = []
     fields = list(enumerate(df.schema))
+    if len(fields) > COLUMNS_PER_PASS and df._jdf.queryExecution().optimizedPlan().collectLeaves().size() > 1:
+        df = materialise(df, "profiled")  # several passes would join again
     for start in range(0, len(fields), COLUMNS_PER_PASS):
         # Numbers are read once per cell, in the projection below the aggregate.
         cells, aggregates, structs = [], ["count(1) AS rows"], []

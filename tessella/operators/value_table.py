@@ -8,6 +8,7 @@ over many join partitions because they need no further match. What is left has n
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -38,12 +39,17 @@ def category_table(df: DataFrame, name: str) -> DataFrame:
     return ranked.select("value", (-F.col("less")).alias("n"), (F.col("id") - 1).cast("double").alias("number"))
 
 
-def rank_table(df: DataFrame, value: Column) -> DataFrame:
-    """value, n, number: the mean rank (from 1) of all rows holding the value."""
-    table = with_offsets(sorted_table(value_counts(df, value), ["value"]), __offset=F.sum("n"))
+def stored_rank_tables(df: DataFrame, names: Sequence[str], rows: int) -> DataFrame:
+    """place (of the column in ``names``), value, n, number: the mean rank (from 1) of all rows holding the value.
+
+    No column has gaps in its ``rows`` rows, so the ranks of a column begin where those of the earlier ones end.
+    """
+    cells = [F.struct(F.lit(i).alias("place"), F.col(c).alias("value")) for i, c in enumerate(names)]
+    counts = df.select(F.inline(F.array(*cells))).groupBy("place", "value").agg(F.count(F.lit(1)).alias("n"))
+    table = with_offsets(sorted_table(counts, ["place", "value"]), __offset=F.sum("n"))
     in_part = Window.partitionBy(PART).orderBy(POSITION).rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.col("__offset") + F.sum("n").over(in_part)
-    return table.select("value", "n", (upto - (F.col("n") - 1) / F.lit(2.0)).alias("number"))
+    upto = F.col("__offset") + F.sum("n").over(in_part) - F.col("place") * F.lit(rows)
+    return materialise(table.select("place", "value", "n", (upto - (F.col("n") - 1) / F.lit(2.0)).alias("number")), "ranks")
 
 
 class Facts(NamedTuple):
@@ -98,7 +104,3 @@ def look_up(
         .withColumn(output, F.coalesce("__hot", "__cold"))
         .drop("__value", "__spread", "__hot", "__cold")
     )
-
-
-def stored_rank_table(df: DataFrame, value: Column) -> DataFrame:
-    return materialise(rank_table(df, value), "ranks")

@@ -82,10 +82,10 @@ def _class_name(trained: Trained, index: str):
     return F.coalesce(F.get(names, F.col(index).cast("int")), F.col(index).cast("string"))
 
 
-def report(trained: Trained, frame: DataFrame, key: str, folds: int = 0, settings: Settings = Settings()) -> Report:
+def report(trained: Trained, frame: DataFrame, key: str, folds: int = 3, settings: Settings = Settings()) -> Report:
     """``frame`` carries features, ``label``, ``split`` and the key that orders rows.
 
-    With ``folds``, the means of the cross-validated metrics are added as a split of their own.
+    The means of the cross-validated metrics are a split of their own, but for ``folds=0``.
     """
     spark = frame.sparkSession
     scored_train, scored = trained.score(part(frame, TRAIN)), trained.score(part(frame, HOLDOUT))

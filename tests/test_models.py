@@ -81,7 +81,7 @@ def test_regression_rotation_and_reports(spark, data, tmp_path):
     glm = {(r.split, r.metric): r.value for r in board if r.model == "GLM_2"}
     assert glm["train", "Root Mean Square Error"] < 0.1
     for m in models:
-        found = report(m, frame, "k")
+        found = report(m, frame, "k", 0)
         curves = {r.curve for r in found.curves.select("curve").distinct().collect()}
         wanted = {"Actual vs Predictions", "Loss vs Iterations"} | ({"Variable Importance"} if m.family != "GLM" else set())
         assert curves == wanted
@@ -94,7 +94,7 @@ def test_loss_curves_match_the_model(data):
     for m in train(data, "y", ["a", "b"], REGRESSION, settings=SMALL):
         if m.family == "GLM":
             continue
-        last = report(m, frame, "k").curves.where("curve = 'Loss vs Iterations' and series = 'training'").orderBy(F.desc("position")).first()
+        last = report(m, frame, "k", 0).curves.where("curve = 'Loss vs Iterations' and series = 'training'").orderBy(F.desc("position")).first()
         rmse = metrics_of(m, frame).where("split = 'train' and metric = 'Root Mean Square Error'").first().value
         assert last.y == pytest.approx(rmse, rel=1e-9)
 
@@ -105,7 +105,7 @@ def test_class_loss_curves_match_the_model(data):
     for m in train(data, "c", ["a", "b"], CLASSIFICATION, settings=SMALL):
         if m.family not in ("DRF", "GBM", "XGBoost"):
             continue
-        last = report(m, frame, "k").curves.where("curve = 'Loss vs trees' and series = 'validation'").orderBy(F.desc("position")).first()
+        last = report(m, frame, "k", 0).curves.where("curve = 'Loss vs trees' and series = 'validation'").orderBy(F.desc("position")).first()
         value = metrics_of(m, frame).where("split = 'holdout' and metric = 'logloss'").first().value
         assert last.y == pytest.approx(value, rel=1e-6)
 
@@ -114,7 +114,7 @@ def test_two_class_reports(data):
     index = label_index(data, "c")
     frame = with_split(labelled(data, "c", CLASSIFICATION, index), "k", 1)
     for m in train(data, "c", ["a", "b"], CLASSIFICATION, settings=SMALL):
-        found = report(m, frame, "k")
+        found = report(m, frame, "k", 0)
         curves = {r.curve for r in found.curves.select("curve").distinct().collect()}
         extra = {"Loss vs trees", "Variable Importance"} if m.family in ("DRF", "GBM", "XGBoost") else {"Deviance vs Iter"}
         assert curves == {"confusion_matrix", "lift_gain", "roc"} | extra
@@ -128,11 +128,11 @@ def test_three_classes(data):
     index = label_index(data, "m")
     frame = with_split(labelled(data, "m", CLASSIFICATION, index), "k", 1)
     for m in train(data, "m", ["a", "b"], CLASSIFICATION, settings=SMALL):
-        curves = {r.curve for r in report(m, frame, "k").curves.select("curve").distinct().collect()}
+        curves = {r.curve for r in report(m, frame, "k", 0).curves.select("curve").distinct().collect()}
         assert "confusion_matrix" in curves and not curves & {"roc", "lift_gain"}
         named = {"accuracy", "mean_per_class_error", "precision", "recall", "f1"}
         assert {r.metric for r in metrics_of(m, frame).collect()} - {"logloss"} == named
-        matrix = report(m, frame, "k").curves.where("curve = 'confusion_matrix'").select("label").distinct().collect()
+        matrix = report(m, frame, "k", 0).curves.where("curve = 'confusion_matrix'").select("label").distinct().collect()
         assert {r.label for r in matrix} == set("xyz")
     scored = score(m.model, frame, m.classes)
     assert {r.predicted_class for r in scored.select("predicted_class").distinct().collect()} <= set("xyz")
@@ -267,7 +267,7 @@ def test_stacked_models(data, tmp_path):
         classes = list(index.labels) if index else []
         frame = with_split(labelled(data, target, problem, index), "k", 1)
         m = train_stacked(frame.where("split = 'train'"), "k", ["a", "b"], problem, families, 3, classes, SMALL)
-        found = report(m, frame, "k")
+        found = report(m, frame, "k", 0)
         curves = {r.curve for r in found.curves.select("curve").distinct().collect()}
         wanted = {"y": {"Actual vs Predictions"}, "c": {"confusion_matrix", "lift_gain", "roc"}, "m": {"confusion_matrix"}}
         assert curves == wanted[target]

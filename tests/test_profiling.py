@@ -114,3 +114,20 @@ def test_constant_column_has_no_rank_correlation(spark):
     df = spark.range(10).select(F.col("id").alias("a"), F.lit(1).alias("b"))
     value = correlation_spearman(df).first().value
     assert value is None or math.isnan(value)
+
+
+def test_wide_merged_frames_are_joined_once(spark):
+    left = spark.range(100).select("id", *[(F.col("id") * i).alias(f"a{i}") for i in range(30)])
+    right = spark.range(100).select("id", *[(F.col("id") + i).alias(f"b{i}") for i in range(30)])
+    found = profile(left.join(right.hint("merge"), "id"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and found.count() == 61
+    assert found.where("column = 'b3'").first().max_num == 102.0
+
+
+def test_many_pairs_take_several_passes(spark):
+    df = spark.range(50).select(*[F.when(F.col("id") % (i + 2) != 0, F.col("id") * (i + 1) % 17).cast("double").alias(f"c{i}") for i in range(31)])
+    got = {(r.x, r.y): r.value for r in correlation_pearson(df).collect()}
+    want = df.toPandas().corr()
+    assert len(got) == 31 * 30 // 2
+    assert all(v == pytest.approx(want.loc[x, y], abs=1e-9) for (x, y), v in got.items() if v is not None and v == v)
