@@ -2,7 +2,7 @@
 
 Tags, entities and raw text are read as browsers do, unclosed or misplaced tags included. Everything a reader would see
 is kept: blocks begin new lines, paragraphs and headings keep a blank line, list items their marks and indentation,
-table cells their columns, preformatted text its blanks.
+table cells their columns, preformatted text its blanks, drawings and formulas their text.
 """
 
 from __future__ import annotations
@@ -22,9 +22,25 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style xmp iframe noembed noframes".split())
 ESCAPABLE_RAW = frozenset("title textarea".split())
 HIDDEN = frozenset(
-    "head script style template noscript iframe noembed noframes object audio video canvas svg math map datalist title "
+    "head script style template noscript iframe noembed noframes object audio video canvas datalist title "
     "meta link param source track".split()
 )
+#: What drawings and formulas hold besides what they show.
+HIDDEN_IN = {
+    "svg": frozenset(
+        "title desc metadata defs symbol clippath mask marker pattern lineargradient radialgradient filter".split()
+    ),
+    "math": frozenset("annotation annotation-xml mphantom".split()),
+}
+#: Elements of drawings and formulas that hold HTML.
+HOLDS_HTML = {"svg": frozenset("foreignobject desc title".split()), "math": frozenset("mi mo mn ms mtext".split())}
+#: Start tags that end a drawing or formula.
+BREAKS_OUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol "
+    "p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+#: Parts of formulas that stand above, below or beside each other.
+STACKED = frozenset("mfrac msub msup msubsup munder mover munderover mroot mmultiscripts mtable mtr mlabeledtr".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol optgroup option p plaintext pre "
@@ -66,6 +82,13 @@ class Element:
     tag: str
     attributes: dict[str, str] = field(default_factory=dict)
     children: list[Element | str] = field(default_factory=list)
+    #: svg or math for what is part of a drawing or formula.
+    space: str = ""
+
+    def holds_html(self) -> bool:
+        if self.tag == "annotation-xml":
+            return self.attributes.get("encoding", "").lower() in ("text/html", "application/xhtml+xml")
+        return not self.space or self.tag in HOLDS_HTML[self.space]
 
 
 def parse(html: str) -> Element:
@@ -75,6 +98,8 @@ def parse(html: str) -> Element:
     at, lowered = 0, None
 
     def text(raw: str) -> None:
+        if stack[-1].tag == "head" and raw.strip(" \t\n\f\r"):
+            stack.pop()
         if raw:
             stack[-1].children.append(raw)
 
@@ -88,6 +113,11 @@ def parse(html: str) -> Element:
             end = html.find("-->", begin + 2 if html.startswith("<!-->", begin) else begin + 4)
             at = len(html) if end < 0 else end + 3
             continue
+        if stack[-1].space and html.startswith("<![CDATA[", begin):
+            end = html.find("]]>", begin)
+            text(html[begin + 9 : len(html) if end < 0 else end])
+            at = len(html) if end < 0 else end + 3
+            continue
         if html.startswith(("<!", "<?"), begin):
             end = html.find(">", begin)
             at = len(html) if end < 0 else end + 1
@@ -107,6 +137,10 @@ def parse(html: str) -> Element:
         for name, *values in ATTRIBUTE.findall(found[2]):
             attributes.setdefault(name.lower(), unescape(next((v for v in values if v), "")))
         _start(stack, tag, attributes)
+        if stack[-1].space:
+            if html[at - 2] == "/" and stack[-1].tag == tag and stack[-1].attributes is attributes:
+                stack.pop()
+            continue
         if tag in RAW or tag in ESCAPABLE_RAW:
             lowered = html.lower() if lowered is None else lowered
             end = lowered.find(f"</{tag}", at) if len(lowered) == len(html) else -1
@@ -122,14 +156,25 @@ def _up(stack: list[Element], tags: frozenset[str], limit: frozenset[str]) -> in
     """Place of the outermost open element of ``tags`` below the innermost of ``limit``, or 0."""
     place = 0
     for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag in limit:
+        if stack[k].tag in limit or stack[k].space and stack[k].holds_html():
             break
         if stack[k].tag in tags:
             place = k
     return place
 
 
+def _leave(stack: list[Element]) -> None:
+    """Ends a drawing or formula up to what holds HTML."""
+    while not stack[-1].holds_html():
+        stack.pop()
+
+
 def _start(stack: list[Element], tag: str, attributes: dict[str, str]) -> None:
+    if tag in BREAKS_OUT or tag == "font" and not attributes.keys().isdisjoint(("color", "face", "size")):
+        _leave(stack)
+    if not stack[-1].holds_html():
+        _open(stack, Element(tag, attributes, space=tag if tag in HIDDEN_IN else stack[-1].space))
+        return
     if tag in ("html", "body"):
         for name, value in attributes.items():
             stack[0].attributes.setdefault(name, value)
@@ -145,7 +190,7 @@ def _start(stack: list[Element], tag: str, attributes: dict[str, str]) -> None:
             _open(stack, Element("tr"))
     if tag in CLOSES_P and (place := _up(stack, frozenset("p"), SCOPE)):
         del stack[place:]
-    _open(stack, Element("img" if tag == "image" else tag, attributes))
+    _open(stack, Element("img" if tag == "image" else tag, attributes, space=tag if tag in HIDDEN_IN else ""))
     if tag in VOID:
         stack.pop()
 
@@ -158,6 +203,8 @@ def _open(stack: list[Element], element: Element) -> None:
 
 
 def _end(stack: list[Element], tag: str) -> None:
+    if tag in ("br", "p"):
+        _leave(stack)
     if tag == "br":
         stack[-1].children.append(Element("br"))
         return
@@ -166,7 +213,7 @@ def _end(stack: list[Element], tag: str) -> None:
         if stack[k].tag == tag:
             del stack[k:]
             return
-        if stack[k].tag in limit:
+        if stack[k].tag in limit or stack[k].space and stack[k].holds_html() and tag not in HIDDEN_IN:
             break
     if tag == "p":
         stack[-1].children.append(Element("p"))
@@ -176,6 +223,8 @@ def visible(element: Element) -> bool:
     a = element.attributes
     if element.tag in HIDDEN or "hidden" in a or element.tag == "dialog" and "open" not in a:
         return False
+    if element.space and element.tag in HIDDEN_IN[element.space]:
+        return False
     return not (a and "style" in a and UNSEEN.search(a["style"]))
 
 
@@ -217,9 +266,24 @@ class Layout:
             self.gap = True
 
 
+def _blanks(child: Element, parent: Element) -> tuple[str, str]:
+    """What sets a part of a drawing or formula apart from the text before and behind it."""
+    if child.space == "math":
+        first = next(c for c in parent.children if isinstance(c, Element))
+        return " " if parent.space and parent.tag in STACKED and child is not first else "", ""
+    placed = child.tag == "text" or child.tag == "tspan" and not child.attributes.keys().isdisjoint(("x", "y", "dx", "dy"))
+    return (" ", " ") if placed else ("", "")
+
+
+def _shows_blanks(element: Element) -> bool:
+    return element.holds_html() or element.space == "svg" and element.tag in ("text", "tspan", "textpath", "a")
+
+
 def render(element: Element, out: Layout, pre: bool = False, ordinal: list[int] | None = None) -> None:
     for child in element.children:
         if isinstance(child, str):
+            if element.space and not _shows_blanks(element) and not child.strip():
+                continue
             if not pre:
                 out.inline(child)
                 continue
@@ -232,7 +296,13 @@ def render(element: Element, out: Layout, pre: bool = False, ordinal: list[int]
         tag = child.tag
         if not visible(child):
             continue
-        if tag == "br":
+        if child.space:
+            block = tag == "math" and child.attributes.get("display", "").lower() == "block"
+            before, behind = _blanks(child, element)
+            out.end_line() if block else out.inline(before)
+            render(child, out)
+            out.end_line() if block else out.inline(behind)
+        elif tag == "br":
             out.end_line(forced=True)
         elif tag == "input":
             if child.attributes.get("type", "text").lower() in ("submit", "button", "reset", "text", "search", "email", "url"):
@@ -355,7 +425,11 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id and text for every row of ``pages``, from its whole html.
 
-    Null and empty html give empty text, and so do pages without anything visible. Text without tags is kept with its
+    Null and empty html give empty text, and so do pages without anything visible. Not visible are scripts, styles, head and
+    templates, what browsers show only in place of something else (noscript, iframe, object, audio, video, canvas), data
+    lists, what is hidden by an attribute or its own style, and of drawings and formulas descriptions, definitions and
+    annotations. Labels of a drawing and the parts of fractions, scripts and matrices are set apart by a blank; definitions
+    that a drawing shows by ``use`` are not looked up. Text without tags is kept with its
     blanks run together; a tag that does not end is dropped with what follows. Elements nested more than 150 deep are put beside each other, without loss of text. Repeated
     rows are rendered each; other columns are not looked at; an empty table gives no rows.
     """

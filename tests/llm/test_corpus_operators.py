@@ -367,6 +367,25 @@ def test_layout():
     assert html_to_text("<div>" * 4000 + "deep" + "</div>" * 4000 + " end") == "deep\nend"
 
 
+def test_layout_keeps_formulas_drawings_and_maps():
+    fraction = "<math><mfrac><mn>1</mn><mn>2</mn></mfrac><mo>+</mo><mi>x</mi></math>"
+    assert html_to_text(f"<p>Half {fraction}.") == "Half 1 2+x."
+    notes = "<annotation encoding=tex>n</annotation><annotation-xml encoding=text/html>n<p>n</annotation-xml>"
+    assert html_to_text(f"<math><semantics><mi>y</mi>{notes}</semantics></math>") == "y"
+    assert html_to_text("a<math display=block><mi>x</mi>\n <mo>=</mo> <mn>2</mn></math>b") == "a\nx=2\nb"
+    drawing = "<svg><title>n</title><desc>n<p>n</p></desc><defs/><path d='M0 0'/><defs><text>n</text></defs><text>one</text>"
+    assert html_to_text(f"<p>See {drawing}<text>t<tspan>wo</tspan><![CDATA[<3]]></text><style/></svg> there") == "See one two<3 there"
+    assert html_to_text("<svg><foreignObject><p>in</p></foreignObject></svg><svg><defs><p>out") == "in\n\nout"
+    assert html_to_text("Pre<svg>\n <path/>\n</svg>fix <desc>html</desc>") == "Prefix html"
+    assert html_to_text("<map name=m><a href=x>North</a> <area href=y><p>South</p></map>") == "North\n\nSouth"
+
+
+def test_layout_text_ends_head():
+    assert html_to_text("<head><title>T</title>Hello<p>there") == "Hello\n\nthere"
+    assert html_to_text("<head>\n<title>T</title>\n<meta name=a> <style>n</style>&amp; so on") == "& so on"
+    assert html_to_text("<html><head> <script>n</script> </head> <body>x") == "x"
+
+
 def test_html_of_odd_rows(spark):
     prepare(spark)
     rows = [(1, None), (2, ""), (3, "plain  text"), (3, "plain  text"), (None, "<p>x"), (4, "<a " + 'x="' * 50_000), (5, "<b>" * 20_000 + "y")]
