@@ -8,10 +8,12 @@ table cells their columns, preformatted text its blanks, drawings and formulas t
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections import defaultdict
+from collections.abc import Generator, Iterable, Iterator
 from dataclasses import dataclass, field
 from html import unescape
-from itertools import zip_longest
+from itertools import chain, zip_longest
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -66,8 +68,12 @@ ENDS = {
 }
 #: End tags do not close elements outside of these.
 SCOPE = frozenset(["table", "td", "th", "caption", "html", "template", "button"])
-#: Elements nested deeper are put beside each other.
-DEEPEST = 150
+#: Tables nested deeper in cells have a line for each cell, or columns would take the square of a page.
+DEEPEST_TABLE = 50
+#: Lines are indented by so many blanks at most.
+MOST_INDENT = 300
+#: Stands for the elements of drawings and formulas that hold HTML.
+HOLDER = "#holder"
 
 #: Nothing in it is tried twice, so the time is in proportion to the text.
 TAG = re.compile(r"""</?+([a-zA-Z][^\s/>\x00]*+)((?:[^>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=|"|')*+)>""")
@@ -91,15 +97,49 @@ class Element:
         return not self.space or self.tag in HOLDS_HTML[self.space]
 
 
+class Open(list[Element]):
+    """The open elements, the root first, and the places of each tag among them; so no tag is searched through them."""
+
+    def __init__(self, root: Element):
+        super().__init__([root])
+        self.places: dict[str, list[int]] = defaultdict(list)
+
+    def names(self, element: Element) -> tuple[str, ...]:
+        return (element.tag, HOLDER) if element.space and element.holds_html() else (element.tag,)
+
+    def open(self, element: Element) -> None:
+        for name in self.names(element):
+            self.places[name].append(len(self))
+        self[-1].children.append(element)
+        self.append(element)
+
+    def close(self, place: int = -1) -> None:
+        """Ends the element at a place and all in it."""
+        place = place % len(self)
+        while len(self) > place:
+            for name in self.names(self.pop()):
+                self.places[name].pop()
+
+    def innermost(self, names: Iterable[str]) -> int:
+        """The place of the innermost one, or 0."""
+        return max((self.places[name][-1] for name in names if self.places.get(name)), default=0)
+
+    def outermost(self, tags: frozenset[str], limit: frozenset[str]) -> int:
+        """The place of the outermost one of ``tags`` in the innermost of ``limit``, or 0."""
+        bound = self.innermost(chain(limit, (HOLDER,)))
+        own = [places for tag in tags if (places := self.places.get(tag)) and places[-1] > bound]
+        return min((places[bisect_right(places, bound)] for places in own), default=0)
+
+
 def parse(html: str) -> Element:
     """The tree below an element ``html``."""
     root = Element("html")
-    stack = [root]
+    stack = Open(root)
     at, lowered = 0, None
 
     def text(raw: str) -> None:
         if stack[-1].tag == "head" and raw.strip(" \t\n\f\r"):
-            stack.pop()
+            stack.close()
         if raw:
             stack[-1].children.append(raw)
 
@@ -139,7 +179,7 @@ def parse(html: str) -> Element:
         _start(stack, tag, attributes)
         if stack[-1].space:
             if html[at - 2] == "/" and stack[-1].tag == tag and stack[-1].attributes is attributes:
-                stack.pop()
+                stack.close()
             continue
         if tag in RAW or tag in ESCAPABLE_RAW:
             lowered = html.lower() if lowered is None else lowered
@@ -152,28 +192,17 @@ def parse(html: str) -> Element:
     return root
 
 
-def _up(stack: list[Element], tags: frozenset[str], limit: frozenset[str]) -> int:
-    """Place of the outermost open element of ``tags`` below the innermost of ``limit``, or 0."""
-    place = 0
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag in limit or stack[k].space and stack[k].holds_html():
-            break
-        if stack[k].tag in tags:
-            place = k
-    return place
-
-
-def _leave(stack: list[Element]) -> None:
+def _leave(stack: Open) -> None:
     """Ends a drawing or formula up to what holds HTML."""
     while not stack[-1].holds_html():
-        stack.pop()
+        stack.close()
 
 
-def _start(stack: list[Element], tag: str, attributes: dict[str, str]) -> None:
+def _start(stack: Open, tag: str, attributes: dict[str, str]) -> None:
     if tag in BREAKS_OUT or tag == "font" and not attributes.keys().isdisjoint(("color", "face", "size")):
         _leave(stack)
     if not stack[-1].holds_html():
-        _open(stack, Element(tag, attributes, space=tag if tag in HIDDEN_IN else stack[-1].space))
+        stack.open(Element(tag, attributes, space=tag if tag in HIDDEN_IN else stack[-1].space))
         return
     if tag in ("html", "body"):
         for name, value in attributes.items():
@@ -181,40 +210,32 @@ def _start(stack: list[Element], tag: str, attributes: dict[str, str]) -> None:
         _end(stack, "head")
         return
     if stack[-1].tag == "head" and tag not in HIDDEN and tag not in ("base", "basefont"):
-        stack.pop()
+        stack.close()
     if tag in ENDS:
         ended, limit = ENDS[tag]
-        if place := _up(stack, ended, limit):
-            del stack[place:]
+        if place := stack.outermost(ended, limit):
+            stack.close(place)
         if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
-            _open(stack, Element("tr"))
-    if tag in CLOSES_P and (place := _up(stack, frozenset("p"), SCOPE)):
-        del stack[place:]
-    _open(stack, Element("img" if tag == "image" else tag, attributes, space=tag if tag in HIDDEN_IN else ""))
+            stack.open(Element("tr"))
+    if tag in CLOSES_P and (place := stack.outermost(frozenset("p"), SCOPE)):
+        stack.close(place)
+    stack.open(Element("img" if tag == "image" else tag, attributes, space=tag if tag in HIDDEN_IN else ""))
     if tag in VOID:
-        stack.pop()
-
-
-def _open(stack: list[Element], element: Element) -> None:
-    if len(stack) > DEEPEST:
-        stack.pop()
-    stack[-1].children.append(element)
-    stack.append(element)
+        stack.close()
 
 
-def _end(stack: list[Element], tag: str) -> None:
+def _end(stack: Open, tag: str) -> None:
     if tag in ("br", "p"):
         _leave(stack)
     if tag == "br":
         stack[-1].children.append(Element("br"))
         return
     limit = frozenset(["table", "html"]) if tag in ("td", "th", "tr", "thead", "tbody", "tfoot", "caption") else SCOPE
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag == tag:
-            del stack[k:]
-            return
-        if stack[k].tag in limit or stack[k].space and stack[k].holds_html() and tag not in HIDDEN_IN:
-            break
+    bound = stack.innermost(limit if tag in HIDDEN_IN else chain(limit, (HOLDER,)))
+    place = stack.innermost((tag,))
+    if place and place >= bound:
+        stack.close(place)
+        return
     if tag == "p":
         stack[-1].children.append(Element("p"))
 
@@ -231,12 +252,13 @@ def visible(element: Element) -> bool:
 class Layout:
     """Lines of text; runs of blanks are one blank, and blank lines between blocks do not add up."""
 
-    def __init__(self) -> None:
+    def __init__(self, tables: int = 0) -> None:
+        self.tables = tables
         self.lines: list[str] = []
         self.line = ""
         self.gap = False
         self.mark = ""
-        self.indents = [""]
+        self.indents = [0]
 
     def inline(self, text: str) -> None:
         text = BLANKS.sub(" ", text)
@@ -255,9 +277,9 @@ class Layout:
             self.lines.append("")
         self.gap = False
         if self.mark:
-            line, self.mark = f"{self.indents[-2]}{self.mark}{line}", ""
+            line, self.mark = f"{' ' * self.indents[-2]}{self.mark}{line}", ""
         elif line:
-            line = self.indents[-1] + line
+            line = " " * self.indents[-1] + line
         self.lines.append(line.rstrip(" "))
 
     def space(self) -> None:
@@ -279,7 +301,23 @@ def _shows_blanks(element: Element) -> bool:
     return element.holds_html() or element.space == "svg" and element.tag in ("text", "tspan", "textpath", "a")
 
 
-def render(element: Element, out: Layout, pre: bool = False, ordinal: list[int] | None = None) -> None:
+#: A step of the layout hands out the steps it needs done, and gets their results; so any depth takes no call stack.
+Steps = Generator["Steps", object, object]
+
+
+def _done(steps: Steps) -> object:
+    waiting, result = [steps], None
+    while waiting:
+        try:
+            waiting.append(waiting[-1].send(result))
+            result = None
+        except StopIteration as end:
+            waiting.pop()
+            result = end.value
+    return result
+
+
+def render(element: Element, out: Layout, pre: bool = False, ordinal: list[int] | None = None) -> Steps:
     for child in element.children:
         if isinstance(child, str):
             if element.space and not _shows_blanks(element) and not child.strip():
@@ -300,7 +338,7 @@ def render(element: Element, out: Layout, pre: bool = False, ordinal: list[int]
             block = tag == "math" and child.attributes.get("display", "").lower() == "block"
             before, behind = _blanks(child, element)
             out.end_line() if block else out.inline(before)
-            render(child, out)
+            yield render(child, out)
             out.end_line() if block else out.inline(behind)
         elif tag == "br":
             out.end_line(forced=True)
@@ -309,20 +347,20 @@ def render(element: Element, out: Layout, pre: bool = False, ordinal: list[int]
                 out.inline(child.attributes.get("value", ""))
         elif tag == "table":
             out.space()
-            _table(child, out)
+            yield _table(child, out)
             out.space()
         elif tag == "details" and "open" not in child.attributes:
             out.end_line()
             first = next((c for c in child.children if isinstance(c, Element) and c.tag == "summary"), None)
             if first:
-                render(first, out)
+                yield render(first, out)
             out.end_line()
         elif tag in LISTS:
             nested = len(out.indents) > 1
             out.end_line() if nested else out.space()
             start = child.attributes.get("start", "")
             counter = [int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1] if tag == "ol" else None
-            render(child, out, ordinal=counter)
+            yield render(child, out, ordinal=counter)
             out.end_line() if nested else out.space()
         elif tag in ("li", "dd", "blockquote"):
             out.space() if tag == "blockquote" else out.end_line()
@@ -334,9 +372,9 @@ def render(element: Element, out: Layout, pre: bool = False, ordinal: list[int]
                     ordinal[0] = int(value) if re.fullmatch(r"-?\d{1,9}", value) else ordinal[0]
                     mark = f"{ordinal[0]}. "
                     ordinal[0] += 1
-            out.indents.append(out.indents[-1] + " " * len(mark))
+            out.indents.append(min(out.indents[-1] + len(mark), MOST_INDENT))
             out.mark = mark if tag == "li" else ""
-            render(child, out)
+            yield render(child, out)
             out.space() if tag == "blockquote" else out.end_line()
             if out.mark:
                 out.put("")
@@ -344,10 +382,10 @@ def render(element: Element, out: Layout, pre: bool = False, ordinal: list[int]
         elif tag in BLOCK:
             step = out.space if tag in SPACED else out.end_line
             step()
-            render(child, out, pre=pre or tag in ("pre", "listing", "xmp", "textarea"), ordinal=ordinal if tag == "div" else None)
+            yield render(child, out, pre=pre or tag in ("pre", "listing", "xmp", "textarea"), ordinal=ordinal if tag == "div" else None)
             step()
         else:
-            render(child, out, pre=pre, ordinal=ordinal)
+            yield render(child, out, pre=pre, ordinal=ordinal)
 
 
 def _rows(table: Element) -> Iterator[Element]:
@@ -359,21 +397,25 @@ def _rows(table: Element) -> Iterator[Element]:
                 yield from _rows(child)
 
 
-def _lines(element: Element) -> list[str]:
-    inner = Layout()
-    render(element, inner)
+def _lines(element: Element, out: Layout) -> Steps:
+    """The lines of an element of a table in ``out``."""
+    inner = Layout(out.tables + 1)
+    yield render(element, inner)
     inner.end_line()
     return inner.lines
 
 
-def _table(table: Element, out: Layout) -> None:
+def _table(table: Element, out: Layout) -> Steps:
     """Cells in columns as wide as their widest line, two blanks between them; what is in no cell comes first."""
+    if out.tables >= DEEPEST_TABLE:
+        yield render(table, out)
+        return
     for child in table.children:
         if isinstance(child, str):
             out.inline(child) if child.strip() else None
         elif visible(child) and child.tag not in ("tr", "thead", "tbody", "tfoot", "colgroup"):
             out.end_line()
-            for line in _lines(child):
+            for line in (yield _lines(child, out)):
                 out.put(line)
     out.end_line()
     grid: list[list[tuple[list[str], int]]] = []
@@ -383,7 +425,7 @@ def _table(table: Element, out: Layout) -> None:
         for cell in row.children:
             if isinstance(cell, str) and not cell.strip() or isinstance(cell, Element) and not visible(cell):
                 continue
-            own = _lines(cell if isinstance(cell, Element) else Element("td", {}, [cell]))
+            own = yield _lines(cell if isinstance(cell, Element) else Element("td", {}, [cell]), out)
             span = cell.attributes.get("colspan", "") if isinstance(cell, Element) else ""
             span = min(max(int(span), 1), 1000) if re.fullmatch(r"\d{1,4}", span) else 1
             if span == 1:
@@ -409,7 +451,7 @@ def html_to_text(html: str | None) -> str:
     out = Layout()
     root = parse(html or "")
     if visible(root):
-        render(root, out)
+        _done(render(root, out))
         out.end_line()
     return "\n".join(out.lines).strip("\n")
 
@@ -430,8 +472,9 @@ def extract_text(pages: DataFrame) -> DataFrame:
     lists, what is hidden by an attribute or its own style, and of drawings and formulas descriptions, definitions and
     annotations. Labels of a drawing and the parts of fractions, scripts and matrices are set apart by a blank; definitions
     that a drawing shows by ``use`` are not looked up. Text without tags is kept with its
-    blanks run together; a tag that does not end is dropped with what follows. Elements nested more than 150 deep are put beside each other, without loss of text. Repeated
-    rows are rendered each; other columns are not looked at; an empty table gives no rows.
+    blanks run together; a tag that does not end is dropped with what follows. Elements may be nested to any depth; lines
+    are indented by at most 300 blanks, and tables more than 50 deep in tables have a line for each cell. Repeated rows are
+    rendered each; other columns are not looked at; an empty table gives no rows.
     """
     schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, text string"
     return pages.select("page_id", F.col("html").cast("string").alias("html")).mapInArrow(_extracted, schema)

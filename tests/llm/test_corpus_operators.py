@@ -386,6 +386,20 @@ def test_layout_text_ends_head():
     assert html_to_text("<html><head> <script>n</script> </head> <body>x") == "x"
 
 
+def test_layout_at_any_depth():
+    deep = "<font>" * 200
+    assert html_to_text(f"{deep}<div hidden><p>n<b>n</b></p></div>x") == "x"
+    rows = "<table><tr><td>Apples<td>3<tr><td>Figs<td>10</table>"
+    assert html_to_text(f"{deep}{rows}") == "Apples  3\nFigs    10"
+    assert html_to_text("<pre>" + "<b>" * 200 + "a  b</b>  c</pre>") == "a  b  c"
+    assert html_to_text("<ul>" + "<li><ul>" * 200 + "<li>x").endswith(" - x")
+    wide = "<table><tr><td>a<td>" * 3000 + "b"
+    assert html_to_text(wide).split() == ["a"] * 3000 + ["b"]
+    many = "<div><table><tr><td>" + "<b>" * 30_000 + "</div></p>y" * 30_000
+    assert html_to_text(many).count("y") == 30_000
+    assert html_to_text("<i>" * 300_000 + "z" + "</i>" * 300_000) == "z"
+
+
 def test_html_of_odd_rows(spark):
     prepare(spark)
     rows = [(1, None), (2, ""), (3, "plain  text"), (3, "plain  text"), (None, "<p>x"), (4, "<a " + 'x="' * 50_000), (5, "<b>" * 20_000 + "y")]
