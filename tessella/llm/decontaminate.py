@@ -14,25 +14,36 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import materialise
 from .texts import LETTER_OR_DIGIT, covered, slabs
 
 WINDOW = 13
-#: Bytes of benchmark text that are sent to the executors at once. A larger benchmark is taken in several blocks.
+#: Bytes of benchmark text, and windows of it, that are sent to the executors at once. A larger benchmark is taken in
+#: several blocks, one after the other. A window takes about 140 bytes.
 BLOCK_BYTES = 16 << 20
+BLOCK_WINDOWS = 1 << 19
+#: Windows of an item that stay together.
+PIECE = 1 << 12
 #: Bits of the table that tells most words from prefixes.
 SIEVE = 20
 
 
 @dataclass
 class Windows:
-    """Distinct windows: words (n, WINDOW) padded with 0, sizes (n), and the ids of the items each one occurs in."""
+    """Distinct windows: words (n, WINDOW) padded with 0, and sizes (n).
+
+    Window k occurs in the items with ids[i] for i in items[first[k]:first[k + 1]]; ids are sorted.
+    """
 
     words: np.ndarray
     sizes: np.ndarray
-    items: list[list[str]]
+    first: np.ndarray
+    items: np.ndarray
+    ids: list[str]
 
     def vocabulary(self) -> np.ndarray:
         return np.unique(self.words[np.arange(self.words.shape[1]) < self.sizes[:, None]])
@@ -67,27 +78,26 @@ class Lookup:
 
 def item_windows(items: list[tuple[str, str]], size: int = WINDOW) -> Windows:
     """Windows of (id, text) pairs; an item of fewer words, but not none, is one window."""
-    rows: list[np.ndarray] = []
-    sizes: list[int] = []
-    names: list[list[str]] = []
-    seen: dict[bytes, int] = {}
-    ids = [i for i, _ in items]
+    ids = sorted({i for i, _ in items})
+    number = {name: k for k, name in enumerate(ids)}
+    rows, owners = [np.zeros((0, size + 1), np.uint64)], [np.zeros(0, np.int64)]
     for slab in slabs(pa.array([t for _, t in items], pa.string()), lower_case=True):
         words = slab.words(LETTER_OR_DIGIT)
-        for k in range(slab.n):
+        for k in np.flatnonzero(words.counts):
             own = words.hash[words.first[k] : words.first[k + 1]]
             width = min(size, len(own))
-            for at in range(len(own) - width + 1) if width else ():
-                row = np.zeros(size, np.uint64)
-                row[:width] = own[at : at + width]
-                number = seen.setdefault(row.tobytes() + bytes([width]), len(rows))
-                if number == len(rows):
-                    rows.append(row)
-                    sizes.append(width)
-                    names.append([])
-                if ids[slab.first + k] not in names[number]:
-                    names[number].append(ids[slab.first + k])
-    return Windows(np.array(rows, np.uint64).reshape(-1, size), np.array(sizes, np.int64), names)
+            row = np.zeros((len(own) - width + 1, size + 1), np.uint64)
+            row[:, :width] = np.lib.stride_tricks.sliding_window_view(own, width)
+            row[:, size] = width
+            rows.append(row)
+            owners.append(np.full(len(row), number[items[slab.first + k][0]]))
+    whole = np.concatenate(rows)
+    _, place, window = np.unique(whole.view(f"V{8 * (size + 1)}").reshape(-1), return_index=True, return_inverse=True)
+    pairs = np.unique(window.reshape(-1) * max(len(ids), 1) + np.concatenate(owners))
+    of, item = np.divmod(pairs, max(len(ids), 1))
+    distinct = whole[place]
+    first = np.searchsorted(of, np.arange(len(place) + 1))
+    return Windows(np.ascontiguousarray(distinct[:, :size]), distinct[:, size].astype(np.int64), first, item, ids)
 
 
 def prefixes(windows: Windows, vocabulary: np.ndarray, counts: np.ndarray) -> Prefixes:
@@ -116,17 +126,23 @@ def _counter(vocabulary):
     return counted
 
 
+def _entries(first: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each asked k the number of entries first[k]:first[k + 1], and all of these in a row."""
+    times = np.diff(first)[asked]
+    return times, np.repeat(first[asked] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+
+
 def _matcher(shared):
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows, index = shared.value
         known = Lookup(index.words)
+        ids, n_ids, n_windows = pa.array(windows.ids, pa.string()), max(len(windows.ids), 1), max(len(windows.sizes), 1)
         for batch in batches:
             rest = batch.drop_columns(["text"])
             for slab in slabs(batch.column("text"), lower_case=True):
                 words = slab.words(LETTER_OR_DIGIT)
                 place, number = known(words.hash)
-                times = np.diff(index.first)[number]
-                entry = np.repeat(index.first[number] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+                times, entry = _entries(index.first, number)
                 window, start = index.window[entry], np.repeat(place, times) - index.place[entry]
                 doc, size = np.repeat(words.doc[place], times), windows.sizes[window]
                 inside = (start >= words.first[doc]) & (start + size <= words.first[doc + 1])
@@ -140,38 +156,106 @@ def _matcher(shared):
                 hits = pa.ListArray.from_arrays(
                     pa.array(np.searchsorted(hit_doc, np.arange(slab.n + 1)), pa.int32()), pa.array(hit - words.first[hit_doc])
                 )
-                items: list[set[str]] = [set() for _ in range(slab.n)]
-                for d, w in set(zip(doc.tolist(), window.tolist())):
-                    items[d].update(windows.items[w])
+                doc, window = np.divmod(np.unique(doc * n_windows + window), n_windows)
+                times, entry = _entries(windows.first, window)
+                doc, item = np.divmod(np.unique(np.repeat(doc, times) * n_ids + windows.items[entry]), n_ids)
+                items = pa.ListArray.from_arrays(
+                    pa.array(np.searchsorted(doc, np.arange(slab.n + 1)), pa.int32()), ids.take(pa.array(item))
+                )
                 own = rest.slice(slab.first, slab.n)
                 yield pa.RecordBatch.from_arrays(
-                    [*own.columns, pa.array(words.counts.astype(np.int64)), hits, pa.array([sorted(i) for i in items], pa.list_(pa.string()))],
+                    [*own.columns, pa.array(words.counts.astype(np.int64)), hits, items],
                     [*own.schema.names, "n_words", "hits", "items"],
                 )
 
     return matched
 
 
-def find_windows(docs: DataFrame, items: list[tuple[str, str]], size: int = WINDOW) -> DataFrame:
-    """Adds n_words, hits (places of words in an occurrence of a window) and items (ids, sorted) instead of text."""
+def find_windows(docs: DataFrame, items: list[tuple[str, str]], size: int = WINDOW) -> tuple[DataFrame, list[Broadcast]]:
+    """Adds n_words, hits (places of words in an occurrence of a window) and items (ids, sorted) instead of text.
+
+    The broadcasts are needed until the rows are read.
+    """
     context = docs.sparkSession.sparkContext
     windows = item_windows(items, size)
     vocabulary = windows.vocabulary()
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    rarity = texts.mapInArrow(_counter(context.broadcast(vocabulary)), "number long, n long")
+    asked = context.broadcast(vocabulary)
+    rarity = texts.mapInArrow(_counter(asked), "number long, n long")
     counts = np.zeros(len(vocabulary), np.int64)
     for row in rarity.groupBy("number").agg(F.sum("n").alias("n")).collect():  # a row for a word of the block at most
         counts[row["number"]] = row["n"]
     shared = context.broadcast((windows, prefixes(windows, vocabulary, counts)))
     names = [c for c in docs.columns if c != "text"]
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema]
-    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(
+    found = docs.withColumn("text", F.col("text").cast("string")).mapInArrow(
         _matcher(shared), ", ".join([*fields, "n_words long, hits array<long>, items array<string>"])
     )
+    return found, [asked, shared]
+
+
+def _splitter(size: int, most: int):
+    """Pieces of items with at most so many windows each; lower-cased, from the first word to the last."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for slab in slabs(batch.column("text"), lower_case=True):
+                words = slab.words(LETTER_OR_DIGIT)
+                owner, texts, windows = [], [], []
+                for k in np.flatnonzero(words.counts):
+                    a, b = words.first[k], words.first[k + 1]
+                    for at in range(a, max(b - size, a) + 1, most):
+                        end = min(at + most + size - 1, b)
+                        owner.append(slab.first + k)
+                        texts.append(slab.data[words.start[at] : words.end[end - 1]].tobytes())
+                        windows.append(max(end - at - size + 1, 1))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("item_id").take(pa.array(owner, pa.int64())),
+                        pa.array(texts, pa.binary()).cast(pa.string()),
+                        pa.array(windows, pa.int64()),
+                    ],
+                    ["item_id", "text", "windows"],
+                )
+
+    return split
+
+
+def item_blocks(pieces: DataFrame, block_bytes: int, block_windows: int) -> Iterator[list[tuple[str, str]]]:
+    """The distinct stored ``pieces`` in blocks of at most so many bytes and windows; a larger piece is a block of its own.
+
+    One block if all are within the bounds. Pieces are small and none comes twice, so hashes deal them evenly.
+    """
+    sizes = pieces.agg(F.sum(F.octet_length("text") + 32), F.sum("windows")).first()
+    parts = max(1, *(-(-int(n or 0) // most) for n, most in zip(sizes, (block_bytes, block_windows))))
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
+    block: list[tuple[str, str]] = []
+    n_bytes = n_windows = 0
+    for k in range(parts):
+        for item_id, text, windows in pieces.where(part == k).collect():
+            own = len(text.encode()) + 32
+            if block and (n_bytes + own > block_bytes or n_windows + windows > block_windows):
+                yield block
+                block, n_bytes, n_windows = [], 0, 0
+            block.append((item_id, text))
+            n_bytes, n_windows = n_bytes + own, n_windows + windows
+    yield block
+
+
+def _store(parts: list[DataFrame], used: list[Broadcast]) -> None:
+    """Writes the last part, which frees what it was found with."""
+    parts[-1] = materialise(parts[-1], "benchmark-block")
+    for shared in used:
+        shared.destroy()
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES, share: int = 20
+    docs: DataFrame,
+    benchmark: DataFrame,
+    size: int = WINDOW,
+    block_bytes: int = BLOCK_BYTES,
+    share: int = 20,
+    block_windows: int = BLOCK_WINDOWS,
 ) -> DataFrame:
     """doc_id, text_key (hash of the text), n_words, n_hit, n_items, items, contaminated for every row of ``docs``.
 
@@ -183,23 +267,26 @@ def contamination(
     """
     item_id = F.coalesce(F.col("item_id").cast("string"), F.lit("null"))
     items = benchmark.select(item_id.alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text") + 32)).first()[0] or 0
-    blocks = max(1, -(-int(total) // block_bytes))
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    pieces = items.mapInArrow(_splitter(size, min(PIECE, block_windows)), "item_id string, text string, windows long")
+    pieces = materialise(pieces.distinct(), "benchmark-pieces")
     own = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     own = own.withColumn("text_key", F.xxhash64("text"))
-    parts = []
-    for k in range(blocks):
-        rows = items.where(block == k).collect()  # block_bytes on the average
-        parts.append(find_windows(own, [tuple(r) for r in rows], size))
+    parts, used = [], []
+    for block in item_blocks(pieces, block_bytes, block_windows):
+        if used:  # several blocks: the driver and the workers hold one at a time
+            _store(parts, used)
+        part, used = find_windows(own, block, size)
+        parts.append(part)
     found = parts[0]
-    if blocks > 1:
+    if len(parts) > 1:
+        _store(parts, used)
+        found = parts[0]
         for part in parts[1:]:
             found = found.unionAll(part)
         same = found.groupBy("doc_id", "text_key", "n_words").agg(
             F.flatten(F.collect_set("hits")).alias("hits"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-            (F.count(F.lit(1)) / blocks).cast("int").alias("copies"),
+            (F.count(F.lit(1)) / len(parts)).cast("int").alias("copies"),
         )
         found = same.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
         found = found.withColumn("hits", F.array_distinct("hits"))

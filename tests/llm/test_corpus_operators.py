@@ -120,6 +120,21 @@ def test_contamination_of_odd_rows(spark, odd, nothing, block_bytes):
     assert kept.columns == odd.columns and as_set(r[:1] for r in kept.collect()) == as_set((w[0],) for w in want if not w[-1])
 
 
+def test_contamination_with_repeated_and_long_items(spark, odd, monkeypatch):
+    """Equal rows are one item, a long item is split, and no block has more windows than asked for."""
+    from tessella.llm import decontaminate
+
+    items, taken = [(1, PASSAGE)] * 30 + [(2, LONG), (3, PASSAGE.upper()), (4, SECOND[:300])], []
+    whole = decontaminate.item_windows
+    monkeypatch.setattr(decontaminate, "item_windows", lambda own, size: taken.append(whole(own, size)) or taken[-1])
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    found = contamination(odd, frame, block_windows=15_000)
+    assert digest(found) == as_set(brute.contamination(PAIRS, items))
+    assert len(taken) == 3 and all(len(w.sizes) <= 15_000 for w in taken)
+    pieces = [(i, t) for i, t in items[:1] * 2]
+    assert whole([(str(i), t) for i, t in pieces], 13).items.tolist() == [0] * 48
+
+
 def test_contamination_of_the_given_tables(spark):
     docs, rows = documents(spark, LARGER)
     items = [tuple(r) for r in spark.read.parquet(f"{LARGER}/benchmark.parquet").select("item_id", "text").collect()]
