@@ -230,9 +230,39 @@ def identify_languages(docs: DataFrame, per_label: int = 256) -> DataFrame:
     return predict(docs.select("doc_id", held_out.alias("held_out"), "text"), learned_net(docs, per_label))
 
 
+def _lettered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows whose text has a letter."""
+    for batch in batches:
+        for slab in slabs(batch.column("row").field("text")):
+            yield batch.slice(slab.first, slab.n).filter(pa.array(_has_letter(slab)))
+
+
+def _held_out(docs: DataFrame, net: ByteNet | None) -> DataFrame:
+    """label, lang_pred, score of the labelled rows that are not learned from and whose text has a letter."""
+    held = docs.where(remainder(F.col("doc_id"), 4) == 2).select(F.col("lang").cast("string").alias("label"), "text")
+    return predict(held.where("label is not null"), net).where(F.col("lang_pred") != NONE)
+
+
+def dropped_shares(docs: DataFrame, min_score: float = 0.4, per_label: int = 256) -> DataFrame:
+    """label, n, n_below, share, lowest: held-out rows of each label, how many score below ``min_score``, the lowest score."""
+    below = F.sum((F.col("score") < min_score).cast("long"))
+    counts = _held_out(docs, learned_net(docs, per_label)).groupBy("label")
+    counts = counts.agg(F.count(F.lit(1)).alias("n"), below.alias("n_below"), F.min("score").alias("lowest"))
+    return counts.select("label", "n", "n_below", (F.col("n_below") / F.col("n")).alias("share"), "lowest")
+
+
 def accepted(docs: DataFrame, min_score: float = 0.4, per_label: int = 256) -> DataFrame:
-    """The rows of ``docs`` whose language is named with a score of at least ``min_score``; all columns as they are."""
+    """The rows of ``docs`` in a language; all columns as they are.
+
+    Texts without a letter go. So do rows without label whose language is named with a score below ``min_score`` and below
+    that of every labelled held-out row; labelled rows stay whatever their score, as do all if there is no net.
+    """
     whole = docs.withColumn("text", F.col("text").cast("string")).select(F.struct(*docs.columns).alias("row"))
-    schema = f"row {whole.schema['row'].dataType.simpleString()}, lang_pred string, score double"
-    judged = whole.mapInArrow(_predictor(learned_net(docs, per_label), ["row"], "row"), schema)
-    return judged.where((F.col("lang_pred") != NONE) & (F.col("score") >= min_score)).select("row.*")
+    kind = f"row {whole.schema['row'].dataType.simpleString()}"
+    net = learned_net(docs, per_label)
+    if net is None:
+        return whole.mapInArrow(_lettered, kind).select("row.*")
+    lowest = _held_out(docs, net).agg(F.min("score")).first()[0]
+    judged = whole.mapInArrow(_predictor(net, ["row"], "row"), f"{kind}, lang_pred string, score double")
+    sure = F.col("score") >= min(min_score, lowest or 0.0)
+    return judged.where((F.col("lang_pred") != NONE) & (F.col("row.lang").isNotNull() | sure)).select("row.*")

@@ -12,7 +12,7 @@ from tessella.llm import ngram_join
 from tessella.llm.components import components
 from tessella.llm.decontaminate import contamination, without_contaminated
 from tessella.llm.html_text import extract_text, html_to_text
-from tessella.llm.language import accepted, identify_languages
+from tessella.llm.language import accepted, dropped_shares, identify_languages
 from tessella.llm.lattice import SPACE, Lattice, Vocabulary, read_pieces, score_texts
 from tessella.llm.line_dedup import dedup_lines, without_repeated_runs
 from tessella.llm.mixing import mix_sources
@@ -101,6 +101,21 @@ def test_languages_of_odd_rows(odd, nothing):
     assert accepted(odd).columns == odd.columns and accepted(odd).count() <= len(ODD) - 4
 
 
+def test_accepted_keeps_labelled_and_unjudged_texts(spark, odd, nothing):
+    docs, _ = documents(spark, SMALL)
+    texts = [r["text"][:300] for r in docs.where("length(text) > 300").dropDuplicates(["lang"]).select("text").collect()]
+    mixed = docs.limit(30).withColumn("text", F.lit(" ".join(texts))).withColumn("doc_id", -1 - F.col("doc_id"))
+    rare = docs.limit(3).withColumns({"lang": F.lit("rare"), "doc_id": -1_000_000_000 - F.col("doc_id")})
+    both = docs.unionByName(mixed).unionByName(rare)
+    lettered = both.where("text rlike '[\\\\p{L}]'").count()
+    assert accepted(both, min_score=0.999).count() == lettered
+    assert accepted(odd.withColumn("lang", F.lit(None).cast("string"))).count() == len(ODD) - 4
+    assert accepted(nothing).collect() == []
+    shares = {r["label"]: r for r in dropped_shares(docs, 2.0).collect()}
+    assert shares and all(r["n"] == r["n_below"] and r["share"] == 1 and 0 < r["lowest"] <= 1 for r in shares.values())
+    assert dropped_shares(nothing).collect() == []
+
+
 # -- decontamination
 
 
