@@ -15,14 +15,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.row_id import partition_count
 from ..scratch import materialise
 from .texts import Slab, lower, mix, slabs
 
 #: Bytes of text in a chunk. A longer document is a chunk of its own.
 CHUNK = 4 << 20
+#: Compressed bytes of chunks whose hashes go to a bucket.
+BUCKET_BYTES = 8 << 20
 ANSWER = "chunk long, bucket int, answer binary"
 
 
@@ -103,9 +106,12 @@ def deal(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return np.argsort(bucket, kind="stable"), np.searchsorted(np.sort(bucket), np.arange(buckets + 1))
 
 
-def bucket_count(spark: SparkSession) -> int:
-    """As many buckets as shuffle partitions, which are sized for the data."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def bucket_count(table: DataFrame) -> int:
+    """From the bytes of a stored ``chunk_table``, and not below the session's number of shuffle partitions.
+
+    A worker holds one bucket at a time, so its memory does not grow with the corpus.
+    """
+    return partition_count(table, BUCKET_BYTES)
 
 
 def by_bucket(questions: DataFrame, answer: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:

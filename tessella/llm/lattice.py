@@ -337,9 +337,9 @@ def score_texts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     scored, and learned, each; other columns are not looked at; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    buckets = bucket_count(spark)
     held_out = F.coalesce(remainder(F.col("doc_id"), 5) == 1, F.lit(False))
     table = chunk_table(docs.select("doc_id", held_out.alias("held_out"), "text"), "lm-chunks", limit=CHUNK)
+    buckets = bucket_count(table)
     pieces = read_pieces(vocabulary)
     asked = materialise(table.mapInArrow(_asker(spark.sparkContext.broadcast(pieces), buckets), QUESTION), "lm-words")
     sums = asked.where("bucket = -1")

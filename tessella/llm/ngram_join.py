@@ -178,9 +178,9 @@ def _divider(size: int, percent: int, buckets: int):
 
 def shingle_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """doc_id, text_key (hash of the text), n_shingles, set_id, row, short, shingles for every row; stored."""
-    buckets = bucket_count(docs.sparkSession)
     own = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     table = chunk_table(own.withColumn("text_key", F.xxhash64("text")), "shingle-chunks", limit=CHUNK)
+    buckets = bucket_count(table)
     asked = table.select("chunk", "bounds", "data").mapInArrow(_asker(size, buckets), QUESTION)
     answers = by_bucket(asked, _rarity, "chunk long, bucket int, answer binary")
     kind = docs.schema["doc_id"].dataType.simpleString()

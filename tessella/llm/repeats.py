@@ -290,9 +290,9 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     given, in UTF-8; null texts are empty; texts under 100 bytes lose nothing. doc_id is an integer. Other columns are not
     looked at; an empty table gives no rows.
     """
-    buckets = bucket_count(docs.sparkSession)
     own = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("order_id"), "text")
     table = chunk_table(own, "repeat-chunks", sort_by=("order_id", "text"))
+    buckets = bucket_count(table)
     asked = table.select("chunk", "order_id", "bounds", "data").mapInArrow(_parse_asker(buckets), QUESTION)
     reply = "chunk long, bucket int, answer binary"
     first = materialise(by_bucket(asked, _answer(buckets), reply), "repeat-phrases")

@@ -43,13 +43,13 @@ def orderable(schema: T.StructType) -> list[str]:
     return [f.name for f in schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
 
 
-def partition_count(df: DataFrame) -> int:
+def partition_count(df: DataFrame, partition_bytes: int = PARTITION_BYTES) -> int:
     """From the bytes of the sources, and not below the session's number of shuffle partitions."""
     spark = df.sparkSession
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
     known = sum(s for s in sizes if s < 1 << 60)  # beyond: the source does not know
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-known // PARTITION_BYTES))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-known // partition_bytes))
 
 
 def boundary_keys(schema: T.StructType, order_by: Sequence[str], skips: dict[str, Column] | None = None) -> list[Column]:

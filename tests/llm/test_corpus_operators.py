@@ -316,6 +316,24 @@ def test_repeated_strings_across_chunks(spark, monkeypatch):
     assert as_set(found.select(names).collect()) == as_set(brute.repeated_strings(rows))
 
 
+def test_buckets_follow_the_bytes(spark, monkeypatch):
+    """More buckets than shuffle partitions for a large table, with equal results."""
+    from tessella.llm import chunks
+
+    docs, rows = documents(spark, SMALL)
+    table = chunks.chunk_table(docs.select("doc_id", "text"), "test-chunks")
+    own = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert chunks.bucket_count(table) == own
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    monkeypatch.setattr(chunks, "BUCKET_BYTES", size // (3 * own))
+    assert chunks.bucket_count(table) >= 3 * own
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert as_set(repeated_strings(docs).select(names).collect()) == as_set(brute.repeated_strings(rows))
+    found = similar_documents(docs, 3, 90).select("doc_id", "n_shingles", "component_id")
+    assert as_set(found.collect()) == as_set(brute.components(rows, 3, 90))
+    assert scored(score_texts(docs)) == as_set(brute.base_scores(rows))
+
+
 # -- mixing
 
 
