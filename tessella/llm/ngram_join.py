@@ -10,7 +10,8 @@ A list is not paired with itself. Its members stand in the order of their hashes
 are pivots that all later members are compared with, but for those that are by then linked with the pivot over any
 documents. A list is done when all members behind its pivots are linked with each other. So a group of n copies costs
 about n comparisons; rounds have one pivot a list, then ``MORE`` times as many each time, and no link between different
-sets is lost.
+sets is lost. That gives components only: members that are linked by then are not compared, so links inside a component
+are neither found nor counted. ``similar_pairs`` compares all members of the short lists and gives every link.
 """
 
 from __future__ import annotations
@@ -234,8 +235,8 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.select("a", "b", "a_shingles", "b_shingles").mapInArrow(_prober(percent), "a long, b long")
 
 
-def similar_sets(stored: DataFrame, percent: int, more: int = MORE) -> DataFrame:
-    """set_id, label: components of the similar sets of ``shingle_sets``; sets without a partner are left out."""
+def _short_lists(stored: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of ``shingle_sets``: set_id and row (its node) of each set; the short lists with several nodes; the sets in them."""
     asking = stored.where("short is not null")
     # one row stands for all documents of a set, and its number for the set
     nodes = materialise(asking.groupBy("set_id").agg(F.min("row").alias("row")), "nodes")
@@ -249,8 +250,12 @@ def similar_sets(stored: DataFrame, percent: int, more: int = MORE) -> DataFrame
     lists = materialise(lists.join(several.select("token"), "token", "left_semi").withColumn("label", F.col("node")), "lists")
     met = materialise(lists.select(F.col("node").alias("row")).distinct(), "met")
     sets = _only(asking, met, "row").select(F.col("row").alias("node"), F.col("n_shingles").alias("n"), "short", "shingles")
-    sets = materialise(sets, "probed-sets")
+    return nodes, lists, materialise(sets, "probed-sets")
 
+
+def similar_sets(stored: DataFrame, percent: int, more: int = MORE) -> DataFrame:
+    """set_id, label: components of the similar sets of ``shingle_sets``; sets without a partner are left out."""
+    nodes, lists, sets = _short_lists(stored)
     labels = compared = None
     pivots = 1
     own = ("at", "place", "n", "n_alone", "parity", "label")
@@ -310,6 +315,40 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> Data
     )
 
 
+def similar_pairs(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """a_id, a_key, b_id, b_key, n_links for every linked pair of sets; what ``similar_documents`` links, without components.
+
+    A set is named by the smallest doc_id of its rows, null last, and the hash of that row's text. n_links: pairs of rows
+    that the pair of sets stands for; with a = b, of rows with equal sets. So all n_links together are all links, and no
+    link is left out; the rows of large groups of near copies grow with the square of the group.
+    """
+    if not 0 < percent <= 100 or size < 1:
+        raise ValueError("percent must lie in 1 to 100, size must be positive")
+    stored = shingle_sets(docs, size, percent)
+    nodes, lists, sets = _short_lists(stored)
+    own = ("at", "n", "n_alone", "parity")
+    others = lists.select(
+        F.col("token").alias("p_token"), F.col("node").alias("a"),
+        *(F.col(c).alias({"n_alone": "p_alone"}.get(c, f"p_{c}")) for c in own),
+    )
+    meets = F.expr("token = p_token and node > a")
+    pairs = lists.join(others, meets & _can_link(percent)).select("a", F.col("node").alias("b")).distinct()
+    links = _linked(materialise(pairs, "pairs"), sets, percent)
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    rows = stored.where("n_shingles > 0").groupBy("set_id").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n"))
+    rows = materialise(rows.join(nodes, "set_id", "left"), "set-rows")
+    x, y = (rows.select(F.col("row").alias(c), F.col("place").alias(f"{c}_place"), F.col("n").alias(f"{c}_n")) for c in ("a", "b"))
+    different = links.join(x, "a").join(y, "b").withColumn("n_links", F.col("a_n") * F.col("b_n"))
+    ordered = F.col("a_place") < F.col("b_place")
+    first, last = F.when(ordered, F.col("a_place")).otherwise(F.col("b_place")), F.when(ordered, F.col("b_place")).otherwise(F.col("a_place"))
+    different = different.select(first.alias("a"), last.alias("b"), "n_links")
+    equal = rows.where("n > 1").select(F.col("place").alias("a"), F.col("place").alias("b"), F.expr("n * (n - 1) div 2").alias("n_links"))
+    return different.unionAll(equal).select(
+        F.col("a.doc_id").alias("a_id"), F.col("a.text_key").alias("a_key"),
+        F.col("b.doc_id").alias("b_id"), F.col("b.text_key").alias("b_key"), "n_links",
+    )
+
+
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The first row of each component of ``similar_documents``; all columns as they are."""
     found = similar_documents(docs, size, percent).groupBy("doc_id", "text_key").agg(

@@ -16,7 +16,7 @@ from tessella.llm.language import accepted, dropped_shares, identify_languages
 from tessella.llm.lattice import SPACE, Lattice, Vocabulary, read_pieces, score_texts
 from tessella.llm.line_dedup import dedup_lines, without_repeated_runs
 from tessella.llm.mixing import mix_sources
-from tessella.llm.ngram_join import one_of_each, similar_documents
+from tessella.llm.ngram_join import one_of_each, similar_documents, similar_pairs
 from tessella.llm.quality import host_quality
 from tessella.llm.queries import QUERIES, URL_RULES
 from tessella.llm.repeats import repeated_strings
@@ -242,6 +242,25 @@ def test_chains_and_groups_of_near_copies(spark, monkeypatch, more):
     assert as_set(found.select("doc_id", "n_shingles", "component_id").collect()) == as_set(brute.components(rows, 3, 90))
 
 
+@pytest.mark.parametrize(("size", "percent"), [(3, 90), (1, 50)])
+def test_similar_pairs_are_all_links(spark, odd, nothing, size, percent):
+    chain = prose(60, 200).split()
+    near = [(1000 + k, " ".join([*chain[:k], f"own{k}", *chain[k + 1 :]])) for k in range(0, 60, 7)]
+    docs = odd.select("doc_id", "text").unionAll(spark.createDataFrame(near, "doc_id long, text string"))
+    sets = []
+    for _, text in PAIRS + near:
+        w = re.findall(brute.BLANK, brute.lowered(text))
+        sets.append(frozenset(tuple(w[i : i + size]) for i in range(max(len(w) - size + 1, 1))) if w else frozenset())
+    links = [
+        (x, y) for i, x in enumerate(sets) for y in sets[:i] if x and y and 100 * len(x & y) >= percent * len(x | y)
+    ]
+    found = similar_pairs(docs, size, percent).collect()
+    assert sum(r["n_links"] for r in found) == len(links)
+    different = [r for r in found if (r["a_id"], r["a_key"]) != (r["b_id"], r["b_key"])]
+    assert len(different) == len({frozenset((x, y)) for x, y in links if x != y}) > 0
+    assert similar_pairs(nothing, size, percent).collect() == []
+
+
 def test_one_of_each(spark, odd, nothing):
     kept = one_of_each(odd, 5, 80)
     assert kept.columns == odd.columns and one_of_each(nothing).count() == 0
