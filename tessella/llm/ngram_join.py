@@ -12,6 +12,9 @@ documents. A list is done when all members behind its pivots are linked with eac
 about n comparisons; rounds have one pivot a list, then ``MORE`` times as many each time, and no link between different
 sets is lost. That gives components only: members that are linked by then are not compared, so links inside a component
 are neither found nor counted. ``similar_pairs`` compares all members of the short lists and gives every link.
+
+There are no heap merge and no probing of long lists: documents that meet in short lists come from a join on their rare
+shingles, at least ``SHARED`` of them, and one whole sorted set is probed in the other.
 """
 
 from __future__ import annotations
