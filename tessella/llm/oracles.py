@@ -97,9 +97,45 @@ URL_VERDICTS = r"""
     from parts left join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p))
   select page_id, host, path, rule, coalesce(v, 'allow') as verdict from fits where n = 1"""
 
+#: crc32 of the bytes (bigint) of a list, with a table made by its rule.
+CRC_TABLE = """crc_table as (
+    select list(code order by n) as crc from (
+      select n, list_reduce(list_concat([n], list_transform(range(8), lambda x: 0)), lambda c, x: xor(c >> 1, 3988292384 * (c & 1))) as code
+      from range(256) r(n)))"""
+CRC = """xor(list_reduce(list_concat([4294967295], {0}), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+PERIODIC_RUNS = f"""
+  with {CRC_TABLE},
+  split as (select doc_id, {BLANK_WORDS.format('text')} as given, doc_id::varchar as id from documents),
+  coded as (select doc_id, given, {CRC.format("list_transform(range(1, length(id) + 1), lambda k: ascii(id[k])::bigint)")} as h
+            from split, crc_table),
+  tails as (select doc_id, given, h, h // 10 % len(given) as a, 1 + (len(given) - h // 10 % len(given)) // (3 + h // 10 % 8) as p
+            from coded),
+  d as (select doc_id, case when h % 10 = 0 and len(given) > 0 then
+               list_transform(range(len(given)), lambda i: given[case when i < a then i else a + (i - a) % p end + 1])
+               else given end as w from tails),
+  grams as (select doc_id, k, list_slice(w, k, k + 5) as gram
+            from (select doc_id, w, unnest(range(1, len(w) - 4)) as k from d where len(w) >= 12)),
+  often as (select doc_id, gram from grams group by doc_id, gram having count(*) > 1),
+  places as (select * from grams join often using (doc_id, gram)),
+  pairs as (select x.doc_id, x.k, y.k - x.k as q from places x join places y on x.doc_id = y.doc_id and x.gram = y.gram and x.k < y.k),
+  islands as (select *, k - row_number() over (partition by doc_id, q order by k) as island from pairs),
+  squares as (select doc_id, min(k) - 1 as start, count(*) + 5 + q as length, q from islands group by doc_id, q, island
+              having count(*) + 5 >= q),
+  runs as (select doc_id, start, length, min(q) as period from squares where length >= 12 group by doc_id, start, length),
+  listed as (select doc_id, count(*) as n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' order by start, period) as runs,
+                    min({{'l': -length, 's': start, 'p': period}}) as best from runs group by doc_id),
+  dropped as (select distinct doc_id, unnest(range(start + period + 1, start + length + 1)) as k from runs),
+  words as (select doc_id, unnest(range(1, len(w) + 1)) as k, unnest(w) as word from d),
+  kept as (select doc_id, string_agg(word, ' ' order by k) as text from words anti join dropped using (doc_id, k) group by doc_id)
+  select doc_id, coalesce(n_runs, 0)::bigint as n_runs, best.s::bigint as start, (-best.l)::bigint as length, best.p::bigint as period,
+         (1000 * -best.l // best.p)::bigint as exponent_milli, sha256(coalesce(runs, '')) as runs_sha256, sha256(coalesce(text, '')) as collapsed_sha256
+  from d left join listed using (doc_id) left join kept using (doc_id)"""
+
 ORACLES = {
     "op2_decontamination": DECONTAMINATION,
     "op4_ngram_join": NGRAM_JOIN,
     "op9_host_quality": HOST_QUALITY,
     "op10_url_rules": URL_VERDICTS,
+    "op11_periodic_runs": PERIODIC_RUNS,
 }

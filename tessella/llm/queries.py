@@ -15,10 +15,12 @@ from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .ngram_join import similar_documents
 from .oracles import ORACLES
+from .planted import repeating_tail
 from .quality import COUNTS, host_quality
 from .repeats import repeated_strings
 from .session import prepare
 from .url_rules import judge_urls, rule_table
+from .word_runs import word_runs
 
 #: Host, path and verdict of the URL rules.
 URL_RULES = [
@@ -79,6 +81,18 @@ def op10_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(table(spark, folder, "pages"), rule_table(spark, URL_RULES)).drop("url")
 
 
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = word_runs(table(spark, folder, "documents"), rewrite=repeating_tail)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    found = found.select("doc_id", "text", F.size("runs").cast("long").alias("n_runs"), longest.alias("run"), F.array_join(lines, "").alias("lines"))
+    return found.select(
+        "doc_id", "n_runs", (-F.col("run.start")).alias("start"), "run.length", (-F.col("run.period")).alias("period"),
+        F.expr("1000 * run.length div -run.period").alias("exponent_milli"), F.sha2("lines", 256).alias("runs_sha256"),
+        F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
@@ -90,6 +104,7 @@ QUERIES = {
     "op9_host_quality": op9_host_quality,
     "op7_source_mix": op7_source_mix,
     "op10_url_rules": op10_url_rules,
+    "op11_periodic_runs": op11_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
 
