@@ -15,11 +15,13 @@ from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .ngram_join import similar_documents
 from .oracles import ORACLES
-from .planted import repeating_tail
+from .planted import missing_letter, repeating_tail
 from .quality import COUNTS, host_quality
+from .quality_net import classify_quality
 from .repeats import repeated_strings
 from .session import prepare
 from .url_rules import judge_urls, rule_table
+from .variants import spelling_variants
 from .word_runs import word_runs
 
 #: Host, path and verdict of the URL rules.
@@ -93,6 +95,14 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_quality_net(spark: SparkSession, folder: str) -> DataFrame:
+    return classify_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants(table(spark, folder, "documents"), rewrite=missing_letter)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
@@ -105,6 +115,8 @@ QUERIES = {
     "op7_source_mix": op7_source_mix,
     "op10_url_rules": op10_url_rules,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_quality_net": op12_quality_net,
+    "op13_spelling_variants": op13_spelling_variants,
     "pipeline": corpus_pipeline.run,
 }
 
