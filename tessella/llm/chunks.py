@@ -42,9 +42,27 @@ def unpack(blob: bytes, kind) -> np.ndarray:
     return np.frombuffer(pa.decompress(blob[8:], decompressed_size=size, codec="zstd"), kind)
 
 
+#: Documents in a chunk at most, and bits of a document's place in its chunk.
+MOST, PLACE_BITS = 1 << 15, 16
+#: Bits of a chunk's number within its partition, and of the partition's.
+CHUNK_BITS, PARTITION_BITS = 24, 23
+
+
+def chunk_number(partition: int, k: int) -> int:
+    """The number of the k-th chunk of a partition; the places in it still fit into 63 bits."""
+    if partition >> PARTITION_BITS or k >> CHUNK_BITS:
+        raise OverflowError("too many partitions or chunks to be numbered")
+    return (partition << CHUNK_BITS) + k
+
+
+def row_numbers(chunk: int, n: int) -> np.ndarray:
+    """Numbers of the n documents of a chunk that no other document has."""
+    return (np.int64(chunk) << PLACE_BITS) + np.arange(n)
+
+
 def _packer(limit: int, sort_by: tuple[str, ...]):
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
+        partition, made = TaskContext.get().partitionId() if TaskContext.get() else 0, 0
         waiting: list[pa.RecordBatch] = []
         size = 0
 
@@ -55,7 +73,7 @@ def _packer(limit: int, sort_by: tuple[str, ...]):
                 table = table.combine_chunks()
             whole = table.column("text").chunk(0)
             slab = next(slabs(whole, limit=1 << 62))
-            columns = [pa.array([number], pa.int64())]
+            columns = [pa.array([chunk_number(partition, made)], pa.int64())]
             for name in table.column_names[:-1]:
                 own = table.column(name).chunk(0)
                 columns.append(pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own))
@@ -70,7 +88,7 @@ def _packer(limit: int, sort_by: tuple[str, ...]):
                     size += int(slab.bounds[last - slab.first] - slab.bounds[first - slab.first])
                     if size >= limit // 2 or sum(map(len, waiting)) >= MOST:
                         yield chunk()
-                        number, size = number + 1, 0
+                        made, size = made + 1, 0
                         waiting.clear()
         if waiting:
             yield chunk()
@@ -78,10 +96,6 @@ def _packer(limit: int, sort_by: tuple[str, ...]):
     return packed
 
 
-#: Documents in a chunk at most.
-MOST = 1 << 15
-
-
 def chunk_table(docs: DataFrame, label: str, limit: int = CHUNK, sort_by: tuple[str, ...] = ()) -> DataFrame:
     """chunk, arrays of the columns of ``docs`` but text, bounds and data of the texts (null: empty); written once.
 

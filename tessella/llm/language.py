@@ -23,8 +23,10 @@ WIDTHS = (2, 3, 4)
 PER_WIDTH = 8
 EMBEDDED = 8
 STEP = 189
-#: Bytes of a window: its filters have STEP places. A text ends with zeros.
-WINDOW = STEP + max(WIDTHS) - 1
+#: Zeros in front of a text.
+LEAD = max(WIDTHS) - 1
+#: Bytes of a window: its filters have STEP places.
+WINDOW = STEP + LEAD
 BLOCK = 64
 NONE = "und"
 ASCII_LETTER = byte_set((0x41, 0x5A), (0x61, 0x7A))
@@ -32,15 +34,16 @@ NOT_ASCII = byte_set((0x80, 0xFF))
 
 
 def window_stream(slab: Slab) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes with every document moved to the start of a window; windows of each document; bytes of each window."""
+    """Bytes with every document moved to the start of a window, behind zeros, so that no filter sees two documents;
+    windows of each document; bytes of each window."""
     size = np.diff(slab.bounds)
-    n_windows = -(-(size + max(WIDTHS) - 1) // STEP)
+    n_windows = -(-(size + LEAD) // STEP)
     ends = np.cumsum(n_windows)
-    stream = np.zeros(int(ends[-1]) * STEP + max(WIDTHS) - 1, np.uint8)
-    shift = (ends - n_windows) * STEP - slab.bounds[:-1]
+    stream = np.zeros(int(ends[-1]) * STEP + LEAD, np.uint8)
+    shift = (ends - n_windows) * STEP + LEAD - slab.bounds[:-1]
     stream[np.arange(len(slab.data)) + np.repeat(shift, size)] = slab.data
     place = np.arange(int(ends[-1])) - np.repeat(ends - n_windows, n_windows)
-    return stream, n_windows, np.clip(np.repeat(size, n_windows) - place * STEP, 0, STEP)
+    return stream, n_windows, np.clip(np.repeat(size, n_windows) + LEAD - place * STEP, 0, STEP) - LEAD * (place == 0)
 
 
 @dataclass

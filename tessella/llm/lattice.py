@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..scratch import materialise
 from .chunks import answered, bucket_count, by_bucket, chunk_table, deal, in_order, opened, pack, unpack
 from .language import remainder
-from .texts import NOT_BLANK, _BYTE, Slab, running, span_hash
+from .texts import NOT_BLANK, Slab, running_bytes, span_hash
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁".encode()
@@ -66,7 +66,7 @@ def read_pieces(path: str = VOCABULARY) -> Pieces:
     names = sorted(scored, key=lambda p: (-scored[p], p))
     weight = 1.0 / (np.arange(len(names)) + 10.0)
     lengths = np.array([len(p) for p in names])
-    sums, ends = running(_BYTE[np.frombuffer(b"".join(names), np.uint8)]), np.cumsum(lengths)
+    sums, ends = running_bytes(np.frombuffer(b"".join(names), np.uint8)), np.cumsum(lengths)
     hashes = span_hash(sums, ends - lengths, ends)
     begins = [
         np.unique(span_hash(sums, (ends - lengths)[lengths >= n], (ends - lengths + n)[lengths >= n]))
@@ -118,7 +118,7 @@ class Lattice:
         flat[np.repeat(first + len(SPACE), end - start) + inner] = data[np.repeat(start, end - start) + inner]
         for k, b in enumerate(SPACE):
             flat[first + k] = b
-        sums = running(_BYTE[flat])
+        sums = running_bytes(flat)
         place = np.arange(len(flat))
         rest = np.repeat(first + size, size) - place  # bytes up to the end of the word
         found = []

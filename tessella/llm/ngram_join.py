@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import materialise
-from .chunks import answered, bucket_count, by_bucket, chunk_table, deal, in_order, opened, pack, unpack
+from .chunks import answered, bucket_count, by_bucket, chunk_table, deal, in_order, opened, pack, row_numbers, unpack
 from .components import components
 from .texts import NOT_BLANK, Slab, Words, mix, running, span_hash, window_hash
 
@@ -162,7 +162,7 @@ def _divider(size: int, percent: int, buckets: int):
             own = slice(s.first[k], s.first[k + 1])
             short.append(s.hash[by_rarity[own][shared[own]]].view(np.int64) if asks[k] else None)
             shingles.append(s.hash[own].tobytes() if asks[k] else None)
-        row = (np.int64(chunk.column("chunk")[0].as_py()) << 16) + np.arange(len(n))
+        row = row_numbers(chunk.column("chunk")[0].as_py(), len(n))
         return pa.table(
             {
                 "doc_id": chunk.column("doc_id").combine_chunks().flatten(),

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import materialise
 from .chunks import answered, bucket_count, by_bucket, chunk_table, deal, in_order, opened, pack, unpack
-from .texts import _BYTE, Slab, covered, mix, running, span_hash
+from .texts import Slab, covered, mix, running_bytes, span_hash
 
 LENGTH = 100
 GRAM = 32
@@ -98,7 +98,7 @@ class Chunk:
         self.sums: list[tuple[int, Slab, np.ndarray]] = []
         found = []
         for at, part in self.slab.parts():
-            sums = running(_BYTE[part.data])
+            sums = running_bytes(part.data)
             self.sums.append((at, part, sums))
             p = parse(part, sums)
             found.append((p.trigger, p.first + at, p.last + at, p.doc + part.first, p.own))

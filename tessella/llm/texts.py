@@ -1,15 +1,15 @@
 """Texts of Arrow batches as byte arrays: words, lines and hashes of spans, for a slab of documents at once.
 
-Hashes are 64 bits wide: a polynomial over random byte values modulo 2**64, so that the hash of any span comes from two
-running sums, and a finalizer on top. Equal spans have equal hashes; two of n different spans share one with odds of
-about n * n / 2**65.
+The hash of a span is its polynomial modulo the prime 2**61 - 1, which comes from two running sums, and a finalizer on
+top. The base is drawn from a seeded generator, the same in every task; it knows nothing of the texts. Equal spans have
+equal hashes; two different ones of at most n bytes share one for at most n of the 2**61 bases.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +17,13 @@ import pyarrow as pa
 #: Bytes of text handled at once; a longer document is a slab of its own.
 SLAB = 1 << 20
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BACK = pow(_BASE, -1, 1 << 64)
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+PRIME = (1 << 61) - 1
+_P, _LOW32, _LOW31, _LOW30 = (np.uint64((1 << k) - 1) for k in (61, 32, 31, 30))
+_BASE = int(np.random.default_rng(20240229).integers(1 << 60, PRIME - 1))
+_BACK = pow(_BASE, -1, PRIME)
 _SALT = np.uint64(0xD6E8FEB86659FD93)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Numbers multiplied at once: their intermediate results stay in the cache.
+_AT_ONCE = 1 << 13
 
 
 def byte_set(*ranges: tuple[int, int]) -> np.ndarray:
@@ -43,14 +45,46 @@ def lower(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _BACK)):
-            factors = np.full(max(n, 2 * SLAB), base, np.uint64)
-            factors[0] = 1
-            _powers[k] = np.cumprod(factors, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Modulo PRIME."""
+    x = (x & _P) + (x >> np.uint64(61))
+    return np.minimum(x, x - _P)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo PRIME of numbers below it, from halves of 31 bits: 2**61 is one."""
+    found = np.empty(len(a), np.uint64)
+    for at in range(0, len(a), _AT_ONCE):
+        x, y = a[at : at + _AT_ONCE], b[at : at + _AT_ONCE]
+        x_high, y_high = x >> np.uint64(31), y >> np.uint64(31)
+        x, y = x & _LOW31, y & _LOW31
+        middle = x_high * y + x * y_high
+        x_high *= y_high
+        x *= y
+        x += x_high << np.uint64(1)
+        x += middle >> np.uint64(30)
+        x += (middle & _LOW30) << np.uint64(31)
+        found[at : at + _AT_ONCE] = _reduced(x)
+    return found
+
+
+@cache
+def powers(base: int) -> np.ndarray:
+    """The first SLAB powers of a base."""
+    found = np.ones(1, np.uint64)
+    while len(found) < SLAB:
+        factor = np.uint64(pow(base, len(found), PRIME))
+        found = np.concatenate([found, times(found, np.full(len(found), factor))])
+    return found
+
+
+def _power_at(base: int, place: np.ndarray) -> np.ndarray:
+    low = powers(base)[place & (SLAB - 1)]
+    most = int(place.max()) // SLAB if len(place) else 0
+    if not most:
+        return low
+    high = np.array([pow(base, k * SLAB, PRIME) for k in range(most + 1)], np.uint64)
+    return times(low, high[place // SLAB])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -63,25 +97,65 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def running(values: np.ndarray) -> np.ndarray:
-    """Running sums of values times powers, from 0."""
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(len(values))[0], out=sums[1:])
+def _running(n: int, terms: Callable[[slice, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Running sums modulo PRIME, from 0. ``terms`` gives the low 32 bits and the rest of the terms of some places, or
+    numbers below 2**43 that stand for them."""
+    sums = np.zeros(n + 1, np.uint64)
+    powers_of_base = powers(_BASE)
+    for at in range(0, n, _AT_ONCE):
+        places = slice(at, min(n, at + _AT_ONCE))
+        first = at % SLAB
+        power = powers_of_base[first : first + places.stop - at]
+        if at >= SLAB:
+            power = times(power, np.full(len(power), np.uint64(pow(_BASE, at - first, PRIME))))
+        low, high = terms(places, power)
+        low, high = np.cumsum(low), _reduced(np.cumsum(high))
+        total = (low & _P) + (low >> np.uint64(61))
+        total += (high << np.uint64(32)) & _P
+        total += high >> np.uint64(29)
+        total += sums[at]
+        sums[at + 1 : places.stop + 1] = _reduced(total)
     return sums
 
 
+def running(values: np.ndarray) -> np.ndarray:
+    """Running sums of values times powers of the base."""
+
+    def terms(places: slice, power: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        product = times(_reduced(values[places]), power)
+        return product & _LOW32, product >> np.uint64(32)
+
+    return _running(len(values), terms)
+
+
+def running_bytes(data: np.ndarray) -> np.ndarray:
+    """``running`` of the bytes, each one more than it is."""
+
+    def terms(places: slice, power: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        digits = data[places].astype(np.uint64)
+        digits += np.uint64(1)
+        high = power >> np.uint64(32)
+        high *= digits
+        digits *= power & _LOW32
+        return digits, high
+
+    return _running(len(data), terms)
+
+
+def _spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return times(_reduced(sums[end] + _P - sums[start]), _power_at(_BACK, start))
+
+
 def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    back = powers(len(sums))[1]
-    return mix((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64) * _SALT)
+    return mix(_spans(sums, start, end) + (end - start).astype(np.uint64) * _SALT)
 
 
 def window_hash(values: np.ndarray, size: int) -> np.ndarray:
     """Hash of every window of ``size`` values, by its first place."""
     if len(values) < size:
         return np.zeros(0, np.uint64)
-    sums = running(mix(values))
-    salt = np.uint64(size * int(_SALT) % (1 << 64))
-    return mix((sums[size:] - sums[:-size]) * powers(len(sums))[1][: len(sums) - size] + salt)
+    start = np.arange(len(values) - size + 1)
+    return span_hash(running(mix(values)), start, start + size)
 
 
 def of_document(values: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -124,7 +198,7 @@ class Slab:
 
     @cached_property
     def sums(self) -> np.ndarray:
-        return running(_BYTE[self.data])
+        return running_bytes(self.data)
 
     def parts(self, limit: int = SLAB) -> Iterator[tuple[int, Slab]]:
         """Slabs of a few documents each, and the place of each one's first byte in this one."""

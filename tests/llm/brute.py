@@ -134,3 +134,75 @@ def counts(rows):
         failed = len(w) < 50 or 100 * len(again) > 50 * len(w)
         out.append((d, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(again), failed))
     return out
+
+
+def repeating_tail(doc_id, words):
+    h = zlib.crc32(str(doc_id).encode())
+    n, g = len(words), h // 10
+    if doc_id is None or h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+
+
+def word_runs(words, min_words=12):
+    """(start, length, period): all stretches with equal words q apart, the smallest q of equal stretches."""
+    found = {}
+    for q in range(1, len(words) // 2 + 1):
+        i = 0
+        while i + q < len(words):
+            j = i
+            while j + q < len(words) and words[j] == words[j + q]:
+                j += 1
+            if j - i >= q and j - i + q >= min_words:
+                found.setdefault((i, j - i + q), q)
+            i = max(j, i + 1)
+    return sorted(((a, n, q) for (a, n), q in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def periodic_runs(rows, rewrite=repeating_tail):
+    out = []
+    for doc, text in rows:
+        words = rewrite(doc, re.findall(BLANK, text or ""))
+        runs = word_runs(words)
+        gone = {k for a, n, q in runs for k in range(a + q, a + n)}
+        kept = " ".join(w for k, w in enumerate(words) if k not in gone)
+        best = min(runs, key=lambda r: (-r[1], r[0], r[2]), default=(None, None, None))
+        lines = "".join(f"{a},{n},{q}\n" for a, n, q in runs)
+        milli = 1000 * best[1] // best[2] if runs else None
+        out.append((doc, len(runs), *best, milli, *(hashlib.sha256(s.encode()).hexdigest() for s in (lines, kept))))
+    return out
+
+
+def one_edit(x, y):
+    if len(x) < len(y):
+        x, y = y, x
+    if len(x) == len(y):
+        return sum(a != b for a, b in zip(x, y)) == 1
+    return len(x) == len(y) + 1 and any(x[:k] + x[k + 1 :] == y for k in range(len(x)))
+
+
+def spelling_variants(rows, planted=True):
+    """(word, form, root, n, n_near, form_n), with all pairs of words compared."""
+    counts = collections.Counter()
+    for doc, text in rows:
+        for word in re.findall("[A-Za-z\u00C0-\u00FF]+", text or ""):
+            word = lowered(word)
+            h = zlib.crc32(f"{doc}:{word}".encode())
+            if planted and doc is not None and h % 97 == 0:
+                word = word[: h % len(word)] + word[h % len(word) + 1 :]
+            counts[word] += 1
+    words = {w: n for w, n in counts.items() if len(w) >= 5 and n >= 3}
+    near = {w: [x for x in words if abs(len(x) - len(w)) < 2 and x != w and one_edit(w, x)] for w in words}
+    form = {}
+    for w, others in near.items():
+        best = min(others, key=lambda x: (-words[x], x), default=None)
+        form[w] = best if best is not None and words[best] >= 2 * words[w] else None
+    out = []
+    for w, n in words.items():
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out.append((w, form[w], root, n, len(near[w]), words[form[w]] if form[w] is not None else None))
+    return out

@@ -4,11 +4,13 @@ import math
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import brute
-from tessella.llm import ngram_join
+from tessella.llm import chunks, ngram_join, texts
 from tessella.llm.components import components
 from tessella.llm.decontaminate import contamination, without_contaminated
 from tessella.llm.html_text import extract_text, html_to_text
@@ -36,6 +38,9 @@ def prose(n, lines=9):
 FIRST, SECOND = prose(200), prose(120)
 PASSAGE = " ".join(rng.choice(VOCABULARY) for _ in range(60))
 NEAR = FIRST.replace(FIRST.split()[50], "changed", 1)
+#: A sequence and its complement, which polynomials modulo powers of two do not tell apart.
+MORSE = "".join("ab"[k.bit_count() % 2] for k in range(2048))
+ESROM = MORSE.translate(str.maketrans("ab", "ba"))
 LONG = prose(30_000) + "\n" + PASSAGE + "\n" + FIRST
 ODD = [
     (7, FIRST, "en", "a"), (8, FIRST, "en", "a"), (8, FIRST, "en", "a"), (9, NEAR, "en", None), (1, SECOND, "de", "a"),
@@ -43,13 +48,15 @@ ODD = [
     (None, FIRST, "en", None), (None, PASSAGE, "en", "c"), (10, LONG, "en", "a"), (11, "a" * 5000, "en", "a"),
     (12, "x y\n" * 700, "en", "a"), (13, SECOND + "\n\n" + PASSAGE, "de", "a"), (14, "$$ ## 12", "en", "c"),
     (15, "one two", "en", "c"), (16, "ONE two", "en", "c"), (17, PASSAGE + " " + PASSAGE, "en", "a"),
+    (19, MORSE, "en", "a"), (20, ESROM, "en", "a"), (21, " ".join(MORSE), "en", "b"), (22, " ".join(ESROM), "en", "b"),
+    (23, MORSE + "\n" + ESROM + "\n" + " ".join(ESROM) + "\n" + MORSE[:100], "en", "b"),
     (18, "  " + SECOND.replace("\n", "  \n "), "de", "d"), (-3, "\u00e9\U0001f600 \u00a0 z" * 40, "fr", "d"),
 ]
 CLASHING = (
     "text_key row rest runs label order window chunk bounds data key slice host bucket token set_id keys counts answer size "
     "number weight target level held_out score lang_pred url path verdict stack entries depth place component word"
 ).split()
-ITEMS = [(1, PASSAGE), (1, PASSAGE.upper()), (2, "one, two"), (3, ""), (4, None), (None, SECOND[:300]), (5, SECOND[:300])]
+ITEMS = [(6, MORSE), (7, " ".join(MORSE[:1500])), (1, PASSAGE), (1, PASSAGE.upper()), (2, "one, two"), (3, ""), (4, None), (None, SECOND[:300]), (5, SECOND[:300])]
 
 
 @pytest.fixture(scope="module")
@@ -78,6 +85,29 @@ def documents(spark, folder):
     return docs, [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
 
 
+def test_numbers_of_documents_do_not_meet():
+    last = chunks.chunk_number((1 << 23) - 1, (1 << 24) - 1)
+    assert chunks.row_numbers(last, chunks.MOST)[-1] > 0
+    found = [chunks.row_numbers(chunks.chunk_number(p, k), 2).tolist() for p in (0, 1, 65_535, 65_536, 1 << 22) for k in (0, 1, 65_536)]
+    assert len({n for own in found for n in own}) == 2 * len(found)
+    for p, k in ((1 << 23, 0), (0, 1 << 24)):
+        with pytest.raises(OverflowError):
+            chunks.chunk_number(p, k)
+
+
+def test_span_hashes_are_polynomials_modulo_a_prime():
+    data = np.random.default_rng(3).integers(0, 256, 2 * texts.SLAB + 50, dtype=np.uint8)
+    data[texts.SLAB + 7 : texts.SLAB + 2007] = data[5000:7000]
+    sums = texts.running_bytes(data)
+    for start, size in ((0, 5), (5000, 2000), (texts.SLAB - 3, 9), (2 * texts.SLAB + 5, 40)):
+        value = sum((int(b) + 1) * pow(texts._BASE, k, texts.PRIME) for k, b in enumerate(data[start : start + size])) % texts.PRIME
+        assert int(texts._spans(sums, np.array([start]), np.array([start + size]))[0]) == value
+    a, b = (texts.span_hash(sums, np.array([at]), np.array([at + 2000])) for at in (5000, texts.SLAB + 7))
+    assert a == b
+    pair = next(texts.slabs(pa.array([MORSE, ESROM])))
+    assert len(set(pair.words(texts.NOT_BLANK).hash.tolist())) == 2
+
+
 # -- language
 
 
@@ -103,8 +133,8 @@ def test_languages_of_odd_rows(odd, nothing):
 
 def test_accepted_keeps_labelled_and_unjudged_texts(spark, odd, nothing):
     docs, _ = documents(spark, SMALL)
-    texts = [r["text"][:300] for r in docs.where("length(text) > 300").dropDuplicates(["lang"]).select("text").collect()]
-    mixed = docs.limit(30).withColumn("text", F.lit(" ".join(texts))).withColumn("doc_id", -1 - F.col("doc_id"))
+    parts = [r["text"][:300] for r in docs.where("length(text) > 300").dropDuplicates(["lang"]).select("text").collect()]
+    mixed = docs.limit(30).withColumn("text", F.lit(" ".join(parts))).withColumn("doc_id", -1 - F.col("doc_id"))
     rare = docs.limit(3).withColumns({"lang": F.lit("rare"), "doc_id": -1_000_000_000 - F.col("doc_id")})
     both = docs.unionByName(mixed).unionByName(rare)
     lettered = both.where("text rlike '[\\\\p{L}]'").count()
