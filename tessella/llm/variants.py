@@ -33,9 +33,12 @@ MIN_LETTERS, MIN_COUNT = 5, 3
 SAMPLE, PER_CELL = 200_000, 16
 #: Letters of a cell's points at most, and as a multiple of them of the words sent there; one word may have more.
 CELL_LETTERS, MORE_SEARCHING = 1 << 18, 8
-LEAF = 48
+LEAF = 128
+#: Words that search a tree at once.
+SEARCHED = 1 << 14
 #: Differences of letter counts computed at once.
 BLOCK = 1 << 19
+_ONES = np.ones(LETTERS + OTHERS, np.float32)
 
 Rewrite = Callable[[object, str], str]
 
@@ -217,25 +220,36 @@ class Tree:
                 waiting += [(first, cut, number, 0), (cut, last, number, 1)]
 
     def within(self, search: np.ndarray, radius: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(search, point) pairs no further apart than the search's radius."""
+        """(search, point) pairs whose differences are one at most in ``radius`` dimensions (1 or 2), and none elsewhere.
+
+        These are the pairs whose squared differences sum up to the radius at most, which is a product of matrices. Their
+        sum of differences is no larger than the radius, so they lie in the boxes that are no further away.
+        """
+        # small whole numbers, which float32 holds exactly
+        exact = [x.astype(np.float32) for x in (search, self.at[self.order])]
+        lengths = [(x * x).sum(axis=1) for x in exact]
+        boxes = [(low.astype(np.float32), high.astype(np.float32)) for _, _, low, high, *_ in self.nodes]
         waiting = [(0, np.arange(len(search)))]
         while waiting:
             number, who = waiting.pop()
-            first, last, low, high, *children = self.nodes[number]
-            own = search[who]
-            gap = (np.maximum(low - own, 0) + np.maximum(own - high, 0)).sum(axis=1)
-            who = who[gap <= radius[who]]
+            first, last, _, _, *children = self.nodes[number]
+            own = exact[0][who]
+            gap = np.clip(own, *boxes[number])
+            gap -= own
+            who = who[np.abs(gap, out=gap) @ _ONES <= radius[who]]
             if not len(who):
                 continue
             if children[0] >= 0:
                 waiting += [(c, who) for c in children]
                 continue
             for a in range(first, last, LEAF):  # equal points make leaves of any size
-                at = self.at[self.order[a : min(a + LEAF, last)]]
-                step = max(1, BLOCK // at.size)
-                for b in range(0, len(who), step):
-                    part = who[b : b + step]
-                    apart = np.abs(search[part][:, None, :] - at[None]).sum(axis=2)
+                points_here = slice(a, min(a + LEAF, last))
+                for b in range(0, len(who), BLOCK // LEAF):
+                    part = who[b : b + BLOCK // LEAF]
+                    apart = exact[0][part] @ exact[1][points_here].T
+                    apart *= -2
+                    apart += lengths[0][part][:, None]
+                    apart += lengths[1][points_here]
                     i, j = np.nonzero(apart <= radius[part][:, None])
                     yield part[i], self.order[a + j]
 
@@ -254,28 +268,37 @@ def search_cell(words: list[str], n: np.ndarray, searching: list[str]) -> tuple[
     the largest n of these, and the first word that has it."""
     order = np.array(sorted(range(len(words)), key=words.__getitem__))
     words, n = [words[k] for k in order], n[order]
-    length = len(words[0])
     codes, _ = letters(words)
-    codes = codes.reshape(len(words), length)
+    codes = codes.reshape(len(words), len(words[0]))
+    tree = Tree(points(words))
+    found = []
+    for at in range(0, len(searching), SEARCHED):
+        who, many, best = _nearest(tree, codes, n, searching[at : at + SEARCHED])
+        found.append((who + at, many, n[best], order[best]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _nearest(tree: Tree, codes: np.ndarray, n: np.ndarray, searching: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which words find one, how many, and the first of those with the largest n; the tree's words are in order."""
+    length = codes.shape[1]
     own_codes, first = letters(searching)
     sizes = np.diff(first)
-    tree = Tree(points(words))
-    hits: list[tuple[np.ndarray, np.ndarray]] = []
+    hits: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 2]
     for i, j in tree.within(points(searching), np.where(sizes == length, 2, 1)):
         for size in np.unique(sizes[i]).tolist():
             same = sizes[i] == size
             a, b = i[same], j[same]
-            for k in range(0, len(a), max(1, BLOCK // size)):
-                p, q = a[k : k + max(1, BLOCK // size)], b[k : k + max(1, BLOCK // size)]
+            step = max(1, BLOCK // size)
+            for k in range(0, len(a), step):
+                p, q = a[k : k + step], b[k : k + step]
                 x, y = own_codes[first[p][:, None] + np.arange(size)], codes[q]
                 near = one_edit(x, y) if size >= length else one_edit(y, x)
                 hits.append((p[near], q[near]))
-    i, j = (np.concatenate(x) for x in zip(*hits)) if hits else (np.zeros(0, np.int64),) * 2
+    i, j = (np.concatenate(x) for x in zip(*hits))
     ranked = np.lexsort((j, -n[j], i))
     i, j = i[ranked], j[ranked]
     found, begin, many = np.unique(i, return_index=True, return_counts=True)
-    best = j[begin]
-    return found, many, n[best], best if not len(best) else order[best]
+    return found, many, j[begin]
 
 
 def _searched(cell: pa.Table) -> pa.Table:
