@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from tessella.functions.cells import date_parts, parse_timestamp, timestamps_to_string
@@ -14,7 +16,7 @@ from tessella.operators.projections import (
     select_columns,
 )
 from tessella.operators.row_id import add_row_id
-from tessella.scratch import new_path
+from tessella.scratch import materialise, new_path
 from tessella.sources.readers import ingest, json_rows, read_csv, read_json
 from tessella.sources.store import (
     page_rows,
@@ -83,6 +85,53 @@ def through_csv(spark, df):
     return read_csv_as(spark, write_csv(df, new_path(spark, "csv")), df)
 
 
+@contextmanager
+def small_splits(spark, split_bytes=64 << 10):
+    """Splits of a size that also small files have several of."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+    for name, value in zip(names, (split_bytes, 0)):
+        spark.conf.set(name, value)
+    try:
+        yield split_bytes
+    finally:
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)
+
+
+def scan_csv_split(spark, folder):
+    """Texts with quoted line breaks, in files that several tasks read."""
+    texts = odd_texts(spark, folder)
+    path = write_csv(texts, new_path(spark, "csv"))
+    with small_splits(spark) as split_bytes:
+        return materialise(read_csv(spark, path, texts.schema, split_bytes=split_bytes), "csv-rows")
+
+
+def scan_csv_split_inferred(spark, folder):
+    conversations = table(spark, folder, "conversations")
+    path = write_csv(conversations, new_path(spark, "csv"))
+    with small_splits(spark) as split_bytes:
+        found = materialise(read_csv(spark, path, split_bytes=split_bytes), "csv-rows")
+    return found.select(*[F.col(f.name).cast(f.dataType) for f in conversations.schema])
+
+
+def scan_json_split(spark, folder):
+    """Arrays of objects with texts full of braces and quotes, in files that several tasks read."""
+    with small_splits(spark) as split_bytes:
+        found = materialise(read_json(spark, json_arrays(spark, odd_texts(spark, folder)), document=True, split_bytes=split_bytes), "json-rows")
+    return found.select("doc_id", "text", "lang", "source", "n_chars")
+
+
+def json_arrays(spark, df):
+    """Files of one indented array each, a file for each slice of the first column."""
+    key = F.pmod(F.xxhash64(df.columns[0]), F.lit(8))
+    rows = F.collect_list(F.to_json(F.struct(*df.columns)))
+    path = new_path(spark, "json")
+    arrays = df.groupBy(key.alias("part")).agg(F.concat(F.lit("[\n  "), F.array_join(rows, ",\n  "), F.lit("\n]")))
+    arrays.drop("part").repartition(8).write.option("lineSep", "\n").text(path)
+    return path
+
+
 def ingest_json_documents(spark, folder):
     """Customers as one indented array per file."""
     customer = table(spark, folder, "customer")
@@ -156,7 +205,10 @@ def without_empty(spark, folder):
 
 QUERIES = {
     "scan_csv": scan_csv,
+    "scan_csv_split": scan_csv_split,
+    "scan_csv_split_inferred": scan_csv_split_inferred,
     "scan_json": scan_json,
+    "scan_json_split": scan_json_split,
     "scan_json_files": scan_json_files,
     "scan_parquet": lambda s, d: table(s, d, "lineitem"),
     "sink_parquet": sink_parquet,
@@ -196,18 +248,23 @@ NUMBERED_ORDERS = f"""
          row_number() over (order by {nulls_first(ORDERS)}) as id
   from orders"""
 
+ODD_TEXTS = """
+  select doc_id, case doc_id % 7 when 0 then null when 1 then '' when 2 then '  ' || text || chr(9) || ' '
+           when 3 then '"a",' || chr(92) || '"b"' || chr(92) || 'n,' || chr(13) || chr(10) || text || chr(92)
+           else text end as text, lang, source, n_chars
+  from documents"""
+
 ORACLES = {
     "scan_csv": "select * from orders",
+    "scan_csv_split": ODD_TEXTS,
+    "scan_csv_split_inferred": "select * from conversations",
+    "scan_json_split": ODD_TEXTS,
     "scan_json": "select event_id, json_extract_string(props, '$.k')::bigint as k from events",
     "scan_json_files": "select * from customer",
     "scan_parquet": "select * from lineitem",
     "sink_parquet": "select * from part",
     "sink_csv": "select * from supplier",
-    "sink_csv_texts": """
-        select doc_id, case doc_id % 7 when 0 then null when 1 then '' when 2 then '  ' || text || chr(9) || ' '
-                 when 3 then '"a",' || chr(92) || '"b"' || chr(92) || 'n,' || chr(13) || chr(10) || text || chr(92)
-                 else text end as text, lang, source, n_chars
-        from documents""",
+    "sink_csv_texts": ODD_TEXTS,
     "sink_csv_pages": "select * from pages",
     "sink_csv_conversations": "select * from conversations",
     "ingest_json_documents": """

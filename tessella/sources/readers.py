@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import TessellaError
 from ..functions.cells import column, quoted
 from ..functions.names import require_unique, sanitize_columns
+from .split_scan import SPLIT_BYTES, csv_records, json_elements
 
 
 # Quotes in a value are doubled, backslashes are plain characters, and an empty text differs from a missing one.
@@ -20,23 +23,82 @@ NOTHING = "\ue000nothing\ue000"
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multiline: bool = True
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | str | None = None,
+    multiline: bool = True,
+    split_bytes: int = SPLIT_BYTES,
 ) -> DataFrame:
     """CSV with a header. Give a schema for large inputs: inferring one reads the file an extra time.
 
-    Values may hold line breaks, so a file is read by one task. ``multiline=False`` splits large files across tasks, and
-    is right only if no value has a line break.
+    Values may hold line breaks. Files up to ``split_bytes`` are read by one task each. If there is a larger one, all are
+    scanned split by split, first for where each split begins and then for the records (``split_scan``); a folder with
+    partition columns is read file by file. ``multiline=False`` reads lines at once, and is right only if no value has a
+    line break.
     """
     reader = spark.read.options(**CSV_OPTIONS, nullValue=NOTHING, emptyValue="").option("multiLine", multiline)
+    if multiline and _is_split(spark, path, split_bytes):
+        return _csv_by_split(spark, path, schema)
     return reader.schema(schema).csv(path) if schema is not None else reader.option("inferSchema", True).csv(path)
 
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None, document: bool = False) -> DataFrame:
+def _is_split(spark: SparkSession, path: str, split_bytes: int) -> bool:
+    """Whether a file is larger, and the folder has no columns of its own."""
+    files = spark.read.format("binaryFile").load(path)
+    if files.columns != ["path", "modificationTime", "length", "content"]:
+        return False
+    return (files.agg(F.max("length")).first()[0] or 0) > split_bytes
+
+
+def _strings(df: DataFrame):
+    """A frame of one text column as the JVM's readers take it, to infer types from."""
+    return getattr(df._jdf, "as")(df.sparkSession._jvm.org.apache.spark.sql.Encoders.STRING())
+
+
+def _inferred(reader: DataFrameReader, kind: str, rows: DataFrame) -> T.StructType:
+    try:
+        found = getattr(reader._jreader, kind)(_strings(rows)).schema().json()
+    except Py4JJavaError as broken:
+        raise TessellaError(f"the records are no {kind.upper()}") from broken
+    return T.StructType.fromJson(json.loads(found))
+
+
+def _csv_by_split(spark: SparkSession, path: str, schema: T.StructType | str | None) -> DataFrame:
+    options = {**CSV_OPTIONS, "header": False, "nullValue": NOTHING, "emptyValue": ""}
+    records = csv_records(spark, path)
+    rows = records.where("not first").select("record")
+    if schema is None:
+        names = spark.read.options(**CSV_OPTIONS, multiLine=True).csv(path).columns
+        found = _inferred(spark.read.options(**options, inferSchema=True), "csv", rows)
+        # a file without rows has texts, as have columns behind those of the first rows
+        kinds = [f.dataType for f in found.fields] + [T.StringType()] * len(names)
+        schema = T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)])
+    elif isinstance(schema, str):
+        schema = spark.createDataFrame([], schema).schema
+    options = {k: str(v).lower() if isinstance(v, bool) else v for k, v in options.items()} | {"multiLine": "true"}
+    return rows.select(F.from_csv("record", schema.toDDL(), options).alias("row")).select("row.*")
+
+
+def read_json(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | str | None = None,
+    document: bool = False,
+    split_bytes: int = SPLIT_BYTES,
+) -> DataFrame:
     """JSON lines (split across tasks), or with ``document`` files that each hold one object or array.
 
-    Text that is not JSON raises: when the schema is inferred, or when the rows are read.
+    Text that is not JSON raises: when the schema is inferred, or when the rows are read. With a document larger than
+    ``split_bytes``, all are scanned split by split for the elements of their arrays (``split_scan``), which must be objects.
     """
     reader = spark.read.option("multiLine", document)
+    if document and _is_split(spark, path, split_bytes):
+        rows = json_elements(spark, path)
+        if schema is None:
+            schema = _inferred(spark.read.option("mode", "FAILFAST"), "json", rows)
+        elif isinstance(schema, str):
+            schema = spark.createDataFrame([], schema).schema
+        return rows.select(F.from_json("record", schema, {"mode": "FAILFAST"}).alias("row")).select("row.*")
     if schema is not None:
         return reader.schema(schema).option("mode", "FAILFAST").json(path)
     found = reader.json(path)
@@ -114,15 +176,17 @@ def ingest(
     schema: T.StructType | str | None = None,
     document: bool = False,
     multiline: bool = True,
+    split_bytes: int = SPLIT_BYTES,
 ) -> DataFrame:
     """Scan an upload and give its columns clean names that are unique across datasets.
 
-    ``document``: JSON files hold one object or array each, over any number of lines. ``multiline``: see ``read_csv``.
+    ``document``: JSON files hold one object or array each, over any number of lines. ``multiline`` and ``split_bytes``:
+    see ``read_csv``.
     """
     if kind == "csv":
-        df = read_csv(spark, path, schema, multiline)
+        df = read_csv(spark, path, schema, multiline, split_bytes)
     elif kind == "json":
-        df = flatten(read_json(spark, path, schema, document))
+        df = flatten(read_json(spark, path, schema, document, split_bytes))
     elif kind == "parquet":
         df = read_parquet(spark, path)
     else:
