@@ -15,6 +15,10 @@ from ..scratch import exists, new_path, remove
 from .readers import CSV_OPTIONS, read_csv
 
 ROW_ID = "id"
+# Where a stored dataset keeps which file holds which ids; readers of its rows pass over names with an underscore.
+MANIFEST = "_pages"
+# Files that a page names one by one; more are found by the scan of the dataset.
+PAGE_FILES = 1000
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
@@ -46,9 +50,20 @@ def store_dataset(
         raise AlreadyStored(path)
     try:
         numbered = add_row_id(rename_spaces(df), order_by, ROW_ID, partitions, sorted_copy)
-        return write_parquet(timestamps_to_string(numbered), path, mode)
+        write_parquet(timestamps_to_string(numbered), path, mode)
     finally:
         remove(spark, sorted_copy)
+    write_manifest(spark, path)
+    return path
+
+
+def write_manifest(spark: SparkSession, path: str) -> None:
+    """file, first, last: the runs of ids in each file of a stored dataset; only the ids are read. Write it again after
+    files change. Rows whose ids follow each other have the same distance between id and place in the file."""
+    place = F.col("_metadata.row_index")
+    ids = spark.read.parquet(path).select(F.col("_metadata.file_name").alias("file"), (F.col(ROW_ID) - place).alias("run"), ROW_ID)
+    zones = ids.groupBy("file", "run").agg(F.min(ROW_ID).alias("first"), F.max(ROW_ID).alias("last")).drop("run")
+    zones.coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}/{MANIFEST}")
 
 
 def store_dataset_fast_id(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
@@ -67,7 +82,20 @@ def page_rows(dataset: DataFrame, offset: int | None = None, limit: int | None =
 
 
 def read_page(spark: SparkSession, path: str, offset: int | None = None, limit: int | None = None) -> DataFrame:
-    return page_rows(spark.read.parquet(path), offset, limit)
+    """``page_rows`` of a stored dataset. With its manifest, only the files that hold the page are listed and opened."""
+    manifest = f"{path.rstrip('/')}/{MANIFEST}"
+    if offset is None or limit is None or not exists(spark, manifest):
+        return page_rows(spark.read.parquet(path), offset, limit)
+    zones = spark.read.schema("file string, first long, last long").parquet(manifest)
+    held = zones.where((F.col("first") < offset + limit) & (F.col("last") >= offset))
+    names = [r["file"] for r in held.select("file").distinct().limit(PAGE_FILES + 1).collect()]
+    if len(names) > PAGE_FILES:
+        return page_rows(spark.read.parquet(path), offset, limit)
+    # a page without rows still has the columns of some file
+    names = names or [r["file"] for r in zones.select("file").limit(1).collect()]
+    if not names:
+        return page_rows(spark.read.parquet(path), offset, limit)
+    return page_rows(spark.read.parquet(*[f"{path.rstrip('/')}/{name}" for name in names]), offset, limit)
 
 
 def rows_as_json(df: DataFrame) -> DataFrame:
