@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from tessella.operators.curves import last_stage, loss_curve_trees, objective_cu
 from tessella.operators.evaluate import (
     actual_vs_predicted,
     auc,
+    by_class,
     confusion_matrix,
     gains_lift,
     metrics_classification,
@@ -30,8 +32,10 @@ from tessella.plans.train import (
     PREDICTION,
     Settings,
     cross_validation_metrics,
+    deviance_curve,
     fit_ols,
     held,
+    importance_by_permutation,
     label_index,
     labelled,
     load_model,
@@ -365,10 +369,82 @@ def importance_checks(spark, folder):
 
 
 def fold_checks(spark, folder):
-    """metric, sane: the mean over the folds lies between 0 and 1, or is not negative for the log loss; it may be undefined."""
-    found = folds(spark, folder)
-    sane = (F.col("mean") >= 0) & ((F.col("mean") <= 1) | (F.col("metric") == "logloss"))
-    return found.select("metric", F.coalesce(sane, F.lit(True)).alias("sane"))
+    """metric, mean, sd of squared and absolute errors (in thousands) of a line through one feature, over five folds."""
+    lineitem = labelled(table(spark, folder, "lineitem"), PRICE, REGRESSION).select(LINE_KEY, QUANTITY, LABEL)
+    found = cross_validation_metrics(lineitem, LINE_KEY, [QUANTITY], "GLM", REGRESSION, 5, settings=SETTINGS)
+    scale = F.when(F.col("metric") == "Mean Square Error", 1e6).otherwise(1e3)
+    found = found.where("metric in ('Mean Square Error', 'Root Mean Square Error', 'Mean Absolute Error')")
+    return found.select("metric", F.round(F.col("mean") / scale, 4).alias("mean"), F.round(F.col("sd") / scale, 4).alias("sd"))
+
+
+def deviance_stages(setting, family):
+    def query(spark, folder):
+        s = setting(spark, folder)
+        return deviance_curve(s.fit(family), s.train, s.holdout, SETTINGS)
+
+    return query
+
+
+def toxic_frame(spark, folder):
+    labels = table(spark, folder, "labels").select("doc_id", "quality", F.col("toxic").cast("double").alias("toxic"))
+    return labelled(labels, "quality", CLASSIFICATION, label_index(labels, "quality"))
+
+
+def deviance_checks(spark, folder):
+    """model, series, value: where the deviance ends, of models that have a closed form."""
+    found = []
+    lineitem = labelled(table(spark, folder, "lineitem"), PRICE, REGRESSION).select(LINE_KEY, QUANTITY, LABEL)
+    for frame, key, feature, problem in ((lineitem, LINE_KEY, QUANTITY, REGRESSION), (toxic_frame(spark, folder), "doc_id", "toxic", CLASSIFICATION)):
+        marked = with_split(frame, key, SEED)
+        training, holdout = part(marked, TRAIN), part(marked, HOLDOUT)
+        classes = ["1", "0"] if problem == CLASSIFICATION else []
+        trained = train_family(training, [feature], "GLM", problem, classes, SETTINGS)
+        curve = deviance_curve(trained, training, holdout, SETTINGS)
+        scale = 1e6 if problem == REGRESSION else 1.0
+        ends = curve.groupBy("series").agg(F.round(F.max_by("value", "position") / scale, 4).alias("value"))
+        found.append(ends.select(F.lit(problem).alias("model"), "series", "value"))
+    return found[0].unionAll(found[1])
+
+
+def staged_checks(spark, folder):
+    """model, series, points, falls, last as in ``curve_checks``, for three classes."""
+    found = []
+    s = flag(spark, folder)
+    for family in ("GBM", "DRF"):
+        trained = s.fit(family)
+        curve = loss_curve_trees(trained.model, trained.score(s.train), trained.score(s.holdout), LABEL)
+        series = F.when(F.col("split") == TRAIN, "training").otherwise("validation")
+        own = leaderboard([trained], s.marked).where("metric = 'logloss'").select(series.alias("series"), F.col("value").alias("metric"))
+        ends = curve.groupBy("series").agg(
+            F.count(F.lit(1)).alias("points"), F.min_by("value", "position").alias("first"), F.max_by("value", "position").alias("end")
+        )
+        close = F.abs(F.col("end") - F.col("metric")) <= 1e-6 * F.col("metric")
+        # a forest's own probability is the mean of its trees', as in the curve
+        found.append(ends.join(own, "series").select(F.lit(family).alias("model"), "series", "points", close.alias("last")))
+    return found[0].unionAll(found[1])
+
+
+def three_scores(spark, folder):
+    """class, actual, score: fixed scores of three classes of lineitem, independent of any model."""
+    index = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).when(F.col("l_returnflag") == "R", 2)
+    scores = F.array(F.col(QUANTITY) / 50, F.col("l_discount") + F.col("l_tax"), F.col(PRICE) / 100_000)
+    return by_class(table(spark, folder, "lineitem").select(index.alias("label"), scores.alias("p")), "label", "p", 3)
+
+
+def permuted(spark, folder):
+    s = flag(spark, folder)
+    return importance_by_permutation(s.fit("DeepLearning"), s.holdout)
+
+
+def permuted_checks(spark, folder):
+    """variable, scaled importance of the one feature a model uses, and of one that is constant."""
+    lineitem = table(spark, folder, "lineitem").withColumns({"constant": F.lit(1.5), PRICE: 1500 * F.col(QUANTITY) + F.col("l_tax")})
+    trained = fit_ols(lineitem, PRICE, [QUANTITY])
+    found = importance_by_permutation(replace(trained, features=[QUANTITY, "constant"]), labelled(lineitem, PRICE, REGRESSION))
+    # dealt anew, a column's differences have twice its variance on the average
+    own = lineitem.agg((2 * F.pow(F.regr_slope(PRICE, QUANTITY), F.lit(2)) * F.var_pop(QUANTITY)).alias("expected"))
+    ratio = F.when(F.col("variable") == QUANTITY, F.round(F.col("relative") / F.col("expected"), 1)).otherwise(F.col("relative"))
+    return found.join(own, F.lit(True)).select("variable", "scaled", ratio.alias("ratio"))
 
 
 def report_checks(spark, folder):
@@ -468,6 +544,21 @@ QUERIES = {
     "history_checks": history_checks,
     "importance_checks": importance_checks,
     "fold_checks": fold_checks,
+    "deviance_test_curve": deviance_stages(quality, "GLM"),
+    "deviance_test_curve_glm": deviance_stages(price, "GLM"),
+    "deviance_test_curve_deep_learning": deviance_stages(flag, "DeepLearning"),
+    "deviance_checks": deviance_checks,
+    "logloss_curve_classes": tree_curve(flag, "GBM"),
+    "staged_checks": staged_checks,
+    "gains_lift_classes": lambda s, d: gains_lift(three_scores(s, d), "actual", "score", keys=["class"]).select(
+        "class", "group", *[F.round(c, 6).alias(c) for c in ("cumulative_data_fraction", "cumulative_lift", "cumulative_capture_rate")]
+    ),
+    "roc_curve_classes": lambda s, d: roc_curve(three_scores(s, d), "actual", "score", ["class"]).select(
+        "class", F.round("threshold", 9).alias("threshold"), F.round("fpr", 6).alias("fpr"), F.round("tpr", 6).alias("tpr")
+    ),
+    "model_report_three_classes": full_report(flag, "GBM"),
+    "variable_importance_permutation": permuted,
+    "permutation_checks": permuted_checks,
     "report_checks": report_checks,
     "store_checks": store_checks,
 }
@@ -552,6 +643,14 @@ def rows_sql(source: str, key: str) -> str:
 
 SMALL, WIDE = "1e-4::double", "100.0::double"
 
+THREE_SCORES = """
+  select class, score, n, p, sum(n) over (partition by class order by score desc) as cn, sum(p) over (partition by class order by score desc) as cp,
+         sum(n) over (partition by class) as tn, sum(p) over (partition by class) as tp
+  from (select class, score, count(*) as n, sum(actual) as p from (
+          select 0 as class, (l_returnflag = 'A')::int as actual, l_quantity / 50 as score from lineitem
+          union all select 1, (l_returnflag = 'N')::int, l_discount + l_tax from lineitem
+          union all select 2, (l_returnflag = 'R')::int, l_extendedprice / 100000 from lineitem) group by class, score)"""
+
 ORACLES = {
     "split_train": f"select * from orders where {slot_sql('o_orderkey', SEED, 100)} < 95",
     "split_holdout": f"select * from orders where {slot_sql('o_orderkey', SEED, 100)} >= 95",
@@ -630,7 +729,7 @@ ORACLES = {
         where split = 'train'""",
     "three_class_checks": f"""
         select model, metrics::bigint as metrics, rows, true as better
-        from (values ('DRF', 6), ('GBM', 5), ('DeepLearning', 6)) m(model, metrics), ({rows_sql('lineitem', 'l_orderkey')}) where split = 'train'""",
+        from (values ('DRF', 6), ('GBM', 6), ('DeepLearning', 6)) m(model, metrics), ({rows_sql('lineitem', 'l_orderkey')}) where split = 'train'""",
     "stacked_checks": """
         select 'StackedEnsemble' as model, split, 5::bigint as metrics from (values ('train'), ('holdout')) s(split)""",
     "leaderboard_checks": """
@@ -646,8 +745,38 @@ ORACLES = {
         select model, true as falls
         from (values ('GLM regression 0'), ('GLM classification 2'), ('DeepLearning classification 3')) m(model)""",
     "importance_checks": "select 12::bigint as variables, 1.0::double as total, 1.0::double as largest, true as positive",
-    "fold_checks": """
-        select metric, true as sane from (values ('accuracy'), ('precision'), ('recall'), ('f1'), ('logloss'), ('auc')) m(metric)""",
+    "fold_checks": f"""
+        with g as (select *, {slot_sql('l_orderkey', 1007, 5)} as fold from lineitem),
+        lines as (select f, regr_intercept(l_extendedprice, l_quantity) as a, regr_slope(l_extendedprice, l_quantity) as b
+                  from range(5) r(f) join g on fold <> f group by f),
+        e as (select fold, avg(power(l_extendedprice - a - b * l_quantity, 2)) / 1e6 as mse,
+                     avg(abs(l_extendedprice - a - b * l_quantity)) / 1e3 as mae from g join lines on fold = f group by fold),
+        m as (select 'Mean Square Error' as metric, mse as value from e union all select 'Root Mean Square Error', sqrt(mse) from e
+              union all select 'Mean Absolute Error', mae from e)
+        select metric, round(avg(value), 4) as mean, round(stddev_samp(value), 4) as sd from m group by metric""",
+    "deviance_checks": f"""
+        with g as (select *, {slot_sql('l_orderkey', SEED, 100)} < 95 as learned from lineitem),
+        line as (select regr_intercept(l_extendedprice, l_quantity) as a, regr_slope(l_extendedprice, l_quantity) as b from g where learned),
+        q as (select *, {slot_sql('doc_id', SEED, 100)} < 95 as learned from labels),
+        rates as (select toxic, avg(quality) as p from q where learned group by toxic)
+        select '{REGRESSION}' as model, if(learned, 'training', 'test') as series,
+               round(avg(power(l_extendedprice - a - b * l_quantity, 2)) / 1e6, 4) as value from g, line group by learned
+        union all
+        select '{CLASSIFICATION}', if(learned, 'training', 'test'), round(avg(-ln(if(quality = 1, p, 1 - p))), 4)
+        from q join rates using (toxic) group by learned""",
+    "staged_checks": f"""
+        select model, series, points::bigint as points, true as last
+        from (values ('GBM', {SETTINGS.rounds}), ('DRF', {SETTINGS.trees})) m(model, points), (values ('training'), ('validation')) s(series)""",
+    "gains_lift_classes": f"""
+        select class, (floor((cn - n) * 16 / tn::double) + 1)::int as "group", round(max(cn)::double / any_value(tn), 6) as cumulative_data_fraction,
+               round((max(cp)::double / any_value(tp)) / (max(cn)::double / any_value(tn)), 6) as cumulative_lift,
+               round(max(cp)::double / any_value(tp), 6) as cumulative_capture_rate
+        from ({THREE_SCORES}) group by 1, 2""",
+    "roc_curve_classes": f"""
+        select class, round(score, 9) as threshold, round((cn - cp)::double / (tn - tp), 6) as fpr, round(cp::double / tp, 6) as tpr
+        from ({THREE_SCORES})""",
+    "permutation_checks": """
+        select variable, scaled, ratio from (values ('l_quantity', 1.0::double, 1.0::double), ('constant', 0.0, 0.0)) v(variable, scaled, ratio)""",
     "report_checks": f"""
         select 'Loss vs trees' as curve, series, {SETTINGS.rounds}::bigint as rows from (values ('training'), ('validation')) s(series)
         union all select 'Variable Importance', 'scaled', 4

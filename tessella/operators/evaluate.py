@@ -1,8 +1,8 @@
 """Evaluation of scored rows. Only label and score or prediction columns are needed.
 
-Rows are counted per exact score before anything is ordered. Running totals over the scores come from a table that is
-range partitioned and sorted by score: each partition adds up its own part, and only one number per partition is needed
-of the others. Null conditions stand behind the counting, so that a model below is applied once.
+Rows are counted per exact score before anything is ordered. Running totals over few scores come from one window; over
+more, from a table that is range partitioned and sorted by score: each partition adds up its own part, and only one number
+per partition is needed of the others. Null conditions stand behind the counting, so that a model below is applied once.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ DEVIANCE = "Mean Residual Deviance"
 ACTUAL_ROWS = 300
 GROUPS = 16
 PROBABILITY_FLOOR = 1e-15
+# Counted scores that one task orders; more are spread over a sorted table.
+FEW_SCORES = 1 << 18
 
 
 def _long(wide: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -104,7 +106,7 @@ def metrics_classification(
         bins = counted.groupBy(*[column(k) for k in keys], "score").agg(
             F.sum("n").alias("n"), F.sum(F.when(y == 1, n).otherwise(0)).alias("p")
         )
-        found = found.unionByName(_long(_area(_with_totals(bins, keys), keys), keys))
+        found = found.unionByName(_long(_area(_with_totals(bins, keys, counted.count()), keys), keys))
     return found
 
 
@@ -161,14 +163,32 @@ def summarise_folds(metrics: DataFrame) -> DataFrame:
     return metrics.groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
 
 
+def by_class(df: DataFrame, label: str, probability: str, classes: int) -> DataFrame:
+    """class, actual (1 if ``label`` is the class, else 0), score of every row and class; ``probability`` is an array."""
+    known = F.when(column(probability).isNotNull(), column(label).cast("int"))
+    cells = [
+        F.struct(F.lit(k).alias("class"), (known == k).cast("int").alias("actual"), F.get(column(probability), F.lit(k)).alias("score"))
+        for k in range(classes)
+    ]
+    return df.select(F.inline(F.array(*cells)))
+
+
 def confusion_matrix(df: DataFrame, label: str, prediction: str, keys: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*[column(k) for k in keys], column(label).alias("label"), column(prediction).alias("prediction")).agg(
         F.count(F.lit(1)).alias("count")
     )
 
 
-def _with_totals(bins: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Adds running totals from the highest score down, and totals, to n and p per key and score; stored by score."""
+def _with_totals(bins: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+    """Adds running totals from the highest score down, and totals, to n and p per key and score.
+
+    ``rows``: at least as many as ``bins`` has. Few are ordered by one window; more are sorted and stored by score.
+    """
+    if rows <= FEW_SCORES:
+        own = Window.partitionBy(*[column(k) for k in keys])
+        down = own.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+        sums = {f"{kind}_{c}": F.sum(c).over(w) for kind, w in (("cum", down), ("total", own)) for c in ("n", "p")}
+        return bins.where("n > 0").withColumns(sums)
     ordered = bins.where("n > 0").withColumn("__down", -F.col("score"))
     table = with_offsets(sorted_table(ordered, [*keys, "__down"]), __n=F.sum("n"), __p=F.sum("p"))
     upto = Window.partitionBy(PART).orderBy(POSITION).rowsBetween(Window.unboundedPreceding, 0)
@@ -199,7 +219,8 @@ def score_bins(df: DataFrame, label: str, score: str, keys: Sequence[str] = ())
     bins = df.groupBy(*[column(k) for k in keys], value.alias("score")).agg(
         F.count(known).alias("n"), F.sum(known.cast("long")).alias("p")
     )
-    return _with_totals(materialise(bins, "scores"), keys)
+    stored = materialise(bins, "scores")
+    return _with_totals(stored, keys, stored.count())
 
 
 def _area(bins: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -214,24 +235,26 @@ def auc(df: DataFrame, label: str, score: str, keys: Sequence[str] = ()) -> Data
     return _area(score_bins(df, label, score, keys), keys)
 
 
-def roc_curve(df: DataFrame, label: str, score: str) -> DataFrame:
-    """threshold, fpr, tpr: rates when everything scored at least ``threshold`` is called positive."""
-    return score_bins(df, label, score).select(
+def roc_curve(df: DataFrame, label: str, score: str, keys: Sequence[str] = ()) -> DataFrame:
+    """threshold, fpr, tpr (per group of ``keys``): rates when everything scored at least ``threshold`` is called positive."""
+    return score_bins(df, label, score, keys).select(
+        *[column(k) for k in keys],
         F.col("score").alias("threshold"),
         F.try_divide((F.col("cum_n") - F.col("cum_p")).cast("double"), F.col("total_n") - F.col("total_p")).alias("fpr"),
         F.try_divide(F.col("cum_p").cast("double"), F.col("total_p")).alias("tpr"),
     )
 
 
-def gains_lift(df: DataFrame, label: str, score: str, groups: int = GROUPS) -> DataFrame:
-    """group, cumulative_data_fraction, cumulative_lift, cumulative_capture_rate.
+def gains_lift(df: DataFrame, label: str, score: str, groups: int = GROUPS, keys: Sequence[str] = ()) -> DataFrame:
+    """group, cumulative_data_fraction, cumulative_lift, cumulative_capture_rate (per group of ``keys``).
 
     A score bin belongs to the group its first row falls into, so equal scores are never parted and a
     group may be missing when a bin covers it.
     """
-    bins = score_bins(df, label, score)
+    bins = score_bins(df, label, score, keys)
     group = F.floor((F.col("cum_n") - F.col("n")) * groups / F.col("total_n")).cast("int") + 1
-    ends = bins.groupBy(group.alias("group")).agg(
+    names = [column(k) for k in keys]
+    ends = bins.groupBy(*names, group.alias("group")).agg(
         F.max("cum_n").cast("double").alias("rows"),
         F.max("cum_p").cast("double").alias("hits"),
         F.first("total_n").alias("total_n"),
@@ -239,6 +262,7 @@ def gains_lift(df: DataFrame, label: str, score: str, groups: int = GROUPS) -> D
     )
     fraction, capture = F.col("rows") / F.col("total_n"), F.try_divide(F.col("hits"), F.col("total_p"))
     return ends.select(
+        *names,
         "group",
         fraction.alias("cumulative_data_fraction"),
         (capture / fraction).alias("cumulative_lift"),

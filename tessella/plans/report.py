@@ -9,13 +9,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cells import column
-from ..operators.curves import last_stage, loss_curve_trees, objective_curve, variable_importance
+from ..operators.curves import loss_curve_trees, variable_importance
 from ..operators.evaluate import (
     actual_vs_predicted,
+    by_class,
     confusion_matrix,
     gains_lift,
     metrics_regression,
@@ -24,7 +26,20 @@ from ..operators.evaluate import (
 from ..operators.features import REGRESSION
 from ..operators.split import HOLDOUT, SPLIT, TRAIN, part
 from ..scratch import materialise
-from .train import LABEL, PREDICTION, STACKED, Settings, Trained, as_binary, class_metrics, cross_validation_metrics, held
+from .train import (
+    LABEL,
+    PREDICTION,
+    PROBABILITY,
+    STACKED,
+    Settings,
+    Trained,
+    as_binary,
+    class_metrics,
+    cross_validation_metrics,
+    deviance_curve,
+    held,
+    importance_by_permutation,
+)
 
 CURVE_COLUMNS = ("curve", "series", "position", "label", "x", "y")
 TREE_FAMILIES = ("DRF", "XGBoost", "GBM")
@@ -57,8 +72,8 @@ def _series(df: DataFrame, curve: str, position: str, x: str, *series: str) -> l
     return [_curve(df, curve, F.lit(s), F.col(position), _no_text(), F.col(x), F.col(s)) for s in series]
 
 
-def _importance(trained: Trained, df: DataFrame) -> DataFrame:
-    table = variable_importance(df.sparkSession, trained.model, trained.features)
+def _importance(trained: Trained, df: DataFrame, table: DataFrame | None = None) -> DataFrame:
+    table = table if table is not None else variable_importance(df.sparkSession, trained.model, trained.features)
     return _curve(table, "Variable Importance", F.lit("scaled"), F.lit(None), F.col("variable"), _no_number(), F.col("scaled"))
 
 
@@ -82,15 +97,30 @@ def _class_name(trained: Trained, index: str):
     return F.coalesce(F.get(names, F.col(index).cast("int")), F.col(index).cast("string"))
 
 
+def _class_curves(trained: Trained, scored: DataFrame) -> list[DataFrame]:
+    """Gains and ROC of the positive class, or of every class of more than two by its own probability; one sweep for all."""
+    names = ("cumulative_lift", "cumulative_data_fraction", "cumulative_capture_rate")
+    if len(trained.classes) <= 2:
+        with_p = as_binary(scored, trained.classes, trained.positive)
+        gains, roc = gains_lift(with_p, "actual", "p1"), roc_curve(with_p, "actual", "p1")
+        return [
+            *_series(gains, "lift_gain", "group", "group", *names),
+            _curve(roc, "roc", F.lit("tpr"), F.lit(None), _no_text(), F.col("fpr"), F.col("tpr")),
+        ]
+    each = by_class(scored.withColumn(PROBABILITY, vector_to_array(PROBABILITY)), LABEL, PROBABILITY, len(trained.classes))
+    gains, roc = gains_lift(each, "actual", "score", keys=["class"]), roc_curve(each, "actual", "score", ["class"])
+    name = _class_name(trained, "class")
+    lines = [_curve(gains, "lift_gain", F.lit(n), F.col("group"), name, F.col("group"), F.col(n)) for n in names]
+    return [*lines, _curve(roc, "roc", F.lit("tpr"), F.lit(None), name, F.col("fpr"), F.col("tpr"))]
+
+
 def report(trained: Trained, frame: DataFrame, key: str, folds: int = 3, settings: Settings = Settings()) -> Report:
     """``frame`` carries features, ``label``, ``split`` and the key that orders rows.
 
     The means of the cross-validated metrics are a split of their own, but for ``folds=0``.
     """
-    spark = frame.sparkSession
     scored_train, scored = trained.score(part(frame, TRAIN)), trained.score(part(frame, HOLDOUT))
     trees = trained.family in TREE_FAMILIES
-    binary = len(trained.classes) <= 2
     curves: list[DataFrame] = []
     if trained.problem == REGRESSION:
         facts = actual_vs_predicted(scored, key, LABEL, PREDICTION)
@@ -99,7 +129,7 @@ def report(trained: Trained, frame: DataFrame, key: str, folds: int = 3, setting
             curves.append(_loss(loss_curve_trees(trained.model, scored_train, scored, LABEL), "Loss vs Iterations"))
             curves.append(_importance(trained, frame))
         elif trained.family != STACKED:
-            curves.append(_loss(objective_curve(spark, trained.model, drop_first=True), "Loss vs Iterations"))
+            curves.append(_loss(deviance_curve(trained, part(frame, TRAIN), part(frame, HOLDOUT), settings), "Loss vs Iterations"))
     else:
         matrix = confusion_matrix(scored, LABEL, PREDICTION)
         curves.append(
@@ -107,21 +137,15 @@ def report(trained: Trained, frame: DataFrame, key: str, folds: int = 3, setting
                 matrix, "confusion_matrix", _class_name(trained, "prediction"), F.lit(None), _class_name(trained, "label"), _no_number(), F.col("count")
             )
         )
-        if binary:
-            with_p = as_binary(scored, trained.classes, trained.positive)
-            curves += _series(
-                gains_lift(with_p, "actual", "p1"),
-                "lift_gain", "group", "group",
-                "cumulative_lift", "cumulative_data_fraction", "cumulative_capture_rate",
-            )
-            roc = roc_curve(with_p, "actual", "p1")
-            curves.append(_curve(roc, "roc", F.lit("tpr"), F.lit(None), _no_text(), F.col("fpr"), F.col("tpr")))
-        if trees and binary:
+        if PROBABILITY in scored.columns:
+            curves += _class_curves(trained, scored)
+        if trees:
             curves.append(_loss(loss_curve_trees(trained.model, scored_train, scored, LABEL), "Loss vs trees"))
-        if not trees and trained.family != STACKED:
-            curves.append(_loss(objective_curve(spark, trained.model), "Deviance vs Iter"))
-        if trees and hasattr(last_stage(trained.model), "featureImportances"):
             curves.append(_importance(trained, frame))
+        elif trained.family != STACKED:
+            curves.append(_loss(deviance_curve(trained, part(frame, TRAIN), part(frame, HOLDOUT), settings), "Deviance vs Iter"))
+        if trained.family == "DeepLearning":
+            curves.append(_importance(trained, frame, importance_by_permutation(trained, part(frame, HOLDOUT))))
     lines = reduce(DataFrame.unionByName, curves).select(F.lit(trained.name).alias("model"), "*")
     metrics = metrics_of(trained, frame)
     if folds:

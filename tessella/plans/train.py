@@ -6,35 +6,42 @@ what is still missing, assembles the vector and fits; the rows never leave the e
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import time
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
+from threading import Event, Lock
 
-from pyspark import StorageLevel
+from pyspark import InheritableThread, StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
     MultilayerPerceptronClassifier,
     OneVsRest,
+    OneVsRestModel,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import TessellaError
 from ..functions.cells import column
-from ..operators.evaluate import metrics_classification, metrics_multiclass, metrics_regression, summarise_folds
+from ..operators.curves import deviance_by_iteration, last_stage, one_vs_rest_probabilities, permutation_importance
+from ..operators.evaluate import PROBABILITY_FLOOR, metrics_classification, metrics_multiclass, metrics_regression, summarise_folds
 from ..operators.features import CLASSIFICATION, REGRESSION
 from ..operators.split import with_folds
 from ..scratch import materialise
 
 # Bytes that the class names of a target may take: models and the driver hold them.
 CLASS_BYTES = 16 << 20
+# Seconds between two looks at fits that run.
+WAIT = 0.05
 
 FEATURES, SCALED, LABEL, PREDICTION, PROBABILITY = "features", "scaled", "label", "prediction", "probability"
 
@@ -149,7 +156,12 @@ class Trained:
     positive: str | None = None
 
     def score(self, df: DataFrame) -> DataFrame:
-        return self.model.transform(df)
+        """Boosting one class against the rest gives margins only; their scaled logistic functions are probabilities."""
+        scored = self.model.transform(df)
+        if isinstance(last_stage(self.model), OneVsRestModel):
+            margins = vector_to_array("rawPrediction")
+            scored = scored.withColumn(PROBABILITY, array_to_vector(one_vs_rest_probabilities(margins)))
+        return scored
 
 
 def positive_class(classes: Sequence[str], wanted: str | None = None) -> str | None:
@@ -194,18 +206,123 @@ def train(
     problem: str = REGRESSION,
     max_models: int | None = None,
     settings: Settings = Settings(),
+    parallel: int = 1,
+    seconds: float | None = None,
+    stop: Event | None = None,
+    progress: Callable[[Progress], None] | None = None,
 ) -> list[Trained]:
-    """Train the rotation on one held copy of the frame: labels and assembled vectors, whose means are fitted once."""
+    """Train the rotation on one held copy of the frame: labels and assembled vectors, whose means are fitted once.
+
+    ``parallel`` models are fitted at a time. When ``seconds`` are over, or ``stop`` is set, the jobs of unfinished fits are
+    cancelled; what is finished by then is returned, in slot order. ``progress`` is told of every finished model.
+    """
     index = label_index(df, target) if problem == CLASSIFICATION else None
     classes = list(index.labels) if index else []
     chosen = rotation(problem, max_models or len(slots(problem)))
     frame = labelled(df, target, problem, index).select(LABEL, *[column(c) for c in names])
     prepared = Pipeline(stages=assemble(names)).fit(frame)
     with held(prepared.transform(frame).select(LABEL, FEATURES)) as ready:
-        return [
-            train_family(ready, names, family, problem, classes, settings, f"{family}_{i + 1}", prepared=prepared)
-            for i, family in enumerate(chosen)
-        ]
+
+        def fit(i: int) -> Trained:
+            family = chosen[i]
+            return train_family(ready, names, family, problem, classes, settings, f"{family}_{i + 1}", prepared=prepared)
+
+        return within_budget(df.sparkSession, fit, len(chosen), parallel, seconds, stop, progress)
+
+
+@dataclass(frozen=True)
+class Progress:
+    """A finished model, how many of them there are, the seconds so far, and those left at this rate."""
+
+    model: Trained
+    finished: int
+    of: int
+    seconds: float
+    left: float
+
+
+def within_budget(
+    spark: SparkSession,
+    fit: Callable[[int], Trained],
+    count: int,
+    parallel: int = 1,
+    seconds: float | None = None,
+    stop: Event | None = None,
+    progress: Callable[[Progress], None] | None = None,
+) -> list[Trained]:
+    """The models 0 to ``count`` - 1 that are finished in time, in this order.
+
+    Fits run in threads whose jobs carry a tag. An error of one cancels the others and is raised.
+    """
+    context, tag = spark.sparkContext, f"fits-{uuid.uuid4().hex}"
+    began, over, lock = time.monotonic(), Event(), Lock()
+    waiting, found, errors = list(range(count)), {}, []
+
+    def work() -> None:
+        context.addJobTag(tag)
+        while not over.is_set():
+            with lock:
+                if not waiting:
+                    return
+                i = waiting.pop(0)
+            try:
+                model = fit(i)
+            except Exception as error:
+                if not over.is_set():  # else its jobs were cancelled
+                    errors.append(error)
+                    over.set()
+                return
+            with lock:
+                if over.is_set():
+                    return
+                found[i] = model
+                took = time.monotonic() - began
+                if progress:
+                    progress(Progress(model, len(found), count, took, took / len(found) * (count - len(found))))
+
+    threads = [InheritableThread(target=work, session=spark) for _ in range(max(1, min(parallel, count)))]
+    for thread in threads:
+        thread.start()
+    try:
+        while any(t.is_alive() for t in threads) and not over.is_set():
+            if stop is not None and stop.is_set() or seconds is not None and time.monotonic() - began >= seconds:
+                break
+            next(t for t in threads if t.is_alive() or t is threads[-1]).join(WAIT)
+    finally:
+        with lock:
+            over.set()
+        while any(t.is_alive() for t in threads):  # a fit may start a job just after a cancel
+            context.cancelJobsWithTag(tag)
+            threads[0].join(WAIT) if threads[0].is_alive() else time.sleep(WAIT)
+    if errors:
+        raise errors[0]
+    return [found[i] for i in sorted(found)]
+
+
+def deviance_curve(trained: Trained, training: DataFrame, holdout: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Mean deviance on both frames by iteration of a linear model or network: it is fitted again with fewer iterations."""
+    prepared = PipelineModel(trained.model.stages[:-1])
+    vector = SCALED if trained.family == "DeepLearning" else FEATURES
+    ready, unseen = (prepared.transform(df).select(LABEL, vector) for df in (training, holdout))
+
+    with held(ready) as kept:
+
+        def fit(iterations: int):
+            cut = replace(settings, iterations=iterations)
+            return estimator(trained.family, trained.problem, len(trained.features), max(len(trained.classes), 2), cut).fit(kept)
+
+        return deviance_by_iteration(fit, settings.iterations, kept, unseen, LABEL, trained.problem == CLASSIFICATION)
+
+
+def importance_by_permutation(trained: Trained, df: DataFrame, seed: int = 1) -> DataFrame:
+    """``permutation_importance`` of the features: growth of the squared error, or of the log loss of a row's class."""
+    if trained.problem == REGRESSION:
+        error = F.col(LABEL) - F.col(PREDICTION)
+        loss = error * error
+    else:
+        loss = -F.log(F.greatest(F.element_at(vector_to_array(PROBABILITY), F.col(LABEL).cast("int") + 1), F.lit(PROBABILITY_FLOOR)))
+    rows = df.select(LABEL, *[column(c) for c in trained.features])
+    return permutation_importance(trained.score, rows, trained.features, loss, seed)
 
 
 def fit_ols(df: DataFrame, target: str, names: Sequence[str]) -> Trained:
