@@ -2,29 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import SparkSession
 
+from ..executors import ship_package
+
 #: Bytes and rows of an Arrow batch. Spark's 64 MB and 10,000 rows take several hundred MB of an executor for each task.
 BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20, "spark.sql.execution.arrow.maxRecordsPerBatch": 2000}
 
-_shipped: set[str] = set()
-
 
 def prepare(spark: SparkSession) -> None:
-    """Bounds the batches, and sends the package once per application; Spark hands the driver's archive to the executors."""
+    """Bounds the batches, for the whole session: plans read the bounds when they run; and sends the package."""
     for key, value in BATCH.items():
         spark.conf.set(key, value)
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    package = Path(__file__).resolve().parent.parent
-    archive = Path(tempfile.mkdtemp(prefix="package-")) / "tessella_package.zip"
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
-        for source in sorted(package.rglob("*.py")):
-            out.write(source, source.relative_to(package.parent))
-    context.addPyFile(str(archive))
-    _shipped.add(context.applicationId)
+    ship_package(spark)
