@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from tessella.functions.cells import zero_if_missing
+from tessella.operators.boosting import Boosting, gradients, level_sums, split_gains
 from tessella.operators.curves import last_stage, loss_curve_trees, objective_curve, variable_importance
 from tessella.operators.evaluate import (
     actual_vs_predicted,
@@ -431,6 +432,17 @@ def three_scores(spark, folder):
     return by_class(table(spark, folder, "lineitem").select(index.alias("label"), scores.alias("p")), "label", "p", 3)
 
 
+def cut_gains(spark, folder):
+    """feature, bin, gain (in millions) of all first cuts of a tree for the price, on bins of three columns."""
+    lineitem = table(spark, folder, "lineitem")
+    mean = lineitem.agg(F.avg(PRICE)).first()[0]
+    bins = F.array(F.floor(F.col(QUANTITY) / 5).cast("int"), F.round(F.col("l_discount") * 100).cast("int"), F.col("l_linenumber"))
+    gh = gradients("squared", F.array(F.lit(mean)), F.col(PRICE), 1)
+    rows = lineitem.select(bins.alias("bins"), gh.alias("gh"), F.array(F.lit(0)).alias("nodes"))
+    gains = split_gains(level_sums(rows), Boosting(l1=1e4, l2=2.0, gamma=5.0, min_child=30.0)).where("gain is not null")
+    return gains.select("feature", "bin", F.round(F.col("gain") / 1e6, 3).alias("gain"))
+
+
 def permuted(spark, folder):
     s = flag(spark, folder)
     return importance_by_permutation(s.fit("DeepLearning"), s.holdout)
@@ -557,6 +569,7 @@ QUERIES = {
         "class", F.round("threshold", 9).alias("threshold"), F.round("fpr", 6).alias("fpr"), F.round("tpr", 6).alias("tpr")
     ),
     "model_report_three_classes": full_report(flag, "GBM"),
+    "second_order_cut_gains": cut_gains,
     "variable_importance_permutation": permuted,
     "permutation_checks": permuted_checks,
     "report_checks": report_checks,
@@ -775,6 +788,16 @@ ORACLES = {
     "roc_curve_classes": f"""
         select class, round(score, 9) as threshold, round((cn - cp)::double / (tn - tp), 6) as fpr, round(cp::double / tp, 6) as tpr
         from ({THREE_SCORES})""",
+    "second_order_cut_gains": """
+        with g as (select (select avg(l_extendedprice) from lineitem) - l_extendedprice as g, l_quantity, l_discount, l_linenumber from lineitem),
+        b as (select 0 as feature, floor(l_quantity / 5)::int as bin, g from g union all select 1, round(l_discount * 100)::int, g from g
+              union all select 2, l_linenumber, g from g),
+        s as (select feature, bin, sum(g) as g, count(*)::double as h from b group by all),
+        c as (select feature, bin, sum(g) over w as gl, sum(h) over w as hl, sum(g) over (partition by feature) as ga,
+                     sum(h) over (partition by feature) as ha from s window w as (partition by feature order by bin))
+        select feature, bin, round((0.5 * (power(greatest(abs(gl) - 1e4, 0), 2) / (hl + 2) + power(greatest(abs(ga - gl) - 1e4, 0), 2) / (ha - hl + 2)
+                                          - power(greatest(abs(ga) - 1e4, 0), 2) / (ha + 2)) - 5) / 1e6, 3) as gain
+        from c where hl >= 30 and ha - hl >= 30""",
     "permutation_checks": """
         select variable, scaled, ratio from (values ('l_quantity', 1.0::double, 1.0::double), ('constant', 0.0, 0.0)) v(variable, scaled, ratio)""",
     "report_checks": f"""

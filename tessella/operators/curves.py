@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import column
 from ..scratch import scope
+from .boosting import SQUARED, SecondOrderModel, probabilities
 from .evaluate import PROBABILITY_FLOOR, log_loss
 from .row_id import add_row_id
 
@@ -89,10 +90,23 @@ def _one_vs_rest_losses(model: OneVsRestModel, df: DataFrame, label: str) -> lis
     return [r["loss"] for r in sorted(losses.collect())]
 
 
+def _second_order_losses(model: SecondOrderModel, df: DataFrame, label: str) -> list[float]:
+    staged = df.select(F.col(label).cast("double").alias("y"), F.posexplode(model.margins()).alias("i", "m"))
+    if model.objective == SQUARED:
+        error = F.col("y") - F.get("m", F.lit(0))
+        loss = F.sqrt(F.avg(error * error))
+    else:
+        own = F.get(probabilities(model.objective, F.col("m")), F.col("y").cast("int"))
+        loss = F.avg(-F.log(F.greatest(own, F.lit(PROBABILITY_FLOOR))))
+    return [r["loss"] for r in sorted(staged.groupBy("i").agg(loss.alias("loss")).collect())]
+
+
 def staged_losses(model, df: DataFrame, label: str) -> list[float]:
     """RMSE (regression) or log loss (classes) after each tree."""
     if isinstance(model, OneVsRestModel):
         return _one_vs_rest_losses(model, df, label)
+    if isinstance(model, SecondOrderModel):
+        return _second_order_losses(model, df, label)
     if isinstance(model, GBTRegressionModel):
         return [v**0.5 for v in model.evaluateEachIteration(_as_label(model, df, label), "squared")]
     if isinstance(model, GBTClassificationModel):

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from ..errors import TessellaError
 from ..functions.cells import column
+from ..operators.boosting import Boosting, SecondOrderBoosting
 from ..operators.curves import deviance_by_iteration, last_stage, one_vs_rest_probabilities, permutation_importance
 from ..operators.evaluate import PROBABILITY_FLOOR, metrics_classification, metrics_multiclass, metrics_regression, summarise_folds
 from ..operators.features import CLASSIFICATION, REGRESSION
@@ -79,9 +80,7 @@ def estimator(family: str, problem: str, features: int, classes: int = 2, settin
         if family == "GLM":
             return LinearRegression(solver="l-bfgs", maxIter=settings.iterations, tol=1e-6, **common)
         if family == "XGBoost":
-            return GBTRegressor(
-                maxIter=settings.rounds, maxDepth=settings.depth, stepSize=0.3, subsamplingRate=0.8, seed=settings.seed, **common
-            )
+            return SecondOrderBoosting(features, 0, Boosting(settings.rounds, settings.depth), **common)
         if family == "GBM":
             return GBTRegressor(maxIter=settings.rounds, maxDepth=settings.depth, seed=settings.seed, **common)
     elif problem == CLASSIFICATION:
@@ -97,9 +96,10 @@ def estimator(family: str, problem: str, features: int, classes: int = 2, settin
                 featuresCol=SCALED,
                 labelCol=LABEL,
             )
-        if family in ("XGBoost", "GBM"):
-            gentle = {"stepSize": 0.3, "subsamplingRate": 0.8} if family == "XGBoost" else {}
-            boosted = GBTClassifier(maxIter=settings.rounds, maxDepth=settings.depth, seed=settings.seed, **gentle, **common)
+        if family == "XGBoost":
+            return SecondOrderBoosting(features, classes, Boosting(settings.rounds, settings.depth), **common)
+        if family == "GBM":
+            boosted = GBTClassifier(maxIter=settings.rounds, maxDepth=settings.depth, seed=settings.seed, **common)
             return boosted if classes == 2 else OneVsRest(classifier=boosted, **common)
     raise TessellaError(f"no {problem} model for family {family}")
 
