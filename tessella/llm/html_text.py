@@ -8,12 +8,12 @@ table cells their columns, preformatted text its blanks, drawings and formulas t
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Generator, Iterable, Iterator
 from dataclasses import dataclass, field
 from html import unescape
-from itertools import chain, zip_longest
+from itertools import accumulate, chain, zip_longest
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,11 +46,11 @@ STACKED = frozenset("mfrac msub msup msubsup munder mover munderover mroot mmult
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol optgroup option p plaintext pre "
-    "search section summary table ul xmp caption tr td th thead tbody tfoot".split()
+    "search section summary table textarea ul xmp caption tr td th thead tbody tfoot".split()
 )
 #: Blocks with a blank line before and behind them.
 SPACED = frozenset("blockquote dir dl fieldset figure h1 h2 h3 h4 h5 h6 hr listing menu ol p pre table ul xmp".split())
-CLOSES_P = BLOCK - frozenset("body html option optgroup caption tr td th thead tbody tfoot legend".split())
+CLOSES_P = BLOCK - frozenset("body html option optgroup caption tr td th thead tbody tfoot legend textarea".split())
 LISTS = frozenset("ul ol menu dir".split())
 #: A start tag ends these open elements, as far up as the elements behind the colon.
 ENDS = {
@@ -80,7 +80,13 @@ TAG = re.compile(r"""</?+([a-zA-Z][^\s/>\x00]*+)((?:[^>"'=]++|=\s*+"[^"]*+"|=\s*
 TAG_BEGINS = re.compile(r"</?[a-zA-Z]")
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+""")
 BLANKS = re.compile(r"[ \t\n\f\r]+")
-UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+NOT_DISPLAYED = re.compile(r"(?<![\w-])display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*(visible|hidden|collapse)", re.I)
+#: Input fields that show their value, or what stands in for it.
+SHOWS_VALUE = frozenset("submit button reset text search email url tel number date month week time datetime-local".split())
+NUMBER = re.compile(r"-?\d{1,9}")
+#: Roman numerals of the digits of a place: 1 stands for the place, 5 for five of them, 10 for the next place.
+ROMAN = ("", "1", "11", "111", "15", "5", "51", "511", "5111", "1X")
 
 
 @dataclass
@@ -246,7 +252,85 @@ def visible(element: Element) -> bool:
         return False
     if element.space and element.tag in HIDDEN_IN[element.space]:
         return False
-    return not (a and "style" in a and UNSEEN.search(a["style"]))
+    return not (a and "style" in a and NOT_DISPLAYED.search(a["style"]))
+
+
+def _visibility(element: Element) -> str:
+    """visible or hidden if the element's own style says so."""
+    style = element.attributes.get("style", "") if element.attributes else ""
+    said = VISIBILITY.findall(style) if style else []
+    return "" if not said else "visible" if said[-1].lower() == "visible" else "hidden"
+
+
+def _shown_within(element: Element) -> Iterator[Element]:
+    """The outermost parts of a hidden element that are visible again."""
+    waiting = [c for c in reversed(element.children) if isinstance(c, Element)]
+    while waiting:
+        own = waiting.pop()
+        if not visible(own):
+            continue
+        if _visibility(own) == "visible":
+            yield own
+        else:
+            waiting += [c for c in reversed(own.children) if isinstance(c, Element)]
+
+
+def _children(element: Element) -> Iterator[Element | str]:
+    for child in element.children:
+        if isinstance(child, Element) and _visibility(child) == "hidden":
+            yield from _shown_within(child)
+        else:
+            yield child
+
+
+def _alphabetic(n: int) -> str:
+    """a to z, aa, ab, .."""
+    found = ""
+    while n > 0:
+        n, last = divmod(n - 1, 26)
+        found = chr(ord("a") + last) + found
+    return found
+
+
+def _roman(n: int) -> str:
+    found = ""
+    for digit, letters in zip(f"{n:04d}", ("m  ", "cdm", "xlc", "ivx")):
+        found += "".join(letters["15X".index(k)] for k in ROMAN[int(digit)])
+    return found
+
+
+def _mark(number: int, kind: str) -> str:
+    """The mark of a list item: numbers, letters or Roman numerals, as far as these go."""
+    if kind in ("a", "A") and number > 0:
+        found = _alphabetic(number)
+    elif kind in ("i", "I") and 0 < number < 4000:
+        found = _roman(number)
+    else:
+        found = str(number)
+    return f"{found.upper() if kind in ('A', 'I') else found}. "
+
+
+@dataclass
+class Counter:
+    """Numbers of an ordered list's items."""
+
+    next: int
+    step: int
+    kind: str
+
+    @classmethod
+    def of(cls, element: Element) -> Counter:
+        a = element.attributes
+        backwards = "reversed" in a
+        items = sum(isinstance(c, Element) and c.tag == "li" and visible(c) for c in element.children) if backwards else 1
+        start = a.get("start", "")
+        return cls(int(start) if NUMBER.fullmatch(start) else items, -1 if backwards else 1, a.get("type", ""))
+
+    def mark(self, item: Element) -> str:
+        value = item.attributes.get("value", "")
+        self.next = int(value) if NUMBER.fullmatch(value) else self.next
+        self.next += self.step
+        return _mark(self.next - self.step, item.attributes.get("type", "") or self.kind)
 
 
 class Layout:
@@ -317,8 +401,8 @@ def _done(steps: Steps) -> object:
     return result
 
 
-def render(element: Element, out: Layout, pre: bool = False, ordinal: list[int] | None = None) -> Steps:
-    for child in element.children:
+def render(element: Element, out: Layout, pre: bool = False, ordinal: Counter | None = None) -> Steps:
+    for child in _children(element):
         if isinstance(child, str):
             if element.space and not _shows_blanks(element) and not child.strip():
                 continue
@@ -343,8 +427,11 @@ def render(element: Element, out: Layout, pre: bool = False, ordinal: list[int]
         elif tag == "br":
             out.end_line(forced=True)
         elif tag == "input":
-            if child.attributes.get("type", "text").lower() in ("submit", "button", "reset", "text", "search", "email", "url"):
-                out.inline(child.attributes.get("value", ""))
+            kind = child.attributes.get("type", "text").lower()
+            if kind in SHOWS_VALUE:
+                out.inline(child.attributes.get("value", "") or child.attributes.get("placeholder", ""))
+            elif kind == "image":
+                out.inline(child.attributes.get("alt", ""))
         elif tag == "table":
             out.space()
             yield _table(child, out)
@@ -358,20 +445,13 @@ def render(element: Element, out: Layout, pre: bool = False, ordinal: list[int]
         elif tag in LISTS:
             nested = len(out.indents) > 1
             out.end_line() if nested else out.space()
-            start = child.attributes.get("start", "")
-            counter = [int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1] if tag == "ol" else None
-            yield render(child, out, ordinal=counter)
+            yield render(child, out, ordinal=Counter.of(child) if tag == "ol" else None)
             out.end_line() if nested else out.space()
         elif tag in ("li", "dd", "blockquote"):
             out.space() if tag == "blockquote" else out.end_line()
             mark = "  "
             if tag == "li":
-                mark = "- "
-                if ordinal is not None:
-                    value = child.attributes.get("value", "")
-                    ordinal[0] = int(value) if re.fullmatch(r"-?\d{1,9}", value) else ordinal[0]
-                    mark = f"{ordinal[0]}. "
-                    ordinal[0] += 1
+                mark = "- " if ordinal is None else ordinal.mark(child)
             out.indents.append(min(out.indents[-1] + len(mark), MOST_INDENT))
             out.mark = mark if tag == "li" else ""
             yield render(child, out)
@@ -382,19 +462,38 @@ def render(element: Element, out: Layout, pre: bool = False, ordinal: list[int]
         elif tag in BLOCK:
             step = out.space if tag in SPACED else out.end_line
             step()
+            if tag == "textarea" and not any(isinstance(c, str) and c.strip() for c in child.children):
+                out.inline(child.attributes.get("placeholder", ""))
             yield render(child, out, pre=pre or tag in ("pre", "listing", "xmp", "textarea"), ordinal=ordinal if tag == "div" else None)
             step()
         else:
             yield render(child, out, pre=pre, ordinal=ordinal)
 
 
-def _rows(table: Element) -> Iterator[Element]:
-    for child in table.children:
-        if isinstance(child, Element) and visible(child):
-            if child.tag == "tr":
-                yield child
-            elif child.tag in ("thead", "tbody", "tfoot"):
-                yield from _rows(child)
+def _groups(table: Element) -> list[list[Element]]:
+    """The rows of each group, as shown: the first head comes first, the first foot last."""
+    groups: list[tuple[str, list[Element]]] = []
+    waiting = [(c, "") for c in reversed(list(_children(table)))]
+    while waiting:
+        child, group = waiting.pop()
+        if isinstance(child, str) or not visible(child):
+            continue
+        if child.tag == "tr":
+            if not groups or not group and groups[-1][0]:
+                groups.append(("", []))
+            groups[-1][1].append(child)
+        elif child.tag in ("thead", "tbody", "tfoot"):
+            groups.append((child.tag, []))
+            waiting += [(c, child.tag) for c in reversed(list(_children(child)))]
+    head = next((g for g in groups if g[0] == "thead"), None)
+    foot = next((g for g in groups if g[0] == "tfoot"), None)
+    middle = [g for g in groups if g is not head and g is not foot]
+    return [g[1] for g in ([head] if head else []) + middle + ([foot] if foot else [])]
+
+
+def _span(cell: Element | str, name: str, most: int) -> int:
+    value = cell.attributes.get(name, "") if isinstance(cell, Element) else ""
+    return min(int(value), most) if re.fullmatch(r"\d{1,6}", value) else 1
 
 
 def _lines(element: Element, out: Layout) -> Steps:
@@ -418,30 +517,44 @@ def _table(table: Element, out: Layout) -> Steps:
             for line in (yield _lines(child, out)):
                 out.put(line)
     out.end_line()
-    grid: list[list[tuple[list[str], int]]] = []
+    grid: list[list[tuple[int, list[str]]]] = []
     widths: dict[int, int] = {}
-    for row in _rows(table):
-        cells, column = [], 0
-        for cell in row.children:
-            if isinstance(cell, str) and not cell.strip() or isinstance(cell, Element) and not visible(cell):
-                continue
-            own = yield _lines(cell if isinstance(cell, Element) else Element("td", {}, [cell]), out)
-            span = cell.attributes.get("colspan", "") if isinstance(cell, Element) else ""
-            span = min(max(int(span), 1), 1000) if re.fullmatch(r"\d{1,4}", span) else 1
-            if span == 1:
-                widths[column] = max(widths.get(column, 0), max(map(len, own), default=0))
-            cells.append((own, span))
-            column += span
-        grid.append(cells)
+    for group in _groups(table):
+        hanging: list[tuple[int, int, int]] = []  # first column, column behind and last row of cells that reach down
+        for number, row in enumerate(group):
+            hanging = [h for h in hanging if h[2] >= number]
+            cells, column, passed, fresh = [], 0, 0, []
+            for cell in row.children:
+                if isinstance(cell, str) and not cell.strip() or isinstance(cell, Element) and not visible(cell):
+                    continue
+                while passed < len(hanging) and hanging[passed][0] <= column:
+                    column = max(column, hanging[passed][1])
+                    passed += 1
+                shown = cell if isinstance(cell, Element) else Element("td", {}, [cell])
+                if _visibility(shown) == "hidden":
+                    shown = Element("td", {}, list(_shown_within(shown)))
+                own = yield _lines(shown, out)
+                span, rows = max(_span(cell, "colspan", 1000), 1), _span(cell, "rowspan", 65_534) or len(group)
+                if span == 1:
+                    widths[column] = max(widths.get(column, 0), max(map(len, own), default=0))
+                if rows > 1:
+                    fresh.append((column, column + span, number + rows - 1))
+                cells.append((column, own))
+                column += span
+            grid.append(cells)
+            hanging = sorted(hanging + fresh) if fresh else hanging
+    used = sorted(widths)
+    upto = [0, *accumulate(widths[c] for c in used)]
     for cells in grid:
-        for parts in zip_longest(*(own for own, _ in cells), fillvalue=""):
-            line, place, column = "", 0, 0
-            for part, (_, span) in zip(parts, cells):
-                line = line.ljust(place) + part
-                place += sum(widths.get(c, 0) + 2 for c in range(column, column + span))
-                if len(line) > place - 2:  # wider than its columns: the next cell still stands apart
+        for parts in zip_longest(*(own for _, own in cells), fillvalue=""):
+            line = ""
+            for part, (column, _) in zip(parts, cells):
+                if not part:
+                    continue
+                line = line.ljust(2 * column + upto[bisect_left(used, column)])
+                if line and not line.endswith("  "):  # wider than its columns: the next cell still stands apart
                     line += "  "
-                column += span
+                line += part
             if line.strip():
                 out.put(line.rstrip())
 
@@ -469,9 +582,12 @@ def extract_text(pages: DataFrame) -> DataFrame:
 
     Null and empty html give empty text, and so do pages without anything visible. Not visible are scripts, styles, head and
     templates, what browsers show only in place of something else (noscript, iframe, object, audio, video, canvas), data
-    lists, what is hidden by an attribute or its own style, and of drawings and formulas descriptions, definitions and
+    lists, what is hidden by an attribute or its own style (but for parts of it that are made visible again), closed details
+    but for their summary, check boxes, and of drawings and formulas descriptions, definitions and
     annotations. Labels of a drawing and the parts of fractions, scripts and matrices are set apart by a blank; definitions
-    that a drawing shows by ``use`` are not looked up. Text without tags is kept with its
+    that a drawing shows by ``use`` are not looked up. Fields show their value or what stands in for it. Cells may reach over
+    columns and down over rows; a table's head comes first and its foot last. Lists count up or down in numbers, letters or
+    Roman numerals. Text without tags is kept with its
     blanks run together; a tag that does not end is dropped with what follows. Elements may be nested to any depth; lines
     are indented by at most 300 blanks, and tables more than 50 deep in tables have a line for each cell. Repeated rows are
     rendered each; other columns are not looked at; an empty table gives no rows.

@@ -1,5 +1,6 @@
 """Operators against brute force: on a table of odd rows, on the given tables, and on no rows."""
 
+import collections
 import math
 import random
 import re
@@ -595,3 +596,54 @@ def test_pipeline_of_odd_rows(spark, odd, nothing):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, SMALL).cache()
             docs.count()
+
+
+def plain_grid(rows):
+    """(row, column, width) of the cells (columns, rows, text) of a table: the first free place of each row."""
+    taken, placed = set(), []
+    for y, cells in enumerate(rows):
+        x = 0
+        for span, down, text in cells:
+            while (y, x) in taken:
+                x += 1
+            taken |= {(y + j, x + i) for i in range(span) for j in range(max(down or len(rows) - y, 1))}
+            placed.append((y, x, span, text))
+            x += span
+    return placed
+
+
+def test_tables_against_a_plain_grid():
+    """Random tables with cells over several columns and rows: every cell begins in its column, in its row's line."""
+    rng_ = random.Random(11)
+    for _ in range(300):
+        rows = []
+        for y in range(rng_.randint(1, 6)):
+            rows.append([
+                (rng_.choice([1, 1, 1, 2, 3]), rng_.choice([1, 1, 1, 2, 3, 0]), "".join(rng_.choice("abcdef") for _ in range(rng_.randint(1, 9))) + f"{y}")
+                for _ in range(rng_.randint(1, 5))
+            ])
+        html = "".join("<tr>" + "".join(f"<td colspan={a} rowspan={b}>{t}" for a, b, t in cells) for cells in rows)
+        placed = plain_grid(rows)
+        widths = collections.Counter()
+        for _, x, span, text in placed:
+            if span == 1:
+                widths[x] = max(widths[x], len(text))
+        lines = html_to_text(f"<table>{html}</table>").split("\n")
+        assert len(lines) == len(rows)
+        for y, x, span, text in placed:
+            at = sum(widths[c] + 2 for c in range(x))
+            # a cell that is wider than its columns moves those behind it in its row
+            moved = any(sum(widths[c] + 2 for c in range(a, a + s)) - 2 < len(t) for b, a, s, t in placed if b == y and a < x)
+            assert (moved and text in lines[y]) or lines[y][at : at + len(text)] == text, (rows, lines)
+
+
+def test_fields_lists_and_visibility():
+    page = """<ol reversed><li>a<li>b</ol><ol type=i start=3><li>x<li>y</ol><ol type=A><li>q<li value=28>r<li type=1>s</ol>
+      <textarea>l1\nl2</textarea><input type=tel value=123><input type=checkbox value=no><input placeholder=hint>
+      <div style='visibility:hidden'>no<p style='visibility: visible'>yes <b>too</b></p>no</div>
+      <span style='content-visibility:hidden'>kept</span>
+      <table><tfoot><tr><td>foot<td>f2</tfoot><tr><td style='visibility:hidden'>no<td>y<thead><tr><th>head<th>h2</table>"""
+    assert html_to_text(page).split("\n") == [
+        "2. a", "1. b", "", "iii. x", "iv. y", "", "A. q", "AB. r", "29. s", "", "l1", "l2", "123hint", "", "yes too", "", "kept", "",
+        "head  h2", "      y", "foot  f2",
+    ]
