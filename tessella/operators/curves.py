@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cells import column
-from ..scratch import scope
+from ..scratch import new_path, remove, scope
 from .boosting import SQUARED, SecondOrderModel, probabilities
 from .evaluate import PROBABILITY_FLOOR, log_loss
 from .row_id import add_row_id
@@ -238,7 +238,9 @@ def permutation_importance(
     cells = [column(c) for c in df.columns]
     hashed = df.select(*cells, F.xxhash64(F.lit(seed), *cells).alias(ORDER))
     with scope(df.sparkSession) as stored:
-        numbered = stored(add_row_id(hashed, [ORDER], PLACE).drop(ORDER), "numbered")
+        sorted_copy = new_path(df.sparkSession, "sorted")
+        numbered = stored(add_row_id(hashed, [ORDER], PLACE, path=sorted_copy).drop(ORDER), "numbered")
+        remove(df.sparkSession, sorted_copy)
         rows = numbered.count()
         turns = random.Random(seed)
         own = score(numbered.drop(PLACE)).agg(F.avg(loss)).first()[0] or 0.0

@@ -7,6 +7,7 @@ executor can reach it, so a lost executor costs a re-read and not a recomputatio
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -30,26 +31,35 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write once to the shared folder and read back: the plan behind it is cut."""
+_scopes = threading.local()
+
+
+def materialise(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """Write once to the shared folder and read back: the plan behind it is cut.
+
+    In a ``scope`` the table is deleted at its end, with ``keep`` at that of the one around it, if there is one.
+    """
     path = new_path(df.sparkSession, label)
+    open_scopes: list[list[str]] = getattr(_scopes, "open", [])
+    if open_scopes and not (keep and len(open_scopes) == 1):
+        open_scopes[-2 if keep else -1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
-    """A ``materialise`` whose tables are deleted at the end of the block: nothing that outlives it may read them."""
-    paths: list[str] = []
-
-    def stored(df: DataFrame, label: str) -> DataFrame:
-        paths.append(new_path(spark, label))
-        df.write.parquet(paths[-1])
-        return spark.read.schema(df.schema).parquet(paths[-1])
+    """Deletes what is materialised in the block at its end: what outlives it must be kept and may not read the rest.
 
+    Scopes nest, each thread has its own. Gives ``materialise``.
+    """
+    open_scopes = _scopes.__dict__.setdefault("open", [])
+    paths: list[str] = []
+    open_scopes.append(paths)
     try:
-        yield stored
+        yield materialise
     finally:
+        open_scopes.remove(paths)
         for path in paths:
             remove(spark, path)
 

@@ -208,3 +208,26 @@ def test_importance_by_permutation(rows):
     assert again["x"] == pytest.approx(found["x"]["relative"], rel=1e-9)
     empty = permutation_importance(trained.score, frame.limit(0), ["x"], F.col("prediction")).collect()
     assert [tuple(r) for r in empty] == [("x", 0.0, 0.0)]
+
+
+# -- scratch
+
+
+def test_scopes_delete_what_is_not_kept(spark):
+    from tessella.scratch import exists, materialise, scope
+
+    def path(df):
+        return df.inputFiles()[0].rsplit("/", 1)[0]
+
+    numbers = spark.range(3)
+    with scope(spark) as stored:
+        a = path(stored(numbers, "a"))
+        with scope(spark):
+            b, c = path(materialise(numbers, "b")), path(materialise(numbers, "c", keep=True))
+        assert not exists(spark, b) and exists(spark, c) and exists(spark, a)
+        kept = materialise(numbers, "d", keep=True)
+    assert not exists(spark, a) and not exists(spark, c) and kept.count() == 3
+    with pytest.raises(ValueError), scope(spark):
+        e = path(materialise(numbers, "e"))
+        raise ValueError
+    assert not exists(spark, e) and materialise(numbers, "f").count() == 3
