@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import materialise
+from ..scratch import materialise, scope
 from .chunks import answered, bucket_count, by_bucket, chunk_table, deal, in_order, opened, pack, unpack
 from .language import remainder
 from .texts import NOT_BLANK, Slab, running_bytes, span_hash
@@ -338,20 +338,21 @@ def score_texts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """
     spark = docs.sparkSession
     held_out = F.coalesce(remainder(F.col("doc_id"), 5) == 1, F.lit(False))
-    table = chunk_table(docs.select("doc_id", held_out.alias("held_out"), "text"), "lm-chunks", limit=CHUNK)
-    buckets = bucket_count(table)
-    pieces = read_pieces(vocabulary)
-    asked = materialise(table.mapInArrow(_asker(spark.sparkContext.broadcast(pieces), buckets), QUESTION), "lm-words")
-    sums = asked.where("bucket = -1")
-    texts, tokens = (int(x or 0) for x in sums.agg(F.sum("texts"), F.sum("tokens")).first())
-    paired = sums.select(F.explode(F.arrays_zip("piece", "expected")).alias("x")).select("x.*")
-    expected = np.zeros(len(pieces.weights))
-    for row in paired.groupBy("piece").agg(F.sum("expected").alias("n")).collect():  # a row for a piece at most
-        expected[row["piece"]] = row["n"]
-    questions = asked.where("bucket >= 0").select("bucket", "chunk", "hashes", "counts")
-    answers = materialise(by_bucket(questions, _total, "chunk long, bucket int, answer binary, distinct long"), "lm-counts")
-    distinct = int(answers.where("chunk = -1").agg(F.sum("distinct")).first()[0] or 0) + (texts > 0)
-    model = spark.sparkContext.broadcast(pieces.reweighted(expected, texts))
-    to_chunks = answers.where("chunk >= 0").select("chunk", "bucket", "answer")
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, {SCORED}"
-    return answered(table, to_chunks, _scorer(model, buckets, texts, tokens + texts, distinct), schema)
+    with scope(spark):
+        table = chunk_table(docs.select("doc_id", held_out.alias("held_out"), "text"), "lm-chunks", limit=CHUNK)
+        buckets = bucket_count(table)
+        pieces = read_pieces(vocabulary)
+        asked = materialise(table.mapInArrow(_asker(spark.sparkContext.broadcast(pieces), buckets), QUESTION), "lm-words")
+        sums = asked.where("bucket = -1")
+        texts, tokens = (int(x or 0) for x in sums.agg(F.sum("texts"), F.sum("tokens")).first())
+        paired = sums.select(F.explode(F.arrays_zip("piece", "expected")).alias("x")).select("x.*")
+        expected = np.zeros(len(pieces.weights))
+        for row in paired.groupBy("piece").agg(F.sum("expected").alias("n")).collect():  # a row for a piece at most
+            expected[row["piece"]] = row["n"]
+        questions = asked.where("bucket >= 0").select("bucket", "chunk", "hashes", "counts")
+        answers = materialise(by_bucket(questions, _total, "chunk long, bucket int, answer binary, distinct long"), "lm-counts")
+        distinct = int(answers.where("chunk = -1").agg(F.sum("distinct")).first()[0] or 0) + (texts > 0)
+        model = spark.sparkContext.broadcast(pieces.reweighted(expected, texts))
+        to_chunks = answers.where("chunk >= 0").select("chunk", "bucket", "answer")
+        schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, {SCORED}"
+        return materialise(answered(table, to_chunks, _scorer(model, buckets, texts, tokens + texts, distinct), schema), "lm-scores", keep=True)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import materialise
+from ..scratch import materialise, scope
 from .texts import NOT_BLANK, Slab, covered, mix, running, slabs, span_hash
 
 RUN_WORDS = 25
@@ -133,21 +133,21 @@ def later_runs(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     text_key is the hash of the text; ``docs`` has both besides text.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = materialise(docs.select("doc_id", "text_key", "text").mapInArrow(_placed(run_words), PLACE.format(id=kind)), "line-places")
-    # null ids come last, texts of one id in the order of their hashes, equal rows are one text
-    own = (F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_key"))
-    place = F.struct(*own, F.col("selected"))
-    shared = found.groupBy("fingerprint").agg(F.min(place).alias("low"), F.max(place).alias("high"))
-    shared = shared.where(~F.col("low").eqNullSafe(F.col("high"))).select("fingerprint")
-    matches = found.join(shared, "fingerprint", "left_semi").drop("fingerprint")
-    extended = materialise(matches.mapInArrow(_extended(run_words), WINDOW.format(id=kind)), "line-windows")
-    start = F.struct(*own, F.col("first"))
-    origin = extended.groupBy("window").agg(F.min(start).alias("origin"), F.max(start).alias("farthest"))
-    origin = origin.where(~F.col("origin").eqNullSafe(F.col("farthest")))
-    matched = extended.join(origin.select("window", "origin"), "window").where(~start.eqNullSafe(F.col("origin")))
-    return matched.groupBy("doc_id", "text_key").agg(
-        F.array_sort(F.collect_set(F.struct("line_from", "line_to"))).alias("runs")
-    )
+    with scope(docs.sparkSession) as stored:
+        found = stored(docs.select("doc_id", "text_key", "text").mapInArrow(_placed(run_words), PLACE.format(id=kind)), "line-places")
+        # null ids come last, texts of one id in the order of their hashes, equal rows are one text
+        own = (F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_key"))
+        place = F.struct(*own, F.col("selected"))
+        shared = found.groupBy("fingerprint").agg(F.min(place).alias("low"), F.max(place).alias("high"))
+        shared = shared.where(~F.col("low").eqNullSafe(F.col("high"))).select("fingerprint")
+        matches = found.join(shared, "fingerprint", "left_semi").drop("fingerprint")
+        extended = stored(matches.mapInArrow(_extended(run_words), WINDOW.format(id=kind)), "line-windows")
+        start = F.struct(*own, F.col("first"))
+        origin = extended.groupBy("window").agg(F.min(start).alias("origin"), F.max(start).alias("farthest"))
+        origin = origin.where(~F.col("origin").eqNullSafe(F.col("farthest")))
+        matched = extended.join(origin.select("window", "origin"), "window").where(~start.eqNullSafe(F.col("origin")))
+        runs = F.array_sort(F.collect_set(F.struct("line_from", "line_to"))).alias("runs")
+        return materialise(matched.groupBy("doc_id", "text_key").agg(runs), "line-runs", keep=True)
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

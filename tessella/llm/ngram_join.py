@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import materialise
+from ..scratch import materialise, scope
 from .chunks import answered, bucket_count, by_bucket, chunk_table, deal, in_order, opened, pack, row_numbers, unpack
 from .components import components
 from .texts import NOT_BLANK, Slab, Words, mix, running, span_hash, window_hash
@@ -303,12 +303,13 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> Data
     """
     if not 0 < percent <= 100 or size < 1:
         raise ValueError("percent must lie in 1 to 100, size must be positive")
-    stored = shingle_sets(docs, size, percent)
-    labels = similar_sets(stored, percent)
-    alone = F.col("n_shingles") == 0
-    own = stored.select("doc_id", "text_key", "n_shingles", "set_id", "row").join(labels, "set_id", "left")
-    key = F.when(alone, F.concat(F.lit("row"), "row")).otherwise(F.coalesce(F.col("label").cast("string"), F.base64("set_id")))
-    own = materialise(own.select("doc_id", "text_key", "n_shingles", "row", key.alias("component")), "components")
+    with scope(docs.sparkSession):
+        stored = shingle_sets(docs, size, percent)
+        labels = similar_sets(stored, percent)
+        alone = F.col("n_shingles") == 0
+        own = stored.select("doc_id", "text_key", "n_shingles", "set_id", "row").join(labels, "set_id", "left")
+        key = F.when(alone, F.concat(F.lit("row"), "row")).otherwise(F.coalesce(F.col("label").cast("string"), F.base64("set_id")))
+        own = materialise(own.select("doc_id", "text_key", "n_shingles", "row", key.alias("component")), "components", keep=True)
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "row")
     firsts = own.groupBy("component").agg(F.min(place).alias("place"))
     joined = own.join(firsts, "component")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import materialise
+from ..scratch import materialise, scope
 from .chunks import answered, bucket_count, by_bucket, chunk_table, deal, in_order, opened, pack, unpack
 from .texts import Slab, covered, mix, running_bytes, span_hash
 
@@ -291,15 +291,16 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     looked at; an empty table gives no rows.
     """
     own = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("order_id"), "text")
-    table = chunk_table(own, "repeat-chunks", sort_by=("order_id", "text"))
-    buckets = bucket_count(table)
-    asked = table.select("chunk", "order_id", "bounds", "data").mapInArrow(_parse_asker(buckets), QUESTION)
-    reply = "chunk long, bucket int, answer binary"
-    first = materialise(by_bucket(asked, _answer(buckets), reply), "repeat-phrases")
-    suffixes = answered(table.drop("doc_id"), first, _suffix_asker(buckets), QUESTION)
-    second = materialise(by_bucket(suffixes, _is_earlier, reply), "repeat-suffixes")
-    schema = (
-        f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, "
-        "kept_sha256 string, spans array<struct<start:long,end:long>>"
-    )
-    return answered(table, first.unionAll(second), _remover(buckets), schema)
+    with scope(docs.sparkSession):
+        table = chunk_table(own, "repeat-chunks", sort_by=("order_id", "text"))
+        buckets = bucket_count(table)
+        asked = table.select("chunk", "order_id", "bounds", "data").mapInArrow(_parse_asker(buckets), QUESTION)
+        reply = "chunk long, bucket int, answer binary"
+        first = materialise(by_bucket(asked, _answer(buckets), reply), "repeat-phrases")
+        suffixes = answered(table.drop("doc_id"), first, _suffix_asker(buckets), QUESTION)
+        second = materialise(by_bucket(suffixes, _is_earlier, reply), "repeat-suffixes")
+        schema = (
+            f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, "
+            "kept_sha256 string, spans array<struct<start:long,end:long>>"
+        )
+        return materialise(answered(table, first.unionAll(second), _remover(buckets), schema), "repeats", keep=True)

@@ -357,7 +357,7 @@ def _rooted(forms: DataFrame) -> DataFrame:
             moved = stored(now.join(onward, "root", "left").select("word", F.coalesce("next", "root").alias("root"), "next"), "roots")
             now = moved.select("word", "root")
             if moved.where("next is not null").isEmpty():
-                return materialise(now, "roots")
+                return materialise(now, "roots", keep=True)
 
 
 def spelling_variants(
@@ -386,6 +386,7 @@ def spelling_variants(
                 F.when(F.col("has"), F.col("best")).alias("form"), F.when(F.col("has"), F.col("best_n")).alias("form_n"),
             ),
             "forms",
+            keep=True,
         )
     roots = _rooted(formed.where("form is not null"))
     return formed.join(roots, "word", "left").withColumn("root", F.coalesce("root", "word"))
