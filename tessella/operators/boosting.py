@@ -146,8 +146,9 @@ def grow(rows: DataFrame, cuts: list[list[float]], settings: Boosting, classes:
     for level in range(settings.depth + 1):
         nodes = [_node(F.col("bins"), _literals(t.feature, "int"), _literals(b, "int"), level) for t, b in zip(trees, bins)]
         # the last level has weights only: one feature's sums are those of the node
-        used = F.col("bins") if level < settings.depth else F.slice("bins", 1, 1)
-        at_level = rows.select(used.alias("bins"), "gh", F.array(*nodes).alias("nodes"))
+        at_level = rows.withColumn("nodes", F.array(*nodes))
+        if level == settings.depth:
+            at_level = at_level.withColumn("bins", F.slice("bins", 1, 1))
         sums = level_sums(at_level).where(F.col("node") >= 2**level - 1)
         for r in _best(split_gains(sums, settings), settings).collect():  # a row for each node of the level
             tree, node = trees[r["class"]], r["node"]

@@ -116,7 +116,8 @@ def test_two_class_reports(data):
     for m in train(data, "c", ["a", "b"], CLASSIFICATION, settings=SMALL):
         found = report(m, frame, "k", 0)
         curves = {r.curve for r in found.curves.select("curve").distinct().collect()}
-        extra = {"Loss vs trees", "Variable Importance"} if m.family in ("DRF", "GBM", "XGBoost") else {"Deviance vs Iter"}
+        extra = {"Loss vs trees"} if m.family in ("DRF", "GBM", "XGBoost") else {"Deviance vs Iter"}
+        extra |= {"Variable Importance"} if m.family != "GLM" else set()
         assert curves == {"confusion_matrix", "lift_gain", "roc"} | extra
         matrix = found.curves.where("curve = 'confusion_matrix'").agg(F.sum("y")).first()[0]
         assert matrix == frame.where("split = 'holdout'").count()
@@ -128,8 +129,12 @@ def test_three_classes(data):
     index = label_index(data, "m")
     frame = with_split(labelled(data, "m", CLASSIFICATION, index), "k", 1)
     for m in train(data, "m", ["a", "b"], CLASSIFICATION, settings=SMALL):
-        curves = {r.curve for r in report(m, frame, "k", 0).curves.select("curve").distinct().collect()}
-        assert "confusion_matrix" in curves and not curves & {"roc", "lift_gain"}
+        found = report(m, frame, "k", 0).curves
+        curves = {r.curve for r in found.select("curve").distinct().collect()}
+        assert curves == {"confusion_matrix", "roc", "lift_gain"} | (
+            {"Deviance vs Iter"} if m.family in ("GLM", "DeepLearning") else {"Loss vs trees"}
+        ) | ({"Variable Importance"} if m.family != "GLM" else set())
+        assert {r.label for r in found.where("curve in ('roc', 'lift_gain')").select("label").distinct().collect()} == set("xyz")
         named = {"accuracy", "mean_per_class_error", "precision", "recall", "f1"}
         assert {r.metric for r in metrics_of(m, frame).collect()} - {"logloss"} == named
         matrix = report(m, frame, "k", 0).curves.where("curve = 'confusion_matrix'").select("label").distinct().collect()
@@ -269,7 +274,7 @@ def test_stacked_models(data, tmp_path):
         m = train_stacked(frame.where("split = 'train'"), "k", ["a", "b"], problem, families, 3, classes, SMALL)
         found = report(m, frame, "k", 0)
         curves = {r.curve for r in found.curves.select("curve").distinct().collect()}
-        wanted = {"y": {"Actual vs Predictions"}, "c": {"confusion_matrix", "lift_gain", "roc"}, "m": {"confusion_matrix"}}
+        wanted = {"y": {"Actual vs Predictions"}, "c": {"confusion_matrix", "lift_gain", "roc"}, "m": {"confusion_matrix", "lift_gain", "roc"}}
         assert curves == wanted[target]
         values = {(r.split, r.metric): r.value for r in found.metrics.collect()}
         if target == "y":
