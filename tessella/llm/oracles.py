@@ -132,34 +132,10 @@ PERIODIC_RUNS = f"""
          (1000 * -best.l // best.p)::bigint as exponent_milli, sha256(coalesce(runs, '')) as runs_sha256, sha256(coalesce(text, '')) as collapsed_sha256
   from d left join listed using (doc_id) left join kept using (doc_id)"""
 
-SPELLING_VARIANTS = f"""
-  with recursive {CRC_TABLE},
-  runs as (select doc_id, word, count(*) as n from (
-             select doc_id, unnest(regexp_extract_all({LOWERED}, '[A-Za-z\u00C0-\u00FF]+')) as word from documents) group by all),
-  bytes as (select *, hex(encode(concat(doc_id, ':', word))) as code from runs),
-  coded as (select word, n, {CRC.format("list_transform(range(length(code) // 2), lambda k: ('0x' || code[2 * k + 1:2 * k + 2])::bigint)")} as h
-            from bytes, crc_table),
-  written as (select case when h % 97 = 0 then word[1:h % length(word)] || word[h % length(word) + 2:] else word end as word, n from coded),
-  words as (select word, sum(n)::bigint as n, length(word) as size from written group by word having length(word) >= 5 and sum(n) >= 3),
-  holes as (select word, n, size, unnest(range(size)) as k, word[1:k] as ahead, word[k + 2:] as behind from words),
-  near as (
-    select x.word, y.word as other, y.n as other_n from holes x join holes y using (k, ahead, behind) where x.word <> y.word
-    union select x.word, y.word, y.n from holes x join words y on y.word = x.ahead || x.behind
-    union select y.word, x.word, x.n from holes x join words y on y.word = x.ahead || x.behind),
-  best as (select word, count(*) as n_near, min({{'n': -other_n, 'word': other}}) as best from near group by word),
-  formed as (select words.word, n, coalesce(n_near, 0) as n_near,
-                    case when -best.n >= 2 * n then best.word end as form, case when -best.n >= 2 * n then -best.n end as form_n
-             from words left join best using (word)),
-  paths as (select word, word as root, 0 as step from formed
-            union all select paths.word, form, step + 1 from paths join formed on formed.word = root where form is not null),
-  roots as (select word, max_by(root, step) as root from paths group by word)
-  select word, form, root, n, n_near::bigint as n_near, form_n::bigint as form_n from formed join roots using (word)"""
-
 ORACLES = {
     "op2_decontamination": DECONTAMINATION,
     "op4_ngram_join": NGRAM_JOIN,
     "op9_host_quality": HOST_QUALITY,
     "op10_url_rules": URL_VERDICTS,
     "op11_periodic_runs": PERIODIC_RUNS,
-    "op13_spelling_variants": SPELLING_VARIANTS,
 }
