@@ -174,7 +174,8 @@ def _deduped(docs: DataFrame, run_words: int) -> DataFrame:
     runs = later_runs(keyed.select("rest.doc_id", "text_key", "text"), run_words)
     runs = runs.select(F.col("doc_id").alias("run_id"), F.col("text_key").alias("run_key"), "runs")
     same = F.col("rest.doc_id").eqNullSafe(F.col("run_id")) & (F.col("text_key") == F.col("run_key"))
-    joined = keyed.join(runs, same, "left").select("rest", "text", "runs")
+    # the same plan at every size: texts are dealt by their key, but not sorted
+    joined = keyed.join(runs.hint("shuffle_hash"), same, "left").select("rest", "text", "runs")
     kind = joined.schema["rest"].dataType.simpleString()
     return joined.mapInArrow(_cleaned, f"rest {kind}, text string, n_lines long, n_removed long, n_runs long")
 
