@@ -15,7 +15,7 @@ from tessella.operators.projections import (
     drop_missing_target,
     select_columns,
 )
-from tessella.operators.row_id import add_row_id
+from tessella.operators.row_id import add_row_id, partition_count
 from tessella.scratch import materialise, new_path
 from tessella.sources.readers import ingest, json_rows, read_csv, read_json
 from tessella.sources.store import (
@@ -99,39 +99,66 @@ def small_splits(spark, split_bytes=64 << 10):
             spark.conf.set(name, value)
 
 
+def split_size(spark, path):
+    """A quarter of the largest file, so that several tasks read it, but between 64 KB and 32 MB: a task for each 64 KB
+    of a large input would take longer to start than to run."""
+    largest = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0] or 0
+    return min(max(largest // 4, 64 << 10), 32 << 20)
+
+
 def scan_csv_split(spark, folder):
     """Texts with quoted line breaks, in files that several tasks read."""
     texts = odd_texts(spark, folder)
     path = write_csv(texts, new_path(spark, "csv"))
-    with small_splits(spark) as split_bytes:
+    with small_splits(spark, split_size(spark, path)) as split_bytes:
         return materialise(read_csv(spark, path, texts.schema, split_bytes=split_bytes), "csv-rows")
 
 
 def scan_csv_split_inferred(spark, folder):
     conversations = table(spark, folder, "conversations")
     path = write_csv(conversations, new_path(spark, "csv"))
-    with small_splits(spark) as split_bytes:
+    with small_splits(spark, split_size(spark, path)) as split_bytes:
         found = materialise(read_csv(spark, path, split_bytes=split_bytes), "csv-rows")
     return found.select(*[F.col(f.name).cast(f.dataType) for f in conversations.schema])
 
 
 def scan_json_split(spark, folder):
     """Arrays of objects with texts full of braces and quotes, in files that several tasks read."""
-    with small_splits(spark) as split_bytes:
-        found = materialise(read_json(spark, json_arrays(spark, odd_texts(spark, folder)), document=True, split_bytes=split_bytes), "json-rows")
+    path = json_arrays(spark, odd_texts(spark, folder))
+    with small_splits(spark, split_size(spark, path)) as split_bytes:
+        found = materialise(read_json(spark, path, document=True, split_bytes=split_bytes), "json-rows")
     return found.select("doc_id", "text", "lang", "source", "n_chars")
 
 
 def json_arrays(spark, df):
-    """Files of one indented array each, a file for each slice of the first column."""
-    key = F.pmod(F.xxhash64(df.columns[0]), F.lit(8))
-    rows = F.collect_list(F.to_json(F.struct(*df.columns)))
+    """Files of one indented array each, a file for each slice of the first column; no row holds more than an object."""
+
+    def lines(batches):
+        import pyarrow as pa
+
+        def batch(values):
+            return pa.RecordBatch.from_arrays([pa.array(values, pa.string())], ["value"])
+
+        last = None
+        yield batch(["["])
+        for own in batches:
+            objects = own.column("value").to_pylist()
+            if objects:
+                yield batch([f"  {o}," for o in ([] if last is None else [last]) + objects[:-1]])
+                last = objects[-1]
+        yield batch(([] if last is None else [f"  {last}"]) + ["]"])
+
     path = new_path(spark, "json")
-    arrays = df.groupBy(key.alias("part")).agg(F.concat(F.lit("[\n  "), F.array_join(rows, ",\n  "), F.lit("\n]")))
-    arrays.drop("part").repartition(8).write.option("lineSep", "\n").text(path)
+    objects = df.repartition(json_files(df), df.columns[0]).select(F.to_json(F.struct(*df.columns)).alias("value"))
+    objects.mapInArrow(lines, "value string").write.option("lineSep", "\n").text(path)
     return path
 
 
+def json_files(df, file_bytes=64 << 20):
+    """Eight at least, and one for each 64 MB of the sources."""
+    return max(8, partition_count(df, file_bytes))
+
+
 def ingest_json_documents(spark, folder):
     """Customers as one indented array per file."""
     customer = table(spark, folder, "customer")
