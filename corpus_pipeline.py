@@ -21,10 +21,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language: texts without a letter go, and unlabelled ones that the net names with less certainty than
-    any labelled held-out document, and with a score below 0.4."""
+    """Documents in a language: texts without a letter go, and those whose language the net names with a score below 0.4,
+    labelled or not."""
     prepare(spark)
-    return accepted(docs.select(*COLUMNS))
+    return accepted(docs.select(*COLUMNS), trust_labels=False)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -254,18 +254,22 @@ def dropped_shares(docs: DataFrame, min_score: float = 0.4, per_label: int = 256
     return counts.select("label", "n", "n_below", (F.col("n_below") / F.col("n")).alias("share"), "lowest")
 
 
-def accepted(docs: DataFrame, min_score: float = 0.4, per_label: int = 256) -> DataFrame:
+def accepted(docs: DataFrame, min_score: float = 0.4, per_label: int = 256, trust_labels: bool = True) -> DataFrame:
     """The rows of ``docs`` in a language; all columns as they are.
 
     Texts without a letter go. So do rows without label whose language is named with a score below ``min_score`` and below
-    that of every labelled held-out row; labelled rows stay whatever their score, as do all if there is no net.
+    that of every labelled held-out row; labelled rows stay whatever their score, as do all if there is no net. Without
+    ``trust_labels`` all rows are judged alike: those with a score below ``min_score`` go.
     """
     whole = docs.withColumn("text", F.col("text").cast("string")).select(F.struct(*docs.columns).alias("row"))
     kind = f"row {whole.schema['row'].dataType.simpleString()}"
     net = learned_net(docs, per_label)
     if net is None:
         return whole.mapInArrow(_lettered, kind).select("row.*")
-    lowest = _held_out(docs, net).agg(F.min("score")).first()[0]
     judged = whole.mapInArrow(_predictor(net, ["row"], "row"), f"{kind}, lang_pred string, score double")
-    sure = F.col("score") >= min(min_score, lowest or 0.0)
-    return judged.where((F.col("lang_pred") != NONE) & (F.col("row.lang").isNotNull() | sure)).select("row.*")
+    if trust_labels:
+        lowest = _held_out(docs, net).agg(F.min("score")).first()[0]
+        sure = F.col("row.lang").isNotNull() | (F.col("score") >= min(min_score, lowest or 0.0))
+    else:
+        sure = F.col("score") >= min_score
+    return judged.where((F.col("lang_pred") != NONE) & sure).select("row.*")
