@@ -21,7 +21,7 @@ def test_a_fit_takes_the_steps_of_spark_ml(spark, n, parts):
     """Last blocks of partitions, more stacks than one, and empty partitions included."""
     df = rows(spark, n, parts)
     own, theirs = Network([2, 5, 3], 25, 2).fit(df), MultilayerPerceptronClassifier(layers=[2, 5, 3], maxIter=25, seed=2).fit(df)
-    assert own.objective_history == pytest.approx(theirs.summary().objectiveHistory, rel=1e-7)
+    assert own.summary().objectiveHistory == pytest.approx(theirs.summary().objectiveHistory, rel=1e-7)
     assert own.weights.toArray() == pytest.approx(theirs.weights.toArray(), rel=1e-4, abs=1e-4)
     same = own.transform(df).select("label", "prediction").exceptAll(theirs.transform(df).select("label", "prediction"))
     assert same.count() <= n // 1000
